@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubewind.llm.decontaminate import op10
+from cubewind.llm import chat, decontaminate, exact_dedup, jaccard, pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_decontaminate": op10,
+    "op2_chat_windows": chat.op2,
+    "op4_jaccard_join": jaccard.op4,
+    "op7_exact_dedup": exact_dedup.op7,
+    "op9_pack": pack.op9,
+    "op10_decontaminate": decontaminate.op10,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_exact_dedup": exact_dedup.SQL,
+}
