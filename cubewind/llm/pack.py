@@ -26,7 +26,7 @@ from cubewind.llm.tables import keep
 from cubewind.llm.textscan import SPACED_EXACT, pieces
 
 CAPACITY = 2048
-ROUNDS = 400
+ROUNDS = 150
 #: Ids of distinct words that a worker remembers; then it starts afresh.
 REMEMBERED = 400_000
 #: Parts in which the pieces of one length are ranked.
@@ -60,7 +60,7 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets of the ids of each row) by pieces of the column; without the final id 0."""
-        for w in pieces(column, SPACED_EXACT):
+        for w in pieces(column, SPACED_EXACT, 3_000_000):
             distinct, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
             if len(self.hash) > REMEMBERED:
                 self.clear()
@@ -87,11 +87,20 @@ _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 _encoders: dict[str, WordEncoder] = {}
 
 
+def encoder_of(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def cut(texts: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of (doc_id, text): doc_id, piece, start, length, ids_crc32 and, if asked for, the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, WordEncoder(path)) if path not in _encoders else _encoders[path]
+        from cubewind.llm import pack  # by name, or each task would unpickle an encoder of its own
+
+        encoder = pack.encoder_of(path)
         for batch in batches:
             doc_ids = batch.column("doc_id")
             for row, ids, to in encoder.encode(batch.column("text")):
@@ -124,25 +133,26 @@ def cut(texts: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
 
 
 def knapsack(value: np.ndarray, weight: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each item give the most value within the capacity; value may be gained without limit by repetition."""
+    """How many of each item give the most value within the capacity; an item may be taken again and again."""
+    worth = np.full(capacity + 1, -np.inf)  # by length, longest first
+    worth[capacity - weight] = value
     best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1, np.int64)
+    last = np.zeros(capacity + 1, np.int64)
     for c in range(int(weight[0]), capacity + 1):  # weight ascends
-        fit = int(np.searchsorted(weight, c, "right"))
-        gain = best[c - weight[:fit]] + value[:fit]
-        k = int(np.argmax(gain))
+        gain = best[:c] + worth[capacity - c : capacity]
+        k = int(gain.argmax())
         if gain[k] > best[c - 1]:
-            best[c], last[c] = gain[k], k
+            best[c], last[c] = gain[k], c - k
         else:
             best[c] = best[c - 1]
     used = np.zeros(len(weight), np.int64)
     c = capacity
     while c > 0:
-        if last[c] < 0:
+        if not last[c]:
             c -= 1
         else:
-            used[last[c]] += 1
-            c -= int(weight[last[c]])
+            used[np.searchsorted(weight, last[c])] += 1
+            c -= int(last[c])
     return used
 
 
@@ -217,6 +227,8 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
     plan: dict[tuple[tuple[int, int], ...], int] = {}
     for config, n in sorted(picked, key=lambda x: -x[1]):
         some = config > 0
+        if (config * lengths).sum() < capacity:  # best fit does better with what leaves room
+            continue
         times = int(min(n * lower // rounds, (left[some] // config[some]).min()))
         if times:
             left -= config * times
@@ -225,7 +237,8 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
     some = left > 0
     for key, n in best_fit(lengths[some], left[some], capacity).items():
         plan[key] = plan.get(key, 0) + n
-    return plan
+    plain = best_fit(lengths, counts, capacity)  # the rounding with no round at all
+    return min(plan, plain, key=lambda x: sum(x.values()))
 
 
 def slots(plan: dict[tuple[tuple[int, int], ...], int]) -> list[tuple[int, int, int, int, int, int]]:
