@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubewind.llm import chat, decontaminate, exact_dedup, jaccard, pack
+from cubewind.llm import chat, decontaminate, exact_dedup, html, jaccard, lm, pack, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": lm.op1,
     "op2_chat_windows": chat.op2,
+    "op3_html_text": html.op3,
     "op4_jaccard_join": jaccard.op4,
+    "op5_secrets": secrets.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_exact_dedup": exact_dedup.op7,
+    "op8_token_counts": token_counts.op8,
     "op9_pack": pack.op9,
     "op10_decontaminate": decontaminate.op10,
 }
