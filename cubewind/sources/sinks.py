@@ -19,10 +19,10 @@ def write_cube(df: DataFrame, path: str, experiment: str, frequency: str, attrib
 
 
 def write_wide_csv(df: DataFrame, path: str, stations: Sequence[str]) -> None:
-    """ts and a column per station."""
+    """datetime and a column per station."""
     from cubewind.sources.files import long_to_wide
 
-    long_to_wide(df, stations).orderBy("ts").write.mode("overwrite").option("header", True).csv(path)
+    long_to_wide(df, stations).withColumnRenamed("ts", "datetime").orderBy("datetime").write.mode("overwrite").option("header", True).csv(path)
 
 
 def upsert_attributes(old: DataFrame, new: DataFrame, overwrite: bool = False) -> DataFrame:
