@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +24,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cubewind.llm.tables import keep
-from cubewind.llm.textscan import SPACED_EXACT, pieces
+from cubewind.llm.textscan import PUNCTUATED, pieces
 
 CAPACITY = 2048
 ROUNDS = 150
 #: Ids of distinct words that a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 #: Parts in which the pieces of one length are ranked.
-SALTS = 64
+SALTS = 16
 
 
 class WordEncoder:
-    """Ids of whole texts. The tokenizer never joins across ASCII white space, so each distinct word is encoded once."""
+    """Ids of whole texts. The tokenizer lower-cases and never joins across white space, nor a letter with punctuation other
+    than an apostrophe, so each distinct run between such places is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,24 +45,25 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hash = np.zeros(0, np.uint64)
-        self.first = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.hash, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """hashes must ascend."""
         fresh = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        ids = np.fromiter((i for x in fresh for i in x), np.uint32)
-        all_hashes = np.concatenate([self.hash, hashes])
-        size = np.concatenate([np.diff(self.first), np.fromiter(map(len, fresh), np.int64, len(fresh))])
-        begin = np.concatenate([self.first[:-1], len(self.ids) + np.cumsum(size[len(self.hash) :]) - size[len(self.hash) :]])
-        pool = np.concatenate([self.ids, ids])
-        order = np.argsort(all_hashes, kind="stable")
-        self.hash = all_hashes[order]
-        self.ids, self.first = gather(pool, begin[order], size[order])
+        size = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        total = int(size.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(fresh), np.uint32, total)
+        begin = self.used + np.cumsum(size) - size
+        self.used += total
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.begin, self.size = np.insert(self.hash, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets of the ids of each row) by pieces of the column; without the final id 0."""
-        for w in pieces(column, SPACED_EXACT, 3_000_000):
+        for w in pieces(column, PUNCTUATED, 2_000_000):
             distinct, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
             if len(self.hash) > REMEMBERED:
                 self.clear()
@@ -70,10 +73,9 @@ class WordEncoder:
                 known = self.hash[np.minimum(place, len(self.hash) - 1)] == distinct
             if not known.all():
                 new = np.flatnonzero(~known)
-                self.learn(distinct[new], [w.data[w.start[k] : w.end[k]].tobytes().decode() for k in at[new].tolist()])
+                self.learn(distinct[new], [w.data[a:z].tobytes().decode() for a, z in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)])
                 place = np.searchsorted(self.hash, distinct)
-            size = np.diff(self.first)[place][inverse]
-            ids, to = gather(self.ids, self.first[:-1][place][inverse], size)
+            ids, to = gather(self.ids, self.begin[place][inverse], self.size[place][inverse])
             yield int(w.rows[0]), ids, to[w.first]
 
 

@@ -42,18 +42,25 @@ def powers(n: int) -> np.ndarray:
 class WordClass:
     """Which bytes are in words, and a random value of each, the same for A-Z and a-z."""
 
-    def __init__(self, breaks: bytes, fold: bool = True):
+    def __init__(self, breaks: bytes, fold: bool = True, between: tuple[bytes, bytes] | None = None):
+        """between: words also end between a byte of the first kind and one of the second, either way."""
         self.inside = np.ones(256, bool)
         self.inside[list(breaks)] = False
         self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
         if fold:
             self.value[65:91] = self.value[97:123]
         self.value[~self.inside] = 0
+        self.side = np.zeros(256, np.int8)
+        for k, own in enumerate(between or (), 1):
+            self.side[list(own)] = k
+        self.split = between is not None
 
 
 #: Words between white space: [^\x20\x09-\x0D]+
 SPACED = WordClass(b"\x20\x09\x0a\x0b\x0c\x0d")
 SPACED_EXACT = WordClass(b"\x20\x09\x0a\x0b\x0c\x0d", fold=False)
+#: The same, cut between an ASCII letter and punctuation other than apostrophes and the signs in special tokens
+PUNCTUATED = WordClass(b"\x20\x09\x0a\x0b\x0c\x0d", between=(bytes([*range(65, 91), *range(97, 123)]), b".,;:!?*%$#&()"))
 #: Letters, digits and all that isn't ASCII: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text
 ALNUM = WordClass(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
@@ -94,6 +101,9 @@ def scan(b: np.ndarray, marks: np.ndarray, kind: WordClass) -> tuple[np.ndarray,
     inside = kind.inside[b]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
+    if kind.split:
+        side = kind.side[b]
+        begin[1:] |= side[:-1] + side[1:] == 3
     at = marks[marks < n]
     begin[at] = inside[at]
     start = np.flatnonzero(begin)
