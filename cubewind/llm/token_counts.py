@@ -25,9 +25,17 @@ MARK = "▁"
 REMEMBERED = 1_500_000
 
 
+def endings(scores: dict[str, float]) -> dict[str, float | None]:
+    """Scores of pieces, and None for other strings that a piece ends with."""
+    return {x[k:]: None for x in scores for k in range(1, len(x))} | scores
+
+
 def count_all(words: list[str], scores: dict[str, float], byte_score: float) -> list[int]:
     """Tokens of each word; words must be sorted. One pass over their trie."""
-    longest = max(map(len, scores), default=1)
+    return _count(words, endings(scores), byte_score)
+
+
+def _count(words: list[str], table: dict[str, float | None], byte_score: float) -> list[int]:
     best, count = [0.0], [0]  # by depth, along the path to the current node
     out, before = [], ""
     for word in words:
@@ -39,11 +47,15 @@ def count_all(words: list[str], scores: dict[str, float], byte_score: float) ->
         for z in range(shared + 1, len(word) + 1):
             n = len(word[z - 1].encode())
             top, least = best[z - 1] + n * byte_score, count[z - 1] + n
-            for a in range(max(0, z - longest), z):
-                if (s := scores.get(word[a:z])) is not None:
-                    s += best[a]
-                    if s > top or (s == top and count[a] + 1 < least):
-                        top, least = s, count[a] + 1
+            for a in range(z - 1, -1, -1):
+                s = table.get(word[a:z], False)
+                if s is None:
+                    continue
+                if s is False:  # no piece ends like this
+                    break
+                s += best[a]
+                if s > top or (s == top and count[a] + 1 < least):
+                    top, least = s, count[a] + 1
             best.append(top)
             count.append(least)
         out.append(count[-1])
@@ -59,6 +71,7 @@ class Vocabulary:
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.byte_score = min(self.scores.values(), default=0.0) - 10.0
+        self.table = endings(self.scores)
         self.clear()
 
     def clear(self) -> None:
@@ -78,7 +91,7 @@ class Vocabulary:
                 new = np.flatnonzero(~known)
                 words = sorted((w.data[w.start[k] : w.end[k]].tobytes().decode(), n) for n, k in enumerate(at[new].tolist()))
                 fresh = np.zeros(len(new), np.int64)
-                fresh[[n for _, n in words]] = count_all([x for x, _ in words], self.scores, self.byte_score)
+                fresh[[n for _, n in words]] = _count([x for x, _ in words], self.table, self.byte_score)
                 where = np.searchsorted(self.hash, distinct[new])
                 self.hash, self.count = np.insert(self.hash, where, distinct[new]), np.insert(self.count, where, fresh)
                 place = np.searchsorted(self.hash, distinct)
