@@ -133,15 +133,15 @@ class Lexicon:
         return np.where(self.hash[at] == f, self.weight[at], 0.0)
 
     def evidence(self, w: Words) -> np.ndarray:
-        """Of each row: the weights of the patterns that its clauses match. A word that a row repeats counts once, as it is
-        weighed first."""
+        """Of each row: the weights of the patterns that its clauses match. A word that a row repeats counts twice at most, as
+        it is weighed first."""
         word, stem = features(w)
         weight = np.maximum(self.weights(word), self.weights(stem))
         out = np.zeros(len(w.rows))
         doc = w.doc()
         ends = np.isin(w.data, list(b".!?;\n")).astype(np.int64).cumsum() if weight.any() else np.zeros(0)
         done: set[tuple[int, int]] = set()
-        counted: set[tuple[int, int]] = set()
+        counted: dict[tuple[int, int], int] = {}
         for k in np.flatnonzero(weight).tolist():
             d, clause = int(doc[k]), int(ends[w.start[k]])
             if (d, clause) in done:
@@ -154,8 +154,8 @@ class Lexicon:
             while a < w.first[d + 1] and ends[w.start[a]] == clause:
                 c = INSULT if weight[a] else self.classes.get(int(w.hash[a]), OTHER)
                 state, share = GRAMMAR[state, c]
-                if share and (key := (d, int(word[a]))) not in counted:
-                    counted.add(key)
+                if share and counted.get(key := (d, int(word[a])), 0) < 2:
+                    counted[key] = counted.get(key, 0) + 1
                     out[d] += share * (weight[a] or LEAST_ODDS)
                 a += 1
         return out
