@@ -338,17 +338,17 @@ def _trend(spark, d) -> DataFrame:
     return regression.trend_map(reduce.yearly_mean(cube(spark, d), ["v"], ["j", "i"]), "v")
 
 
-@query(_CELLS + "SELECT j, i, n, round(s, 5) AS slope, round(t, 6) AS t FROM t")
+@query(_CELLS + "SELECT j, i, n, round(s, 7) AS slope, round(t, 6) AS t FROM t")
 def trend_map(spark, d):
-    return rounded(rounded(_trend(spark, d), 5, "slope"), 6, "t")
+    return rounded(rounded(_trend(spark, d), 7, "slope"), 6, "t")
 
 
 _LIMITS = {5: 3.182446, 6: 2.776445, 7: 2.570582}
 
 
-@query(_CELLS + "SELECT j, i, round(s, 5) AS slope FROM t WHERE abs(t) > CASE n WHEN 5 THEN 3.182446 WHEN 6 THEN 2.776445 WHEN 7 THEN 2.570582 END")
+@query(_CELLS + "SELECT j, i, round(s, 7) AS slope FROM t WHERE abs(t) > CASE n WHEN 5 THEN 3.182446 WHEN 6 THEN 2.776445 WHEN 7 THEN 2.570582 END")
 def trend_map_significant(spark, d):
-    return rounded(regression.significant_by(_trend(spark, d), _LIMITS).select("j", "i", "slope"), 5, "slope")
+    return rounded(regression.significant_by(_trend(spark, d), _LIMITS).select("j", "i", "slope"), 7, "slope")
 
 
 @query(_CELLS + "SELECT round(greatest(abs(min(s)), max(s)), 5) AS \"limit\" FROM t")
@@ -474,7 +474,7 @@ def local_to_utc(spark, d):
 
 
 # stations and grids
-_POINTS = "(VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in joins.STATIONS) + ") AS st(station, slat, slon)"
+_POINTS = "(VALUES " + ", ".join(f"('{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for n, a, b in joins.STATIONS) + ") AS st(station, slat, slon)"
 
 
 @query(f"""SELECT station, j, i, round(dist, 9) AS dist FROM (SELECT station, j, i, greatest(abs(lat - slat), abs(lon - slon)) AS dist,
@@ -513,7 +513,7 @@ def regrid_bicubic(spark, d):
     return regrid.bicubic(target, grid(spark), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", "hgt")
 
 
-@query("SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, round(-92.5061 + i * 0.0154, 6) AS lon, round(-2.46528 + j * 0.0154, 6) AS lat FROM (SELECT range AS j FROM range(230)), (SELECT range AS i FROM range(245))")
+@query("SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, round(CAST(-92.5061 AS DOUBLE) + i * CAST(0.0154 AS DOUBLE), 6) AS lon, round(CAST(-2.46528 AS DOUBLE) + j * CAST(0.0154 AS DOUBLE), 6) AS lat FROM (SELECT range AS j FROM range(230)), (SELECT range AS i FROM range(245))")
 def lonlat_grid(spark, d):
     return rounded(regrid.lonlat_grid(spark, 245, 230, -92.5061, 0.0154, -2.46528, 0.0154), 6, "lon", "lat")
 
@@ -535,7 +535,7 @@ _NAMELIST = """
 """
 _NEST = """WITH RECURSIVE p(k, parent, ratio, i0, j0, we, sn) AS (VALUES (1, 1, 1, 1, 1, 300, 210), (2, 1, 5, 67, 78, 246, 231), (3, 2, 10, 103, 85, 400, 350)),
 d(k, x, y, dx, x1, y1) AS (
-  SELECT k, -(we - 1) * 10000.0 / 2, -(sn - 1) * 10000.0 / 2, 10000.0, (we - 1) * 10000.0 / 2, (sn - 1) * 10000.0 / 2 FROM p WHERE k = 1
+  SELECT k, -(we - 1) * CAST(10000 AS DOUBLE) / 2, -(sn - 1) * CAST(10000 AS DOUBLE) / 2, CAST(10000 AS DOUBLE), (we - 1) * CAST(10000 AS DOUBLE) / 2, (sn - 1) * CAST(10000 AS DOUBLE) / 2 FROM p WHERE k = 1
   UNION ALL SELECT p.k, d.x + (i0 - 1) * d.dx, d.y + (j0 - 1) * d.dx, d.dx / ratio, d.x + (i0 - 1) * d.dx + (we - 1) * d.dx / ratio, d.y + (j0 - 1) * d.dx + (sn - 1) * d.dx / ratio FROM p JOIN d ON p.parent = d.k AND p.k > d.k),
 ll AS (SELECT 'd0' || k AS id, dx, x / 6370000 * 180 / pi() - 85 AS lon_min, x1 / 6370000 * 180 / pi() - 85 AS lon_max, (2 * atan(exp(y / 6370000)) - pi() / 2) * 180 / pi() AS lat_min, (2 * atan(exp(y1 / 6370000)) - pi() / 2) * 180 / pi() AS lat_max FROM d)
 """

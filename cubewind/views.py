@@ -12,7 +12,7 @@ WITH cube AS (
   SELECT CAST(l_suppkey % 10 AS INT) AS j, CAST(l_partkey % 20 AS INT) AS i, l_linenumber AS level, l_shipdate AS "time", l_extendedprice AS v, l_quantity AS w FROM lineitem),
 grid AS (
   SELECT j, i, (i * 137 + j * 61) % 2500 AS hgt, CASE WHEN (i + j) % 3 = 0 THEN 0 ELSE 1 END AS landmask,
-         -1.5 + 0.05 * j AS lat, -91.5 + 0.05 * i AS lon, 2000.0 * i AS x_m, 2000.0 * j AS y_m
+         CAST(-1.5 AS DOUBLE) + CAST(0.05 AS DOUBLE) * j AS lat, CAST(-91.5 AS DOUBLE) + CAST(0.05 AS DOUBLE) * i AS lon, CAST(2000 AS DOUBLE) * i AS x_m, CAST(2000 AS DOUBLE) * j AS y_m
   FROM (SELECT CAST(range AS INT) AS j FROM range(10)), (SELECT CAST(range AS INT) AS i FROM range(20))),
 monthly AS (
   SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS "time", avg(o_totalprice) AS m FROM orders GROUP BY 1),
