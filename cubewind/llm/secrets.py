@@ -33,7 +33,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 # every access and hex span of the least length lies in such a run
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{7,}")
+# what is taken for an ordinary identifier: letters, and a short number at the end
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{8,}[0-9]{0,3}(?![A-Za-z0-9_])")
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 _SIZE = len(_ALPHABET) + 1  # the last is the edge of a string
@@ -100,7 +101,8 @@ def train(texts: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     for r in rows:
         counts[r["label"], r["one"], r["two"]] = r["n"]
     counts[1] += 2.0  # few labelled secrets: close to uniform
-    counts[0] += 0.05 if counts[0].any() else 2.0
+    single = counts[0].sum(axis=0) + 0.5  # pairs that identifiers lack, by how often they have the second character
+    counts[0] += 5.0 * single / single.sum()
     logs = np.log(counts / counts.sum(axis=2, keepdims=True))
     return logs[1] - logs[0]
 
