@@ -35,6 +35,10 @@ ENUMERATED = 16
 #: Shingles and sets in a block of a cluster.
 BLOCK_SHINGLES = 400_000
 BLOCK_SETS = 1500
+#: Up to this many sets, intersections are one matrix product.
+DENSE_SETS = 64
+#: Sets in clusters, six numbers each, that are broadcast to find their texts; of more the texts are shuffled.
+BROADCAST_SETS = 300_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -100,6 +104,7 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 def _features(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int]] = set()  # a set that a task meets again is signed once
         for batch in batches:
             rows, n, s1, s2, sigs = [], [], [], [], []
 
@@ -120,7 +125,8 @@ def _features(size: int, percent: int):
                 n.append(len(h))
                 s1.append(mix(h).sum(dtype=np.uint64))
                 s2.append(mix(h * np.uint64(7) + np.uint64(11)).sum(dtype=np.uint64))
-                sigs.append(signatures(h, percent))
+                sigs.append(h[:0] if (key := (len(h), int(s1[-1]), int(s2[-1]))) in seen else signatures(h, percent))
+                seen.add(key)
                 if len(rows) == 2000:
                     yield out()
                     rows, n, s1, s2, sigs = [], [], [], [], []
@@ -165,6 +171,17 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     flat, owner = flat[order], owner[order]
     begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     end = np.append(begin[1:], len(flat))
+    if m <= DENSE_SETS:
+        count = end - begin
+        column = np.repeat(np.where(count > 1, np.cumsum(count > 1) - 1, -1), count)
+        owner, column = owner[column >= 0], column[column >= 0]
+        product = np.zeros((m, m), np.float32)
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            x, z = np.searchsorted(column, (a, a + 8192))
+            has = np.zeros((m, 8192), np.float32)
+            has[owner[x:z], column[x:z] - a] = 1
+            product += has @ has.T
+        return product.astype(np.int32)
     both = np.zeros((m, m), np.int32)
     common, lacking = 0, np.zeros(m, np.int32)
     for a, z in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
@@ -225,18 +242,19 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     key = ["n_shingles", "s1", "s2"]
     classes = features.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     classes = keep(classes, "classes")
-    signed = features.join(classes.select(F.col("rep"), *[F.col(c).alias(f"_{c}") for c in key], "weight"), (features["doc_id"] == F.col("rep")) & (features["s1"] == F.col("_s1")) & (features["s2"] == F.col("_s2")), "inner")
-    signed = signed.select("rep", F.explode("signatures").alias("signature"))
-    shared = signed.groupBy("signature").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").drop("most")
-    near = signed.join(shared, "signature").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    # a node is half of a set's digest: two sets of one node only make a cluster larger; one shuffle serves both uses
+    signed = features.where("n_shingles > 0").select(F.col("s1").alias("node"), F.explode("signatures").alias("signature")).repartition("signature")
+    shared = signed.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
+    near = signed.join(shared, "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     clusters = components(near)
 
-    inside = clusters.join(classes, clusters["id"] == classes["rep"]).select("rep", "component", "n_shingles", "weight")
+    inside = clusters.join(classes, clusters["id"] == classes["s1"]).select("rep", "component", "n_shingles", "weight")
     total = inside.groupBy("component").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).alias("blocks"))
     inside = inside.join(total, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     inside = keep(inside.select("rep", "component", "n_shingles", "weight", "block", "blocks"), "clusters")
     columns = ["doc_id", "component", "weight", "block", "blocks"]
-    sets = texts.join(inside, texts["doc_id"] == inside["rep"]).select(*columns, "text")
+    few = inside.count() <= BROADCAST_SETS
+    sets = texts.join(F.broadcast(inside) if few else inside, texts["doc_id"] == inside["rep"]).select(*columns, "text")
     sets = sets.mapInArrow(_stacked(_sets(size, columns)), "doc_id long, component long, weight long, block long, blocks long, shingles array<long>")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
