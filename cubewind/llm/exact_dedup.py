@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from cubewind.llm.tables import delete, keep, place
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # else each of many small stores reserves megabytes of disk
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Members of one group that are compared with one copy of the text that stays.
 COMPARED = 500
 
@@ -39,9 +42,10 @@ def digests(docs: DataFrame) -> DataFrame:
 def fold(spark: SparkSession, feed: str, schema, state: str, files_per_batch: int | None = None) -> DataFrame:
     """Run all that is in the folder feed through the keyed state; state is the stream's checkpoint and may be used again
     when new files have arrived. Returns digest, keep_id, locator, group_size."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
     try:
+        for k, v in _STATE.items():
+            spark.conf.set(k, v)
         source = spark.readStream.schema(schema)
         if files_per_batch:
             source = source.option("maxFilesPerTrigger", files_per_batch)
@@ -55,10 +59,11 @@ def fold(spark: SparkSession, feed: str, schema, state: str, files_per_batch: in
         query = keyed.writeStream.outputMode("update").option("checkpointLocation", f"{state}/state").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     put(spark.createDataFrame([], keyed.schema), -1)  # so that there is a table if no row came
     rows = spark.read.schema(keyed.schema).parquet(folded)
     # both only grow from batch to batch
