@@ -22,5 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_jaccard_join": jaccard.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
