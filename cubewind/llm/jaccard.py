@@ -5,6 +5,10 @@ the number k of shingles in only one of them is bounded by the band. The shingle
 of these in n2; k differences leave some part with at most k2, and so agree on some n2 - k2 of its sub-parts. Each set is
 given one signature per part and subset: linked sets share one, always. Rows of equal sets are one class from the start.
 
+At the pipeline's lower threshold these parts hold two or three shingles, some none, and most sets would be one cluster. There
+a set's signatures are its rarest shingles, |set| - ceil(percent * |set| / 100) + 1 of them, with its band and the next. In
+any one order of all shingles linked sets share one of these, always; a sample of texts only makes the order a good one.
+
 Sets that share signatures, directly or through others, form candidate clusters. A cluster is dealt to blocks of bounded
 size, and every pair of blocks counts intersections in numpy and returns a spanning forest of its links and each set's number of
 links, so no pair is a row. Links then give components.
@@ -16,7 +20,7 @@ doc_id are one document that links as each of its texts does. An empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +34,12 @@ from cubewind.llm.textscan import SPACED, mix, pieces, windows
 
 SHINGLE = 3
 PERCENT = 90
+#: The pipeline's stage has no contract of its own: five words and 0.8.
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
+#: About how many texts are read to know which shingles are frequent, and how many shingles are known at most.
+SAMPLE = 10_000
+FREQUENT = 300_000
 #: Up to this many differences, parts may have one and subsets of their sub-parts are enumerated; beyond, parts have none.
 ENUMERATED = 16
 #: Shingles and sets in a block of a cluster.
@@ -77,14 +87,18 @@ def partition(k: int) -> tuple[int, int, int]:
     return (-(-(k + 1) // 2), 3, 1) if 0 < k <= ENUMERATED else (k + 1, 1, 0)
 
 
-def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """PartEnum signatures of one set: for pairs whose larger set is in its band, and in the next."""
-    size = len(shingles)
+def band_of(size: int, percent: int) -> tuple[np.ndarray, int]:
+    """All bands and the number of the one that size is in."""
     largest = 64
     while largest < 2 * size + 2:
         largest *= 2
     tops = bands(percent, largest)
-    band = int(np.searchsorted(tops, size))
+    return tops, int(np.searchsorted(tops, size))
+
+
+def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """PartEnum signatures of one set: for pairs whose larger set is in its band, and in the next."""
+    tops, band = band_of(len(shingles), percent)
     out = []
     value = mix(shingles)
     low, high = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
@@ -102,7 +116,41 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _features(size: int, percent: int):
+def prefix_signatures(shingles: np.ndarray, percent: int, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of one set, for pairs whose larger set is in its band, and in the next."""
+    frequent, count = known
+    rank = np.zeros(len(shingles), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        rank = np.where(frequent[at] == shingles, count[at], 0)
+    some = len(shingles) - -(-percent * len(shingles) // 100) + 1
+    rarest = shingles[np.lexsort((shingles, rank))[:some]]
+    _, band = band_of(len(shingles), percent)
+    return np.concatenate([mix(rarest + np.uint64(band + 1)), mix(rarest + np.uint64(band + 2))])
+
+
+def _counted(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [h for _, h in shingle_sets(batch.column("text"), size)]
+            shingle, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.record_batch([pa.array(shingle.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    return run
+
+
+def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most texts of a sample share, sorted, and how many texts each is in."""
+    rate = int(1_000_000 * min(1.0, SAMPLE / max(texts.count(), 1)))
+    own = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < rate)
+    counts = own.mapInArrow(_counted(size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shingle, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def _features(size: int, signed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()  # a set that a task meets again is signed once
         for batch in batches:
@@ -125,7 +173,7 @@ def _features(size: int, percent: int):
                 n.append(len(h))
                 s1.append(mix(h).sum(dtype=np.uint64))
                 s2.append(mix(h * np.uint64(7) + np.uint64(11)).sum(dtype=np.uint64))
-                sigs.append(h[:0] if (key := (len(h), int(s1[-1]), int(s2[-1]))) in seen else signatures(h, percent))
+                sigs.append(h[:0] if (key := (len(h), int(s1[-1]), int(s2[-1]))) in seen else signed(h))
                 seen.add(key)
                 if len(rows) == 2000:
                     yield out()
@@ -235,10 +283,12 @@ def _verify(percent: int):
     return run
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (rows that it links with)."""
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rarest: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (rows that it links with).
+    rarest: signatures are the rarest shingles instead of PartEnum's; the result is the same."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    features = keep(texts.mapInArrow(_features(size, percent), "doc_id long, n_shingles long, s1 long, s2 long, signatures array<long>"), "features")
+    sign = partial(prefix_signatures, percent=percent, known=frequent_shingles(texts, size)) if rarest else partial(signatures, percent=percent)
+    features = keep(texts.mapInArrow(_features(size, sign), "doc_id long, n_shingles long, s1 long, s2 long, signatures array<long>"), "features")
     key = ["n_shingles", "s1", "s2"]
     classes = features.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     classes = keep(classes, "classes")
@@ -269,7 +319,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document, that of the smallest doc_id, of each group of near duplicates."""
     columns = docs.columns
-    stays = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    stays = join(docs, STAGE_SHINGLE, STAGE_PERCENT, rarest=True).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     return docs.join(stays, docs["doc_id"] == stays["_kept"], "left_semi").select(*columns)
 
 
