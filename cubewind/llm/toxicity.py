@@ -4,6 +4,7 @@ Words become classes: insult, threat, target, negation, reported speech, other.
 (an insult after a negation is denied, one after a verb of saying is reported, one near a target is aimed) and a fourth
 weighs what comes out; they are composed to one machine. Insults are learnt from labels: words and word beginnings that
 toxic texts have and others don't, in many different contexts, so that a text and its copies teach nothing by themselves.
+The weights of threats with and without a target come from the labels too, in every clause that has a threat or an insult.
 A logistic curve, fitted on the same labelled rows, maps the evidence of a text to a score.
 
 Labels are read from a bounded sample of the rows that are not held out. Null and empty texts have no evidence and get the
@@ -124,6 +125,9 @@ class Lexicon:
         self.hash = np.array(sorted(insults), np.uint64)
         self.weight = np.array([insults[int(h)] for h in self.hash])
         self.a, self.b = a, b
+        #: Weight of a threat that is aimed, and of any other, until labels say more.
+        self.aimed, self.unaimed = LEAST_ODDS, LEAST_ODDS
+        self.threats = word_hashes(THREATS)
         self.classes = {int(h): c for words, c in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTED, SAYING), (THREATS, THREAT)) for h in word_hashes(words)}
 
     def weights(self, f: np.ndarray) -> np.ndarray:
@@ -132,17 +136,18 @@ class Lexicon:
         at = np.minimum(np.searchsorted(self.hash, f), len(self.hash) - 1)
         return np.where(self.hash[at] == f, self.weight[at], 0.0)
 
-    def evidence(self, w: Words) -> np.ndarray:
+    def evidence(self, w: Words, met: dict[int, int] | None = None) -> np.ndarray:
         """Of each row: the weights of the patterns that its clauses match. A word that a row repeats counts twice at most, as
-        it is weighed first."""
+        it is weighed first. met takes up for each row with threats 1 if one is aimed and 2 if one isn't, or their sum."""
         word, stem = features(w)
         weight = np.maximum(self.weights(word), self.weights(stem))
         out = np.zeros(len(w.rows))
         doc = w.doc()
-        ends = np.isin(w.data, list(b".!?;\n")).astype(np.int64).cumsum() if weight.any() else np.zeros(0)
+        starts = np.flatnonzero((weight > 0) | np.isin(word, self.threats))
+        ends = np.isin(w.data, list(b".!?;\n")).astype(np.int64).cumsum() if len(starts) else np.zeros(0)
         done: set[tuple[int, int]] = set()
         counted: dict[tuple[int, int], int] = {}
-        for k in np.flatnonzero(weight).tolist():
+        for k in starts.tolist():
             d, clause = int(doc[k]), int(ends[w.start[k]])
             if (d, clause) in done:
                 continue
@@ -156,7 +161,10 @@ class Lexicon:
                 state, share = GRAMMAR[state, c]
                 if share and counted.get(key := (d, int(word[a])), 0) < 2:
                     counted[key] = counted.get(key, 0) + 1
-                    out[d] += share * (weight[a] or LEAST_ODDS)
+                    hit = share == WEIGHTS[AIMED]
+                    out[d] += share * (weight[a] or (self.aimed if hit else self.unaimed))
+                    if met is not None and not weight[a]:
+                        met[d] = met.get(d, 0) | (1 if hit else 2)
                 a += 1
         return out
 
@@ -188,6 +196,17 @@ def _evidence(lexicon: Lexicon):
     return run
 
 
+def _threats(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in pieces(batch.column("text"), ALNUM, 1_000_000):
+                met: dict[int, int] = {}
+                lexicon.evidence(w, met)
+                yield pa.record_batch([pa.array([met.get(k, 0) for k in range(len(w.rows))], pa.int64()), batch.column("toxic").slice(int(w.rows[0]), len(w.rows))], names=["met", "toxic"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """docs: doc_id, text; labels: doc_id, toxic. Held-out rows are not read."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -205,6 +224,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     found = found.where(F.col("contexts") >= LEAST_CONTEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     top = found.orderBy(F.desc("odds"), "feature").limit(LEXICON).collect()
     lexicon = Lexicon({r["feature"] & (2**64 - 1): r["odds"] for r in top})
+    met = [(r["met"], int(r["toxic"]), r["count"]) for r in rows.mapInArrow(_threats(lexicon), "met long, toxic int").where("met > 0").groupBy("met", "toxic").count().collect()]  # 6 rows at most
+    weights = []
+    for bit in (1, 2):
+        bad, other = (sum(c for m, toxic, c in met if m & bit and toxic == t) for t in (1, 0))
+        odds = float(np.log((bad + 0.5) / (n[1] + 1)) - np.log((other + 0.5) / (n[0] + 1)))
+        weights.append(max(odds, 0.0) if bad + other else LEAST_ODDS)
+    lexicon.aimed, lexicon.unaimed = weights
     bins = rows.mapInArrow(_evidence(lexicon), "bin long, toxic int").groupBy("bin", "toxic").count().collect()  # 802 rows at most
     lexicon.a, lexicon.b = logistic(np.array([r["bin"] / 4 for r in bins]), np.array([float(r["toxic"] > 0) for r in bins]), np.array([float(r["count"]) for r in bins]))
     return lexicon

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 
-from cubewind.llm import jaccard
+from cubewind.llm import jaccard, toxicity
 from tests.llm.conftest import frame
+from tests.llm.test_chat_html_toxicity import toxic_corpus
 from tests.llm.test_text_operators import shingles
 
 
@@ -46,3 +47,15 @@ def test_linked_sets_share_a_rare_shingle():
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both) > 0:
             assert len(np.intersect1d(jaccard.prefix_signatures(a, 80, known), jaccard.prefix_signatures(b, 80, known)))
+
+
+def test_threats_alone_are_toxic(spark):
+    rows, labels, truth = toxic_corpus(600)
+    clean = [(i, t) for i, t in rows if i in truth and not truth[i]][:150]
+    threats = [(2000 + k, f"{t}. you will kill thea. {t}") for k, (_, t) in enumerate(clean)]  # one context: not learnt as a word
+    docs = spark.createDataFrame([*rows, *threats, (5000, "")], "doc_id long, text string")
+    table = spark.createDataFrame([*labels, *[(i, 1) for i, _ in threats]], "doc_id long, toxic int")
+    lexicon = toxicity.train(docs, table)
+    assert not lexicon.weights(toxicity.word_hashes(["kill"])).any()
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lexicon).collect()}
+    assert all(got[i] >= toxicity.TOXIC for i, _ in threats) and got[5000] < 0.2
