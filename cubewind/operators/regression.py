@@ -85,11 +85,8 @@ def trend_map(yearly: DataFrame, y: str) -> DataFrame:
 
 
 def significant(fit: DataFrame, p: float = SIGNIFICANT) -> DataFrame:
-    """Fits whose |t| passes the critical value of their degrees of freedom."""
-    limit = F.lit(None).cast("double")
-    for n in range(200, 2, -1):
-        limit = F.when(F.col("n") == n, F.lit(round(critical_t(n - 2, p), 6))).otherwise(limit)
-    return fit.where(F.abs("t") > limit)
+    """Fits whose two-sided p-value is below p, whatever their number of points."""
+    return fit.where(F.col("t").isNotNull() & (p_column(F.col("t"), (F.col("n") - 2).cast("double")) < p))
 
 
 def significant_by(fit: DataFrame, limits: dict[int, float]) -> DataFrame:

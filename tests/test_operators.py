@@ -87,6 +87,12 @@ def test_trend_map_rules(spark):
     assert [r["i"] for r in regression.significant(regression.trend_map(frame(spark, rows, "j int, i int, year int, v double"), "v")).collect()] == [3]
 
 
+def test_significance_of_many_points(spark):
+    rows = [(1, 3, 13.0), (2, 3, 12.0), (3, 200, 2.0), (4, 201, 2.0), (5, 201, 1.9), (6, 100000, -2.0), (7, 5000, None), (8, 2, 9.0)]
+    got = regression.significant(frame(spark, rows, "k int, n long, t double")).collect()
+    assert sorted(r["k"] for r in got) == [1, 3, 4, 6]
+
+
 def test_models():
     x = np.arange(20.0)
     y = 3 + 0.5 * x + np.sin(x)
