@@ -2,25 +2,24 @@
 
 Two sets link when 100 * intersection >= percent * union. Then their sizes are in one size band or in two that meet, and
 the number k of shingles in only one of them is bounded by the band. The shingle domain is partitioned in n1 parts and each
-of these in n2; k differences leave some part with at most k2, and so agree on some n2 - k2 of its sub-parts. Each set is
-given one signature per part and subset: linked sets share one, always. Rows of equal sets are one class from the start.
-
-At the pipeline's lower threshold these parts hold two or three shingles, some none, and most sets would be one cluster. There
-a set's signatures are its rarest shingles, |set| - ceil(percent * |set| / 100) + 1 of them, with its band and the next. In
-any one order of all shingles linked sets share one of these, always; a sample of texts only makes the order a good one.
+of these in n2; a part with k2 differences or fewer agrees on some n2 - k2 of its sub-parts, and k differences leave at least
+n1 - k // (k2 + 1) such parts. Each set is given one signature per part and subset of sub-parts. Linked sets agree in that
+many parts, always, so a set that shares signatures in fewer parts has no link and is left out before anything is compared.
 
 Sets that share signatures, directly or through others, form candidate clusters. A cluster is dealt to blocks of bounded
 size, and every pair of blocks counts intersections in numpy and returns a spanning forest of its links and each set's number of
-links, so no pair is a row. Links then give components.
+links, so no pair is a row. Links then give components. Rows of equal sets are one class from the start.
 
-Nulls and texts without words have an empty set and no links. Fewer words than a shingle are one shingle. Rows that share a
-doc_id are one document that links as each of its texts does. An empty table gives no rows. Extra columns are ignored.
+Shingles are compared by 64-bit hashes: two different ones among the shingles of a pair of sets of 10,000 are taken for one
+with a probability of 10^-11. Nulls and texts without words have an empty set and no links. Fewer words than a shingle are
+one shingle. Rows that share a doc_id, null too, are rows of their own; component_id is the least doc_id there is among them.
+An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubewind.llm.components import components
-from cubewind.llm.tables import keep
+from cubewind.llm.tables import keep, located, unused, with_groups
 from cubewind.llm.textscan import SPACED, mix, pieces, windows
 
 SHINGLE = 3
@@ -37,11 +36,6 @@ PERCENT = 90
 #: The pipeline's stage has no contract of its own: five words and 0.8.
 STAGE_SHINGLE = 5
 STAGE_PERCENT = 80
-#: About how many texts are read to know which shingles are frequent, and how many shingles are known at most.
-SAMPLE = 10_000
-FREQUENT = 300_000
-#: Up to this many differences, parts may have one and subsets of their sub-parts are enumerated; beyond, parts have none.
-ENUMERATED = 16
 #: Shingles and sets in a block of a cluster.
 BLOCK_SHINGLES = 400_000
 BLOCK_SETS = 1500
@@ -82,9 +76,14 @@ def bands(percent: int, largest: int) -> np.ndarray:
     return np.array(tops)
 
 
-def partition(k: int) -> tuple[int, int, int]:
-    """n1, n2 and k2 for k differences: n1 * (k2 + 1) > k."""
-    return (-(-(k + 1) // 2), 3, 1) if 0 < k <= ENUMERATED else (k + 1, 1, 0)
+def partition(k: int, percent: int) -> tuple[int, int, int, int]:
+    """n1, n2 and k2 for k differences, and the number of parts that agree. At thresholds with many differences parts would be
+    small if pairs of sub-parts were signatures; there each sub-part is one, and more parts than one have to agree."""
+    if percent >= 85:
+        agree = 1 + k // 16
+        return k // 2 + agree, 3, 1, agree
+    agree = 1 + k // 4
+    return k + agree, 1, 0, agree
 
 
 def band_of(size: int, percent: int) -> tuple[np.ndarray, int]:
@@ -96,76 +95,51 @@ def band_of(size: int, percent: int) -> tuple[np.ndarray, int]:
     return tops, int(np.searchsorted(tops, size))
 
 
-def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """PartEnum signatures of one set: for pairs whose larger set is in its band, and in the next."""
+def signatures(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
+    """PartEnum signatures of one set, for pairs whose larger set is in its band and in the next; their last 16 bits are the
+    part and whether the band is odd. Also the parts that must agree, in even and odd bands."""
     tops, band = band_of(len(shingles), percent)
-    out = []
+    out, need = [], [1, 1]
     value = mix(shingles)
     low, high = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
     for instance in (band, band + 1):
         k = int(2 * tops[instance] * (100 - percent) // (100 + percent))
         if not k:  # only equal sets link, and those are one class
             continue
-        n1, n2, k2 = partition(k)
+        n1, n2, k2, need[instance % 2] = partition(k, percent)
         part = (mix(shingles + np.uint64(instance + 1)) % np.uint64(n1 * n2)).astype(np.int64)
         sums = [np.bincount(part, x, n1 * n2).reshape(n1, n2) for x in (low, high)]
+        which = np.arange(n1, dtype=np.uint64)
         for number, subset in enumerate(combinations(range(n2), n2 - k2)):
             a, b = (s[:, subset].sum(axis=1).astype(np.uint64) for s in sums)
-            tag = np.arange(n1, dtype=np.uint64) + np.uint64(number << 40) + np.uint64(instance << 48)
-            out.append(mix(mix(a * np.uint64(3) + mix(tag + np.uint64(1))) + mix(b + np.uint64(7))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            tag = which + np.uint64(number << 40) + np.uint64(instance << 48)
+            own = mix(mix(a * np.uint64(3) + mix(tag + np.uint64(1))) + mix(b + np.uint64(7)))
+            out.append((own & ~np.uint64(0xFFFF)) | ((which * np.uint64(2) + np.uint64(instance % 2)) & np.uint64(0xFFFF)))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need
 
 
-def prefix_signatures(shingles: np.ndarray, percent: int, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The rarest shingles of one set, for pairs whose larger set is in its band, and in the next."""
-    frequent, count = known
-    rank = np.zeros(len(shingles), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        rank = np.where(frequent[at] == shingles, count[at], 0)
-    some = len(shingles) - -(-percent * len(shingles) // 100) + 1
-    rarest = shingles[np.lexsort((shingles, rank))[:some]]
-    _, band = band_of(len(shingles), percent)
-    return np.concatenate([mix(rarest + np.uint64(band + 1)), mix(rarest + np.uint64(band + 2))])
+_FEATURES = "doc_id long, at struct<file: long, row: long>, n_shingles long, s1 long, s2 long, even int, odd int, signatures array<long>"
 
 
-def _counted(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [h for _, h in shingle_sets(batch.column("text"), size)]
-            shingle, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.record_batch([pa.array(shingle.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
-
-    return run
-
-
-def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that most texts of a sample share, sorted, and how many texts each is in."""
-    rate = int(1_000_000 * min(1.0, SAMPLE / max(texts.count(), 1)))
-    own = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < rate)
-    counts = own.mapInArrow(_counted(size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    shingle, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(shingle)
-    return shingle[order], n[order]
-
-
-def _features(size: int, signed):
+def _features(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()  # a set that a task meets again is signed once
         for batch in batches:
-            rows, n, s1, s2, sigs = [], [], [], [], []
+            rows, n, s1, s2, need, sigs = [], [], [], [], [], []
 
-            def out(ids=batch.column("doc_id")):
+            def out(batch=batch):
+                picked = pa.array(rows, pa.int64())
                 return pa.record_batch(
                     [
-                        ids.take(pa.array(rows, pa.int64())),
+                        batch.column("doc_id").take(picked),
+                        batch.column("at").take(picked),
                         pa.array(n, pa.int64()),
                         pa.array(np.array(s1, np.uint64).view(np.int64)),
                         pa.array(np.array(s2, np.uint64).view(np.int64)),
+                        *[pa.array([x[k] for x in need], pa.int32()) for k in range(2)],
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sigs])]), pa.int32()), pa.array(np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "s1", "s2", "signatures"],
+                    names=["doc_id", "at", "n_shingles", "s1", "s2", "even", "odd", "signatures"],
                 )
 
             for row, h in shingle_sets(batch.column("text"), size):
@@ -173,11 +147,14 @@ def _features(size: int, signed):
                 n.append(len(h))
                 s1.append(mix(h).sum(dtype=np.uint64))
                 s2.append(mix(h * np.uint64(7) + np.uint64(11)).sum(dtype=np.uint64))
-                sigs.append(h[:0] if (key := (len(h), int(s1[-1]), int(s2[-1]))) in seen else signed(h))
+                key = (len(h), int(s1[-1]), int(s2[-1]))
+                own, parts = (h[:0], [0, 0]) if key in seen or not len(h) else signatures(h, percent)
+                sigs.append(own)
+                need.append(parts)
                 seen.add(key)
                 if len(rows) == 2000:
                     yield out()
-                    rows, n, s1, s2, sigs = [], [], [], [], []
+                    rows, n, s1, s2, need, sigs = [], [], [], [], [], []
             yield out()
 
     return run
@@ -248,7 +225,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("id").to_numpy()
         weight = table.column("weight").to_numpy()
         side = table.column("block").to_numpy()
         values = table.column("shingles").combine_chunks()
@@ -283,44 +260,65 @@ def _verify(percent: int):
     return run
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rarest: bool = False) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (rows that it links with).
-    rarest: signatures are the rarest shingles instead of PartEnum's; the result is the same."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    sign = partial(prefix_signatures, percent=percent, known=frequent_shingles(texts, size)) if rarest else partial(signatures, percent=percent)
-    features = keep(texts.mapInArrow(_features(size, sign), "doc_id long, n_shingles long, s1 long, s2 long, signatures array<long>"), "features")
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (rows that it links with)."""
+    at = unused(docs, "_at")
+    return _joined(located(docs, at), at, size, percent).drop("at", "keep_at")
+
+
+def _joined(docs: DataFrame, at: str, size: int, percent: int) -> DataFrame:
+    """The join with the place `at` of each row, which docs has under that name, and `keep_at` of the row that stays."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(at).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
+    features = keep(texts.mapInArrow(_features(size, percent), _FEATURES), "features")
     key = ["n_shingles", "s1", "s2"]
-    classes = features.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
+    classes = features.where("n_shingles > 0").groupBy(*key).agg(first, F.count(F.lit(1)).alias("weight"), F.max("even").alias("even"), F.max("odd").alias("odd"))
     classes = keep(classes, "classes")
     # a node is half of a set's digest: two sets of one node only make a cluster larger; one shuffle serves both uses
     signed = features.where("n_shingles > 0").select(F.col("s1").alias("node"), F.explode("signatures").alias("signature")).repartition("signature")
     shared = signed.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
-    near = signed.join(shared, "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    met = keep(signed.join(shared, "signature").drop("least"), "met")
+    # sets that agree with others in too few parts have no link; without them others may have too few as well
+    parts = met.select("node", F.col("signature").bitwiseAND(65535).alias("part")).distinct()
+    agreed = parts.groupBy("node").agg(F.count_if(F.col("part") % 2 == 0).alias("n_even"), F.count_if(F.col("part") % 2 == 1).alias("n_odd"))
+    able = agreed.join(classes, agreed["node"] == classes["s1"]).where("n_even > 0 AND n_even >= even OR n_odd > 0 AND n_odd >= odd").select("node")
+    left = met.join(able, "node", "left_semi")
+    least = left.groupBy("signature").agg(F.min("node").alias("least"))
+    near = left.join(least, "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     clusters = components(near)
 
-    inside = clusters.join(classes, clusters["id"] == classes["s1"]).select("rep", "component", "n_shingles", "weight")
-    total = inside.groupBy("component").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).alias("blocks"))
-    inside = inside.join(total, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    inside = keep(inside.select("rep", "component", "n_shingles", "weight", "block", "blocks"), "clusters")
-    columns = ["doc_id", "component", "weight", "block", "blocks"]
-    few = inside.count() <= BROADCAST_SETS
-    sets = texts.join(F.broadcast(inside) if few else inside, texts["doc_id"] == inside["rep"]).select(*columns, "text")
-    sets = sets.mapInArrow(_stacked(_sets(size, columns)), "doc_id long, component long, weight long, block long, blocks long, shingles array<long>")
+    inside = clusters.join(classes, clusters["id"] == classes["s1"]).select("component", *key, "first", "weight")
+    n = F.count(F.lit(1))
+    blocks = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(n / BLOCK_SETS), F.ceil(n / (BLOCK_SETS // 5 + 10 * F.sqrt(n))))
+    inside = inside.join(inside.groupBy("component").agg(blocks.alias("blocks")), "component")
+    # numbers ascend with the row that would stay, so the least of a component is that of its least row
+    inside = inside.orderBy("first").withColumn("id", F.monotonically_increasing_id())
+    inside = keep(inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "clusters")
+    columns = ["id", "component", "weight", "block", "blocks"]
+    asked = inside.select(*columns, F.col("first.at").alias("rep"))
+    few = asked.count() <= BROADCAST_SETS
+    sets = texts.join(F.broadcast(asked) if few else asked, texts["at"] == asked["rep"]).select(*columns, "text")
+    sets = sets.mapInArrow(_stacked(_sets(size, columns)), "id long, component long, weight long, block long, blocks long, shingles array<long>")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     checked = keep(pairs.groupBy("component", "i", "j").applyInArrow(_verify(percent), "a long, b long, n_links long"), "checked")
 
     found = components(checked.where("b IS NOT NULL").select("a", "b"))
-    degree = checked.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("n_links"))
-    named = classes.join(found, classes["rep"] == found["id"], "left").drop("id").join(degree, F.col("rep") == degree["id"], "left").select(*key, F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    return features.drop("signatures").join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    degree = checked.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("links"))
+    heads = inside.select(F.col("id").alias("component"), F.col("first").alias("head"))
+    linked = inside.select("id", *key).join(found, "id").join(heads, "component").join(degree, "id").select(*key, "head", "links")
+    named = classes.join(linked, key, "left").select(*key, "weight", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = with_groups(features.drop("signatures", "even", "odd"), keep(named, "named"), key, "weight")
+    one = F.col("head").isNull()  # an empty set
+    return out.select("doc_id", "at", "n_shingles", F.when(one, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(one, F.col("at")).otherwise(F.col("head.at")).alias("keep_at"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document, that of the smallest doc_id, of each group of near duplicates."""
-    columns = docs.columns
-    stays = join(docs, STAGE_SHINGLE, STAGE_PERCENT, rarest=True).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(stays, docs["doc_id"] == stays["_kept"], "left_semi").select(*columns)
+    """Pipeline stage: one row, that of the smallest doc_id, of each group of near duplicates. Rows without words all stay."""
+    at = unused(docs, "_at")
+    rows = located(docs, at)
+    gone = _joined(rows, at, STAGE_SHINGLE, STAGE_PERCENT).where("at <> keep_at").select(F.col("at").alias(at))
+    return rows.join(keep(gone, "near-copies"), at, "left_anti").select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +41,34 @@ def delete(spark: SparkSession, path: str) -> None:
 def by_id(docs: DataFrame, *more: str) -> DataFrame:
     """The columns that an operator reads, a null text as an empty one."""
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), *more)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    names = {c.lower() for c in docs.columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+def located(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the column `name`, where each row is: a hash of its file and its number in it. Unlike doc_id it is never null
+    and never repeated. What isn't read from files is written first."""
+
+    def at(df: DataFrame) -> DataFrame:
+        return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+
+    try:
+        return at(docs)
+    except AnalysisException:
+        return at(keep(docs, "located"))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """rows, a written table, left-joined with groups, one row per key with the number of its rows in `size`. Groups of more
+    rows than a share of all are broadcast, so no key is a hot one; there can't be more than 50,000 of them."""
+    hot = max(1000, rows.count() // 50_000)
+    large = groups.where(F.col(size) > hot)
+    head = rows.join(F.broadcast(large), key)
+    tail = rows.join(F.broadcast(large.select(*key)), key, "left_anti").join(groups.where(F.col(size) <= hot), key, "left")
+    return head.unionByName(tail)

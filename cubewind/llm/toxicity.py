@@ -168,6 +168,9 @@ class Lexicon:
                 a += 1
         return out
 
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.a + self.b * evidence, -30, 30)))
+
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Intercept and slope for labels y at x with counts n, slightly drawn to 0."""
@@ -242,9 +245,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in pieces(batch.column("text"), ALNUM):
-                e = np.minimum(lexicon.evidence(w), 100.0)
-                s = 1 / (1 + np.exp(-np.clip(lexicon.a + lexicon.b * e, -30, 30)))
-                yield pa.record_batch([batch.column("doc_id").slice(int(w.rows[0]), len(w.rows)), pa.array(s), pa.array(e)], names=["doc_id", "score", "evidence"])
+                e = lexicon.evidence(w)
+                yield pa.record_batch([batch.column("doc_id").slice(int(w.rows[0]), len(w.rows)), pa.array(lexicon.score(e)), pa.array(e)], names=["doc_id", "score", "evidence"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence double")
 
@@ -255,10 +257,15 @@ def scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that aren't toxic."""
-    columns = docs.columns
-    bad = scored(spark, docs, sf_dir).where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("_toxic"))
-    return docs.join(bad, docs["doc_id"] == bad["_toxic"], "left_anti").select(*columns)
+    """Pipeline stage: rows whose text isn't toxic, whatever their doc_id."""
+    lexicon = train(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [lexicon.score(lexicon.evidence(w)) for w in pieces(batch.column("text"), ALNUM)]
+            yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) < TOXIC))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

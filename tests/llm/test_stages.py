@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from cubewind.llm import jaccard, toxicity
+from cubewind.llm import exact_dedup, jaccard, toxicity
 from tests.llm.conftest import frame
 from tests.llm.test_chat_html_toxicity import toxic_corpus
 from tests.llm.test_text_operators import shingles
@@ -36,17 +36,25 @@ def test_near_duplicates_of_the_stage_are_five_words_and_four_fifths(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_linked_sets_share_a_rare_shingle():
+def test_linked_sets_agree_in_enough_parts():
     rng = np.random.default_rng(4)
-    common = np.sort(rng.integers(0, 2**63, 40).astype(np.uint64))
-    known = (common[::2], np.arange(20) + 2)
-    for _ in range(400):
-        n = int(rng.integers(1, 120))
-        a = np.unique(np.concatenate([rng.integers(0, 2**63, n).astype(np.uint64), common[: n // 3]]))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.12], rng.integers(0, 2**63, int(rng.integers(0, 2 + n // 8))).astype(np.uint64)]))
+    for _ in range(1000):
+        n = int(rng.integers(1, 250))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.2], rng.integers(0, 2**63, int(rng.integers(0, 2 + n // 8))).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 80 * (len(a) + len(b) - both) > 0:
-            assert len(np.intersect1d(jaccard.prefix_signatures(a, 80, known), jaccard.prefix_signatures(b, 80, known)))
+        if 100 * both >= 80 * (len(a) + len(b) - both) > 0 and both < max(len(a), len(b)):
+            (x, need), (y, other) = (jaccard.signatures(s, 80) for s in (a, b))
+            tags = np.unique(np.intersect1d(x, y) & np.uint64(65535)) % np.uint64(2)
+            assert any((tags == k).sum() >= max(need[k], other[k]) > 0 for k in range(2))
+
+
+def test_near_duplicates_without_and_with_repeated_ids(spark, empty):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (None, text + " more"), (7, text + " and"), (7, text + " and"), (7, "something else"), (8, ""), (8, None), (None, "alone here")]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.stage(spark, frame(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted([(7, text + " and"), (7, "something else"), (8, ""), (8, None), (None, "alone here")], key=str)
+    assert jaccard.stage(spark, empty, "").count() == 0 and jaccard.stage(spark, empty, "").columns == empty.columns
 
 
 def test_threats_alone_are_toxic(spark):
@@ -59,3 +67,20 @@ def test_threats_alone_are_toxic(spark):
     assert not lexicon.weights(toxicity.word_hashes(["kill"])).any()
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lexicon).collect()}
     assert all(got[i] >= toxicity.TOXIC for i, _ in threats) and got[5000] < 0.2
+
+
+def test_one_row_of_equal_texts_stays_whatever_its_id(spark, empty):
+    rows = [(None, "a b"), (None, "ab"), (3, "a b"), (3, "a b"), (4, "ab"), (5, "x"), (5, "y"), (None, "z"), (None, None), (6, " ")]
+    got = [(r["doc_id"], r["text"]) for r in exact_dedup.stage(spark, frame(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted([(3, "a b"), (5, "x"), (5, "y"), (None, "z"), (6, " ")], key=str)
+    groups = exact_dedup.exact_groups(frame(spark, rows)).collect()
+    assert len(groups) == 10 and sum(r["kept"] for r in groups) == 5
+    assert sorted(r["group_size"] for r in groups) == [1, 1, 1, 2, 2, 5, 5, 5, 5, 5]
+    assert exact_dedup.stage(spark, empty, "").count() == 0
+
+
+def test_toxicity_of_no_rows_and_without_labels(spark, empty, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.stage(spark, empty, str(tmp_path)).count() == 0
+    rows = [(1, "a"), (None, None), (1, "a")]
+    assert toxicity.stage(spark, frame(spark, rows), str(tmp_path)).count() == 3
