@@ -3,9 +3,10 @@
 Documents become token ids and a final id 0; only those longer than `capacity` are cut, into full pieces and a rest. The
 histogram of piece lengths has at most `capacity` rows whatever the corpus size. Over it, a covering program (how often to
 use each multiset of lengths that fits) is solved by multiplicative weights: each round prices the lengths, a knapsack
-dynamic program finds the best configuration, and the weights of the lengths that it covers shrink. The average of the
-rounds is rounded down and the pieces that remain, a number that the rounds bound and not the corpus, are packed best fit.
-Pieces are then ranked within their length, in two steps so that no length is ranked by one task, and joined with slots.
+dynamic program finds the best configuration with each of the least covered lengths, each is used until the first of its
+lengths is covered, and prices shrink with coverage. The rounds stop when all but `GAP` of the tokens are covered. The
+fractional uses are rounded, and the pieces that remain (that gap, and less than a sequence for each configuration) are
+packed best fit. Pieces are then ranked within their length, in parts of bounded size, and joined with slots.
 
 Null and empty texts are one piece that holds id 0. Repeated doc_ids are packed as rows of their own but then share
 (doc_id, piece). Ties go by doc_id and piece. An empty table gives no rows. Extra columns are ignored.
@@ -27,11 +28,16 @@ from cubewind.llm.tables import keep
 from cubewind.llm.textscan import PUNCTUATED, pieces
 
 CAPACITY = 2048
-ROUNDS = 150
+#: Rounds at most, configurations of a round, share of the tokens that may stay uncovered.
+ROUNDS = 400
+LEAST_COVERED = 128
+GAP = 0.005
+#: Long pieces are dearer than their share of the capacity: short ones are needed to fill up what is left at the end.
+PRICE_POWER = 1.1
 #: Ids of distinct words that a worker remembers; then it starts afresh.
 REMEMBERED = 1_200_000
-#: Parts in which the pieces of one length are ranked.
-SALTS = 16
+#: Pieces of one length that one task ranks.
+RANKED = 200_000
 
 
 class WordEncoder:
@@ -134,31 +140,37 @@ def cut(texts: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     return texts.mapInArrow(run, ddl)
 
 
+Plan = dict[tuple[tuple[int, int], ...], int]
+
+
 def knapsack(value: np.ndarray, weight: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each item give the most value within the capacity; an item may be taken again and again."""
-    worth = np.full(capacity + 1, -np.inf)  # by length, longest first
+    """By capacity: the weight of the last item of the best filling, 0 where the last unit stays empty; any item may be taken
+    again and again."""
+    worth = np.full(capacity + 1, -np.inf)  # by weight, heaviest first
     worth[capacity - weight] = value
     best = np.zeros(capacity + 1)
     last = np.zeros(capacity + 1, np.int64)
-    for c in range(int(weight[0]), capacity + 1):  # weight ascends
+    for c in range(1, capacity + 1):
         gain = best[:c] + worth[capacity - c : capacity]
         k = int(gain.argmax())
         if gain[k] > best[c - 1]:
             best[c], last[c] = gain[k], c - k
         else:
             best[c] = best[c - 1]
-    used = np.zeros(len(weight), np.int64)
-    c = capacity
+    return last
+
+
+def filling(last: np.ndarray, c: int) -> list[int]:
+    """The weights that fill a capacity c best."""
+    out = []
     while c > 0:
-        if not last[c]:
-            c -= 1
-        else:
-            used[np.searchsorted(weight, last[c])] += 1
-            c -= int(last[c])
-    return used
+        if last[c]:
+            out.append(int(last[c]))
+        c -= max(int(last[c]), 1)
+    return out
 
 
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], int]:
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
     """Best fit, longest first, over a histogram: bins of equal contents are filled together."""
     room: dict[int, dict[tuple[tuple[int, int], ...], int]] = {capacity: {}}
     spaces = [capacity]
@@ -190,7 +202,7 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tup
                 if left not in spaces:
                     spaces.append(left)
                     spaces.sort()
-    out: dict[tuple[tuple[int, int], ...], int] = {}
+    out: Plan = {}
     for held in room.values():
         for contents, bins in held.items():
             merged: dict[int, int] = {}
@@ -201,52 +213,53 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tup
     return out
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[tuple[tuple[int, int], ...], int]:
-    """Configurations ((length, how many), ...) and how often to use each; together they hold exactly the counts."""
-    if not len(lengths):
-        return {}
+def covering(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> dict[bytes, float]:
+    """Fractional uses of configurations (numbers of each length, as bytes). lengths must ascend."""
+    n = len(lengths)
+    slot = np.zeros(capacity + 1, np.int64)
+    slot[lengths] = np.arange(n)
+    total = float((lengths * counts).sum())
+    covered, used, tokens = np.zeros(n), {}, 0.0
+    worth = (lengths / capacity) ** PRICE_POWER
+    for _ in range(rounds):
+        open_ = np.flatnonzero(covered < 1 - 1e-9)
+        if not len(open_) or tokens >= (1 - GAP) * total:
+            break
+        last = knapsack((worth * np.exp(-covered))[open_], lengths[open_], capacity)
+        for k in open_[np.argsort(covered[open_] - 1e-6 * lengths[open_], kind="stable")[:LEAST_COVERED]].tolist():
+            config = np.bincount(slot[[int(lengths[k]), *filling(last, capacity - int(lengths[k]))]], minlength=n)
+            some = np.flatnonzero(config)
+            step = ((1 - covered[some]) * counts[some] / config[some]).min()
+            if step > 1e-9:
+                covered[some] += config[some] * step / counts[some]
+                used[key] = used.get(key := config.tobytes(), 0.0) + step
+                tokens += float((config[some] * lengths[some]).sum()) * step
+    return used
+
+
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[Plan, Plan]:
+    """Configurations ((length, how many), ...) and how often to use each, those of the program and those of the rest; together
+    they hold exactly the counts."""
     order = np.argsort(lengths)
-    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
-    lower = max(int(-(-(lengths * counts).sum() // capacity)), 1)
-    weight = lengths / capacity
-    used: dict[bytes, int] = {}
-    covered = np.zeros(len(lengths))
-    for t in range(1, rounds + 1):
-        config = knapsack(weight / weight.max(), lengths, capacity)
-        config = np.minimum(config, counts)
-        free = capacity - int((config * lengths).sum())
-        for k in np.argsort(-weight):  # what a bound by the counts has left free
-            if free >= lengths[k] and config[k] < counts[k]:
-                more = min(int(counts[k] - config[k]), free // int(lengths[k]))
-                config[k] += more
-                free -= more * int(lengths[k])
-        used[config.tobytes()] = used.get(config.tobytes(), 0) + 1
-        covered += config * (lower / counts)  # how far this many uses of it go
-        behind = np.exp(-np.clip((covered - covered.mean()) / max(1.0, t**0.5), -30, 30))
-        weight = lengths / capacity * behind
-    picked = [(np.frombuffer(k, np.int64), n) for k, n in used.items()]
-    left = counts.copy()
-    plan: dict[tuple[tuple[int, int], ...], int] = {}
-    for config, n in sorted(picked, key=lambda x: -x[1]):
+    lengths, left = lengths[order].astype(np.int64), counts[order].astype(np.int64)
+    plan: Plan = {}
+    due = 0.0
+    for raw, uses in sorted(covering(lengths, left, capacity, rounds).items(), key=lambda x: (-x[1], x[0])):
+        config = np.frombuffer(raw, np.int64)
         some = config > 0
-        if (config * lengths).sum() < capacity:  # best fit does better with what leaves room
-            continue
-        times = int(min(n * lower // rounds, (left[some] // config[some]).min()))
+        times = int(due + uses) - int(due)  # what is rounded off adds up for those that come next
+        due += uses
+        times = min(times, int((left[some] // config[some]).min()))
         if times:
             left -= config * times
-            key = tuple((int(a), int(b)) for a, b in zip(lengths[some][::-1], config[some][::-1], strict=True))
-            plan[key] = plan.get(key, 0) + times
-    some = left > 0
-    for key, n in best_fit(lengths[some], left[some], capacity).items():
-        plan[key] = plan.get(key, 0) + n
-    plain = best_fit(lengths, counts, capacity)  # the rounding with no round at all
-    return min(plan, plain, key=lambda x: sum(x.values()))
+            plan[tuple((int(a), int(b)) for a, b in zip(lengths[some][::-1], config[some][::-1], strict=True))] = times
+    return plan, best_fit(lengths[left > 0], left[left > 0], capacity)
 
 
-def slots(plan: dict[tuple[tuple[int, int], ...], int]) -> list[tuple[int, int, int, int, int, int]]:
+def slots(*plans: Plan) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, end of ranks, pieces of that length in one sequence, first sequence, offset in it)."""
     rows, rank, sequence = [], {}, 0
-    for config, times in sorted(plan.items(), reverse=True):
+    for config, times in (x for plan in plans for x in sorted(plan.items(), reverse=True)):
         offset = 0
         for length, k in config:
             a = rank.get(length, 0)
@@ -260,17 +273,18 @@ def slots(plan: dict[tuple[tuple[int, int], ...], int]) -> list[tuple[int, int,
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """Give each piece a sequence_id and an offset. cut_pieces must be a written table: it is read twice."""
     spark = cut_pieces.sparkSession
-    salted = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    counts = salted.groupBy("length", "_salt").count()
-    counts = keep(counts.withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")), "lengths")
-    histogram = counts.groupBy("length").agg(F.sum("count").alias("n")).collect()  # capacity rows at most
-    plan = configurations(np.array([r["length"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], np.int64), capacity, rounds)
-    places = spark.createDataFrame(slots(plan) or [(0, 0, 0, 1, 0, 0)], "length long, _a long, _z long, _k long, _sequence long, _offset long")
-    first = F.broadcast(counts.drop("count"))  # capacity * SALTS rows at most
+    histogram = cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity rows at most
+    plans = configurations(np.array([r["length"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], np.int64), capacity, rounds)
+    places = spark.createDataFrame(slots(*plans) or [(0, 0, 0, 1, 0, 0)], "length long, _a long, _z long, _k long, _sequence long, _offset long")
+    salts = spark.createDataFrame([(r["length"], -(-r["n"] // RANKED)) for r in histogram], "length long, _salts long")
+    salted = cut_pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")))
+    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    counts = keep(counts.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before")), "lengths")
+    first = F.broadcast(counts)  # a row for each length and RANKED pieces of it
     ranked = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(first, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_n"))
     at = F.col("_rank") - F.col("_a")
-    # the places are those of the rounds and of what best fit adds, whatever the corpus size
+    # the places are those of ROUNDS * LEAST_COVERED configurations at most and of the rest, whatever the corpus size
     return ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("_rank") >= F.col("_a")) & (F.col("_rank") < F.col("_z"))).select(
         *[ranked[c] for c in cut_pieces.columns],
         (F.col("_sequence") + F.floor(at / F.col("_k"))).alias("sequence_id"),
