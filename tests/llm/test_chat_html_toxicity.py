@@ -74,11 +74,67 @@ def test_main_text(spark):
 
 def test_wrapper_inference():
     pages = [f"<html><ul>{'<li>x%d</li>' * n % tuple(range(n))}</ul><p>t{n}</p>{'<hr>' if n == 3 else ''}<b>fixed</b></html>" for n in (2, 3, 4)]
-    wrapper = html.infer(pages)
-    assert ("+", ["<li>", "#", "</li>"]) in wrapper and ("?", ["<hr>"]) in wrapper and "#fixed" in wrapper
+    wrapper, n = html.infer([html.parse(p) for p in pages])
+    (root,) = wrapper.kids
+    assert n == 3 and [(k.key, k.optional, k.repeated) for k in root.kids] == [("ul", False, False), ("p", False, False), ("hr", True, False), ("b", False, False)]
+    assert root.kids[0].kids[0].repeated and root.kids[3].kids[0].text == "fixed" and root.kids[1].kids[0].text is None
     pattern = re.compile(html.expression(wrapper))
     assert all(pattern.fullmatch(p) for p in pages)
-    assert html.fixed(wrapper, 3) == ["fixed"]
+    assert not pattern.fullmatch(pages[0].replace("fixed", "other"))
+
+
+def test_the_wrapper_decides():
+    """Pages of random layouts without article or main: what one page can't tell, the pages of its host do."""
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    changed = 0
+    for _ in range(20):
+        left, right = say(60), say(80)
+        names = [f"{x}{rng.randrange(9)}" for x in rng.sample("abcdef", 3)]
+        pages, want = [], []
+        for _ in range(5):
+            body = [say(rng.randrange(5, 60)) for _ in range(rng.randrange(2, 7))]
+            want.append("\n".join(body))
+            paragraphs = "".join(f"<p>{x}</p>" for x in body)
+            pages.append(f"<html><head><title>{body[0]}</title></head><body><div class={names[0]}><p>{left}</p></div><div class={names[1]}><section>{paragraphs}</section></div><div class={names[2]}><p>{right}</p></div></body></html>")
+        wrapper, n = html.infer([html.parse(p) for p in pages])
+        fixed = frozenset(html.find_article(wrapper, n))
+        way = html.pruned(wrapper)
+        assert [html.extract(p, way, fixed) for p in pages] == want
+        changed += sum(html.extract(p, None) != x for p, x in zip(pages, want, strict=True))
+    assert changed > 50
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>Press <button>OK</button> to go on</p></article>", "Press to go on"),
+        ("<article><header><h1>Headline</h1>by us</header><p>x</p></article>", "Headline\nx"),
+        ("<main><h1>Top</h1><article><p>in</p></article><p>beside</p><nav>menu</nav></main>", "Top\nin\nbeside"),
+        ("<article class='post has-sidebar'><div class=search-term><p>all the words of it</p></div><div class=share>like</div></article>", "all the words of it"),
+        ("<body><div><div class='x'><h2>T</h2><p>a</p><p>b</p></div></div><footer>f</footer></body>", "T\na\nb"),
+        ('<article><p title="a > b">x &lt;y&gt;</p><p>1 < 2</p><script>var a="</p>"</script></article>', "x <y>\n1 < 2"),
+        ("<article><p>a<!-- <p>no</p> -->b</p><svg><title>t</title></svg>c</article>", "ab\nc"),
+    ],
+)
+def test_blocks_of_a_page(page, want):
+    assert html.extract(page, None) == want
+
+
+def test_pages_of_another_layout_than_their_host():
+    pages = [f"<body><article><p>{'same ' * k}{k}</p></article></body>" for k in range(1, 5)]
+    wrapper, n = html.infer([html.parse(p) for p in pages])
+    html.find_article(wrapper, n)
+    assert html.extract("<body><div><p>other</p><p>layout</p></div></body>", html.pruned(wrapper)) == "other\nlayout"
+
+
+def test_hostile_pages_are_read_in_time():
+    import time
+
+    for part in ("<a ", '<a x="', "<div>", "</x>", "<div></x>", "<!--", "<", "<p><b>", '"<a =', "<!"):
+        begin = time.monotonic()
+        html.extract(part * (200_000 // len(part)), None)
+        assert time.monotonic() - begin < 15
 
 
 def toxic_corpus(n: int = 1500):
