@@ -6,9 +6,10 @@ of these in n2; a part with k2 differences or fewer agrees on some n2 - k2 of it
 n1 - k // (k2 + 1) such parts. Each set is given one signature per part and subset of sub-parts. Linked sets agree in that
 many parts, always, so a set that shares signatures in fewer parts has no link and is left out before anything is compared.
 
-Sets that share signatures, directly or through others, form candidate clusters. A cluster is dealt to blocks of bounded
-size, and every pair of blocks counts intersections in numpy and returns a spanning forest of its links and each set's number of
-links, so no pair is a row. Links then give components. Rows of equal sets are one class from the start.
+Sets that share signatures for pairs whose larger set is in one band, directly or through others, form candidate clusters. A
+cluster is dealt to blocks of bounded size, and every pair of blocks counts intersections in numpy and returns a spanning
+forest of its links and each set's number of links, so no pair is a row. Links then give components. Rows of equal sets are
+one class from the start.
 
 Shingles are compared by 64-bit hashes: two different ones among the shingles of a pair of sets of 10,000 are taken for one
 with a probability of 10^-11. Nulls and texts without words have an empty set and no links. Fewer words than a shingle are
@@ -118,14 +119,14 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need
 
 
-_FEATURES = "doc_id long, at struct<file: long, row: long>, n_shingles long, s1 long, s2 long, even int, odd int, signatures array<long>"
+_FEATURES = "doc_id long, at struct<file: long, row: long>, n_shingles long, s1 long, s2 long, band int, even int, odd int, signatures array<long>"
 
 
 def _features(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()  # a set that a task meets again is signed once
         for batch in batches:
-            rows, n, s1, s2, need, sigs = [], [], [], [], [], []
+            rows, n, s1, s2, band, need, sigs = [], [], [], [], [], [], []
 
             def out(batch=batch):
                 picked = pa.array(rows, pa.int64())
@@ -136,10 +137,11 @@ def _features(size: int, percent: int):
                         pa.array(n, pa.int64()),
                         pa.array(np.array(s1, np.uint64).view(np.int64)),
                         pa.array(np.array(s2, np.uint64).view(np.int64)),
+                        pa.array(band, pa.int32()),
                         *[pa.array([x[k] for x in need], pa.int32()) for k in range(2)],
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sigs])]), pa.int32()), pa.array(np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64))),
                     ],
-                    names=["doc_id", "at", "n_shingles", "s1", "s2", "even", "odd", "signatures"],
+                    names=["doc_id", "at", "n_shingles", "s1", "s2", "band", "even", "odd", "signatures"],
                 )
 
             for row, h in shingle_sets(batch.column("text"), size):
@@ -151,10 +153,11 @@ def _features(size: int, percent: int):
                 own, parts = (h[:0], [0, 0]) if key in seen or not len(h) else signatures(h, percent)
                 sigs.append(own)
                 need.append(parts)
+                band.append(band_of(len(h), percent)[1])
                 seen.add(key)
                 if len(rows) == 2000:
                     yield out()
-                    rows, n, s1, s2, need, sigs = [], [], [], [], [], []
+                    rows, n, s1, s2, band, need, sigs = [], [], [], [], [], [], []
             yield out()
 
     return run
@@ -235,6 +238,8 @@ def _verify(percent: int):
         same = intersections(sets)
         linked = 100 * same >= percent * (size[:, None] + size[None, :] - same)
         np.fill_diagonal(linked, False)
+        band = table.column("band").to_numpy()
+        linked &= np.maximum(band[:, None], band[None, :]) == table.column("larger")[0].as_py()
         if len(np.unique(side)) > 1:
             linked &= side[:, None] != side[None, :]
         elif table.column("i")[0].as_py() != table.column("j")[0].as_py():
@@ -272,43 +277,46 @@ def _joined(docs: DataFrame, at: str, size: int, percent: int) -> DataFrame:
     features = keep(texts.mapInArrow(_features(size, percent), _FEATURES), "features")
     key = ["n_shingles", "s1", "s2"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
-    classes = features.where("n_shingles > 0").groupBy(*key).agg(first, F.count(F.lit(1)).alias("weight"), F.max("even").alias("even"), F.max("odd").alias("odd"))
-    classes = keep(classes, "classes")
-    # a node is half of a set's digest: two sets of one node only make a cluster larger; one shuffle serves both uses
-    signed = features.where("n_shingles > 0").select(F.col("s1").alias("node"), F.explode("signatures").alias("signature")).repartition("signature")
+    classes = features.where("n_shingles > 0").groupBy(*key).agg(first, F.count(F.lit(1)).alias("weight"), *[F.max(c).alias(c) for c in ("band", "even", "odd")])
+    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # a node is a hash of half of a set's digest and the band of a pair: two sets of one node only make a cluster larger; one
+    # shuffle serves both uses of the signatures
+    node = F.xxhash64("s1", F.col("signature") % 2 == 0).alias("node")
+    signed = features.where("n_shingles > 0").select("s1", F.explode("signatures").alias("signature")).select(node, "signature").repartition("signature")
     shared = signed.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
     met = keep(signed.join(shared, "signature").drop("least"), "met")
     # sets that agree with others in too few parts have no link; without them others may have too few as well
-    parts = met.select("node", F.col("signature").bitwiseAND(65535).alias("part")).distinct()
-    agreed = parts.groupBy("node").agg(F.count_if(F.col("part") % 2 == 0).alias("n_even"), F.count_if(F.col("part") % 2 == 1).alias("n_odd"))
-    able = agreed.join(classes, agreed["node"] == classes["s1"]).where("n_even > 0 AND n_even >= even OR n_odd > 0 AND n_odd >= odd").select("node")
+    even = F.explode(F.array(F.lit(True), F.lit(False))).alias("even_")
+    nodes = classes.select("id", "n_shingles", "weight", "band", F.col("first.at").alias("rep"), "s1", "even", "odd", even)
+    nodes = nodes.select("id", "n_shingles", "weight", "band", "rep", F.xxhash64("s1", "even_").alias("node"), F.when(F.col("even_"), F.col("even")).otherwise(F.col("odd")).alias("need"), (F.col("band") + ((F.col("band") % 2 == 0) != F.col("even_")).cast("int")).alias("larger"))
+    agreed = met.select("node", F.col("signature").bitwiseAND(65535).alias("part")).distinct().groupBy("node").count()
+    able = agreed.join(nodes.select("node", "need"), "node").where("count >= need").select("node")
     left = met.join(able, "node", "left_semi")
     least = left.groupBy("signature").agg(F.min("node").alias("least"))
     near = left.join(least, "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     clusters = components(near)
 
-    inside = clusters.join(classes, clusters["id"] == classes["s1"]).select("component", *key, "first", "weight")
+    inside = clusters.withColumnRenamed("id", "node").join(nodes, "node").drop("node", "need")
     n = F.count(F.lit(1))
     blocks = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(n / BLOCK_SETS), F.ceil(n / (BLOCK_SETS // 5 + 10 * F.sqrt(n))))
     inside = inside.join(inside.groupBy("component").agg(blocks.alias("blocks")), "component")
-    # numbers ascend with the row that would stay, so the least of a component is that of its least row
-    inside = inside.orderBy("first").withColumn("id", F.monotonically_increasing_id())
     inside = keep(inside.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "clusters")
-    columns = ["id", "component", "weight", "block", "blocks"]
-    asked = inside.select(*columns, F.col("first.at").alias("rep"))
+    columns = ["id", "component", "larger", "band", "weight", "block", "blocks"]
+    asked = inside.select(*columns, "rep")
     few = asked.count() <= BROADCAST_SETS
     sets = texts.join(F.broadcast(asked) if few else asked, texts["at"] == asked["rep"]).select(*columns, "text")
-    sets = sets.mapInArrow(_stacked(_sets(size, columns)), "id long, component long, weight long, block long, blocks long, shingles array<long>")
+    sets = sets.mapInArrow(_stacked(_sets(size, columns)), "id long, component long, larger int, band int, weight long, block long, blocks long, shingles array<long>")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     checked = keep(pairs.groupBy("component", "i", "j").applyInArrow(_verify(percent), "a long, b long, n_links long"), "checked")
 
     found = components(checked.where("b IS NOT NULL").select("a", "b"))
     degree = checked.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("links"))
-    heads = inside.select(F.col("id").alias("component"), F.col("first").alias("head"))
-    linked = inside.select("id", *key).join(found, "id").join(heads, "component").join(degree, "id").select(*key, "head", "links")
+    linked = keep(classes.select("id", *key, "first").join(found, "id").join(degree, "id"), "linked")
+    heads = keep(linked.groupBy("component").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("size")), "heads")
+    linked = with_groups(linked.drop("first"), heads, ["component"], "size").select(*key, "head", "links")
     named = classes.join(linked, key, "left").select(*key, "weight", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = with_groups(features.drop("signatures", "even", "odd"), keep(named, "named"), key, "weight")
+    out = with_groups(features.drop("signatures", "band", "even", "odd"), keep(named, "named"), key, "weight")
     one = F.col("head").isNull()  # an empty set
     return out.select("doc_id", "at", "n_shingles", F.when(one, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(one, F.col("at")).otherwise(F.col("head.at")).alias("keep_at"))
 

@@ -196,50 +196,63 @@ def test_encoder_equals_tokenizer():
     assert sum(len(w.hash) for w in pieces(pa.array(["ab.c's x"]), PUNCTUATED)) == 4
 
 
-def kneser_ney(rows, train):
+def kneser_ney(rows, train, order, prune):
     tokens = {i: [*WORDS.findall(low(t)), None] for i, t in rows}
-    bigrams = collections.Counter(x for i in train for x in zip([0, *tokens[i]], tokens[i], strict=False))
+    ngrams = lambda i, n: zip(*[([0] * (n - 1) + tokens[i])[k:] for k in range(n)], strict=False)
     counts = collections.Counter(x for i in train for x in tokens[i])
-    follows = collections.Counter(w for _, w in bigrams)
-    d, e = (lm.discounts(*(collections.Counter(c.values())[k] for k in (1, 2, 3, 4))) for c in (bigrams, follows))
-    types, v, n = len(bigrams), len(counts), sum(counts.values())
-    context = collections.defaultdict(lambda: [0, 0, 0, 0])
-    for (u, _), c in bigrams.items():
-        context[u][0] += c
-        context[u][min(c, 3)] += 1
-    floor = sum(e[min(c, 3)] for c in follows.values()) / types / (v + 1)
+    levels = {order: collections.Counter(x for i in train for x in ngrams(i, order))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = collections.Counter(x[1:] for x in levels[n + 1])
+    d = {n: lm.discounts(*(collections.Counter(c.values())[k] for k in (1, 2, 3, 4))) for n, c in levels.items()}
+    total = {n: collections.Counter() for n in levels}
+    gone = {n: collections.Counter() for n in levels}  # what a context leaves to the lower order
+    for n, level in levels.items():
+        for x, c in level.items():
+            total[n][x[:-1]] += c
+            gone[n][x[:-1]] += c if n == order and c <= prune else d[n][min(c, 3)]
+    v, n_tokens = len(counts), sum(counts.values())
+
+    def probability(x):
+        if not x:
+            return 1 / (v + 1)
+        n, context = len(x), x[:-1]
+        shorter = probability(x[1:])
+        if not total[n][context]:
+            return shorter
+        c = levels[n][x]
+        own = 0 if n == order and c <= prune else max(c - d[n][min(c, 3)], 0)
+        return own / total[n][context] + gone[n][context] / total[n][context] * shorter
+
     out = {}
     for i, own in tokens.items():
-        total = 0.0
-        for u, w in zip([0, *own], own, strict=False):
-            p = max(follows[w] - e[min(follows[w], 3)], 0) / types + floor
-            if u in context:
-                h = context[u]
-                p = max(bigrams[u, w] - d[min(bigrams[u, w], 3)], 0) / h[0] + sum(d[k] * h[k] for k in (1, 2, 3)) / h[0] * p
-            total += math.log10(p)
-        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)
-        out[i] = (len(own), sum(counts[w] > 0 for w in own), n, base, total)
+        score = sum(math.log10(probability(x)) for x in ngrams(i, order))
+        base = sum(math.log10((counts[w] + 1) / (n_tokens + v + 1)) for w in own)
+        out[i] = (len(own), sum(counts[w] > 0 for w in own), n_tokens, base, score)
     return out
 
 
-def test_language_model(spark, docs, rows):
+@pytest.mark.parametrize(("order", "prune", "part_bytes"), [(2, 0, 10**9), (3, 1, 5000), (3, 0, 5000), (4, 1, 20000)])
+def test_language_model(spark, docs, rows, order, prune, part_bytes):
+    import numpy as np
+
+    rows = [*rows, (500, "the end " * 400)]  # counts of more than a byte
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows[-1:], "doc_id long, text string"))
     train = [i for i, _ in rows if i % 7]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 7 == 0).alias("held_out"))
-    model = lm.train(texts.where("not held_out"))
+    model = lm.train(texts.where("not held_out"), order, prune, part_bytes)
+    assert model.order == order and any(len(x) for x in model.layout.frequent.values())
     got = {r["doc_id"]: r for r in lm.score(texts, model).collect()}
-    for i, (n, known, total, base, score) in kneser_ney(rows, train).items():
+    for i, (n, known, total, base, score) in kneser_ney(rows, train, order, prune).items():
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-5)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
     # the probabilities of all words after a context, and of an unknown one, add up to 1
-    w = next(pieces(pa.array([" ".join({x for _, t in rows for x in WORDS.findall(low(t))} | {"zzzz"})]), SPACED))
     vocabulary = sorted({x for i, t in rows if i % 7 for x in WORDS.findall(low(t))})
     w = next(pieces(pa.array([" ".join([*vocabulary, "zzzz"])]), SPACED, 10**9))
-    import numpy as np
-
     words = np.append(w.hash, lm.END)
-    p, _ = model.log10(np.full(len(words), w.hash[3]), words)
-    assert (10**p).sum() == pytest.approx(1.0, rel=1e-6)
+    for before in ([lm.BEGIN] * (order - 1), list(w.hash[3 : 2 + order]), list(next(pieces(pa.array(["the end the"]), SPACED)).hash[4 - order :] if order < 5 else [])):
+        p, _ = model.log10([*[np.full(len(words), x) for x in before], words])
+        assert (10**p).sum() == pytest.approx(1.0, rel=1e-9)
 
 
 def test_language_model_of_nothing(spark, docs, empty):
@@ -275,6 +288,34 @@ def test_secrets(spark, docs):
     assert got[5]["spans"] == f"random:{a}:{a + 29}"
 
 
+def test_secret_models_tell_held_out_samples_apart():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    syllables = "re qui set form an der ing ou ti on la st er ver".split()
+    say = lambda n: [" ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(30)) for _ in range(n)]
+    counts = np.zeros((2, secrets._SIZE, secrets._SIZE))
+    for batch in secrets._samples(iter([pa.record_batch([pa.array(say(1500))], names=["text"])])):
+        label, one, two, n = (c.to_numpy() for c in batch.columns)
+        counts[label, one, two] += n
+    ratio = secrets.ratio_of(counts)
+    words = " ".join(say(50)).split()
+    random_ = [secrets.random_string(rng) for _ in range(2000)]
+    ordinary = [x for x in (secrets.ordinary_string(rng, words) for _ in range(2000)) if len(x) >= secrets.LEAST_LENGTH]
+    hits = [sum(secrets.is_random(x, ratio) for x in own) for own in (random_, ordinary)]
+    assert hits[0] > 0.99 * len(random_) and hits[1] < 0.005 * len(ordinary)
+    names = ["formQuiSettiOulaVerStingDerAn", "SET_LONG_ANTION_NAME_IN_FORMS", "550e8400-e29b-41d4-a716-446655440000", "/qui/laton/stan/setti/form", "=" * 24, "-" * 24, "4111111111111111"]
+    assert not any(secrets.is_random(x, ratio) for x in names)
+    assert all(secrets.is_random(x, ratio) for x in ("q8Zr2LxT9vWm4KpYc7Bd1NfGh6Js3", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"))
+    # spans of many kinds in one run, against a plain search of each gap
+    text = "x=" + "q8Zr2LxT9vWm4KpYc7Bd1" + "deadbeef" * 4 + "Zq8Zr2LxT9vWm4KpYc7Bd1Nf " + "token=abcdefgh/" * 50 + "AKIA" + "A" * 20
+    base, _, _ = secrets.base_spans(text)
+    assert [s for s in secrets.scan(text, ratio) if s[1] < 3] == base
+    assert {text[a:z] for a, k, z in secrets.scan(text, ratio) if k == 3} == {"x=q8Zr2LxT9vWm4KpYc7Bd1", "Zq8Zr2LxT9vWm4KpYc7Bd1Nf"}
+
+
 def test_token_counts(docs, rows):
     scores = {"▁": -3.0, "▁th": -1.0, "e": -2.0, "a": -2.0, "ea": -2.5, "▁the": -2.9, "nt": -1.5, "n": -2.0, "t": -2.0, "▁thea": -9.0}
     words = sorted({w for _, t in rows for w in WORDS.findall(t or "")})
