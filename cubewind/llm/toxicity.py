@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes: insult, threat, target, negation, reported speech, other. Three transducers rewrite them in a clause
-(an insult after a negation is denied, one after a verb of saying is reported, one near a target is aimed) and a fourth
-weighs what comes out; they are composed to one machine. Insults are learnt from labels: words and word beginnings that
-toxic texts have and others don't, in many different contexts, so that a text and its copies teach nothing by themselves.
-The weights of threats with and without a target come from the labels too, in every clause that has a threat or an insult.
-A logistic curve, fitted on the same labelled rows, maps the evidence of a text to a score.
+Words become classes: insult, threat, target, negation, reported speech, other. Four transducers rewrite them in a clause:
+an insult after a negation is denied, one after a verb of saying is quoted, a threat after either is only mentioned; what
+follows a target is aimed, and so is a threat that a target follows. What comes out has weights; the transducers are composed to one machine. Insults are learnt
+from labels: words and word beginnings that toxic texts have and others don't, in many different contexts, so that a text and
+its copies teach nothing by themselves. The weights of threats with and without a target come from the labels too, in every
+clause that has a threat or an insult. The k-th match of a word in a text counts one k-th. A logistic curve, fitted on the same
+labelled rows, maps the evidence of a text to a score.
 
 Labels are read from a bounded sample of the rows that are not held out. Null and empty texts have no evidence and get the
 score of that. Without labels of both kinds nothing is toxic and every score is 0. Repeated rows are scored each; of
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 
 from cubewind.llm.textscan import ALNUM, Words, mix, pieces
 
-#: About how many labelled rows are read, and how many words and word beginnings are kept.
+#: About how many labelled rows are read; they bound how many words and word beginnings are learnt.
 SAMPLE = 12_000
-LEXICON = 5_000
 STEM_BYTES = 4
-LEAST_CONTEXTS = 10
+LEAST_CONTEXTS = 4
 LEAST_ODDS = 3.0
 TOXIC = 0.7
+#: Steps of the logarithm of evidence for which labelled rows are counted.
+BINS = 50
 
 # Fixed word lists, lower case
 TARGETS = "you your yours yourself he she they them him her tu toi vous te ton ta du dich dir ihr sie él ella usted ustedes tú ti".split()
@@ -37,31 +39,37 @@ NEGATIONS = "not no never neither nor isn aren wasn cannot ne pas jamais aucun n
 REPORTED = "said says wrote writes claimed claims quoted called told allegedly reported dit disait écrit prétend sagte sagt schrieb behauptet dijo dice escribió afirma".split()
 THREATS = "kill murder hurt destroy beat shoot burn stab tuer frapper brûler töten schlagen erschießen verbrennen matar golpear quemar".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, SAYING, DENIED, QUOTED, AIMED = range(9)
+OTHER, INSULT, THREAT, TARGET, NEGATION, SAYING, DENIED, QUOTED, MENTIONED, AIMED = range(10)
+_WEAKER = {INSULT: (DENIED, QUOTED), THREAT: (MENTIONED, MENTIONED)}
 Transducer = dict[tuple[int, int], tuple[int, int]]
 
 
 def _transducer(states: int, rule) -> Transducer:
-    return {(s, c): rule(s, c) for s in range(states) for c in range(9)}
+    return {(s, c): rule(s, c) for s in range(states) for c in range(10)}
 
 
 def negation() -> Transducer:
     """State: words for which a negation still holds."""
-    return _transducer(4, lambda s, c: (3, c) if c == NEGATION else (max(s - 1, 0), DENIED if s and c in (INSULT, THREAT) else c))
+    return _transducer(4, lambda s, c: (3, c) if c == NEGATION else (max(s - 1, 0), _WEAKER[c][0] if s and c in _WEAKER else c))
 
 
 def reported() -> Transducer:
     """State: whether somebody says what follows in the clause."""
-    return _transducer(2, lambda s, c: (1, c) if c == SAYING else (s, QUOTED if s and c in (INSULT, THREAT) else c))
+    return _transducer(2, lambda s, c: (1, c) if c == SAYING else (s, _WEAKER[c][1] if s and c in _WEAKER else c))
 
 
 def aimed() -> Transducer:
-    """State: words since a target."""
+    """State: for how many words more a target is near."""
     return _transducer(6, lambda s, c: (5, c) if c == TARGET else (max(s - 1, 0), AIMED if s and c in (INSULT, THREAT) else c))
 
 
+def threatened() -> Transducer:
+    """State: for how many words more a threat waits for its target."""
+    return _transducer(5, lambda s, c: (4, c) if c == THREAT else (0, AIMED) if s and c == TARGET else (max(s - 1, 0), c))
+
+
 #: How much of a word's weight counts, by the class that comes out.
-WEIGHTS = {INSULT: 1.0, AIMED: 1.5, QUOTED: 0.6, DENIED: 0.5, THREAT: 0.3}
+WEIGHTS = {INSULT: 1.0, AIMED: 1.5, QUOTED: 0.6, DENIED: 0.5, THREAT: 0.3, MENTIONED: 0.15}
 
 
 def compose(*machines: Transducer) -> dict[tuple[int, int], tuple[int, float]]:
@@ -82,7 +90,7 @@ def compose(*machines: Transducer) -> dict[tuple[int, int], tuple[int, float]]:
     return table
 
 
-GRAMMAR = compose(negation(), reported(), aimed())
+GRAMMAR = compose(negation(), reported(), aimed(), threatened())
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +145,7 @@ class Lexicon:
         return np.where(self.hash[at] == f, self.weight[at], 0.0)
 
     def evidence(self, w: Words, met: dict[int, int] | None = None) -> np.ndarray:
-        """Of each row: the weights of the patterns that its clauses match. A word that a row repeats counts twice at most, as
-        it is weighed first. met takes up for each row with threats 1 if one is aimed and 2 if one isn't, or their sum."""
+        """Of each row: the weights of the patterns that its clauses match. met takes up for each row with threats 1 if one is aimed and 2 if one isn't, or their sum."""
         word, stem = features(w)
         weight = np.maximum(self.weights(word), self.weights(stem))
         out = np.zeros(len(w.rows))
@@ -159,10 +166,10 @@ class Lexicon:
             while a < w.first[d + 1] and ends[w.start[a]] == clause:
                 c = INSULT if weight[a] else self.classes.get(int(w.hash[a]), OTHER)
                 state, share = GRAMMAR[state, c]
-                if share and counted.get(key := (d, int(word[a])), 0) < 2:
-                    counted[key] = counted.get(key, 0) + 1
+                if share:
+                    counted[key] = counted.get(key := (d, int(word[a])), 0) + 1
                     hit = share == WEIGHTS[AIMED]
-                    out[d] += share * (weight[a] or (self.aimed if hit else self.unaimed))
+                    out[d] += share * (weight[a] or (self.aimed if hit else self.unaimed)) / counted[key]
                     if met is not None and not weight[a]:
                         met[d] = met.get(d, 0) | (1 if hit else 2)
                 a += 1
@@ -193,7 +200,7 @@ def _evidence(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in pieces(batch.column("text"), ALNUM, 1_000_000):
-                bins = np.minimum(np.round(lexicon.evidence(w) * 4), 400).astype(np.int64)
+                bins = np.round(np.log1p(lexicon.evidence(w)) * BINS).astype(np.int64)
                 yield pa.record_batch([pa.array(bins), batch.column("toxic").slice(int(w.rows[0]), len(w.rows))], names=["bin", "toxic"])
 
     return run
@@ -225,8 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     found = rows.mapInArrow(_learn, "feature long, toxic long, other long, contexts long").where("feature <> 0").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("other") + 0.5) / (n[0] + 1))
     found = found.where(F.col("contexts") >= LEAST_CONTEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    top = found.orderBy(F.desc("odds"), "feature").limit(LEXICON).collect()
-    lexicon = Lexicon({r["feature"] & (2**64 - 1): r["odds"] for r in top})
+    lexicon = Lexicon({r["feature"] & (2**64 - 1): r["odds"] for r in found.select("feature", "odds").collect()})  # words of the sample
     met = [(r["met"], int(r["toxic"]), r["count"]) for r in rows.mapInArrow(_threats(lexicon), "met long, toxic int").where("met > 0").groupBy("met", "toxic").count().collect()]  # 6 rows at most
     weights = []
     for bit in (1, 2):
@@ -234,8 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         odds = float(np.log((bad + 0.5) / (n[1] + 1)) - np.log((other + 0.5) / (n[0] + 1)))
         weights.append(max(odds, 0.0) if bad + other else LEAST_ODDS)
     lexicon.aimed, lexicon.unaimed = weights
-    bins = rows.mapInArrow(_evidence(lexicon), "bin long, toxic int").groupBy("bin", "toxic").count().collect()  # 802 rows at most
-    lexicon.a, lexicon.b = logistic(np.array([r["bin"] / 4 for r in bins]), np.array([float(r["toxic"] > 0) for r in bins]), np.array([float(r["count"]) for r in bins]))
+    bins = rows.mapInArrow(_evidence(lexicon), "bin long, toxic int").groupBy("bin", "toxic").count().collect()  # some hundred rows
+    lexicon.a, lexicon.b = logistic(np.array([np.expm1(r["bin"] / BINS) for r in bins]), np.array([float(r["toxic"] > 0) for r in bins]), np.array([float(r["count"]) for r in bins]))
     return lexicon
 
 

@@ -184,7 +184,7 @@ def test_grammar():
 def test_pipeline(spark, rows, docs, tmp_path):
     import corpus_pipeline
     from cubewind.llm import decontaminate, exact_dedup, jaccard, pack
-    from tests.llm.test_text_operators import brute_components
+    from tests.llm.test_stages import brute_kept
 
     sf = str(tmp_path)
     toxic, labels, truth = toxic_corpus(600)
@@ -203,8 +203,8 @@ def test_pipeline(spark, rows, docs, tmp_path):
     for i in left:
         groups[re.sub(r"[\x20\x09-\x0D]", "", text[i] or "")].append((-len(text[i] or ""), i))
     left = [min(g)[1] for g in groups.values()]
-    found = brute_components([(i, text[i]) for i in left])
-    left = [i for i in left if found[i][1] == i]
+    found = brute_kept([(i, text[i]) for i in left], 5, 80)
+    left = [i for i in left if i in found]
     find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {tuple(item[k : k + 10]) for k in range(3)}
     clean = [i for i in left if not any(tuple(w[k : k + 10]) in windows for w in [find.findall((text[i] or "").lower())] for k in range(len(w)))]

@@ -1,10 +1,14 @@
 """Stages of the pipeline on their own, against plain Python."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from cubewind.llm import exact_dedup, jaccard, toxicity
+from cubewind.llm.textscan import ALNUM, pieces
 from tests.llm.conftest import frame
 from tests.llm.test_chat_html_toxicity import toxic_corpus
 from tests.llm.test_text_operators import shingles
@@ -69,6 +73,36 @@ def test_threats_alone_are_toxic(spark):
     assert all(got[i] >= toxicity.TOXIC for i, _ in threats) and got[5000] < 0.2
 
 
+def test_evidence_against_plain_transducers():
+    rng = random.Random(12)
+    insults = {"scrundle": 4.0, "wazzock": 3.5}
+    lexicon = toxicity.Lexicon({int(toxicity.word_hashes([w])[0]): x for w, x in insults.items()})
+    lexicon.aimed, lexicon.unaimed = 5.0, 2.0
+    lists = ((toxicity.TARGETS, toxicity.TARGET), (toxicity.NEGATIONS, toxicity.NEGATION), (toxicity.REPORTED, toxicity.SAYING), (toxicity.THREATS, toxicity.THREAT))
+    words = [*insults, *toxicity.THREATS[:6], *toxicity.TARGETS[:5], *toxicity.NEGATIONS[:3], *toxicity.REPORTED[:3], *"tree of house on".split()]
+
+    def plain(text):
+        total, counted = 0.0, {}
+        for clause in re.split(r"[.!?;\n]", text):
+            states = [0, 0, 0, 0]
+            machines = (toxicity.negation(), toxicity.reported(), toxicity.aimed(), toxicity.threatened())
+            for word in clause.split():
+                c = toxicity.INSULT if word in insults else next((c for own, c in lists if word in own), toxicity.OTHER)
+                for k, machine in enumerate(machines):
+                    states[k], c = machine[states[k], c]
+                if share := toxicity.WEIGHTS.get(c):
+                    counted[word] = counted.get(word, 0) + 1
+                    total += share * insults.get(word, 5.0 if c == toxicity.AIMED else 2.0) / counted[word]
+        return total
+
+    texts = [" ".join(rng.choice(words) + rng.choice(("", "", "", ".", "!", ";")) for _ in range(rng.randrange(30))) for _ in range(400)]
+    texts = [t for t in texts if any(w in t for w in [*insults, *toxicity.THREATS])]
+    found = np.concatenate([lexicon.evidence(w) for w in pieces(pa.array(texts), ALNUM)])
+    assert found == pytest.approx([plain(t) for t in texts])
+    one = lambda t: float(lexicon.evidence(next(pieces(pa.array([t]), ALNUM)))[0])
+    assert one("kill you") > one("kill it") > one("not kill you") > one("tree") == 0 and one("you kill") > one("they said kill it") > 0
+
+
 def test_one_row_of_equal_texts_stays_whatever_its_id(spark, empty):
     rows = [(None, "a b"), (None, "ab"), (3, "a b"), (3, "a b"), (4, "ab"), (5, "x"), (5, "y"), (None, "z"), (None, None), (6, " ")]
     got = [(r["doc_id"], r["text"]) for r in exact_dedup.stage(spark, frame(spark, rows), "").collect()]
