@@ -1,12 +1,14 @@
 """Token counts under a unigram vocabulary: forward scores over a trie of the distinct pre-tokens.
 
 A pre-token is a run without ASCII white space, with the vocabulary's word mark before it. Its tokens are those of the
-segmentation with the highest sum of piece scores, the fewest of equal sums. The best score at a character depends on what
-precedes it only, so the distinct pre-tokens of a piece of the table are put in a trie (walked in sorted order) and each
-shared prefix is scored once; the count is stored where a pre-token ends. A worker remembers hashes and counts of pre-tokens.
-
-A character that no piece covers counts as its UTF-8 bytes. Null and empty texts have no tokens. Repeated rows are counted
-each. An empty table gives no rows. Extra columns are ignored.
+segmentation with the highest sum of piece scores, the fewest of equal sums. The best score of a prefix depends on nothing
+after it, so the distinct pre-tokens of a piece of the table are inserted in a trie, each node is scored once from the nodes
+above it, and the count is stored where a pre-token ends. A worker remembers hashes and counts of pre-tokens.
+
+The tokens are those of the vocabulary file read as a unigram model. Its file gives ranks and no probabilities, so the score of
+the k-th piece is that of Zipf's law, the logarithm of 1 / (k H), where H makes the probabilities add up to 1. Nothing is
+trained. A character that no piece covers counts as its UTF-8 bytes. Null and empty texts have no tokens. Repeated rows are
+counted each. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,37 +32,61 @@ def endings(scores: dict[str, float]) -> dict[str, float | None]:
     return {x[k:]: None for x in scores for k in range(1, len(x))} | scores
 
 
-def count_all(words: list[str], scores: dict[str, float], byte_score: float) -> list[int]:
-    """Tokens of each word; words must be sorted. One pass over their trie."""
-    return _count(words, endings(scores), byte_score)
-
-
-def _count(words: list[str], table: dict[str, float | None], byte_score: float) -> list[int]:
-    best, count = [0.0], [0]  # by depth, along the path to the current node
-    out, before = [], ""
-    for word in words:
-        word = MARK + word
-        shared, most = 0, min(len(word), len(before))
-        while shared < most and word[shared] == before[shared]:
-            shared += 1
-        del best[shared + 1 :], count[shared + 1 :]
-        for z in range(shared + 1, len(word) + 1):
+class Trie:
+    """Distinct words as a tree of prefixes. Nodes are numbered so that a node comes after those above it."""
+
+    def __init__(self, words: list[str]):
+        """words must be sorted."""
+        self.words = words
+        self.depth, self.word = [0], [0]  # of each node, and a word that goes through it
+        self.ends: list[int] = []  # the node of each word
+        path, before = [0], ""
+        for number, word in enumerate(words):
+            shared, most = 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del path[shared + 1 :]
+            for depth in range(shared + 1, len(word) + 1):
+                path.append(len(self.depth))
+                self.depth.append(depth)
+                self.word.append(number)
+            self.ends.append(path[-1])
+            before = word
+
+    def counts(self, table: dict[str, float | None], byte_score: float) -> list[int]:
+        """Tokens of each word. table: what endings() returns."""
+        best, count = [0.0] * len(self.depth), [0] * len(self.depth)
+        path = [0]
+        for node in range(1, len(self.depth)):
+            z, word = self.depth[node], self.words[self.word[node]]
+            del path[z:]
+            above = path[-1]
             n = len(word[z - 1].encode())
-            top, least = best[z - 1] + n * byte_score, count[z - 1] + n
+            top, least = best[above] + n * byte_score, count[above] + n
             for a in range(z - 1, -1, -1):
                 s = table.get(word[a:z], False)
                 if s is None:
                     continue
                 if s is False:  # no piece ends like this
                     break
-                s += best[a]
-                if s > top or (s == top and count[a] + 1 < least):
-                    top, least = s, count[a] + 1
-            best.append(top)
-            count.append(least)
-        out.append(count[-1])
-        before = word
-    return out
+                above = path[a]
+                s += best[above]
+                if s > top or (s == top and count[above] + 1 < least):
+                    top, least = s, count[above] + 1
+            path.append(node)
+            best[node], count[node] = top, least
+        return [count[node] for node in self.ends]
+
+
+def count_all(words: list[str], scores: dict[str, float], byte_score: float) -> list[int]:
+    """Tokens of each word; words must be sorted."""
+    return Trie([MARK + w for w in words]).counts(endings(scores), byte_score)
+
+
+def zipf(pieces_: list[str]) -> dict[str, float]:
+    """Scores of pieces in the order of their ranks."""
+    logs = np.log(np.arange(1, len(pieces_) + 1))
+    return dict(zip(pieces_, (-logs - np.log(np.exp(-logs).sum())).tolist(), strict=True)) if pieces_ else {}
 
 
 class Vocabulary:
@@ -69,7 +95,7 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
+        self.scores = zipf([model.id_to_piece(i) for i in sorted(plain, key=lambda i: (-model.get_score(i), i))])
         self.byte_score = min(self.scores.values(), default=0.0) - 10.0
         self.table = endings(self.scores)
         self.clear()
@@ -91,7 +117,7 @@ class Vocabulary:
                 new = np.flatnonzero(~known)
                 words = sorted((w.data[w.start[k] : w.end[k]].tobytes().decode(), n) for n, k in enumerate(at[new].tolist()))
                 fresh = np.zeros(len(new), np.int64)
-                fresh[[n for _, n in words]] = _count([x for x, _ in words], self.table, self.byte_score)
+                fresh[[n for _, n in words]] = Trie([MARK + x for x, _ in words]).counts(self.table, self.byte_score)
                 where = np.searchsorted(self.hash, distinct[new])
                 self.hash, self.count = np.insert(self.hash, where, distinct[new]), np.insert(self.count, where, fresh)
                 place = np.searchsorted(self.hash, distinct)

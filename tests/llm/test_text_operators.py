@@ -337,6 +337,24 @@ def test_token_counts(docs, rows):
         assert (got[i]["n_words"], got[i]["n_tokens"]) == (len(own), sum(token_counts.count_all(own, vocabulary.scores, vocabulary.byte_score)))
 
 
+def test_token_counts_equal_those_of_a_unigram_model(rows, tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    vocabulary = token_counts.Vocabulary(token_counts.vocabulary_path())
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(token_counts.vocabulary_path(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1  # unigram
+    for piece in model.pieces:
+        piece.score = vocabulary.scores.get(piece.piece, piece.score)
+    reference = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    assert sum(math.exp(x) for x in vocabulary.scores.values()) == pytest.approx(1)
+    words = sorted({w for _, t in rows for w in WORDS.findall(t or "") if w.isascii()} | {"internationalization", "getElementsByName", "1234567", "--==--", "supercalifragilistic"})
+    got = token_counts.count_all(words, vocabulary.scores, vocabulary.byte_score)
+    assert got == [len(reference.encode(w)) for w in words]
+
+
 def test_empty_tables(spark, empty):
     assert jaccard.join(empty).count() == 0
     assert exact_dedup.exact_groups(empty).count() == 0
