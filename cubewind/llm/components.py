@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubewind.llm.tables import keep
+from cubewind.llm.tables import discard, keep
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        edges = keep(small.where("u <> v").distinct(), "stars")
+        before, edges = edges, keep(small.where("u <> v").distinct(), "stars")
+        discard(before)
         # done when no root has a root of its own, and no id two roots
         roots = edges.select(F.col("v").alias("_v")).distinct()
         deep = edges.join(roots, edges["u"] == roots["_v"], "left_semi")
@@ -30,4 +31,6 @@ def components(links: DataFrame) -> DataFrame:
         if deep.isEmpty() and twice.isEmpty():
             break
     own = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return keep(own.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+    out = keep(own.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+    discard(edges)
+    return out

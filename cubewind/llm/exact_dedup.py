@@ -16,12 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubewind.llm.tables import delete, keep, located, place, unused, with_groups
+from cubewind.llm.tables import delete, discard, keep, located, place, unused, with_groups
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # else each of many small stores reserves megabytes of disk
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # all stores of an executor share this much memory; the rest of the state is on disk
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
 #: Members of one group that are compared with one copy of the text that stays.
 COMPARED = 500
@@ -94,6 +97,7 @@ def _grouped(docs: DataFrame, at: str) -> DataFrame:
     folded = keep(fold(spark, feed, rows.schema, state), "folded")
     delete(spark, state)
     found = keep(with_groups(rows, folded, ["digest"], "group_size").select("doc_id", "digest", "chars", "locator", "keep_id", "keep_at", "group_size"), "exact-groups")
+    discard(rows, folded)
 
     other = _differing(docs, at, found)
     if not other.isEmpty():  # one digest of two texts
@@ -116,15 +120,19 @@ def _differing(docs: DataFrame, at: str, found: DataFrame) -> DataFrame:
     stays = texts.where(F.col("locator") == F.col("keep_at"))
     stays = stays.select("digest", F.col("norm").alias("_norm"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_salt"))
     differ = texts.where(F.col("locator") != F.col("keep_at")).join(stays, ["digest", "_salt"]).where(F.col("norm") != F.col("_norm"))
-    return keep(differ.select("doc_id", "digest", "chars", "locator", "norm"), "exact-differing")
+    out = keep(differ.select("doc_id", "digest", "chars", "locator", "norm"), "exact-differing")
+    discard(texts)
+    return out
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts, the row that stays; its doc_id may be null or that of other rows."""
     at = unused(docs, "_at")
     rows = located(docs, at)
-    gone = _grouped(rows, at).where(~F.col("kept")).select(F.col("locator").alias(at))
-    return rows.join(keep(gone, "exact-copies"), at, "left_anti").select(*docs.columns)
+    found = _grouped(rows, at)
+    gone = keep(found.where(~F.col("kept")).select(F.col("locator").alias(at)), "exact-copies")
+    discard(found)
+    return rows.join(gone, at, "left_anti").select(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubewind.llm.components import components
-from cubewind.llm.tables import keep, located, unused, with_groups
+from cubewind.llm.tables import discard, keep, located, unused, with_groups
 from cubewind.llm.textscan import SPACED, mix, pieces, windows
 
 SHINGLE = 3
@@ -274,7 +274,8 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 def _joined(docs: DataFrame, at: str, size: int, percent: int) -> DataFrame:
     """The join with the place `at` of each row, which docs has under that name, and `keep_at` of the row that stays."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(at).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    features = keep(texts.mapInArrow(_features(size, percent), _FEATURES), "features")
+    signed = keep(texts.mapInArrow(_features(size, percent), _FEATURES), "features")
+    features = keep(signed.drop("signatures"), "sets")
     key = ["n_shingles", "s1", "s2"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
     classes = features.where("n_shingles > 0").groupBy(*key).agg(first, F.count(F.lit(1)).alias("weight"), *[F.max(c).alias(c) for c in ("band", "even", "odd")])
@@ -282,9 +283,10 @@ def _joined(docs: DataFrame, at: str, size: int, percent: int) -> DataFrame:
     # a node is a hash of half of a set's digest and the band of a pair: two sets of one node only make a cluster larger; one
     # shuffle serves both uses of the signatures
     node = F.xxhash64("s1", F.col("signature") % 2 == 0).alias("node")
-    signed = features.where("n_shingles > 0").select("s1", F.explode("signatures").alias("signature")).select(node, "signature").repartition("signature")
-    shared = signed.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
-    met = keep(signed.join(shared, "signature").drop("least"), "met")
+    each = signed.where("n_shingles > 0").select("s1", F.explode("signatures").alias("signature")).select(node, "signature").repartition("signature")
+    shared = each.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
+    met = keep(each.join(shared, "signature").drop("least"), "met")
+    discard(signed)
     # sets that agree with others in too few parts have no link; without them others may have too few as well
     even = F.explode(F.array(F.lit(True), F.lit(False))).alias("even_")
     nodes = classes.select("id", "n_shingles", "weight", "band", F.col("first.at").alias("rep"), "s1", "even", "odd", even)
@@ -310,13 +312,14 @@ def _joined(docs: DataFrame, at: str, size: int, percent: int) -> DataFrame:
     pairs = sets.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     checked = keep(pairs.groupBy("component", "i", "j").applyInArrow(_verify(percent), "a long, b long, n_links long"), "checked")
 
+    discard(met)
     found = components(checked.where("b IS NOT NULL").select("a", "b"))
     degree = checked.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n_links").alias("links"))
     linked = keep(classes.select("id", *key, "first").join(found, "id").join(degree, "id"), "linked")
     heads = keep(linked.groupBy("component").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("size")), "heads")
     linked = with_groups(linked.drop("first"), heads, ["component"], "size").select(*key, "head", "links")
     named = classes.join(linked, key, "left").select(*key, "weight", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = with_groups(features.drop("signatures", "band", "even", "odd"), keep(named, "named"), key, "weight")
+    out = with_groups(features.drop("band", "even", "odd"), keep(named, "named"), key, "weight")
     one = F.col("head").isNull()  # an empty set
     return out.select("doc_id", "at", "n_shingles", F.when(one, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(one, F.col("at")).otherwise(F.col("head.at")).alias("keep_at"))
 
@@ -325,8 +328,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row, that of the smallest doc_id, of each group of near duplicates. Rows without words all stay."""
     at = unused(docs, "_at")
     rows = located(docs, at)
-    gone = _joined(rows, at, STAGE_SHINGLE, STAGE_PERCENT).where("at <> keep_at").select(F.col("at").alias(at))
-    return rows.join(keep(gone, "near-copies"), at, "left_anti").select(*docs.columns)
+    found = _joined(rows, at, STAGE_SHINGLE, STAGE_PERCENT)
+    gone = keep(found.where("at <> keep_at").select(F.col("at").alias(at)), "near-copies")
+    discard(found)
+    return rows.join(gone, at, "left_anti").select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

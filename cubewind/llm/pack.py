@@ -35,7 +35,7 @@ GAP = 0.005
 #: Long pieces are dearer than their share of the capacity: short ones are needed to fill up what is left at the end.
 PRICE_POWER = 1.1
 #: Ids of distinct words that a worker remembers; then it starts afresh.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: Pieces of one length that one task ranks.
 RANKED = 200_000
 
@@ -56,7 +56,8 @@ class WordEncoder:
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """hashes must ascend."""
-        fresh = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        # a few at a time: what the library returns for a word is large
+        fresh = [x.ids for k in range(0, len(words), 4096) for x in self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
         size = np.fromiter(map(len, fresh), np.int64, len(fresh))
         total = int(size.sum())
         while self.used + total > len(self.ids):

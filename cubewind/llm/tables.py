@@ -38,9 +38,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def by_id(docs: DataFrame, *more: str) -> DataFrame:
-    """The columns that an operator reads, a null text as an empty one."""
-    return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), *more)
+def discard(*kept: DataFrame) -> None:
+    """Delete tables of keep() that nothing reads any more."""
+    for df in kept:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
 
 
 def unused(docs: DataFrame, name: str) -> str:
