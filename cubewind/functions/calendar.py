@@ -18,6 +18,21 @@ def season_name(code: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SEASONS)), code)
 
 
+def season_label(time: Column) -> Column:
+    """Meteorological seasons: DJF, MAM, JJA, SON."""
+    return F.element_at(F.array(*map(F.lit, ("DJF", "MAM", "JJA", "SON"))), (F.floor(F.pmod(F.month(time), F.lit(12)) / 3) + 1).cast("int"))
+
+
+def month_length(year: Column, month: Column) -> Column:
+    return F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+
+
+def hours_of_month(year: Column, month: Column) -> Column:
+    """All hours of a month, as an array."""
+    first = F.make_date(year, month, F.lit(1)).cast("timestamp_ntz")
+    return F.sequence(first, F.add_months(first, 1).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))
+
+
 def dry_wet(time: Column) -> Column:
     """1 from December to May, else 2."""
     return F.when(F.month(time).isin(*WET_MONTHS), 1).otherwise(2)

@@ -73,6 +73,32 @@ def grid_distance(first: Column, second: Column, axis: str) -> Column:
     return F.coalesce(first, second, F.raise_error(F.lit(f"no grid distance for {axis}")).cast("double"))
 
 
+def global_attributes(source: dict[str, str], grid: dict[str, float], domain: str, variable: str, created: str, more: dict[str, str] | None = None) -> dict[str, str]:
+    """Global attributes of a file of an experiment, from those of the model's output and the extent of its grid. `more` (title,
+    institution and the like) is taken over and wins."""
+    words = source["TITLE"].split()
+    # Fixed names and texts of the file format
+    out = {
+        "DATA_NOTES": "File generated with the output of successive model runs of 36H (first 12 hours discarded for spin-up)",
+        "WRF_VERSION": " ".join(words[2:4]), "CREATION_DATE": created, "VARNAME": variable, "DOMAIN": domain.removeprefix("d").lstrip("0"), "NESTED": "NO" if domain == "d01" else "YES",
+        "TIME_ZONE": "UTC", "PRODUCT_LEVEL": "H", "LEVEL_INFO": "H: original simulation output; D: daily; M: monthly; Y: yearly; S: static",
+        "PROJ_NAME": source["MAP_PROJ_CHAR"], "PROJ_CENTRAL_LON": source["STAND_LON"], "PROJ_CENTRAL_LAT": source["MOAD_CEN_LAT"],
+        "PROJ_STANDARD_PAR1": source["TRUELAT1"], "PROJ_STANDARD_PAR2": source["TRUELAT2"], "PROJ_SEMIMAJOR_AXIS": "6370000.0", "PROJ_SEMIMINOR_AXIS": "6370000.0",
+        "PROJ_FALSE_EASTING": "0.0", "PROJ_FALSE_NORTHING": "0.0", "PROJ_DATUM": "WGS-84", "PYPROJ_SRS": source["pyproj_srs"],
+        "GRID_INFO": "Grid spacing: GRID_DX and GRID_DY (unit: m), Down left corner: GRID_X00 and GRID_Y00 (unit: m), Upper Left Corner: GRID_X01 and GRID_Y01 (unit: m)",
+        "GRID_DX": source["DX"], "GRID_DY": source["DY"],
+    }
+    return out | {k: str(v) for k, v in grid.items()} | (more or {})
+
+
+def with_attributes(own: Column, more: Column) -> Column:
+    """Two maps of attributes as one; the second wins."""
+    return F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(more, k)), more)
+
+
+COORDINATES = "lon lat"  # what variables on the model grid name as their coordinates
+
+
 def file_stem(kind: str, variables: list[str], start: str, end: str, levels: list[int] | None = None, low: float = 0.1, high: float = 2000, mask: bool = True, mask_sea: bool = False) -> str:
     where = f"p-{'-'.join(map(str, levels))}" if levels else f"hgt-{int(low)}-{int(high)}"
     return f"{kind}_{where}_v-{'-'.join(variables)}_y-{start[:4]}-{end[:4]}{'' if mask else '_nomask'}{'_masksea' if mask_sea else ''}"

@@ -112,6 +112,17 @@ def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * WEB_SPHERE, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * WEB_SPHERE
 
 
+def area() -> Column:
+    """Square degrees of a domain row."""
+    return (F.col("lon_max") - F.col("lon_min")) * (F.col("lat_max") - F.col("lat_min"))
+
+
+def ring() -> Column:
+    """The corners of a domain row as an array of (x, y)."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return F.array(corner("lon_min", "lat_min"), corner("lon_max", "lat_min"), corner("lon_max", "lat_max"), corner("lon_min", "lat_max"))
+
+
 def total_bounds(df: DataFrame) -> DataFrame:
     x0, y0 = web_mercator(F.col("lon_min"), F.col("lat_min"))
     x1, y1 = web_mercator(F.col("lon_max"), F.col("lat_max"))

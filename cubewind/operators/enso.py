@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cubewind.operators import series
 
@@ -32,5 +33,17 @@ def classify_seasons(index: DataFrame, threshold: float = THRESHOLD) -> DataFram
     return index.groupBy(F.quarter("time").alias("season"), F.year("time").alias("year")).agg(_class(threshold).alias("class"))
 
 
+def composite_difference(warm: DataFrame, cold: DataFrame, column: str) -> DataFrame:
+    """warm - cold by cell and position of the day in each composite: the first day of one meets the first of the other.
+    Only the distinct days are numbered."""
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        days = df.select("time").distinct().withColumn("day", F.row_number().over(Window.orderBy("time")))
+        return df.join(days, "time").select("day", "j", "i", F.col(column).alias(name))
+
+    both = numbered(warm, "_warm").join(numbered(cold, "_cold"), ["day", "j", "i"])
+    return both.select("day", "j", "i", (F.col("_warm") - F.col("_cold")).alias(column))
+
+
 def masks(column: Column) -> dict[str, Column]:
     return {"nino": column == 1, "nina": column == -1, "no_nino": column != 1, "no_nina": column != -1}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Name, latitude, longitude
@@ -44,20 +44,41 @@ def with_model(observed: DataFrame, model: DataFrame, how: str = "inner", on: Se
     return observed.join(model, list(on), how)
 
 
-def nearest_cell(points: DataFrame, grid: DataFrame, metric: str = "chebyshev") -> DataFrame:
-    """station, j, i, dist of the cell that is nearest to each station; of equal distances the least (j, i).
-    The points are a catalogue and the grid a dimension table; each task reduces to one row per station before the shuffle."""
-    p = points.select("station", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+def _distance(metric: str) -> Column:
     dlat, dlon = F.abs(F.col("lat") - F.col("_lat")), F.abs(F.col("lon") - F.col("_lon"))
     if metric == "chebyshev":
-        dist = F.greatest(dlat, dlon)
-    else:
-        half = F.pow(F.sin(F.radians(dlat) / 2), 2) + F.cos(F.radians("lat")) * F.cos(F.radians("_lat")) * F.pow(F.sin(F.radians(dlon) / 2), 2)
-        dist = 2 * F.asin(F.sqrt(F.least(half, F.lit(1.0))))
-    every = p.agg(F.collect_list(F.struct("station", "_lat", "_lon")).alias("_p"))  # the catalogue as one row
-    pairs = grid.select("j", "i", "lat", "lon").join(F.broadcast(every)).select("j", "i", "lat", "lon", F.inline("_p"))
-    best = pairs.groupBy("station").agg(F.min(F.struct(dist.alias("dist"), "j", "i")).alias("_b"))
-    return best.select("station", "_b.j", "_b.i", "_b.dist")
+        return F.greatest(dlat, dlon)
+    half = F.pow(F.sin(F.radians(dlat) / 2), 2) + F.cos(F.radians("lat")) * F.cos(F.radians("_lat")) * F.pow(F.sin(F.radians(dlon) / 2), 2)
+    return 2 * F.asin(F.sqrt(F.least(half, F.lit(1.0))))
+
+
+def nearest_cell(points: DataFrame, grid: DataFrame, metric: str = "chebyshev", bin: float = 0.25) -> DataFrame:
+    """station, j, i, dist of the cell that is nearest to each station; of equal distances the least (j, i). Cells and
+    stations meet in bins of `bin` degrees: a station asks the bins around its own, then wider squares as long as nothing is
+    near enough to rule out what lies outside. Both joins are equi-joins, so neither side is broadcast or crossed."""
+    number = lambda c: F.floor(F.col(c) / bin)
+    cells = grid.select("j", "i", "lat", "lon", number("lon").alias("_x"), number("lat").alias("_y"))
+    todo = points.select("station", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    # how far bins must reach at all
+    end = cells.agg(*[f(c).alias(f"{c}{k}") for c in ("_x", "_y") for k, f in enumerate((F.min, F.max))]).first()
+    far = todo.agg(*[f(number(c)).alias(f"{c}{k}") for c in ("_lon", "_lat") for k, f in enumerate((F.min, F.max))]).first()
+    if end[0] is None or far[0] is None:
+        return todo.join(cells, F.lit(False)).select("station", "j", "i", F.lit(0.0).alias("dist"))
+    most = max(abs(a - b) for side in ((0, 1), (2, 3)) for a in (end[side[0]], end[side[1]]) for b in (far[side[0]], far[side[1]])) + 1
+    found, reach = None, 1
+    while True:
+        ring = F.sequence(F.lit(-reach), F.lit(reach))
+        asked = todo.withColumn("_dx", F.explode(ring)).withColumn("_dy", F.explode(ring)).withColumn("_x", number("_lon") + F.col("_dx")).withColumn("_y", number("_lat") + F.col("_dy"))
+        near = asked.join(cells, ["_x", "_y"])
+        best = near.groupBy("station", "_lat", "_lon").agg(F.min(F.struct(_distance(metric).alias("dist"), "j", "i")).alias("_b"), F.min(F.greatest(F.abs(F.col("lat") - F.col("_lat")), F.abs(F.col("lon") - F.col("_lon")))).alias("_near"))
+        # in degrees, what lies outside is farther than `reach` bins; on the sphere a degree of longitude is shorter
+        sure = F.col("_near") <= F.lit(reach * bin) * (F.cos(F.radians(F.least(F.abs("_lat") + reach * bin, F.lit(89.0)))) if metric != "chebyshev" else F.lit(1.0))
+        done = best if reach > most else best.where(sure)
+        found = done if found is None else found.unionByName(done)
+        todo = todo.join(done.select("station"), "station", "left_anti")
+        if reach > most or todo.isEmpty():
+            return found.select("station", "_b.j", "_b.i", "_b.dist")
+        reach *= 4
 
 
 def nearest_series(cube: DataFrame, points: DataFrame, grid: DataFrame, variable: str) -> DataFrame:
@@ -84,6 +105,45 @@ def features_in_boxes(features: DataFrame, boxes: DataFrame, cell: float = 1.0)
     return f.join(b, ["_x", "_y"]).where(inside).drop("_x", "_y")
 
 
+def _inside(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point is in a ring (array of struct x, y), by the parity of crossings."""
+    after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    edges = F.arrays_zip(ring.alias("a"), after.alias("b"))
+    crossed = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"])
+    return F.size(F.filter(edges, crossed)) % 2 == 1
+
+
+def _segments(points: Column) -> Column:
+    return F.arrays_zip(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))).alias("a"), F.slice(points, 2, F.size(points)).alias("b"))
+
+
+def _side(p: Column, q: Column, r: Column) -> Column:
+    return F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+
+
+def _meet(s: Column, e: Column) -> Column:
+    """Whether two segments meet; those on one line do if their boxes do."""
+    boxes = [F.greatest(F.least(s["a"][c], s["b"][c]), F.least(e["a"][c], e["b"][c])) <= F.least(F.greatest(s["a"][c], s["b"][c]), F.greatest(e["a"][c], e["b"][c])) for c in ("x", "y")]
+    return boxes[0] & boxes[1] & (_side(s["a"], s["b"], e["a"]) * _side(s["a"], s["b"], e["b"]) <= 0) & (_side(e["a"], e["b"], s["a"]) * _side(e["a"], e["b"], s["b"]) <= 0)
+
+
+def features_in_polygons(features: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
+    """Lines or points (`points`, array of struct x, y) that meet polygons (id, `ring`, the same without the first again at the
+    end). Both are dealt to coarse cells that their boxes touch, so that it is an equi-join; each pair is tested once."""
+
+    def dealt(df: DataFrame, points: str, key: str) -> DataFrame:
+        low, high = (lambda c, f=f: F.floor(f(F.transform(points, lambda p: p[c])) / cell) for f in (F.array_min, F.array_max))
+        span = lambda c: F.explode(F.sequence(low(c), high(c)))
+        return df.withColumn(key, F.monotonically_increasing_id()).withColumn("_x", span("x")).withColumn("_y", span("y"))
+
+    pairs = dealt(features, "points", "_f").join(dealt(polygons, "ring", "_p"), ["_x", "_y"]).dropDuplicates(["_f", "_p"])
+    line, ring = F.col("points"), F.col("ring")
+    closed = F.concat(ring, F.slice(ring, 1, 1))
+    inside = F.exists(line, lambda p: _inside(p["x"], p["y"], ring))
+    crossing = F.exists(_segments(line), lambda s: F.exists(_segments(closed), lambda e: _meet(s, e)))
+    return pairs.where(inside | crossing).drop("_f", "_p", "_x", "_y")
+
+
 def points_in_polygon(points: DataFrame, polygon: Sequence[tuple[float, float]]) -> DataFrame:
     """Points (lon, lat) inside a polygon, by the parity of crossings; a plain expression over the edges."""
     crossings = F.lit(0)

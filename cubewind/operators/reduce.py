@@ -64,6 +64,16 @@ def annual_rate(value: Column) -> Column:
     return value * 24 * 365
 
 
+def total_precipitation(df: DataFrame, column: str) -> DataFrame:
+    """Sum over time of metres of water, in millimetres, per cell."""
+    return df.groupBy("j", "i").agg((F.sum(column) * 1000).alias(column))
+
+
+def level_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean over levels, by time and cell."""
+    return df.groupBy("time", "j", "i").agg(*_means(columns))
+
+
 def grid_metadata(grid: DataFrame) -> DataFrame:
     """Extent and size of a grid in metres."""
     return grid.agg(

@@ -14,28 +14,36 @@ from pyspark.sql.window import Window
 SIGNIFICANT = 0.05
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised, by the continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    out = d
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised, by the continued fraction, of whole arrays."""
+    a, b, x = (np.array(v, float) for v in np.broadcast_arrays(a, b, x))
+    turned = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turned, b, a), np.where(turned, a, b), np.clip(np.where(turned, 1 - x, x), 1e-300, 1 - 1e-16)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    some = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    c, d = np.ones_like(x), 1 / some(1 - (a + b) * x / (a + 1))
+    out = d.copy()
     for m in range(1, 400):
         for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + top * d or 1e-300)
-            c = 1 + top / c or 1e-300
+            d = 1 / some(1 + top * d)
+            c = some(1 + top / c)
             out *= c * d
-        if abs(c * d - 1) < 1e-14:
+        if not len(np.atleast_1d(out)) or np.abs(c * d - 1).max() < 1e-14:
             break
-    return front * out
+    return np.where(turned, 1 - front * out, front * out)
 
 
-def p_value(t: float, df: float) -> float:
+def p_values(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Two-sided, of Student's t."""
-    return 1.0 if df <= 0 or math.isnan(t) else incomplete_beta(df / 2, 0.5, df / (df + t * t))
+    t, df = np.asarray(t, float), np.asarray(df, float)
+    fine = (df > 0) & ~np.isnan(t)
+    safe = np.where(fine, df, 1.0)
+    return np.where(fine, incomplete_beta(safe / 2, 0.5, safe / (safe + np.where(fine, t, 0.0) ** 2)), 1.0)
+
+
+def p_value(t: float, df: float) -> float:
+    return float(p_values(t, df))
 
 
 def critical_t(df: float, p: float = SIGNIFICANT) -> float:
@@ -51,7 +59,7 @@ def p_column(t: Column, df: Column) -> Column:
 
     @F.pandas_udf("double")
     def p(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(b) else p_value(float(a), float(b)) for a, b in zip(t, df, strict=True)])
+        return pd.Series(p_values(t.to_numpy(float), df.to_numpy(float))).where((t.notna() & df.notna()).to_numpy(), None)
 
     return p(t, df)
 
@@ -89,23 +97,30 @@ def significant(fit: DataFrame, p: float = SIGNIFICANT) -> DataFrame:
     return fit.where(F.col("t").isNotNull() & (p_column(F.col("t"), (F.col("n") - 2).cast("double")) < p))
 
 
-def significant_by(fit: DataFrame, limits: dict[int, float]) -> DataFrame:
-    """The same from a table of critical values by number of points."""
-    pairs = [x for n, t in limits.items() for x in (F.lit(n), F.lit(t))]
-    return fit.where(F.abs("t") > F.create_map(*pairs)[F.col("n").cast("int")])
-
-
-def adjusted(fit: DataFrame, p: str = "p") -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values of a map of fits."""
-    ranked = fit.withColumn("_m", F.count(p).over(Window.partitionBy())).withColumn("_r", F.rank().over(Window.orderBy(p)))
-    down = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("p_adjusted", F.least(F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down), F.lit(1.0))).drop("_m", "_r")
+def adjusted(fit: DataFrame, p: str = "p", parts: int = 200) -> DataFrame:
+    """Benjamini-Hochberg adjusted p-values of a map of fits, which is read twice. p-values are dealt to `parts` bins by their
+    value; counts and least quotients of the bins, a row each, give every bin its offsets, so that no task sees all fits."""
+    binned = fit.withColumn("_bin", F.least(F.floor(F.col(p) * parts), F.lit(parts - 1)))
+    same = binned.where(F.col(p).isNotNull()).groupBy("_bin", p).agg(F.count(F.lit(1)).alias("_c"))
+    bins = same.groupBy("_bin").agg(F.sum("_c").alias("_in"))
+    below = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # over `parts` rows
+    bins = bins.select("_bin", F.coalesce(F.sum("_in").over(below), F.lit(0)).alias("_before"), F.sum("_in").over(Window.partitionBy()).alias("_m"))
+    # as in rank(): the first place of equal values
+    ranked = same.join(F.broadcast(bins), "_bin").withColumn("_r", F.col("_before") + F.sum("_c").over(Window.partitionBy("_bin").orderBy(p)) - F.col("_c") + 1)
+    ranked = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
+    down = Window.partitionBy("_bin").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    least = ranked.groupBy("_bin").agg(F.min("_q").alias("_least"))
+    above = least.select("_bin", F.min("_least").over(Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))  # over `parts` rows
+    values = ranked.withColumn("_q", F.min("_q").over(down)).join(F.broadcast(above), "_bin").select(p, F.least("_q", "_above", F.lit(1.0)).alias("p_adjusted"))
+    return fit.join(values, p, "left").select(*fit.columns, "p_adjusted")
 
 
 def residuals(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
-    w = Window.partitionBy(*by)
-    slope, start = F.regr_slope(F.col(y), F.col(x)).over(w), F.regr_intercept(F.col(y), F.col(x)).over(w)
-    return df.withColumn("fitted", start + slope * F.col(x)).withColumn("residual", F.col(y) - F.col("fitted"))
+    """Fitted values and what is left; the fits are aggregated before they meet the rows again."""
+    fits = df.groupBy(*by).agg(F.regr_slope(F.col(y), F.col(x)).alias("_s"), F.regr_intercept(F.col(y), F.col(x)).alias("_c"))
+    out = df.join(fits, list(by), "left") if by else df.join(F.broadcast(fits))  # one row
+    out = out.withColumn("fitted", F.col("_c") + F.col("_s") * F.col(x)).withColumn("residual", F.col(y) - F.col("fitted"))
+    return out.select(*df.columns, "fitted", "residual")
 
 
 def trend_line(fit: DataFrame, low: float, high: float, points: int = 100) -> DataFrame:

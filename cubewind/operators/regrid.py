@@ -44,6 +44,42 @@ def bilinear(points: DataFrame, raster: DataFrame, value: str, origin: tuple[flo
     return both.groupBy(*columns).agg(F.when(some, F.sum(F.when(F.col("_w") == 0, 0.0).otherwise(F.col("_w") * F.col("_v")))).alias(value))
 
 
+def bilinear_weights(target: DataFrame, origin: tuple[float, float], step: tuple[float, float]) -> DataFrame:
+    """target (keys, lon, lat) with the four source cells (j, i) of each point and their weights. Written once, they serve all
+    files of a grid."""
+    keys = [c for c in target.columns if c not in ("lon", "lat")]
+    at = target.withColumn("_x", (F.col("lon") - origin[0]) / step[0]).withColumn("_y", (F.col("lat") - origin[1]) / step[1])
+    corners = F.array(*[F.struct(F.lit(dj).alias("dj"), F.lit(di).alias("di")) for dj in (0, 1) for di in (0, 1)])
+    fx, fy = F.col("_x") - F.floor("_x"), F.col("_y") - F.floor("_y")
+    wide = at.select(*keys, "_x", "_y", fx.alias("_fx"), fy.alias("_fy"), F.explode(corners).alias("_c"))
+    weight = F.when(F.col("_c.di") == 1, F.col("_fx")).otherwise(1 - F.col("_fx")) * F.when(F.col("_c.dj") == 1, F.col("_fy")).otherwise(1 - F.col("_fy"))
+    return wide.select(*keys, (F.floor("_y") + F.col("_c.dj")).cast("int").alias("j"), (F.floor("_x") + F.col("_c.di")).cast("int").alias("i"), weight.alias("weight"))
+
+
+def remap(cube: DataFrame, weights: DataFrame, variable: str) -> DataFrame:
+    """All files and times of a cube on another grid: keys of the weights' target, the cube's other coordinates and the
+    variable; NULL where one of the cells of weight is missing."""
+    keys = [c for c in weights.columns if c not in ("j", "i", "weight")]
+    others = [c for c in cube.columns if c in ("file", "time", "level")]
+    both = cube.join(weights.where("weight <> 0"), ["j", "i"])
+    need = weights.where("weight <> 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("_need"))
+    out = both.groupBy(*others, *keys).agg(F.sum(F.col("weight") * F.col(variable)).alias(variable), F.count(variable).alias("_n"))
+    return out.join(need, keys).select(*others, *keys, F.when(F.col("_n") == F.col("_need"), F.col(variable)).alias(variable))
+
+
+def pixels(x: Column, y: Column, origin: tuple[float, float], step: tuple[float, float]) -> tuple[Column, Column]:
+    """Pixel coordinates of positions on a regular grid."""
+    return (x - origin[0]) / step[0], (y - origin[1]) / step[1]
+
+
+def transform_nearest(target: DataFrame, source: DataFrame, value: str, origin: tuple[float, float], step: tuple[float, float]) -> DataFrame:
+    """target (with lon, lat) and the value of the source cell that each point lies in; NULL outside."""
+    x, y = pixels(F.col("lon"), F.col("lat"), origin, step)
+    cells = source.select(F.col("j").alias("_sj"), F.col("i").alias("_si"), value)
+    at = target.withColumn("_sj", F.floor(y + 0.5).cast("int")).withColumn("_si", F.floor(x + 0.5).cast("int"))
+    return at.join(cells, ["_sj", "_si"], "left").drop("_sj", "_si")
+
+
 def cubic_weight(d: Column) -> Column:
     """Catmull-Rom."""
     a = F.abs(d)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _ts(value: str) -> Column:
@@ -27,8 +30,9 @@ def level(df: DataFrame, value: int) -> DataFrame:
 def level_difference(df: DataFrame, variable: str, first: int, second: int) -> DataFrame:
     """second - first where both are there, in one pass."""
     at = lambda k: F.max(F.when(F.col("level") == k, F.col(variable)))
-    both = df.where(F.col("level").isin(first, second)).groupBy("time", "j", "i").agg(at(first).alias("_a"), at(second).alias("_b"), F.countDistinct("level").alias("_n"))
-    return both.where("_n = 2").select("time", "j", "i", (F.col("_b") - F.col("_a")).alias(variable))
+    there = lambda k: F.max(F.when(F.col("level") == k, True))
+    both = df.where(F.col("level").isin(first, second)).groupBy("time", "j", "i").agg(at(first).alias("_a"), at(second).alias("_b"), there(first).alias("_x"), there(second).alias("_y"))
+    return both.where("_x AND _y").select("time", "j", "i", (F.col("_b") - F.col("_a")).alias(variable))
 
 
 def crop(df: DataFrame, size: tuple[int, int], cells: int) -> DataFrame:
@@ -43,6 +47,13 @@ def first_time(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(first), df["time"] == first["_first"], "left_semi")  # one row
 
 
+def first_steps(df: DataFrame, steps: int = 24, by: Sequence[str] = ()) -> DataFrame:
+    """The rows of the first time steps, of each group of files or runs if there are any. Only distinct times are ranked."""
+    times = df.select(*by, "time").distinct()
+    early = times.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("time"))).where(F.col("_k") <= steps)
+    return df.join(early.drop("_k"), [*by, "time"], "left_semi")
+
+
 def stride(df: DataFrame, offset: int = 4, step: int = 7) -> DataFrame:
     """Every step-th cell of the first time step."""
     on = lambda c: (F.col(c) >= offset) & (F.pmod(F.col(c) - offset, F.lit(step)) == 0)

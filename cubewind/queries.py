@@ -88,9 +88,9 @@ def date_slice_whole_days(spark, d):
     return select.date_slice(cube(spark, d), "1996-03-01", "1996-03-31").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("v"))
 
 
-@query('SELECT j, i, "time", v FROM cube WHERE level = 3 AND w > 49')
+@query('SELECT j, i, "time", v FROM cube WHERE level = 3')
 def level_select(spark, d):
-    return select.level(cube(spark, d), 3).where("w > 49").select("j", "i", "time", "v")
+    return select.level(cube(spark, d), 3).select("j", "i", "time", "v")
 
 
 @query("""SELECT "time", j, i, round(max(CASE WHEN level = 2 THEN v END) - max(CASE WHEN level = 1 THEN v END), 4) AS v
@@ -124,6 +124,12 @@ def same_times(spark, d):
     return select.same_times(cube(spark, d), select.level(cube(spark, d), 7)).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query('SELECT i, count(*) AS n, round(sum(v), 2) AS v FROM (SELECT i, "time", v, dense_rank() OVER (PARTITION BY i ORDER BY "time") AS k FROM cube) WHERE k <= 24 GROUP BY 1')
+def first_day_of_run(spark, d):
+    """The first 24 time steps of each column of cells."""
+    return select.first_steps(cube(spark, d), 24, ["i"]).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("v"))
+
+
 @query("SELECT j, i, hgt FROM grid WHERE landmask IS NOT NULL AND landmask <> 0 AND lon BETWEEN -91.25 AND -90.75 AND lat BETWEEN -1.45 AND -1.15")
 def marked_in_box(spark, d):
     return select.marked(select.box(grid(spark), (-91.2, -90.8), (-1.4, -1.2), 0.05), "landmask").select("j", "i", "hgt")
@@ -222,6 +228,37 @@ def annualised_rate(spark, d):
     return cube(spark, d).agg(F.round(reduce.annual_rate(F.avg("w")), 4).alias("w"))
 
 
+@query('SELECT j, i, round(sum(w) * 1000, 4) AS w FROM cube GROUP BY 1, 2')
+def total_precipitation(spark, d):
+    return rounded(reduce.total_precipitation(cube(spark, d), "w"), 4, "w")
+
+
+@query('SELECT "time", j, i, round(avg(w), 6) AS w FROM cube GROUP BY 1, 2, 3')
+def level_mean(spark, d):
+    return rounded(reduce.level_mean(cube(spark, d), ["w"]), 6, "w")
+
+
+@query("""SELECT CASE WHEN month("time") IN (12, 1, 2) THEN 'DJF' WHEN month("time") < 6 THEN 'MAM' WHEN month("time") < 9 THEN 'JJA' ELSE 'SON' END AS season, count(*) AS n FROM cube GROUP BY 1""")
+def season_labels(spark, d):
+    return cube(spark, d).groupBy(calendar.season_label(F.col("time")).alias("season")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT year, month, CAST(day(last_day(make_date(year, month, 1))) AS INT) AS days, len(generate_series(CAST(make_date(year, month, 1) AS TIMESTAMP), CAST(last_day(make_date(year, month, 1)) AS TIMESTAMP) + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS hours
+FROM (SELECT DISTINCT CAST(year("time") AS INT) AS year, CAST(month("time") AS INT) AS month FROM cube)""")
+def month_hours(spark, d):
+    months = cube(spark, d).select(F.year("time").alias("year"), F.month("time").alias("month")).distinct()
+    hours = calendar.hours_of_month(F.col("year"), F.col("month"))
+    return months.select("year", "month", calendar.month_length(F.col("year"), F.col("month")).alias("days"), F.size(hours).cast("long").alias("hours"))
+
+
+@query(""", c AS (SELECT "time", j, i, avg(v) AS v FROM cube GROUP BY 1, 2, 3), n AS (SELECT *, dense_rank() OVER (PARTITION BY year("time") ORDER BY "time") AS k FROM c WHERE year("time") IN (1996, 1997))
+SELECT CAST(a.k AS INT) AS "day", a.j, a.i, round(a.v - b.v, 3) AS v FROM n a JOIN n b ON a.k = b.k AND a.j = b.j AND a.i = b.i WHERE year(a."time") = 1997 AND year(b."time") = 1996""")
+def composite_difference(spark, d):
+    c = cube(spark, d).groupBy("time", "j", "i").agg(F.avg("v").alias("v"))
+    year = lambda y: select.time_slice(c, f"{y}-01-01", f"{y}-12-31")
+    return rounded(enso.composite_difference(year(1997), year(1996), "v"), 3, "v")
+
+
 # joins and unions
 @query("""SELECT coalesce(a."time", b."time") AS "time", a.v, b.w FROM (SELECT "time", round(avg(v), 4) AS v FROM cube WHERE level = 1 GROUP BY 1) a
 FULL OUTER JOIN (SELECT "time", round(avg(w), 6) AS w FROM cube WHERE level = 7 GROUP BY 1) b ON a."time" = b."time\"""")
@@ -230,10 +267,10 @@ def merge_variables_outer(spark, d):
     return joins.merge_variables(rounded(mean(1, "v"), 4, "v"), rounded(mean(7, "w"), 6, "w"))
 
 
-@query('SELECT c."time", j, i, level, v, n_orders FROM cube c JOIN (SELECT o_orderdate AS t, count(*) AS n_orders FROM orders GROUP BY 1) o ON c."time" = o.t WHERE w > 45')
+@query('SELECT c."time", j, i, level, v, n_orders FROM cube c JOIN (SELECT o_orderdate AS t, count(*) AS n_orders FROM orders GROUP BY 1) o ON c."time" = o.t')
 def attach_second_variable(spark, d):
     per_day = table(spark, d, "orders").groupBy(F.col("o_orderdate").alias("time")).agg(F.count(F.lit(1)).alias("n_orders"))
-    return joins.merge_variables(cube(spark, d).where("w > 45").drop("w"), per_day, "inner").select("time", "j", "i", "level", "v", "n_orders")
+    return joins.merge_variables(cube(spark, d).drop("w"), per_day, "inner").select("time", "j", "i", "level", "v", "n_orders")
 
 
 @query('SELECT CAST(year("time") AS INT) AS year, count(*) AS n FROM (SELECT * FROM cube WHERE level = 1 UNION ALL SELECT * FROM cube WHERE level = 1 UNION ALL SELECT * FROM cube WHERE level = 2) GROUP BY 1')
@@ -243,9 +280,9 @@ def concat_time(spark, d):
     return files.combine([one, one, select.level(c, 2)]).groupBy(F.year("time").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query('SELECT "time", v, w FROM cube WHERE level IN (6, 7) AND w > 49')
+@query('SELECT "time", v, w FROM cube WHERE level IN (6, 7)')
 def merge_time_sorted(spark, d):
-    c = cube(spark, d).where("w > 49")
+    c = cube(spark, d)
     return files.combine([select.level(c, 6), select.level(c, 7)], sort=True).select("time", "v", "w")
 
 
@@ -343,12 +380,16 @@ def trend_map(spark, d):
     return rounded(rounded(_trend(spark, d), 7, "slope"), 6, "t")
 
 
-_LIMITS = {5: 3.182446, 6: 2.776445, 7: 2.570582}
+# p-values of Student's t for 1 to 5 degrees of freedom; the tables have seven years
+_P = """, a AS (SELECT *, n - 2 AS df, atan(abs(t) / sqrt(n - 2)) AS h FROM t WHERE n > 2),
+p AS (SELECT j, i, n, s, t, 1 - CASE df WHEN 1 THEN 2 / pi() * h WHEN 2 THEN sin(h) WHEN 3 THEN 2 / pi() * (h + sin(h) * cos(h)) WHEN 4 THEN sin(h) * (1 + cos(h) ** 2 / 2)
+      WHEN 5 THEN 2 / pi() * (h + sin(h) * (cos(h) + 2.0 / 3 * cos(h) ** 3)) END AS p FROM a UNION ALL SELECT j, i, n, s, t, NULL FROM t WHERE n <= 2)
+"""
 
 
-@query(_CELLS + "SELECT j, i, round(s, 7) AS slope FROM t WHERE abs(t) > CASE n WHEN 5 THEN 3.182446 WHEN 6 THEN 2.776445 WHEN 7 THEN 2.570582 END")
+@query(_CELLS + _P + "SELECT j, i, round(s, 7) AS slope FROM p WHERE p < 0.05")
 def trend_map_significant(spark, d):
-    return rounded(regression.significant_by(_trend(spark, d), _LIMITS).select("j", "i", "slope"), 7, "slope")
+    return rounded(regression.significant(_trend(spark, d)).select("j", "i", "slope"), 7, "slope")
 
 
 @query(_CELLS + "SELECT round(greatest(abs(min(s)), max(s)), 5) AS \"limit\" FROM t")
@@ -356,10 +397,12 @@ def trend_symmetric_range(spark, d):
     return rounded(reduce.symmetric_range(_trend(spark, d), "slope"), 5, "limit")
 
 
-@query()
+@query(_CELLS + _P + """, r AS (SELECT *, rank() OVER (ORDER BY p) AS r, count(p) OVER () AS m FROM p WHERE p IS NOT NULL),
+q AS (SELECT j, i, least(min(p * m / r) OVER (ORDER BY r DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS q FROM r)
+SELECT p.j, p.i, round(p, 7) AS p, round(q, 7) AS p_adjusted FROM p LEFT JOIN q ON p.j = q.j AND p.i = q.i""")
 def trend_map_adjusted(spark, d):
     """p-values and their Benjamini-Hochberg adjustment."""
-    return regression.adjusted(regression.with_p(_trend(spark, d)))
+    return rounded(regression.adjusted(regression.with_p(_trend(spark, d))).select("j", "i", "p", "p_adjusted"), 7, "p", "p_adjusted")
 
 
 # one series
@@ -396,13 +439,31 @@ def residual_lag1_acf(spark, d):
 
 def _model(model: str, mode: str = "textbook"):
     def run(spark, d):
-        return regression.fit(_yearly(spark, d), "v", "year", model=model, mode=mode)
+        fit = regression.fit(_yearly(spark, d), "v", "year", model=model, mode=mode)
+        return fit.select("n", F.round("slope", 5).alias("slope"), F.round("intercept", 1).alias("intercept"), F.round("t", 5).alias("t"))
 
     return run
 
 
 QUERIES |= {"fit_gls_ar1": _model("gls-ar1"), "fit_gls_hs": _model("gls-hs"), "fit_rls": _model("rls"), "fit_gls_ar1_inverted": _model("gls-ar1", "inverted")}
 
+# residuals of the plain fit, years counted from 1998; weights of pairs of years, and the weighted fit
+_REST = f", e AS (SELECT year - 1998 AS x, v, v - (c + s * year) AS e FROM y, {_ONE}), "
+_RHO = "rho AS (SELECT sum(e * b) / sum(e * e) AS r FROM (SELECT e, lag(e) OVER (ORDER BY x) AS b FROM (SELECT x, e - avg(e) OVER () AS e FROM e)))"
+_WEIGHTED = """, g AS (SELECT sum(k) AS aa, sum(k * x2) AS ax, sum(k * x1 * x2) AS xx, sum(k * v2) AS ay, sum(k * x1 * v2) AS xy FROM w),
+b AS (SELECT (aa * xy - ax * ay) / (aa * xx - ax * ax) AS s, (xx * ay - ax * xy) / (aa * xx - ax * ax) AS c, aa / (aa * xx - ax * ax) AS q FROM g),
+o AS (SELECT sum(k * (v1 - c - s * x1) * (v2 - c - s * x2)) AS rss FROM w, b)
+SELECT (SELECT count(*) FROM e) AS n, round(s, 5) AS slope, round(c - 1998 * s, 1) AS intercept, round(s / sqrt(q * rss / ((SELECT count(*) FROM e) - 2)), 5) AS t FROM b, o"""
+_PAIRS = ", w AS (SELECT p.x AS x1, p.v AS v1, q.x AS x2, q.v AS v2, {} AS k FROM e p, e q, rho)"
+# the inverse of r ** |i - j|, but for a factor
+_PRECISION = "CASE WHEN p.x = q.x THEN CASE WHEN p.x IN ((SELECT min(x) FROM e), (SELECT max(x) FROM e)) THEN 1 ELSE 1 + r * r END WHEN abs(p.x - q.x) = 1 THEN -r ELSE 0 END"
+_VARIANCE = "z AS (SELECT regr_slope(e * e, x) AS s, regr_intercept(e * e, x) AS c FROM e), u AS (SELECT e.x, v, c + s * e.x AS u FROM e, z), w AS (SELECT x AS x1, v AS v1, x AS x2, v AS v2, 1 / greatest(u, 1e-12 * (SELECT max(u) FROM u)) AS k FROM u)"
+ORACLE |= {
+    "fit_gls_ar1": CTE + _Y + _REST + _RHO + _PAIRS.format(_PRECISION) + _WEIGHTED,
+    "fit_gls_ar1_inverted": CTE + _Y + _REST + _RHO + _PAIRS.format("r ** abs(p.x - q.x)") + _WEIGHTED,
+    "fit_gls_hs": CTE + _Y + _REST + _VARIANCE + _WEIGHTED,
+}
+
 
 # observations
 _DAYS = """, o AS (SELECT * FROM obs WHERE dayofweek(ts) <> 3), b AS (SELECT station, sensor, CAST(ts AS DATE) AS day, sum(value) AS s, avg(value) AS m FROM o GROUP BY 1, 2, 3),
@@ -435,14 +496,14 @@ def calendar_days(spark, d):
     return series.calendar_spine(spark, "2022-04-01", "2022-09-30")
 
 
-_PAIR = """, a AS (SELECT CAST(ts AS DATE) AS day, round(avg(value), 6) AS observed FROM obs WHERE station < 6 GROUP BY 1),
-m AS (SELECT CAST("time" + INTERVAL 10440 DAY AS DATE) AS day, round(avg(v), 3) AS model FROM cube WHERE "time" < TIMESTAMP '1995-07-01' GROUP BY 1)
+_PAIR = """, a AS (SELECT CAST(ts AS DATE) AS day, round(avg(value), 6) AS observed FROM obs GROUP BY 1),
+m AS (SELECT CAST("time" + INTERVAL 10440 DAY AS DATE) AS day, round(avg(v), 6) AS model FROM cube GROUP BY 1)
 """
 
 
 def _pair(spark, d, how: str) -> DataFrame:
-    o = observations(spark, d).where("station < 6").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("observed"))
-    m = cube(spark, d).where(F.col("time") < F.lit("1995-07-01").cast("timestamp_ntz")).groupBy(F.date_add(F.to_date("time"), 10440).alias("day")).agg(F.round(F.avg("v"), 3).alias("model"))
+    o = observations(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("observed"))
+    m = cube(spark, d).groupBy(F.date_add(F.to_date("time"), 10440).alias("day")).agg(F.round(F.avg("v"), 6).alias("model"))
     return joins.with_model(o, m, how, ["day"])
 
 
@@ -507,10 +568,43 @@ def regrid_bilinear(spark, d):
     return regrid.bilinear(target, grid(spark), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", F.round("hgt", 5).alias("hgt"))
 
 
-@query()
+_W = "CASE WHEN {0} <= 1 THEN 1.5 * {0} ** 3 - 2.5 * {0} ** 2 + 1 WHEN {0} < 2 THEN -0.5 * {0} ** 3 + 2.5 * {0} ** 2 - 4 * {0} + 2 ELSE 0 END"
+
+
+@query(f""", p AS (SELECT tj, ti, (-91.493 + ti * 0.0154 + 91.5) / 0.05 AS x, (-1.487 + tj * 0.0154 + 1.5) / 0.05 AS y FROM (SELECT CAST(range AS INT) AS tj FROM range(25)), (SELECT CAST(range AS INT) AS ti FROM range(60))),
+k AS (SELECT tj, ti, x, y, CAST(floor(x) AS INT) + di AS i, CAST(floor(y) AS INT) + dj AS j FROM p, (SELECT unnest([-1, 0, 1, 2]) AS di), (SELECT unnest([-1, 0, 1, 2]) AS dj))
+SELECT tj, ti, round(CASE WHEN count(hgt) = 16 THEN sum(({_W.format('abs(x - k.i)')}) * ({_W.format('abs(y - k.j)')}) * hgt) END, 5) AS hgt FROM k LEFT JOIN grid g ON k.i = g.i AND k.j = g.j GROUP BY 1, 2""")
 def regrid_bicubic(spark, d):
     target = regrid.lonlat_grid(spark, 60, 25, -91.493, 0.0154, -1.487, 0.0154).select(F.col("j").alias("tj"), F.col("i").alias("ti"), "lon", "lat")
-    return regrid.bicubic(target, grid(spark), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", "hgt")
+    return regrid.bicubic(target, grid(spark), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", F.round("hgt", 5).alias("hgt"))
+
+
+_TARGET = "SELECT CAST(range // 30 AS INT) AS tj, CAST(range % 30 AS INT) AS ti, -91.4931 + (range % 30) * 0.0313 AS lon, -1.4873 + (range // 30) * 0.0283 AS lat FROM range(450)"
+
+
+def _target(spark) -> DataFrame:
+    return regrid.lonlat_grid(spark, 30, 15, -91.4931, 0.0313, -1.4873, 0.0283).select(F.col("j").alias("tj"), F.col("i").alias("ti"), "lon", "lat")
+
+
+@query(f""", q AS (SELECT *, floor(x) AS fi, floor(y) AS fj FROM (SELECT tj, ti, (lon + 91.5) / 0.05 AS x, (lat + 1.5) / 0.05 AS y FROM ({_TARGET}))),
+k AS (SELECT tj, ti, CAST(fi AS INT) + di AS i, CAST(fj AS INT) + dj AS j, CASE di WHEN 1 THEN x - fi ELSE 1 - x + fi END * CASE dj WHEN 1 THEN y - fj ELSE 1 - y + fj END AS k FROM q, (SELECT unnest([0, 1]) AS di), (SELECT unnest([0, 1]) AS dj)),
+c AS (SELECT j, i, CAST(year("time") AS INT) AS "time", avg(v) AS v FROM cube GROUP BY 1, 2, 3)
+SELECT "time", tj, ti, round(CASE WHEN count(v) = 4 THEN sum(k * v) END, 3) AS v FROM k JOIN c ON k.i = c.i AND k.j = c.j WHERE k <> 0 GROUP BY 1, 2, 3""")
+def remap_all_times(spark, d):
+    yearly = reduce.yearly_mean(cube(spark, d), ["v"], ["j", "i"]).withColumnRenamed("year", "time")
+    weights = regrid.bilinear_weights(_target(spark), (-91.5, -1.5), (0.05, 0.05))
+    return rounded(regrid.remap(yearly, weights, "v"), 3, "v")
+
+
+@query(f"SELECT tj, ti, hgt FROM ({_TARGET}) t LEFT JOIN grid g ON g.i = floor((t.lon + 91.5) / 0.05 + 0.5) AND g.j = floor((t.lat + 1.5) / 0.05 + 0.5)")
+def transform_nearest(spark, d):
+    return regrid.transform_nearest(_target(spark), grid(spark).select("j", "i", "hgt"), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", "hgt")
+
+
+@query(f"SELECT station, round((slon + 91.5) / 0.05, 6) AS x, round((slat + 1.5) / 0.05, 6) AS y FROM {_POINTS}")
+def station_pixels(spark, d):
+    x, y = regrid.pixels(F.col("lon"), F.col("lat"), (-91.5, -1.5), (0.05, 0.05))
+    return joins.stations(spark).select("station", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
 @query("SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, round(CAST(-92.5061 AS DOUBLE) + i * CAST(0.0154 AS DOUBLE), 6) AS lon, round(CAST(-2.46528 AS DOUBLE) + j * CAST(0.0154 AS DOUBLE), 6) AS lat FROM (SELECT range AS j FROM range(230)), (SELECT range AS i FROM range(245))")
@@ -560,9 +654,37 @@ def domain_feature_bbox_join(spark, d):
     return joins.features_in_boxes(joins.stations(spark), _domains(spark).select("id", "lon_min", "lon_max", "lat_min", "lat_max")).select("station", "id")
 
 
-@query()
+_RINGS = {"a": [(-91.2, -1.0), (-90.2, -1.0), (-90.2, -0.6), (-90.7, -0.8), (-91.2, -0.6)], "b": [(-90.45, -0.7), (-90.25, -0.4), (-89.9, -0.9)]}
+_EDGES = ", edges AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), CAST({b[0]} AS DOUBLE), CAST({b[1]} AS DOUBLE))" for k, r in _RINGS.items() for a, b in zip(r, [*r[1:], r[0]], strict=True)) + ") AS v(id, x1, y1, x2, y2))"
+_INSIDE = "sum(CASE WHEN (y1 > {y}) <> (y2 > {y}) AND {x} < (x2 - x1) * ({y} - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1"
+
+
+@query(_EDGES + f" SELECT station FROM {_POINTS}, edges WHERE id = 'a' GROUP BY station HAVING {_INSIDE.format(x='slon', y='slat')}")
 def points_in_polygon(spark, d):
-    return joins.points_in_polygon(joins.stations(spark), [(-91.2, -1.0), (-90.2, -1.0), (-90.2, -0.6), (-90.7, -0.8), (-91.2, -0.6)]).select("station")
+    return joins.points_in_polygon(joins.stations(spark), _RINGS["a"]).select("station")
+
+
+def _rings(spark) -> DataFrame:
+    return spark.createDataFrame([(k, r) for k, r in _RINGS.items()], "id string, ring array<struct<x: double, y: double>>")
+
+
+@query(_EDGES + f""", named AS (SELECT station, slon, slat, row_number() OVER (ORDER BY station) AS k FROM {_POINTS}),
+seg AS (SELECT a.k, a.slon AS ax, a.slat AS ay, b.slon AS bx, b.slat AS by_ FROM named a JOIN named b ON b.k = a.k + 1),
+hit AS (SELECT k, id FROM seg, edges WHERE least(ax, bx) <= greatest(x1, x2) AND greatest(ax, bx) >= least(x1, x2) AND least(ay, by_) <= greatest(y1, y2) AND greatest(ay, by_) >= least(y1, y2)
+  AND sign((bx - ax) * (y1 - ay) - (by_ - ay) * (x1 - ax)) * sign((bx - ax) * (y2 - ay) - (by_ - ay) * (x2 - ax)) <= 0 AND sign((x2 - x1) * (ay - y1) - (y2 - y1) * (ax - x1)) * sign((x2 - x1) * (by_ - y1) - (y2 - y1) * (bx - x1)) <= 0),
+inside AS (SELECT k, id FROM seg, edges GROUP BY k, id HAVING {_INSIDE.format(x='ax', y='ay')})
+SELECT DISTINCT CAST(k AS INT) AS line, id FROM (SELECT * FROM hit UNION ALL SELECT * FROM inside)""")
+def lines_in_polygons(spark, d):
+    """Lines between stations that follow one another by name, and the polygons that they meet."""
+    named = sorted(joins.STATIONS)
+    lines = [(k + 1, [(a[2], a[1]), (b[2], b[1])]) for k, (a, b) in enumerate(zip(named, named[1:], strict=False))]
+    table_ = spark.createDataFrame(lines, "line int, points array<struct<x: double, y: double>>")
+    return joins.features_in_polygons(table_, _rings(spark), 0.5).select("line", "id")
+
+
+@query(_NEST + "SELECT id, round((lon_max - lon_min) * (lat_max - lat_min), 6) AS area FROM ll")
+def domain_area(spark, d):
+    return _domains(spark).select("id", F.round(domains.area(), 6).alias("area"))
 
 
 _DEM = "SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, 1200 * sin(lon / 3) * cos(lat / 3) + 600 * sin(lon * 1.5) * cos(lat * 1.5) + 300 * sin(lon * 4) * cos(lat * 4) + 1500 * exp(-sqrt((lon + 90.5) * (lon + 90.5) + (lat + 0.5) * (lat + 0.5)) / 2) AS e FROM (SELECT j, i, -92.0 + i * (3.0 / 199) AS lon, -1.5 + j * (2.0 / 199) AS lat FROM (SELECT range AS j FROM range(200)), (SELECT range AS i FROM range(200)))"

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import gzip
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubewind.functions.names import STATIC
+from cubewind.model import Cube, Experiment
+from cubewind.operators.series import calendar_spine
+from cubewind.sources import netcdf
 
 
 def path_of(experiment: str, variable: str, year: int | None = None, domain: str = "d02km", dimensions: str = "2d", frequency: str = "d", base: str = "") -> str:
-    """File of a variable; static fields have no frequency, dimensions or year, merged periods no year."""
+    """File of a variable, in the folder of its experiment; static fields have no frequency, dimensions or year, merged periods
+    no year."""
     parts = [experiment, domain, "static", variable] if variable in STATIC else [experiment, domain, frequency, dimensions, variable, *([str(year)] if year else [])]
-    return "/".join(x for x in (base.rstrip("/"), "_".join(parts) + ".nc") if x)
+    return "/".join(x for x in (base.rstrip("/"), experiment, "_".join(parts) + ".nc") if x)
 
 
 _NAME = re.compile(r"(?P<experiment>[^_/]+)_(?P<domain>d\d+\w*?)_(?:static_(?P<static>\w+?)|(?P<frequency>[ymdh])_(?P<dimensions>2d|3d_press|3d)_(?P<variable>\w+?)(?:_(?P<year>\d{4}))?)\.\w+$")
@@ -29,10 +36,10 @@ def elements_of(path: str) -> dict[str, str | None]:
     return {k: d[k] for k in ("experiment", "domain", "frequency", "dimensions", "year")} | {"variable": d["variable"] or d["static"]}
 
 
-def static_path(path: str, variable: str, folder: str = "MM") -> str:
-    """The static file that lies beside the file of an experiment."""
-    e = elements_of(path)
-    return "/".join([*path.split("/")[:-1], folder, path_of(e["experiment"], variable, domain=e["domain"])])
+def static_path(path: str, variable: str) -> str:
+    """The static file for an experiment's file: that of the reference run in its folder beside the file, whatever the
+    experiment and domain."""
+    return path_of("MM", variable, base="/".join(path.split("/")[:-1]))
 
 
 def existing(spark: SparkSession, pattern: str) -> list[str]:
@@ -57,6 +64,63 @@ def open_cube(spark: SparkSession, path: str, variables: Sequence[str] | None =
     return df.select(*keys, *variables) if variables else df
 
 
+def open_elements(spark: SparkSession, experiment: str = "MM", variable: str = "t2", year: int | None = 2022, domain: str = "d02km", dimensions: str = "2d", frequency: str = "d", base: str = "") -> DataFrame:
+    """The cube of a variable by the elements of its path."""
+    return open_file(spark, path_of(experiment, variable, year, domain, dimensions, frequency, base), variable)
+
+
+def open_file(spark: SparkSession, path: str, variable: str | None = None) -> DataFrame:
+    """A cube or static field from a classic NetCDF file, or from the Parquet that it was converted to, beside it."""
+    parquet = path.removesuffix(".nc") + ".parquet"
+    try:
+        return open_cube(spark, parquet)
+    except AnalysisException:
+        netcdf.register(spark)
+        reader = spark.read.format("netcdf-classic").option("path", path)
+        return (reader.option("variable", variable) if variable else reader).load()
+
+
+def open_experiment_from_file(spark: SparkSession, path: str, units: str, hgt: bool = False, landmask: bool = False) -> Experiment:
+    """An experiment from a file, with the static fields of the reference run if they are asked for."""
+    e = elements_of(path)
+    return _experiment(spark, path, e, units, {v: static_path(path, v) for v, asked in (("hgt", hgt), ("landmask", landmask)) if asked})
+
+
+def open_experiment(spark: SparkSession, experiment: str = "MM", variable: str = "t2", year: int | None = 2022, domain: str = "d02km", dimensions: str = "2d", frequency: str = "d", base: str = "", units: str = "", hgt: bool = False, landmask: bool = False) -> Experiment:
+    """An experiment by the elements of its path, with its own static fields if they are asked for."""
+    path = path_of(experiment, variable, year, domain, dimensions, frequency, base)
+    statics = {v: path_of(experiment, v, domain=domain, base=base) for v, asked in (("hgt", hgt), ("landmask", landmask)) if asked}
+    return _experiment(spark, path, elements_of(path), units, statics)
+
+
+def _experiment(spark: SparkSession, path: str, elements: dict[str, str | None], units: str, statics: dict[str, str]) -> Experiment:
+    grid = None
+    for name, file in statics.items():
+        field = open_file(spark, file, name).select("j", "i", name)
+        grid = field if grid is None else grid.join(field, ["j", "i"])
+    attributes = {"VARNAME": elements["variable"], "units": units, "experiment": elements["experiment"], "frequency": elements["frequency"] or ""}
+    return Experiment(elements["experiment"], Cube(open_file(spark, path, elements["variable"]), grid, attributes))
+
+
+def raw_days(spark: SparkSession, base: str, start: str, end: str, pattern: str = "wrfpost*") -> DataFrame:
+    """day, path, content of the raw output that lies in folders of year, month and day; compressed files are opened. One
+    file is one row, so tasks read and write whole files."""
+    days = [r["day"].isoformat() for r in calendar_spine(spark, start, end).orderBy("day").collect()]  # a period of days
+    folders = [f"{base.rstrip('/')}/{d[:4]}/{d[:7]}/{d}" for d in days]
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folders)
+    first = raw.select(F.to_date(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})/[^/]+$", 1)).alias("day"), "path", "content")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(len(b)):
+                path, content = b.column("path")[k].as_py(), b.column("content")[k].as_py()
+                zipped = path.endswith(".gz")
+                row = [b.column("day").slice(k, 1), pa.array([path.removesuffix(".gz")]), pa.array([gzip.decompress(content) if zipped else content], pa.binary())]
+                yield pa.record_batch(row, names=["day", "path", "content"])
+
+    return first.mapInArrow(opened, "day date, path string, content binary")
+
+
 def combine(frames: Sequence[DataFrame], sort: bool = False) -> DataFrame:
     """One after the other, without removal of repetitions."""
     out = frames[0]
@@ -97,4 +161,5 @@ def gauge_sums(df: DataFrame) -> DataFrame:
 
 
 def long_to_wide(df: DataFrame, stations: Sequence[str], value: str = "value", time: str = "ts") -> DataFrame:
-    return df.groupBy(time).pivot("station", list(stations)).agg(F.first(value))
+    """A column per station; of several values of a station at one time the largest."""
+    return df.groupBy(time).pivot("station", list(stations)).agg(F.max(value))

@@ -1,8 +1,9 @@
 """Classic NetCDF files (CDF-1, CDF-2, CDF-5) as a Spark data source: spark.read.format("netcdf-classic").option("path", glob).
 
 A partition is a range of records of a file, so a file is read by many tasks, each of which seeks to its records.
-Options: path (local or mounted; a glob), variable (default: the last). Columns: time, level, j, i and the variable. A fill
-value or NaN is NULL. Files that are HDF5 inside must be converted first.
+Options: path (local or mounted; a glob), variable (default: the last). Columns: time, level, j, i and the variable. Packed
+values are unpacked (scale_factor, add_offset). _FillValue, missing_value and NaN are NULL; both are packed values. Files that
+are HDF5 inside must be converted first.
 """
 
 from __future__ import annotations
@@ -58,7 +59,9 @@ class Header:
             record = bool(ids) and self.dims[ids[0]][1] == 0
             shape = tuple(self.records if self.dims[k][1] == 0 else self.dims[k][1] for k in ids)
             self.variables[name] = Variable(name, tuple(self.dims[k][0] for k in ids), shape, attributes, kind, begin, size, record)
-        self.record_size = sum(v.size for v in self.variables.values() if v.record)
+        records = [v for v in self.variables.values() if v.record]
+        # sizes are padded to four bytes, but for a record variable that is the only one
+        self.record_size = int(np.prod(records[0].shape[1:], dtype=np.int64)) * records[0].kind.itemsize if len(records) == 1 else sum(v.size for v in records)
 
     def _i(self) -> int:
         return struct.unpack(">i", self._f.read(4))[0]
@@ -84,14 +87,16 @@ class Header:
         return out
 
     def read(self, name: str, first: int = 0, last: int | None = None) -> np.ndarray:
-        """Records first to last of a variable, or all of one that has none."""
+        """The part of a variable from first to last along its first dimension; nothing else is read."""
         v = self.variables[name]
+        if not v.shape:
+            first, last = 0, 1
+        last = (v.shape[0] if v.shape else 1) if last is None else last
+        per = int(np.prod(v.shape[1:], dtype=np.int64)) * v.kind.itemsize
         with open(self.path, "rb") as f:
             if not v.record:
-                f.seek(v.begin)
-                return np.frombuffer(f.read(int(np.prod(v.shape, dtype=np.int64)) * v.kind.itemsize), v.kind).reshape(v.shape)
-            last = self.records if last is None else last
-            per = int(np.prod(v.shape[1:], dtype=np.int64)) * v.kind.itemsize
+                f.seek(v.begin + first * per)
+                return np.frombuffer(f.read((last - first) * per), v.kind).reshape((last - first, *v.shape[1:]) if v.shape else ())
             out = bytearray()
             for k in range(first, last):
                 f.seek(v.begin + k * self.record_size)
@@ -136,28 +141,30 @@ class ClassicReader(DataSourceReader):
     def read(self, part: Records) -> Iterator[pa.RecordBatch]:
         h = Header(part.path)
         v = h.variables[self.variable]
-        data = h.read(v.name, part.first, part.last) if v.record else h.read(v.name)
         if "time" in v.dims:
-            data = data if v.record else data[part.first : part.last]
-            axis, unit = h.read("time"), h.variables["time"].attributes["units"]
+            data = h.read(v.name, part.first, part.last)
+            axis, unit = h.read("time", part.first, part.last), h.variables["time"].attributes["units"]
             kind, _, start = unit.partition(" since ")
             seconds = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86400}[kind]
-            times = np.datetime64(start.strip()[:19].replace(" ", "T"), "us") + (axis[part.first : part.last].astype(float) * seconds * 1e6).astype("timedelta64[us]")
+            times = np.datetime64(start.strip()[:19].replace(" ", "T"), "us") + (axis.astype(float) * seconds * 1e6).astype("timedelta64[us]")
         else:
-            data, times = data[None], np.array(["NaT"], "datetime64[us]")
+            data, times = h.read(v.name)[None], np.array(["NaT"], "datetime64[us]")
         levels = [None]
         if data.ndim == 4:
             own = v.dims[-3]
             levels = h.read(own).astype(int).tolist() if own in h.variables else list(range(data.shape[1]))
         else:
             data = data[:, None]
-        fill = v.attributes.get("_FillValue")
+        number = lambda name, default: float(np.ravel(v.attributes.get(name, default))[0])
+        scale, offset = number("scale_factor", 1.0), number("add_offset", 0.0)
+        missing = [float(x) for name in ("_FillValue", "missing_value") for x in np.ravel(v.attributes.get(name, []))]
         nj, ni = data.shape[-2:]
         j, i = np.repeat(np.arange(nj), ni), np.tile(np.arange(ni), nj)
         for t in range(len(data)):
             for k, level in enumerate(levels):
                 x = data[t, k].reshape(-1).astype(float)
-                gone = np.isnan(x) | (x == float(fill[0]) if fill is not None else False)
+                gone = np.isnan(x) | np.isin(x, missing)
+                x = x * scale + offset
                 n = len(x)
                 yield pa.record_batch(
                     [pa.array(np.repeat(times[t], n)), pa.array([level] * n, pa.int32()), pa.array(j, pa.int32()), pa.array(i, pa.int32()), pa.array(x, pa.float64(), mask=gone)],

@@ -164,9 +164,9 @@ def test_domains(spark):
 
 
 def test_names(spark):
-    assert files.path_of("e1", "prcp", 2000, "d02", base="/x/") == "/x/e1_d02_d_2d_prcp_2000.nc" and files.path_of("e1", "hgt") == "e1_d02km_static_hgt.nc"
+    assert files.path_of("e1", "prcp", 2000, "d02", base="/x/") == "/x/e1/e1_d02_d_2d_prcp_2000.nc" and files.path_of("e1", "hgt") == "e1/e1_d02km_static_hgt.nc"
     assert files.elements_of("/x/e1_d02_d_2d_prcp_2000.nc") == {"experiment": "e1", "domain": "d02", "frequency": "d", "dimensions": "2d", "variable": "prcp", "year": "2000"}
-    assert files.static_path("/x/e1_d02_d_2d_prcp_2000.nc", "hgt") == "/x/MM/e1_d02_static_hgt.nc"
+    assert files.static_path("/x/e1_d02_d_2d_prcp_2000.nc", "hgt") == "/x/MM/MM_d02km_static_hgt.nc"
     assert files.variable_files(["a_d_2d_t2_2000.nc", "b_d_2d_t2_2000.nc", "b_h_2d_q2_2000.nc"], 2000, ["t2", "q2"]) == {"t2": "b_d_2d_t2_2000.nc"}
     assert units.conversion("k") == (1.0, -273.15, "degC") and units.conversion("m/s", "w")[2] == "cm/s"
     with pytest.raises(NameError):
@@ -185,6 +185,112 @@ def test_cape_of_stable_and_unstable_air():
     assert math.isnan(thermo.parcel_energy(p[:2], p[:2], q[:2])[0])
 
 
+def test_adjustment_of_a_map(spark):
+    rng = np.random.default_rng(2)
+    p = [*np.round(rng.random(300) ** 2, 3).tolist(), 0.0, 1.0, 1.0]
+    order = sorted(p)
+    m = len(p)
+    quotient = {x: x * m / (order.index(x) + 1) for x in p}
+    want = {x: min(1.0, *(quotient[y] for y in p if y >= x)) for x in p}
+    rows = [(k, x) for k, x in enumerate([*p, None])]
+    for parts in (1, 7, 200):
+        got = regression.adjusted(frame(spark, rows, "k int, p double"), parts=parts).collect()
+        assert len(got) == len(rows)
+        assert all(r["p_adjusted"] is None if r["p"] is None else r["p_adjusted"] == pytest.approx(want[r["p"]]) for r in got)
+
+
+@pytest.mark.parametrize("metric", ["chebyshev", "haversine"])
+def test_nearest_cell_against_all_pairs(spark, metric):
+    rng = np.random.default_rng(4)
+    cells = [(j, i, float(-2 + 0.3 * j), float(-92 + 0.3 * i)) for j in range(12) for i in range(12) if rng.random() < 0.6]
+    points = [(f"s{k}", float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(-5, 5, 40), rng.uniform(-97, -84, 40), strict=True))]
+    got = {r["station"]: (r["j"], r["i"]) for r in joins.nearest_cell(frame(spark, points, "station string, lat double, lon double"), frame(spark, cells, "j int, i int, lat double, lon double"), metric).collect()}
+
+    def far(a, b, c):
+        lat, lon = abs(a - c[2]), abs(b - c[3])
+        if metric == "chebyshev":
+            return max(lat, lon)
+        return 2 * math.asin(math.sqrt(math.sin(math.radians(lat) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c[2])) * math.sin(math.radians(lon) / 2) ** 2))
+
+    for name, a, b in points:
+        j, i = got[name]
+        assert far(a, b, next(c for c in cells if c[:2] == (j, i))) == pytest.approx(min(far(a, b, c) for c in cells))
+    assert joins.nearest_cell(frame(spark, [], "station string, lat double, lon double"), frame(spark, cells, "j int, i int, lat double, lon double")).count() == 0
+
+
+def test_lines_and_polygons(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    lines = {"through": [(-1.0, 2.0), (5.0, 2.0)], "inside": [(1.0, 1.0), (2.0, 2.0)], "corner": [(-1.0, 1.0), (1.0, -1.0)], "outside": [(5.0, 5.0), (6.0, 9.0)], "beside": [(-1.0, -2.0), (9.0, -1.0)], "point": [(3.0, 3.0)], "edge": [(1.0, 0.0), (2.0, 0.0)], "around": [(-1.0, -1.0), (-1.0, 5.0), (5.0, 5.0)]}
+    table = frame(spark, list(lines.items()), "name string, points array<struct<x: double, y: double>>")
+    rings = frame(spark, [("a", square), ("b", [(x + 100, y) for x, y in square])], "id string, ring array<struct<x: double, y: double>>")
+    for cell in (0.7, 50.0):
+        assert sorted((r["name"], r["id"]) for r in joins.features_in_polygons(table, rings, cell).collect()) == [(n, "a") for n in ("corner", "edge", "inside", "point", "through")]
+
+
+def test_attributes(spark):
+    source = {"TITLE": "OUTPUT FROM WRF V4.1 MODEL", "MAP_PROJ_CHAR": "Mercator", "STAND_LON": "-85", "MOAD_CEN_LAT": "0", "TRUELAT1": "0", "TRUELAT2": "0", "pyproj_srs": "+proj=merc", "DX": "2000", "DY": "2000"}
+    got = names.global_attributes(source, {"GRID_NX": 245}, "d02", "cape", "01-01-2024 00:00:00", {"TITLE": "own"})
+    assert (got["WRF_VERSION"], got["DOMAIN"], got["NESTED"], got["GRID_NX"], got["TITLE"]) == ("WRF V4.1", "2", "YES", "245", "own")
+    assert names.global_attributes(source, {}, "d01", "t2", "")["NESTED"] == "NO"
+    both = spark.range(1).select(names.with_attributes(F.expr("map('a', '1', 'b', '2')"), F.expr("map('b', '3')")).alias("m")).first()["m"]
+    assert both == {"a": "1", "b": "3"}
+
+
+def test_raw_days(spark, tmp_path):
+    import gzip
+
+    for day, zipped in (("2022-04-01", True), ("2022-04-02", False), ("2022-04-03", False)):
+        folder = tmp_path / day[:4] / day[:7] / day
+        folder.mkdir(parents=True)
+        content = f"content of {day}".encode()
+        (folder / ("wrfpost_x.gz" if zipped else "wrfpost_x")).write_bytes(gzip.compress(content) if zipped else content)
+        (folder / "other").write_bytes(b"no")
+    got = files.raw_days(spark, f"file://{tmp_path}", "2022-04-01", "2022-04-02").orderBy("day").collect()
+    assert [(str(r["day"]), bytes(r["content"]), r["path"].endswith("wrfpost_x")) for r in got] == [("2022-04-01", b"content of 2022-04-01", True), ("2022-04-02", b"content of 2022-04-02", True)]
+
+
+def packed_short(path, records=5):
+    """One record variable of two bytes a value, packed, whose records aren't padded; no other record variable."""
+    name = lambda s: struct.pack(">i", len(s)) + s + b"\0" * (-len(s) % 4)
+    number = lambda k, kind, fmt, v: name(k) + struct.pack(">ii", kind, 1) + struct.pack(fmt, v)
+    body = lambda begin: (
+        b"CDF\1" + struct.pack(">i", records) + struct.pack(">ii", 10, 3) + name(b"record") + struct.pack(">i", 0) + name(b"y") + struct.pack(">i", 1) + name(b"x") + struct.pack(">i", 3)
+        + struct.pack(">ii", 0, 0) + struct.pack(">ii", 11, 1) + name(b"tp") + struct.pack(">iiii", 3, 0, 1, 2)
+        + struct.pack(">ii", 12, 4) + number(b"scale_factor", 6, ">d", 0.5) + number(b"add_offset", 6, ">d", 10.0) + number(b"missing_value", 3, ">hxx", -7) + number(b"_FillValue", 3, ">hxx", -9)
+        + struct.pack(">iii", 3, 8, begin)
+    )
+    head = body(len(body(0)))
+    with open(path, "wb") as f:
+        f.write(head)
+        for k in range(records):
+            f.write(struct.pack(">3h", k, -7, -9))
+
+
+def test_packed_netcdf(spark, tmp_path):
+    packed_short(f"{tmp_path}/p.nc")
+    assert netcdf.Header(f"{tmp_path}/p.nc").read("tp", 2, 4).tolist() == [[[2, -7, -9]], [[3, -7, -9]]]
+    classic(f"{tmp_path}/MM_d02km_d_2d_t2_2000.nc")
+    netcdf.register(spark)
+    first = spark.read.format("netcdf-classic").option("path", f"{tmp_path}/p.nc").load().where("i = 0 AND tp IS NOT NULL")
+    assert first.columns == ["time", "level", "j", "i", "tp"]
+
+
+def test_openers(spark, tmp_path):
+    base = str(tmp_path)
+    (tmp_path / "MM").mkdir()
+    classic(f"{base}/MM/MM_d02km_d_2d_t2_2000.nc")
+    (tmp_path / "MM" / "MM").mkdir()
+    grid = frame(spark, [(j, i, 1.0) for j in range(2) for i in range(2)], "j int, i int, hgt double")
+    for place in (f"{base}/MM/MM_d02km_static_hgt.parquet", f"{base}/MM/MM/MM_d02km_static_hgt.parquet"):
+        grid.write.parquet(f"file://{place}")
+    assert files.open_elements(spark, year=2000, base=base).count() == 12
+    by_elements = files.open_experiment(spark, year=2000, base=base, units="K", hgt=True)
+    by_file = files.open_experiment_from_file(spark, f"{base}/MM/MM_d02km_d_2d_t2_2000.nc", "K", hgt=True)
+    for e in (by_elements, by_file):
+        assert e.name == "MM" and e.cube.variable == "t2" and e.cube.grid.count() == 4 and e.cube.df.count() == 12
+    assert files.open_experiment(spark, year=2000, base=base, units="K").cube.grid is None
+
+
 def classic(path, fixed=False):
     """A small file with records: time, y, x."""
     name = lambda s: struct.pack(">i", len(s)) + s + b"\0" * (-len(s) % 4)
