@@ -1,20 +1,22 @@
 """Chat formatting in budgeted windows, with DataFrame and SQL functions only.
 
 A turn is written as `<s>[role] text</s>`. In roles and texts ~ < [ ] become ~0 ~1 ~2 ~3, so that no text can hold a
-control string, and reading back undoes it. The turns of a conversation, in order, are dealt to windows by running sums of
-their tokens: a window ends before the turn that would pass the budget. Later windows repeat the system turn and, within a
-budget of its own, the last turns before them. The loss mask holds the text of assistant turns, each in the one window that
-isn't a repetition.
+control string, and reading back undoes it. Prefix sums of the turns' tokens choose the windows: turns that start and end in
+the same stretch of `budget - history` tokens are one window, and one that crosses into the next stretch joins them if all
+fit and is a window of its own if not. Later windows repeat the system turn and, within a budget of its own, the last turns
+before them. The loss mask holds the text of assistant turns, each in the one window that isn't a repetition.
 
 Null texts and roles are empty. Rows of equal turn number are ordered by role and text; repeated rows stay. A turn over the
 budget is a window of its own, whole. A null conv_id is a conversation. An empty table gives no rows. Extra columns are
-ignored. A conversation is one row with all its turns (its digest is over all of them), so its turns must fit in one row.
+ignored. A window is one row. A conversation isn't, but its turns are sorted by one task, and reading back makes it one row
+(its digest is over all of them).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BUDGET = 1024
 HISTORY = 256
@@ -37,45 +39,36 @@ def _read(text: str) -> str:
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
     """One row per window: conv_id, window, formatted, turns (array of start, length, loss_start, loss_length, repeated;
     code points of formatted; loss_length 0 where nothing is learnt). A turn counts a quarter of its code points and 4 tokens."""
-    rows = conversations.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    rows = rows.withColumn("t", F.expr(f"struct(t.turn, t.role, t.text, concat('<s>[', {_escaped('t.role')}, '] ') AS head, {_escaped('t.text')} AS body, CAST(ceil(length(t.text) / 4) + 4 AS int) AS n)"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    whole = whole.withColumn("t", F.expr("transform(t, x -> struct(x.head, x.body, x.n, x.role = 'assistant' AS learnt, x.role = 'system' AS system))"))
-    whole = whole.withColumn("lead", F.expr("CAST(t[0].system AS int)")).withColumn("room", F.expr(f"greatest({budget - history} - t[0].n * lead, 1)"))
-    whole = whole.withColumn(
-        "starts",
-        F.expr(
-            """aggregate(t, struct(0 AS i, 0 AS used, array(0) AS starts), (s, x) ->
-               if(s.used + x.n > room AND s.i > lead,
-                  struct(s.i + 1 AS i, x.n AS used, array_append(s.starts, s.i) AS starts),
-                  struct(s.i + 1 AS i, s.used + if(s.i < lead, 0, x.n) AS used, s.starts AS starts))).starts"""
-        ),
-    )
-    # of the turns before a window, how many are repeated
-    past = f"""aggregate(reverse(slice(t, greatest(a - {history_turns}, lead) + 1, a - greatest(a - {history_turns}, lead))), struct(0 AS k, 0 AS used, true AS open),
-               (s, x) -> if(s.open AND s.used + x.n <= {history}, struct(s.k + 1 AS k, s.used + x.n AS used, true AS open), struct(s.k AS k, s.used AS used, false AS open))).k"""
-    again = "x -> struct(x.head, x.body, false AS learnt, true AS repeated)"
-    windows = whole.select(
-        "conv_id",
-        F.explode(
-            F.expr(
-                f"""transform(starts, (a, w) -> struct(w AS window, concat(
-                    transform(if(w > 0, slice(t, 1, lead), slice(t, 1, 0)), {again}),
-                    transform(if(a > lead, slice(t, a + 1 - {past}, {past}), slice(t, 1, 0)), {again}),
-                    transform(slice(t, a + 1, coalesce(get(starts, w + 1), size(t)) - a), x -> struct(x.head, x.body, x.learnt, false AS repeated))) AS p))"""
-            )
-        ).alias("w"),
-    )
-    return windows.select(
-        "conv_id",
-        F.col("w.window").alias("window"),
-        F.expr("array_join(transform(w.p, x -> concat(x.head, x.body, '</s>')), '')").alias("formatted"),
-        F.expr(
-            """aggregate(w.p, struct(0 AS at, slice(array(struct(0 AS start, 0 AS length, 0 AS loss_start, 0 AS loss_length, false AS repeated)), 1, 0) AS out), (s, x) -> struct(
-                 s.at + length(x.head) + length(x.body) + 4 AS at,
-                 array_append(s.out, struct(s.at AS start, length(x.head) + length(x.body) + 4 AS length, s.at + length(x.head) AS loss_start, if(x.learnt, length(x.body), 0) AS loss_length, x.repeated AS repeated)) AS out)).out"""
-        ).alias("turns"),
-    )
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("conv_id", "turn", "role", "text", F.expr(f"concat('<s>[', {_escaped('role')}, '] ')").alias("head"), F.expr(_escaped("text")).alias("body"), (F.ceil(F.length("text") / 4).cast("long") + 4).alias("n"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    turns = rows.withColumn("k", F.row_number().over(order) - 1)
+    turns = turns.withColumn("lead", F.first(F.col("role") == "system").over(so_far)).withColumn("room", F.greatest(F.lit(budget - history) - F.when(F.col("lead"), F.first("n").over(so_far)).otherwise(0), F.lit(1)))
+    turns = turns.withColumn("own", F.when(F.col("lead") & (F.col("k") == 0), 0).otherwise(F.col("n")))
+    turns = turns.withColumn("end", F.sum("own").over(so_far)).withColumn("start", F.col("end") - F.col("own"))
+    turns = turns.withColumn("stretch", F.floor(F.col("start") / F.col("room")))
+    crosses = F.floor((F.col("end") - 1) / F.col("room")) > F.col("stretch")
+    too_much = F.col("end") - F.min("start").over(Window.partitionBy("conv_id", "stretch")) > F.col("room")
+    turns = turns.withColumn("alone", (crosses & too_much).cast("int"))
+    turns = turns.withColumn("window", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("stretch", "alone")) - 1)
+    opens = turns.withColumn("opens", F.coalesce(F.col("window") > F.lag("window").over(order), F.lit(False)))
+    # a turn is in its own window, and again in those that open soon after it
+    after = lambda c, d: F.lead(c, d).over(order)
+    again = [F.when(after("opens", d) & (after("start", d) - F.col("start") <= history), after("window", d)) for d in range(1, history_turns + 1)]
+    system = F.col("lead") & (F.col("k") == 0)
+    last = F.max("window").over(Window.partitionBy("conv_id"))
+    later = F.when(system, F.when(last > 0, F.sequence(F.lit(1), last))).otherwise(F.array_compact(F.array(*again).cast("array<int>")))
+    each = opens.withColumn("later", F.coalesce(later, F.array().cast("array<int>")))
+    places = F.concat(F.array(F.struct("window", F.lit(False).alias("repeated"))), F.transform("later", lambda w: F.struct(w.alias("window"), F.lit(True).alias("repeated"))))
+    each = each.select("conv_id", "k", "role", "head", "body", F.explode(places).alias("w"))
+    each = each.select("conv_id", "k", "role", "head", "body", "w.window", "w.repeated", (F.length("head") + F.length("body") + 4).alias("length"))
+    before = Window.partitionBy("conv_id", "window").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    learnt = F.when((F.col("role") == "assistant") & ~F.col("repeated"), F.length("body")).otherwise(0)
+    each = each.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("int"))
+    turn = F.struct("k", "head", "body", F.struct("start", "length", (F.col("start") + F.length("head")).alias("loss_start"), learnt.alias("loss_length"), "repeated").alias("turn"))
+    whole = each.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(turn)).alias("p"))
+    return whole.select("conv_id", "window", F.expr("array_join(transform(p, x -> concat(x.head, x.body, '</s>')), '')").alias("formatted"), F.col("p.turn").alias("turns"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ STAGE_SHINGLE = 5
 STAGE_PERCENT = 80
 #: Shingles and sets in a block of a cluster.
 BLOCK_SHINGLES = 400_000
-BLOCK_SETS = 1500
+BLOCK_SETS = 1000
 #: Up to this many sets, intersections are one matrix product.
 DENSE_SETS = 64
 #: Sets in clusters, six numbers each, that are broadcast to find their texts; of more the texts are shuffled.
@@ -236,15 +236,21 @@ def _verify(percent: int):
         sets = [raw[a:z] for a, z in zip(to[:-1], to[1:], strict=True)]
         size = np.diff(to)
         same = intersections(sets)
-        linked = 100 * same >= percent * (size[:, None] + size[None, :] - same)
-        np.fill_diagonal(linked, False)
         band = table.column("band").to_numpy()
-        linked &= np.maximum(band[:, None], band[None, :]) == table.column("larger")[0].as_py()
-        if len(np.unique(side)) > 1:
-            linked &= side[:, None] != side[None, :]
-        elif table.column("i")[0].as_py() != table.column("j")[0].as_py():
+        larger = table.column("larger")[0].as_py()
+        one = len(np.unique(side)) == 1
+        linked, degree = np.zeros(same.shape, bool), np.zeros(len(ids), np.int64)
+        for k in range(0, len(ids), 256):  # some rows at a time, as whole matrices of numbers are large
+            own = slice(k, k + 256)
+            linked[own] = 100 * same[own] >= percent * (size[own, None] + size[None, :] - same[own])
+            linked[own] &= np.maximum(band[own, None], band[None, :]) == larger
+            if not one:
+                linked[own] &= side[own, None] != side[None, :]
+            linked[np.arange(len(ids))[own], np.arange(len(ids))[own]] = False
+        if one and table.column("i")[0].as_py() != table.column("j")[0].as_py():
             linked[:] = False  # one block of the pair is empty
-        degree = linked @ weight
+        for k in range(0, len(ids), 256):
+            degree[k : k + 256] = linked[k : k + 256] @ weight
         todo = np.ones(len(ids), bool)
         a, b = [], []
         for k in range(len(ids)):

@@ -16,6 +16,33 @@ TURNS = [
 ]
 
 
+def brute_windows(turns, budget, history, history_turns=4):
+    """Windows of sorted turns: lists of (repeated, turn)."""
+    size = [-(-len(t[2]) // 4) + 4 for t in turns]
+    lead = turns[0][1] == "system"
+    room = max(budget - history - (size[0] if lead else 0), 1)
+    starts, at = [], 0
+    for k, n in enumerate(size):
+        starts.append(at)
+        at += 0 if lead and k == 0 else n
+    ends = [*starts[1:], at]
+    groups: dict = {}
+    for k in range(len(turns)):
+        stretch = starts[k] // room
+        crosses = (ends[k] - 1) // room > stretch
+        first = min(s for s in starts if s // room == stretch)
+        groups.setdefault((stretch, int(crosses and ends[k] - first > room)), []).append(k)
+    out = []
+    for w, key in enumerate(sorted(groups)):
+        own = groups[key]
+        own_tokens = sum(0 if lead and k == 0 else size[k] for k in own)
+        assert own_tokens <= room or len([k for k in own if not (lead and k == 0)]) == 1
+        past = [k for k in range(own[0] - history_turns, own[0]) if k >= lead and starts[own[0]] - starts[k] <= history] if w else []
+        assert sum(size[k] for k in past) <= history
+        out.append([(True, turns[k]) for k in ([0] if lead and w else [])] + [(True, turns[k]) for k in past] + [(False, turns[k]) for k in own])
+    return out
+
+
 @pytest.mark.parametrize(("budget", "history"), [(1024, 256), (60, 20), (1, 0)])
 def test_chat_windows(spark, budget, history):
     table = spark.createDataFrame([(*t, 1, 2) for t in TURNS], "conv_id long, turn long, role string, text string, window long, t long").repartition(3)
@@ -36,10 +63,10 @@ def test_chat_windows(spark, budget, history):
         said[r["conv_id"]] += len(fresh)
         learnt[r["conv_id"]] += [formatted[t["loss_start"] : t["loss_start"] + t["loss_length"]] for t in fresh if t["loss_length"]]
         assert all(not t["loss_length"] for t in r["turns"] if t["repeated"])
-        tokens = lambda t: -(-(t["length"] - 4 - (t["loss_start"] - t["start"])) // 4) + 4
-        if len(fresh) > 1 and budget > 100:
-            assert sum(map(tokens, r["turns"])) <= budget + 300  # escapes lengthen texts
     undo = lambda s: s.replace("~3", "]").replace("~2", "[").replace("~1", "<").replace("~0", "~")
+    for c, turns in own.items():
+        made = [([(t["repeated"], undo(r["formatted"][t["start"] : t["start"] + t["length"]])) for t in r["turns"]], r["window"]) for r in rows if r["conv_id"] == c]
+        assert made == [([(again, f"<s>[{turns_[1]}] {turns_[2]}</s>") for again, turns_ in w], k) for k, w in enumerate(brute_windows(sorted(turns), budget, history))]
     for c, turns in own.items():
         turns.sort()
         assert said[c] == len(turns)
