@@ -34,39 +34,57 @@ def _es(t: np.ndarray) -> np.ndarray:
     return 6.112 * np.exp(17.67 * (t - 273.15) / (t - 273.15 + 243.5))
 
 
+def parcel_energies(columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]], step: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """CAPE and CIN (J/kg) of columns of air (p in hPa, t in K, q in kg/kg; missing levels are left out): of each the parcel of
+    greatest equivalent potential temperature in the lowest 3 km (here 300 hPa) along a pseudo-adiabat. All columns ascend
+    together; NaN for a column of fewer than three levels."""
+    n = len(columns)
+    above, below = np.full(n, np.nan), np.full(n, np.nan)
+    at, air, moist, parcel, vapour, rows = [], [], [], [], [], []
+    for row, (p, t, q) in enumerate(columns):
+        fine = np.isfinite(p) & np.isfinite(t) & np.isfinite(q)
+        order = np.argsort(-p[fine], kind="stable")
+        p, t, q = p[fine][order], t[fine][order], np.maximum(q[fine][order], 1e-10)
+        if len(p) < 3:
+            continue
+        e = q * p / (EPSILON + q)
+        dew = 243.5 / (17.67 / np.log(e / 6.112) - 1) + 273.15
+        lcl = 1 / (1 / (dew - 56) + np.log(t / dew) / 800) + 56
+        theta_e = t * (1000 / p) ** (0.2854 * (1 - 0.28 * q)) * np.exp(q * (1 + 0.81 * q) * (3376 / lcl - 2.54))
+        k = int(np.argmax(np.where(p >= p[0] - 300, theta_e, -np.inf)))
+        own = np.arange(p[k], p[-1], -step)
+        rows.append(row)
+        at.append(own)
+        air.append(np.interp(own, p[::-1], t[::-1]))
+        moist.append(np.interp(own, p[::-1], q[::-1]))
+        parcel.append(t[k])
+        vapour.append(q[k])
+    if not rows:
+        return above, below
+    most = max(map(len, at))
+    at, air, moist = (np.array([np.pad(x.astype(float), (0, most - len(x)), constant_values=np.nan) for x in v]) for v in (at, air, moist))
+    parcel, vapour = np.array(parcel, float), np.array(vapour, float)
+    up, down = np.zeros(len(rows)), np.zeros(len(rows))
+    for m in range(most - 1):
+        p0, p1 = at[:, m], at[:, m + 1]
+        on = np.isfinite(p1)
+        total = np.where(on, _RD * (parcel * (1 + 0.608 * vapour) - air[:, m] * (1 + 0.608 * moist[:, m])) * np.log(p0 / p1), 0.0)
+        up += np.maximum(total, 0)
+        down += np.where((total <= 0) & (up == 0), total, 0.0)
+        qs = EPSILON * _es(parcel) / (p0 - _es(parcel))
+        dry = vapour < qs
+        slope = (_RD * parcel + _LV * qs) / (_CP + _LV**2 * qs * EPSILON / (_RD * parcel**2)) / p0
+        after = np.where(dry, parcel * (p1 / p0) ** (_RD / _CP), parcel - slope * step)
+        parcel = np.where(on, after, parcel)
+        vapour = np.where(on & ~dry, np.minimum(vapour, EPSILON * _es(parcel) / (p1 - _es(parcel))), vapour)
+    above[rows], below[rows] = up, np.where(up > 0, down, 0.0)
+    return above, below
+
+
 def parcel_energy(p: np.ndarray, t: np.ndarray, q: np.ndarray, step: float = 5.0) -> tuple[float, float]:
-    """CAPE and CIN (J/kg) of the parcel of greatest equivalent potential temperature in the lowest 3 km (here 300 hPa)
-    along a pseudo-adiabat. p in hPa, t in K, q in kg/kg; missing levels are left out."""
-    fine = np.isfinite(p) & np.isfinite(t) & np.isfinite(q)
-    order = np.argsort(-p[fine])
-    p, t, q = p[fine][order], t[fine][order], np.maximum(q[fine][order], 1e-10)
-    if len(p) < 3:
-        return float("nan"), float("nan")
-    e = q * p / (EPSILON + q)
-    dew = 243.5 / (17.67 / np.log(e / 6.112) - 1) + 273.15
-    lcl = 1 / (1 / (dew - 56) + np.log(t / dew) / 800) + 56
-    theta_e = t * (1000 / p) ** (0.2854 * (1 - 0.28 * q)) * np.exp(q * (1 + 0.81 * q) * (3376 / lcl - 2.54))
-    k = int(np.argmax(np.where(p >= p[0] - 300, theta_e, -np.inf)))
-    at = np.arange(p[k], p[-1], -step)
-    air, moist = np.interp(at, p[::-1], t[::-1]), np.interp(at, p[::-1], q[::-1])
-    parcel, vapour = float(t[k]), float(q[k])
-    total = 0.0
-    below, above = 0.0, 0.0
-    for n in range(len(at) - 1):
-        tv, env = parcel * (1 + 0.608 * vapour), air[n] * (1 + 0.608 * moist[n])
-        total = _RD * (tv - env) * np.log(at[n] / at[n + 1])
-        if total > 0:
-            above += total
-        elif not above:
-            below += total
-        qs = EPSILON * _es(np.array(parcel)) / (at[n] - _es(np.array(parcel)))
-        if vapour < qs:
-            parcel *= (at[n + 1] / at[n]) ** (_RD / _CP)
-        else:
-            slope = (_RD * parcel + _LV * qs) / (_CP + _LV**2 * qs * EPSILON / (_RD * parcel**2)) / at[n]
-            parcel -= float(slope) * step
-            vapour = min(vapour, float(EPSILON * _es(np.array(parcel)) / (at[n + 1] - _es(np.array(parcel)))))
-    return above, below if above else 0.0
+    """CAPE and CIN of one column."""
+    up, down = parcel_energies([(p, t, q)], step)
+    return float(up[0]), float(down[0])
 
 
 def cape(profiles: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,7 +95,7 @@ def cape(profiles: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            both = [parcel_energy(*(np.array(x, float) for x in row)) for row in zip(b["p"], b["t"], b["q"], strict=True)]
-            yield b[keys].assign(cape=[x[0] for x in both], cin=[x[1] for x in both])
+            up, down = parcel_energies([tuple(np.array(x, float) for x in row) for row in zip(b["p"], b["t"], b["q"], strict=True)])
+            yield b[keys].assign(cape=up, cin=down)
 
     return columns.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", cape double, cin double")

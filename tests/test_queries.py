@@ -4,6 +4,7 @@ import datetime
 import glob
 import math
 import os
+import sys
 
 import duckdb
 import pytest
@@ -50,5 +51,7 @@ def test_entry(spark):
 
 
 def test_imports_without_the_subpackage(monkeypatch):
-    monkeypatch.setattr(__spark_entry__, "_found", lambda name: False)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # can't be imported
+    assert "pipeline" not in __spark_entry__.queries()
+    monkeypatch.setitem(sys.modules, "cubewind.llm.queries", None)
     assert set(__spark_entry__.queries()) == set(QUERIES)
