@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubewind.llm.arrays import Store, part_of, runs
-from cubewind.llm.tables import keep, place
+from cubewind.llm.tables import in_batches, keep, place
 from cubewind.llm.textscan import ALNUM, Words, mix, pieces
 
 WIDTH = 10
@@ -234,7 +234,7 @@ def patterns(benchmark: DataFrame, width: int = WIDTH, part: int = PART) -> Patt
     spark = benchmark.sparkSession
     store = Store(place(spark, "benchmark"))
     items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    strings = keep(items.mapInArrow(_strings(width), "n int, suffix long, symbols binary, words binary, item_id string"), "strings")
+    strings = keep(in_batches(items, _strings(width), "n int, suffix long, symbols binary, words binary, item_id string"), "strings")
     total = strings.count()
     parts = max(1, -(-total // part))
     slots = 1 << min(max((16 * total).bit_length(), 16), 30)
@@ -243,7 +243,7 @@ def patterns(benchmark: DataFrame, width: int = WIDTH, part: int = PART) -> Patt
     dealt = strings.withColumn("part", F.shiftrightunsigned(F.shiftrightunsigned("suffix", 32) * parts, 32))
     done = dealt.groupBy("n", "part").applyInArrow(_write_strings(store), "n long, part long, size long")
     widths = sorted(r["n"] for r in done.groupBy("n").agg(F.sum("size")).collect())  # width rows at most
-    shifts = strings.select("n", "symbols").mapInArrow(_shifts(slots), "n int, slot long, shift int").groupBy("n", "slot").agg(F.min("shift").alias("shift"))
+    shifts = in_batches(strings.select("n", "symbols"), _shifts(slots), "n int, slot long, shift int").groupBy("n", "slot").agg(F.min("shift").alias("shift"))
     shifts.withColumn("part", F.floor(F.col("slot") / size)).groupBy("n", "part").applyInArrow(_write_shifts(store, size), "n long, part long, size long").agg(F.sum("size")).collect()
     return Patterns([ShiftTable(store, n, parts, slots, size) for n in widths])
 
@@ -283,7 +283,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part:
                     schema=_FOUND,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FOUND_DDL)
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, _FOUND_DDL)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -313,7 +313,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 clean += [k not in spans for k in range(len(w.rows))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

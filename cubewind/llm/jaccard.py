@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubewind.llm.components import components
-from cubewind.llm.tables import discard, keep, located, unused, with_groups
+from cubewind.llm.tables import discard, give_back, in_batches, keep, located, unused, with_groups
 from cubewind.llm.textscan import SPACED, mix, pieces, windows
 
 SHINGLE = 3
@@ -266,6 +266,8 @@ def _verify(percent: int):
                 b += ids[new].tolist()
                 front += new.tolist()
         some = np.flatnonzero(degree)
+        del same, linked, sets
+        give_back()
         return pa.table({"a": pa.array([*a, *ids[some].tolist()], pa.int64()), "b": pa.array([*b, *[None] * len(some)], pa.int64()), "n_links": pa.array([*[0] * len(a), *degree[some].tolist()], pa.int64())})
 
     return run
@@ -280,7 +282,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 def _joined(docs: DataFrame, at: str, size: int, percent: int) -> DataFrame:
     """The join with the place `at` of each row, which docs has under that name, and `keep_at` of the row that stays."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(at).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = keep(texts.mapInArrow(_features(size, percent), _FEATURES), "features")
+    signed = keep(in_batches(texts, _features(size, percent), _FEATURES), "features")
     features = keep(signed.drop("signatures"), "sets")
     key = ["n_shingles", "s1", "s2"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
@@ -313,7 +315,7 @@ def _joined(docs: DataFrame, at: str, size: int, percent: int) -> DataFrame:
     asked = inside.select(*columns, "rep")
     few = asked.count() <= BROADCAST_SETS
     sets = texts.join(F.broadcast(asked) if few else asked, texts["at"] == asked["rep"]).select(*columns, "text")
-    sets = sets.mapInArrow(_stacked(_sets(size, columns)), "id long, component long, larger int, band int, weight long, block long, blocks long, shingles array<long>")
+    sets = in_batches(sets, _stacked(_sets(size, columns)), "id long, component long, larger int, band int, weight long, block long, blocks long, shingles array<long>")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     checked = keep(pairs.groupBy("component", "i", "j").applyInArrow(_verify(percent), "a long, b long, n_links long"), "checked")

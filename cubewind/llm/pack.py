@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cubewind.llm.tables import keep
+from cubewind.llm.tables import in_batches, keep
 from cubewind.llm.textscan import PUNCTUATED, pieces
 
 CAPACITY = 2048
@@ -138,7 +138,7 @@ def cut(texts: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
                 yield pa.RecordBatch.from_arrays(columns, names=_PIECE.names[: len(columns)])
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return texts.mapInArrow(run, ddl)
+    return in_batches(texts, run, ddl)
 
 
 Plan = dict[tuple[tuple[int, int], ...], int]

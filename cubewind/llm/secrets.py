@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubewind.llm.tables import in_batches
+
 #: About how many documents the labelled samples come from.
 SAMPLE = 20_000
 LEAST_LENGTH = 16
@@ -150,7 +152,7 @@ def train(texts: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     total = texts.count()
     rate = min(1.0, sample / max(total, 1))
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000)) if rate < 1 else texts
-    rows = some.select("text").mapInArrow(_samples, "label int, one int, two int, n long").groupBy("label", "one", "two").agg(F.sum("n").alias("n")).collect()  # two tables of character pairs
+    rows = in_batches(some.select("text"), _samples, "label int, one int, two int, n long").groupBy("label", "one", "two").agg(F.sum("n").alias("n")).collect()  # two tables of character pairs
     counts = np.zeros((2, _SIZE, _SIZE))
     for r in rows:
         counts[r["label"], r["one"], r["two"]] = r["n"]
@@ -198,7 +200,7 @@ def find(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             n = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
             yield pa.record_batch([batch.column("doc_id"), *n[:3], pa.array(digests, pa.string()), pa.array(spans, pa.string()), n[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,3 +77,29 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -
     head = rows.join(F.broadcast(large), key)
     tail = rows.join(F.broadcast(large.select(*key)), key, "left_anti").join(groups.where(F.col(size) <= hot), key, "left")
     return head.unionByName(tail)
+
+
+#: Rows of a batch that a worker gets at once, unless the session says otherwise: texts are long.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over small batches, after which a worker gives free memory back: later stages reuse it."""
+    if df.sparkSession.conf.get(_ROWS) == "10000":  # the default
+        df.sparkSession.conf.set(_ROWS, str(BATCH_ROWS))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

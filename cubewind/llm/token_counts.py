@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubewind.llm.tables import in_batches
 from cubewind.llm.textscan import SPACED_EXACT, pieces
 
 MARK = "▁"
@@ -154,7 +155,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.record_batch([batch.column("doc_id").slice(row, len(words)), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return in_batches(texts, run, "doc_id long, n_words long, n_tokens long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubewind.llm.tables import in_batches
 from cubewind.llm.textscan import ALNUM, Words, mix, pieces
 
 #: About how many labelled rows are read; they bound how many words and word beginnings are learnt.
@@ -229,18 +230,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     n = {int(r["toxic"]): r["count"] for r in both}
     if not (n.get(0) and n.get(1)):
         return Lexicon({})
-    found = rows.mapInArrow(_learn, "feature long, toxic long, other long, contexts long").where("feature <> 0").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
+    found = in_batches(rows, _learn, "feature long, toxic long, other long, contexts long").where("feature <> 0").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("other") + 0.5) / (n[0] + 1))
     found = found.where(F.col("contexts") >= LEAST_CONTEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     lexicon = Lexicon({r["feature"] & (2**64 - 1): r["odds"] for r in found.select("feature", "odds").collect()})  # words of the sample
-    met = [(r["met"], int(r["toxic"]), r["count"]) for r in rows.mapInArrow(_threats(lexicon), "met long, toxic int").where("met > 0").groupBy("met", "toxic").count().collect()]  # 6 rows at most
+    met = [(r["met"], int(r["toxic"]), r["count"]) for r in in_batches(rows, _threats(lexicon), "met long, toxic int").where("met > 0").groupBy("met", "toxic").count().collect()]  # 6 rows at most
     weights = []
     for bit in (1, 2):
         bad, other = (sum(c for m, toxic, c in met if m & bit and toxic == t) for t in (1, 0))
         odds = float(np.log((bad + 0.5) / (n[1] + 1)) - np.log((other + 0.5) / (n[0] + 1)))
         weights.append(max(odds, 0.0) if bad + other else LEAST_ODDS)
     lexicon.aimed, lexicon.unaimed = weights
-    bins = rows.mapInArrow(_evidence(lexicon), "bin long, toxic int").groupBy("bin", "toxic").count().collect()  # some hundred rows
+    bins = in_batches(rows, _evidence(lexicon), "bin long, toxic int").groupBy("bin", "toxic").count().collect()  # some hundred rows
     lexicon.a, lexicon.b = logistic(np.array([np.expm1(r["bin"] / BINS) for r in bins]), np.array([float(r["toxic"] > 0) for r in bins]), np.array([float(r["count"]) for r in bins]))
     return lexicon
 
@@ -254,7 +255,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 e = lexicon.evidence(w)
                 yield pa.record_batch([batch.column("doc_id").slice(int(w.rows[0]), len(w.rows)), pa.array(lexicon.score(e)), pa.array(e)], names=["doc_id", "score", "evidence"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence double")
+    return in_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, evidence double")
 
 
 def scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -271,7 +272,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             scores = [lexicon.score(lexicon.evidence(w)) for w in pieces(batch.column("text"), ALNUM)]
             yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) < TOXIC))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

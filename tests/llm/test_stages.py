@@ -118,3 +118,27 @@ def test_toxicity_of_no_rows_and_without_labels(spark, empty, tmp_path):
     assert toxicity.stage(spark, empty, str(tmp_path)).count() == 0
     rows = [(1, "a"), (None, None), (1, "a")]
     assert toxicity.stage(spark, frame(spark, rows), str(tmp_path)).count() == 3
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    long = " ".join(f"x{rng.randrange(10**6)}" for _ in range(30000))  # much longer than a sequence
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(None, None), (1, ""), (None, text), (2, text + " end"), (2, text), (3, long), (3, "other words"), (None, "other words"), (4, "clean")]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, _at long, _AT_ long, file string, row long"
+    docs = spark.createDataFrame([(i, t, "en", "s", None, 1, 2, "f", 3) for i, t in rows], ddl)
+    bench = spark.createDataFrame([(None, None), (1, ""), (2, "...")], "item_id long, text string")
+    labels = spark.createDataFrame([(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for name, some in (("odd", docs), ("none", docs.limit(0))):
+        for table, df in (("documents", some), ("benchmark", bench), ("labels", labels)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    kept = sorted({r["doc_id"] for r in out}, key=str)
+    assert kept == [1, 2, 3, 4] and sum(r["piece"] == 0 for r in out) == 5  # 3 twice: two texts
+    assert max(r["piece"] for r in out) > 10 and len({(r["sequence_id"], r["offset"]) for r in out}) == len(out)
+    none = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert none.count() == 0 and "sequence_id" in none.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), f"{tmp_path}/odd").columns == docs.columns

@@ -355,7 +355,34 @@ def test_token_counts_equal_those_of_a_unigram_model(rows, tmp_path):
     assert got == [len(reference.encode(w)) for w in words]
 
 
+def test_repeated_rows_nulls_and_clashing_columns(spark):
+    from cubewind.llm import toxicity
+
+    rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None), (2, ""), (3, "é" * 70_000 + " x y z")]
+    ddl = "doc_id long, text string, score double, held_out boolean, n_tokens long, piece int, length long, component_id long, digest string, at long, spans string, evidence double"
+    table = spark.createDataFrame([(i, t, 1.0, False, 1, 2, 3, 4, "d", 5, "s", 6.0) for i, t in rows], ddl).repartition(2)
+    texts = table.withColumn("text", F.coalesce("text", F.lit("")))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, 0)], "doc_id long, toxic int")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    results = {
+        "lm": lm.score(texts, lm.train(texts)),
+        "jaccard": jaccard.join(table),
+        "secrets": secrets.find(texts, secrets.train(texts)),
+        "toxicity": toxicity.score(texts, toxicity.train(texts.select("doc_id", "text"), labels)),
+        "exact": exact_dedup.exact_groups(table),
+        "tokens": token_counts.token_counts(table),
+        "pack": pack.packed(table, capacity=10**6),
+        "leaks": decontaminate.contamination(table, items),
+    }
+    for name, df in results.items():
+        got = sorted((r["doc_id"] for r in df.collect()), key=str)
+        assert got == sorted((i for i, _ in rows), key=str), name
+    linked = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["n_links"]) for r in results["jaccard"].collect()}
+    assert linked == {(1, 2): (1, 2), (None, 2): (1, 2), (None, 0): (None, 0), (2, 0): (2, 0), (3, 2): (3, 0)}
+
+
 def test_empty_tables(spark, empty):
+    assert lm.score(empty.select("doc_id", "text", F.lit(True).alias("held_out")), lm.train(empty)).count() == 0
     assert jaccard.join(empty).count() == 0
     assert exact_dedup.exact_groups(empty).count() == 0
     assert pack.packed(empty).count() == 0
