@@ -255,6 +255,15 @@ def test_language_model(spark, docs, rows, order, prune, part_bytes):
         assert (10**p).sum() == pytest.approx(1.0, rel=1e-9)
 
 
+def test_packed_arrays():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in range(400):
+        arrays = [rng.integers(0, top, n % 40).astype(kind) for kind, top in (("<i8", 3), ("u1", 255), ("<u8", 2**62), ("<i8", 2**62), ("<u2", 9))]
+        assert all(np.array_equal(a, b) for a, b in zip(arrays, lm.unpacked(lm.packed(*arrays), ["<i8", "u1", "<u8", "<i8", "<u2"]), strict=True))
+
+
 def test_language_model_of_nothing(spark, docs, empty):
     model = lm.train(empty)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("held_out"))
