@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NJ, NI = 10, 20
 
@@ -42,8 +43,8 @@ def grid(spark: SparkSession, sf_dir: str = "") -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     monthly = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("time")).agg(F.avg("o_totalprice").alias("m"))
-    norm = monthly.agg(F.avg("m").alias("_m"), F.stddev_samp("m").alias("_s"))
-    return monthly.join(F.broadcast(norm)).select("time", ((F.col("m") - F.col("_m")) / F.col("_s")).alias("value"))  # one row
+    every = Window.partitionBy()  # a row per month
+    return monthly.select("time", ((F.col("m") - F.avg("m").over(every)) / F.stddev_samp("m").over(every)).alias("value"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
