@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubewind.llm import chat, decontaminate, exact_dedup, html, jaccard, lm, pack, secrets, token_counts, toxicity
+from cubewind.llm import centroids, chat, decontaminate, exact_dedup, html, jaccard, language, lm, pack, secrets, token_counts, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": lm.op1,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.op8,
     "op9_pack": pack.op9,
     "op10_decontaminate": decontaminate.op10,
+    "op11_centroids": centroids.op11,
+    "op12_vector_codes": vector_codes.op12,
+    "op13_language": language.op13,
 }
 
 ORACLE: dict[str, str] = {
     "op4_jaccard_join": jaccard.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_centroids": centroids.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
