@@ -70,13 +70,13 @@ def open_elements(spark: SparkSession, experiment: str = "MM", variable: str = "
 
 
 def open_file(spark: SparkSession, path: str, variable: str | None = None) -> DataFrame:
-    """A cube or static field from a classic NetCDF file, or from the Parquet that it was converted to, beside it."""
+    """A cube or static field from a NetCDF file, or from the Parquet that it was converted to, beside it."""
     parquet = path.removesuffix(".nc") + ".parquet"
     try:
         return open_cube(spark, parquet)
     except AnalysisException:
         netcdf.register(spark)
-        reader = spark.read.format("netcdf-classic").option("path", path)
+        reader = spark.read.format("netcdf").option("path", path)
         return (reader.option("variable", variable) if variable else reader).load()
 
 
