@@ -1,4 +1,4 @@
-"""Linear regression. Ordinary least squares are built-in aggregates; other models get one bounded group at a time."""
+"""Linear regression by aggregates, windows and array expressions; only quantiles of Student's t are NumPy, a row per fit."""
 
 from __future__ import annotations
 
@@ -46,12 +46,30 @@ def p_value(t: float, df: float) -> float:
     return float(p_values(t, df))
 
 
-def critical_t(df: float, p: float = SIGNIFICANT) -> float:
-    low, high = 0.0, 1e4
-    for _ in range(200):
+def critical_ts(df: np.ndarray, p: float = SIGNIFICANT) -> np.ndarray:
+    """Where the two-sided p-value of Student's t is p: by halving, of all degrees of freedom at once."""
+    df = np.asarray(df, float)
+    low, high = np.zeros(len(df)), np.full(len(df), 1e4)
+    for _ in range(80):
         mid = (low + high) / 2
-        low, high = (mid, high) if p_value(mid, df) > p else (low, mid)
-    return high
+        over = p_values(mid, df) > p
+        low, high = np.where(over, mid, low), np.where(over, high, mid)
+    return np.where(df > 0, high, np.nan)
+
+
+def critical_t(df: float, p: float = SIGNIFICANT) -> float:
+    return float(critical_ts(np.array([df]), p)[0])
+
+
+def t_column(df: Column, p: float = SIGNIFICANT) -> Column:
+    """critical_t over a column of degrees of freedom, once for each that a batch has; NULL without any."""
+
+    @F.pandas_udf("double")
+    def t(df: pd.Series) -> pd.Series:
+        each = df.dropna().unique()
+        return df.map(dict(zip(each, critical_ts(each, p), strict=True))).astype(float).where(df > 0, None)
+
+    return t(df.cast("double"))
 
 
 def p_column(t: Column, df: Column) -> Column:
@@ -98,10 +116,12 @@ def significant(fit: DataFrame, p: float = SIGNIFICANT) -> DataFrame:
 
 
 def adjusted(fit: DataFrame, p: str = "p", parts: int = 200) -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values of a map of fits, which is read twice. p-values are dealt to `parts` bins by their
-    value; counts and least quotients of the bins, a row each, give every bin its offsets, so that no task sees all fits."""
-    binned = fit.withColumn("_bin", F.least(F.floor(F.col(p) * parts), F.lit(parts - 1)))
-    same = binned.where(F.col(p).isNotNull()).groupBy("_bin", p).agg(F.count(F.lit(1)).alias("_c"))
+    """Benjamini-Hochberg adjusted p-values of a map of fits, which is read a few times. Distinct p-values are dealt to `parts`
+    bins of about as many each, whose bounds a quantile sketch gives: a map full of signal has nearly all of them close to 0.
+    Counts and least quotients of the bins, a row each, give every bin its offsets, so that no task sees all fits."""
+    equal = fit.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_c"))
+    bounds = equal.agg(F.percentile_approx(p, F.array(*[F.lit(k / parts) for k in range(1, max(parts, 2))]), F.lit(20 * parts)).alias("_bounds"))
+    same = equal.join(F.broadcast(bounds)).withColumn("_bin", F.size(F.filter("_bounds", lambda b: b < F.col(p)))).drop("_bounds")  # one row
     bins = same.groupBy("_bin").agg(F.sum("_c").alias("_in"))
     below = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # over `parts` rows
     bins = bins.select("_bin", F.coalesce(F.sum("_in").over(below), F.lit(0)).alias("_before"), F.sum("_in").over(Window.partitionBy()).alias("_m"))
@@ -129,70 +149,169 @@ def trend_line(fit: DataFrame, low: float, high: float, points: int = 100) -> Da
     return fit.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x).withColumn("y", F.col("intercept") + F.col("slope") * F.col("x"))
 
 
-def prediction_band(df: DataFrame, y: str, x: str, critical: float) -> DataFrame:
-    """The fitted mean at each x and its confidence band."""
+def prediction_band(df: DataFrame, y: str, x: str, critical: float | None = None, by: Sequence[str] = (), p: float = SIGNIFICANT) -> DataFrame:
+    """The fitted mean at each x and its confidence band, by series. The quantile of Student's t is that of each series' length
+    unless `critical` is given; fewer than three points have no band."""
     a, b = F.col(x), F.col(y)
-    fit = df.agg(F.regr_count(b, a).alias("_n"), F.regr_slope(b, a).alias("_s"), F.regr_intercept(b, a).alias("_c"), F.regr_avgx(b, a).alias("_m"), F.regr_sxx(b, a).alias("_xx"), F.regr_syy(b, a).alias("_yy"), F.regr_sxy(b, a).alias("_xy"))
-    out = df.join(F.broadcast(fit))  # one row
-    spread = F.sqrt(F.greatest(F.col("_yy") - F.col("_s") * F.col("_xy"), F.lit(0.0)) / (F.col("_n") - 2))
-    half = critical * spread * F.sqrt(1 / F.col("_n") + F.pow(a - F.col("_m"), 2) / F.col("_xx"))
+    fit = df.groupBy(*by).agg(F.regr_count(b, a).alias("_n"), F.regr_slope(b, a).alias("_s"), F.regr_intercept(b, a).alias("_c"), F.regr_avgx(b, a).alias("_m"), F.regr_sxx(b, a).alias("_xx"), F.regr_syy(b, a).alias("_yy"), F.regr_sxy(b, a).alias("_xy"))
+    fit = fit.withColumn("_t", F.lit(critical) if critical is not None else t_column(F.col("_n") - 2, p))
+    out = df.join(fit, list(by), "left") if by else df.join(F.broadcast(fit))  # one row
+    spread = F.sqrt(F.greatest(F.col("_yy") - F.col("_s") * F.col("_xy"), F.lit(0.0)) / F.nullif(F.col("_n") - 2, F.lit(0)))
+    half = F.when(F.col("_n") > 2, F.col("_t") * spread * F.sqrt(1 / F.col("_n") + F.pow(a - F.col("_m"), 2) / F.nullif(F.col("_xx"), F.lit(0.0))))
     mean = F.col("_c") + F.col("_s") * a
     return out.select(*df.columns, mean.alias("fitted"), (mean - half).alias("low"), (mean + half).alias("high"))
 
 
-def ar1_covariance(n: int, rho: float) -> np.ndarray:
-    return rho ** np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
-
-
-def _gls(x: np.ndarray, y: np.ndarray, covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    root = np.linalg.cholesky(np.linalg.inv(covariance)).T
-    a, b = root @ x, root @ y
-    beta, *_ = np.linalg.lstsq(a, b, rcond=None)
-    rest = b - a @ beta
-    return beta, np.linalg.inv(a.T @ a) * (rest @ rest) / max(len(y) - 2, 1)
-
-
-def fit_model(x: np.ndarray, y: np.ndarray, model: str, mode: str = "textbook") -> tuple[float, float, float]:
-    """Intercept, slope and t of 'ols', 'gls-ar1', 'gls-hs' or 'rls'. mode 'inverted' weighs by the inverse covariance
-    as if it were the covariance."""
-    design = np.column_stack([np.ones_like(x), x])
-    beta, cov = _gls(design, y, np.eye(len(x)))
-    rest = y - design @ beta
-    if model in ("gls-ar1", "gls-hs"):
-        if model == "gls-ar1":
-            e = rest - rest.mean()
-            sigma = ar1_covariance(len(x), float((e[1:] * e[:-1]).sum() / (e * e).sum()))
-        else:
-            variance = design @ _gls(design, rest**2, np.eye(len(x)))[0]
-            sigma = np.diag(np.maximum(variance, 1e-12 * max(variance.max(), 1e-300)))
-        beta, cov = _gls(design, y, np.linalg.inv(sigma) if mode == "inverted" else sigma)
-    elif model == "rls":
-        for _ in range(50):
-            scale = np.median(np.abs(rest)) / 0.6744897501960817 or 1e-12  # as robust fits do, about 0
-            w = np.minimum(1.0, 1.345 / np.maximum(np.abs(rest / scale), 1e-12))
-            new, cov = _gls(design, y, np.diag(1 / w))
-            rest = y - design @ new
-            done, beta = np.abs(new - beta).max() < 1e-10, new
-            if done:
-                break
-    elif model != "ols":
-        raise ValueError(f"unknown model {model}")
-    return float(beta[0]), float(beta[1]), float(beta[1] / np.sqrt(cov[1, 1])) if cov[1, 1] > 0 else float("nan")
+#: Huber's constant, the third quartile of the normal distribution, and steps of reweighting at most
+HUBER, QUARTILE, STEPS = 1.345, 0.6744897501960817, 50
 
 
-def fit(df: DataFrame, y: str, x: str, by: Sequence[str] = (), model: str = "ols", mode: str = "textbook") -> DataFrame:
-    """by, n, slope, intercept, t. A group is a series of years: it is small by nature, and the number of groups isn't."""
-    if model == "ols":
-        return ols(df, y, x, by).drop("r2")
-    kinds = dict(df.dtypes)
+def _moments(weight: Column, one: Column, x: Column, y: Column) -> dict[str, Column]:
+    """Sums that a weighted line needs; one: the constant's column."""
+    both = {"aa": one * one, "ax": one * x, "xx": x * x, "ay": one * y, "xy": x * y, "yy": y * y}
+    return {k: F.sum(weight * c) for k, c in both.items()}
+
+
+def _line(by: Sequence[str], sums: DataFrame) -> DataFrame:
+    """Slope, intercept and t from sums over x and y that are counted from their means _mx and _my."""
+    c = F.col
+    rank = c("aa") * c("xx") - c("ax") * c("ax")
+    slope = (c("aa") * c("xy") - c("ax") * c("ay")) / rank
+    start = (c("xx") * c("ay") - c("ax") * c("xy")) / rank
+    rest = F.greatest(c("yy") - start * c("ay") - slope * c("xy"), F.lit(0.0))
+    t = F.when((rest > 1e-12 * c("yy")) & (c("n") > 2), slope * F.sqrt((c("n") - 2) * rank / (c("aa") * rest)))
+    fine = (c("n") > 2) & (rank > 0) & ~F.isnan(rank)
+    return sums.select(*by, "n", F.when(fine, slope).alias("slope"), F.when(fine, c("_my") + start - slope * c("_mx")).alias("intercept"), F.when(fine, t).alias("t"))
+
+
+def _centred(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame:
+    """by, _x and _y counted from their means, and the means: one shuffle by the series' key, which later windows share."""
+    own = Window.partitionBy(*by)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = rows.withColumns({"_mx": F.avg("_x").over(own), "_my": F.avg("_y").over(own)})
+    return rows.withColumns({"_x": F.col("_x") - F.col("_mx"), "_y": F.col("_y") - F.col("_my")})
+
+
+def _with_rest(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """_e: what a plain line leaves of centred values."""
+    own = Window.partitionBy(*by)
+    slope = F.sum(F.col("_x") * F.col("_y")).over(own) / F.nullif(F.sum(F.col("_x") * F.col("_x")).over(own), F.lit(0.0))
+    return rows.withColumn("_e", F.col("_y") - slope * F.col("_x"))
+
+
+def _means() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.first("_mx").alias("_mx"), F.first("_my").alias("_my")]
+
+
+def gls_ar1(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
+    """Generalised least squares with errors that follow one another by a factor, that of the plain fit's residuals. The inverse
+    of their covariance has three diagonals: each value less the factor times the one before, the first one scaled, is a plain
+    fit. Windows over the series in order; nothing of n x n, and one shuffle for all series."""
+    own, line = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_x")
+    rows = _with_rest(_centred(df, y, x, by), by)
+    rows = rows.withColumn("_b", F.lag("_e").over(line))
+    rows = rows.withColumn("_r", F.coalesce(F.sum(F.col("_e") * F.col("_b")).over(own) / F.nullif(F.sum(F.col("_e") * F.col("_e")).over(own), F.lit(0.0)), F.lit(0.0)))
+    first = F.row_number().over(line) == 1
+    turned = lambda c: F.when(first, F.sqrt(1 - F.col("_r") * F.col("_r")) * c).otherwise(c - F.col("_r") * F.lag(c).over(line))
+    rows = rows.select(*by, "_mx", "_my", turned(F.lit(1.0)).alias("_1"), turned(F.col("_x")).alias("_x"), turned(F.col("_y")).alias("_y"))
+    sums = _moments(F.lit(1.0), F.col("_1"), F.col("_x"), F.col("_y"))
+    return _line(by, rows.groupBy(*by).agg(*_means(), *[c.alias(k) for k, c in sums.items()]))
+
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("_x")
-        head = {k: [g[k].iloc[0]] for k in by}
-        if len(g) < 3:
-            return pd.DataFrame(head | {"n": [len(g)], "slope": [None], "intercept": [None], "t": [None]})
-        a, b, t = fit_model(g["_x"].to_numpy(), g["_y"].to_numpy(), model, mode)
-        return pd.DataFrame(head | {"n": [len(g)], "slope": [b], "intercept": [a], "t": [t]})
+def gls_hs(df: DataFrame, y: str, x: str, by: Sequence[str] = (), mode: str = "textbook") -> DataFrame:
+    """Weighted by the variance that a line through the squared residuals has at each x; mode 'inverted' by its inverse."""
+    own = Window.partitionBy(*by)
+    rows = _with_rest(_centred(df, y, x, by), by).withColumn("_e", F.col("_e") * F.col("_e"))
+    slope = F.sum(F.col("_x") * F.col("_e")).over(own) / F.nullif(F.sum(F.col("_x") * F.col("_x")).over(own), F.lit(0.0))
+    rows = rows.withColumn("_v", F.avg("_e").over(own) + slope * F.col("_x"))
+    rows = rows.withColumn("_v", F.greatest(F.col("_v"), 1e-12 * F.greatest(F.max("_v").over(own), F.lit(1e-300))))
+    sums = _moments(F.col("_v") if mode == "inverted" else 1 / F.col("_v"), F.lit(1.0), F.col("_x"), F.col("_y"))
+    return _line(by, rows.groupBy(*by).agg(*_means(), *[c.alias(k) for k, c in sums.items()]))
 
-    return rows.groupBy(*by).applyInPandas(run, "".join(f"{k} {kinds[k]}, " for k in by) + "n long, slope double, intercept double, t double")
+
+def _series(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A row per series with its points in order: one value per day of decades at most."""
+    return rows.groupBy(*by).agg(*_means(), F.array_sort(F.collect_list(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))).alias("_s"))
+
+
+def gls_ar1_inverted(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
+    """As gls_ar1, but weighted by the covariance as if it were its inverse. The weights r ** |i - j| of all pairs of a series sum
+    up in one pass that carries what earlier values still count for."""
+    rows = _with_rest(_centred(df, y, x, by), by).withColumn("_b", F.lag("_e").over(Window.partitionBy(*by).orderBy("_x")))
+    factor = F.coalesce(F.sum(F.col("_e") * F.col("_b")) / F.nullif(F.sum(F.col("_e") * F.col("_e")), F.lit(0.0)), F.lit(0.0))
+    each = rows.groupBy(*by).agg(*_means(), F.array_sort(F.collect_list(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))).alias("_s"), factor.alias("_r"))
+    names = ("p1", "px", "py", "aa", "ax", "xx", "ay", "xy", "yy")
+
+    def step(s: Column, v: Column) -> Column:
+        one, x, y, p1, px, py, r = F.lit(1.0), v["x"], v["y"], s["p1"], s["px"], s["py"], F.col("_r")
+        pair = lambda a, b, pa, pb: a * b + a * pb + b * pa
+        new = [r * (one + p1), r * (x + px), r * (y + py), s["aa"] + pair(one, one, p1, p1), s["ax"] + pair(one, x, p1, px), s["xx"] + pair(x, x, px, px), s["ay"] + pair(one, y, p1, py), s["xy"] + pair(x, y, px, py), s["yy"] + pair(y, y, py, py)]
+        return F.struct(*[c.alias(k) for k, c in zip(names, new, strict=True)])
+
+    sums = each.withColumn("_t", F.aggregate("_s", F.struct(*[F.lit(0.0).alias(k) for k in names]), step))
+    return _line(by, sums.select(*by, "n", "_mx", "_my", *[F.col("_t")[k].alias(k) for k in names[3:]]))
+
+
+def robust(df: DataFrame, y: str, x: str, by: Sequence[str] = (), steps: int = STEPS) -> DataFrame:
+    """Lines by Huber's weights, refitted `steps` times or until they stay: of all series at once, each in its own row. The scale
+    is the median of the residuals' sizes about 0; the weights of a step are those of the line before."""
+    each = _series(_centred(df, y, x, by), by)
+    values = F.col("_s")
+
+    def weight(v: Column, s: Column, scale: Column) -> Column:
+        return F.least(F.lit(1.0), HUBER / F.greatest(F.abs(v["y"] - s["c"] - s["s"] * v["x"]) / scale, F.lit(1e-12)))
+
+    def scale_of(s: Column) -> Column:
+        sizes = F.array_sort(F.transform(values, lambda v: F.abs(v["y"] - s["c"] - s["s"] * v["x"])))
+        n = F.size(sizes)
+        median = (F.get(sizes, F.floor((n - 1) / 2).cast("int")) + F.get(sizes, F.floor(n / 2).cast("int"))) / 2
+        found = median / QUARTILE
+        return F.when(found > 0, found).otherwise(1e-12)
+
+    names = ("aa", "ax", "xx", "ay", "xy", "yy")
+
+    def sums_of(s: Column) -> Column:
+        """The sums under the weights of a line; its scale is found once, as an element that the fold meets."""
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+        def add(scale: Column):
+            def go(t: Column, v: Column) -> Column:
+                w = weight(v, s, scale)
+                both = (w, w * v["x"], w * v["x"] * v["x"], w * v["y"], w * v["x"] * v["y"], w * v["y"] * v["y"])
+                return F.struct(*[(t[k] + c).alias(k) for k, c in zip(names, both, strict=True)])
+
+            return go
+
+        return F.get(F.transform(F.array(scale_of(s)), lambda scale: F.aggregate(values, zero, add(scale))), F.lit(0))
+
+    state = lambda s, c, done, t: F.struct(s.alias("s"), c.alias("c"), done.alias("done"), *[t[k].alias(k) for k in names])
+
+    def refit(s: Column, _: Column) -> Column:
+        def solved(t: Column) -> Column:
+            rank = F.nullif(t["aa"] * t["xx"] - t["ax"] * t["ax"], F.lit(0.0))
+            slope, start = (t["aa"] * t["xy"] - t["ax"] * t["ay"]) / rank, (t["xx"] * t["ay"] - t["ax"] * t["xy"]) / rank
+            return state(slope, start, F.coalesce(F.greatest(F.abs(slope - s["s"]), F.abs(start - s["c"])) < 1e-10, F.lit(True)), t)
+
+        return F.when(s["done"], s).otherwise(F.get(F.transform(F.array(sums_of(s)), solved), F.lit(0)))
+
+    plain = F.aggregate(values, F.struct(F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy")), lambda t, v: F.struct((t["xx"] + v["x"] * v["x"]).alias("xx"), (t["xy"] + v["x"] * v["y"]).alias("xy")))
+    each = each.withColumn("_p", plain)
+    nothing = F.struct(*[F.lit(0.0).alias(k) for k in names])
+    first = state(F.coalesce(F.col("_p.xy") / F.nullif(F.col("_p.xx"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0), F.lit(False), nothing)
+    each = each.withColumn("_f", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, refit))
+    return _line(by, each.select(*by, "n", "_mx", "_my", *[F.col("_f")[k].alias(k) for k in names]))
+
+
+def fit(df: DataFrame, y: str, x: str, by: Sequence[str] = (), model: str = "ols", mode: str = "textbook") -> DataFrame:
+    """by, n, slope, intercept, t of 'ols', 'gls-ar1', 'gls-hs' or 'rls', of all series by their key. mode 'inverted' weighs by
+    the covariance as if it were its inverse. Rows where x or y is NULL are left out; fewer than three points, or one x, have no
+    line, and a perfect fit no t."""
+    if model == "ols":
+        return ols(df, y, x, by).drop("r2")
+    if model == "gls-ar1":
+        return (gls_ar1_inverted if mode == "inverted" else gls_ar1)(df, y, x, by)
+    if model == "gls-hs":
+        return gls_hs(df, y, x, by, mode)
+    if model == "rls":
+        return robust(df, y, x, by)
+    raise ValueError(f"unknown model {model}")
