@@ -73,6 +73,63 @@ def plane(params: dict) -> Plane:
     raise ValueError(f"unknown projection {kind}")
 
 
+def plane_columns(params: dict) -> tuple[Callable[[Column, Column], tuple[Column, Column]], Callable[[Column, Column], tuple[Column, Column]]]:
+    """plane() over columns: metres of lon and lat, and lon and lat of metres, of whole grids; what depends on the projection alone
+    is a literal. Longitudes come back within half a turn of the projection's own."""
+    kind, r, half = params["map_proj"], SPHERE, math.pi / 4
+    lon0 = math.radians(params.get("stand_lon", params["ref_lon"]))
+    one, two = math.radians(params["truelat1"]), math.radians(params.get("truelat2", params["truelat1"]))
+    apart = lambda lon: F.pmod(F.radians(lon) - lon0 + math.pi, F.lit(2 * math.pi)) - math.pi
+    east = lambda angle: F.degrees(angle + lon0)
+    if kind.startswith("MERC"):
+        k = r * math.cos(one)
+        return (
+            lambda lon, lat: (k * apart(lon), k * F.log(F.tan(half + F.radians(lat) / 2))),
+            lambda x, y: (east(x / k), F.degrees(2 * F.atan(F.exp(y / k)) - math.pi / 2)),
+        )
+    if kind.startswith("LAMB"):
+        n = math.sin(one) if abs(one - two) < 1e-9 else math.log(math.cos(one) / math.cos(two)) / math.log(math.tan(half + two / 2) / math.tan(half + one / 2))
+        scale = r * math.cos(one) * math.tan(half + one / 2) ** n / n
+        top, sign = scale / math.tan(half + math.radians(params["ref_lat"]) / 2) ** n, math.copysign(1, n)
+        rho = lambda lat: scale / F.pow(F.tan(half + F.radians(lat) / 2), F.lit(n))
+        far = lambda x, y: sign * F.sqrt(x * x + (top - y) * (top - y))
+        return (
+            lambda lon, lat: (rho(lat) * F.sin(n * apart(lon)), top - rho(lat) * F.cos(n * apart(lon))),
+            lambda x, y: (east(F.atan2(sign * x, sign * (top - y)) / n), F.degrees(2 * F.atan(F.pow(scale / far(x, y), F.lit(1 / n))) - math.pi / 2)),
+        )
+    if kind.startswith(("POLAR", "STERE")):
+        s = math.copysign(1, params["truelat1"])
+        k = r * (1 + math.sin(abs(one)))
+        rho = lambda lat: k * F.tan(half - s * F.radians(lat) / 2)
+        return (
+            lambda lon, lat: (rho(lat) * F.sin(apart(lon)), -s * rho(lat) * F.cos(apart(lon))),
+            lambda x, y: (east(F.atan2(x, -s * y)), F.degrees(s * (math.pi / 2 - 2 * F.atan(F.sqrt(x * x + y * y) / k)))),
+        )
+    raise ValueError(f"unknown projection {kind}")
+
+
+def model_pixels(lon: Column, lat: Column, params: dict, domain: int = 1) -> tuple[Column, Column]:
+    """Pixel coordinates (i, j; whole at the middle of cells) of positions on the projected grid of a domain."""
+    row = domain_rows(params)[domain - 1]
+    x, y = plane_columns(params)[0](lon, lat)
+    return (x - row[3]) / row[11] - 0.5, (y - row[5]) / row[12] - 0.5
+
+
+def model_lonlat(i: Column, j: Column, params: dict, domain: int = 1) -> tuple[Column, Column]:
+    """Longitude and latitude of pixel coordinates: the inverse of model_pixels."""
+    row = domain_rows(params)[domain - 1]
+    return plane_columns(params)[1](row[3] + (i + 0.5) * row[11], row[5] + (j + 0.5) * row[12])
+
+
+def domain_grid(spark, params: dict, domain: int = 1) -> DataFrame:
+    """j, i, x_m, y_m, lon and lat of the cells of a domain, made by tasks."""
+    row = domain_rows(params)[domain - 1]
+    nx, ny = params["e_we"][domain - 1] - 1, params["e_sn"][domain - 1] - 1
+    cells = spark.range(nx * ny).select(F.floor(F.col("id") / nx).cast("int").alias("j"), (F.col("id") % nx).cast("int").alias("i"))
+    lon, lat = model_lonlat(F.col("i"), F.col("j"), params, domain)
+    return cells.select("j", "i", (row[3] + (F.col("i") + 0.5) * row[11]).alias("x_m"), (row[5] + (F.col("j") + 0.5) * row[12]).alias("y_m"), lon.alias("lon"), lat.alias("lat"))
+
+
 def domain_rows(params: dict) -> list[tuple]:
     """A row per domain; a child's corner is counted in its parent's cells."""
     forward, back = plane(params)

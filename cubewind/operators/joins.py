@@ -52,33 +52,53 @@ def _distance(metric: str) -> Column:
     return 2 * F.asin(F.sqrt(F.least(half, F.lit(1.0))))
 
 
-def nearest_cell(points: DataFrame, grid: DataFrame, metric: str = "chebyshev", bin: float = 0.25) -> DataFrame:
-    """station, j, i, dist of the cell that is nearest to each station; of equal distances the least (j, i). Cells and
-    stations meet in bins of `bin` degrees: a station asks the bins around its own, then wider squares as long as nothing is
-    near enough to rule out what lies outside. Both joins are equi-joins, so neither side is broadcast or crossed."""
-    number = lambda c: F.floor(F.col(c) / bin)
-    cells = grid.select("j", "i", "lat", "lon", number("lon").alias("_x"), number("lat").alias("_y"))
-    todo = points.select("station", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    # how far bins must reach at all
-    end = cells.agg(*[f(c).alias(f"{c}{k}") for c in ("_x", "_y") for k, f in enumerate((F.min, F.max))]).first()
-    far = todo.agg(*[f(number(c)).alias(f"{c}{k}") for c in ("_lon", "_lat") for k, f in enumerate((F.min, F.max))]).first()
-    if end[0] is None or far[0] is None:
-        return todo.join(cells, F.lit(False)).select("station", "j", "i", F.lit(0.0).alias("dist"))
-    most = max(abs(a - b) for side in ((0, 1), (2, 3)) for a in (end[side[0]], end[side[1]]) for b in (far[side[0]], far[side[1]])) + 1
-    found, reach = None, 1
-    while True:
-        ring = F.sequence(F.lit(-reach), F.lit(reach))
-        asked = todo.withColumn("_dx", F.explode(ring)).withColumn("_dy", F.explode(ring)).withColumn("_x", number("_lon") + F.col("_dx")).withColumn("_y", number("_lat") + F.col("_dy"))
-        near = asked.join(cells, ["_x", "_y"])
-        best = near.groupBy("station", "_lat", "_lon").agg(F.min(F.struct(_distance(metric).alias("dist"), "j", "i")).alias("_b"), F.min(F.greatest(F.abs(F.col("lat") - F.col("_lat")), F.abs(F.col("lon") - F.col("_lon")))).alias("_near"))
-        # in degrees, what lies outside is farther than `reach` bins; on the sphere a degree of longitude is shorter
-        sure = F.col("_near") <= F.lit(reach * bin) * (F.cos(F.radians(F.least(F.abs("_lat") + reach * bin, F.lit(89.0)))) if metric != "chebyshev" else F.lit(1.0))
-        done = best if reach > most else best.where(sure)
-        found = done if found is None else found.unionByName(done)
-        todo = todo.join(done.select("station"), "station", "left_anti")
-        if reach > most or todo.isEmpty():
-            return found.select("station", "_b.j", "_b.i", "_b.dist")
-        reach *= 4
+#: Sides of bins, from well under a grid's step to all around: in degrees for the plane, in radii for the sphere
+PLANE_BINS, SPHERE_BINS = [2.0**k for k in range(-9, 11)], [2.0**k for k in range(-14, 3)]
+
+
+def _places(lat: str, lon: str, metric: str) -> list[Column]:
+    """Coordinates in which bins are cubes: degrees, or the unit sphere's, which know neither poles nor a date line."""
+    if metric == "chebyshev":
+        return [F.col(lon), F.col(lat)]
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
+def _bin_tree(df: DataFrame, places: list[Column], sizes: Sequence[float], around: int = 0) -> DataFrame:
+    """df with a row for each level (`_l`) and bin (`_b0`, `_b1` ...) of a place, and those around it."""
+    bins = [F.struct(F.lit(n).alias("_l"), *[F.floor(p / size).cast("long").alias(f"_b{k}") for k, p in enumerate(places)]) for n, size in enumerate(sizes)]
+    out = df.select("*", F.inline(F.array(*bins)))
+    for k in range(len(places) if around else 0):
+        out = out.withColumn("_d", F.explode(F.sequence(F.lit(-around), F.lit(around)))).withColumn(f"_b{k}", F.col(f"_b{k}") + F.col("_d")).drop("_d")
+    return out
+
+
+def nearest_cell(points: DataFrame, grid: DataFrame, metric: str = "chebyshev") -> DataFrame:
+    """station, j, i, dist of the cell that is nearest to each point, in degrees ('chebyshev') or along the sphere in radians;
+    of equal distances the least (j, i). One plan without a loop: cells are in a tree of bins, each level twice as wide as the one
+    below. A point's first level with a cell in the bins around its own bounds how far the nearest can be, and the bins around
+    that are wide enough hold it. Joins are equi-joins on bins; only distinct places are looked up.
+
+    Each row of points comes out once, whatever names repeat or are NULL; without coordinates or cells j, i and dist are NULL."""
+    sizes, up = (PLANE_BINS, 1) if metric == "chebyshev" else (SPHERE_BINS, 2)
+    fine = lambda *c: F.lit(True) if not c else F.col(c[0]).isNotNull() & ~F.isnan(c[0]) & fine(*c[1:])
+    cells = grid.where(fine("lat", "lon")).select("j", "i", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    own = points.select("station", F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"))
+    asked = own.where(fine("_lat", "_lon")).select("_lat", "_lon").distinct()
+    key = ["_l", *[f"_b{k}" for k in range(len(_places("lat", "lon", metric)))]]
+    tree = _bin_tree(cells, _places("lat", "lon", metric), sizes)
+    there = tree.select(*key).distinct()
+    here = _places("_lat", "_lon", metric)
+    first = _bin_tree(asked, here, sizes, 1).join(there, key, "left_semi").groupBy("_lat", "_lon").agg(F.min("_l").alias("_first"))
+    # what the first level has is within two sides of the point in each coordinate, so the nearest cell is within one of `up` levels higher
+    level = F.least(F.col("_first") + up, F.lit(len(sizes) - 1))
+    at = first.select("_lat", "_lon", level.alias("_l"))
+    side = F.element_at(F.array(*[F.lit(x) for x in sizes]), F.col("_l") + 1)
+    wide = at.select("*", *[F.floor(p / side).cast("long").alias(f"_b{k}") for k, p in enumerate(here)])
+    for k in range(len(here)):
+        wide = wide.withColumn("_d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"_b{k}", F.col(f"_b{k}") + F.col("_d")).drop("_d")
+    best = wide.join(tree, key).groupBy("_lat", "_lon").agg(F.min(F.struct(_distance(metric).alias("dist"), "j", "i")).alias("_b"))
+    return own.join(best, ["_lat", "_lon"], "left").select("station", "_b.j", "_b.i", "_b.dist")
 
 
 def nearest_series(cube: DataFrame, points: DataFrame, grid: DataFrame, variable: str) -> DataFrame:
@@ -87,9 +107,15 @@ def nearest_series(cube: DataFrame, points: DataFrame, grid: DataFrame, variable
 
 
 def match_station(names: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Stations whose last word is in a name, both in lower case."""
+    """Stations whose last word is in a name, both in lower case. A name asks for its pieces of the lengths that last words have,
+    so that it is an equi-join; every row of names comes out, without a station if there is none."""
     key = F.lower(F.element_at(F.split("station", " "), -1))
-    return names.join(catalogue, F.contains(F.lower("name"), key), "left")
+    known = catalogue.withColumn("_k", key).where(F.length("_k") > 0)
+    lengths = known.agg(F.collect_set(F.length("_k")).alias("_n"))  # one row, a few numbers
+    low = F.lower("name")
+    pieces = F.array_distinct(F.flatten(F.transform("_n", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda a: F.substring(low, a, n)))))
+    asked = names.select("name").where("name IS NOT NULL").distinct().join(F.broadcast(lengths)).select("name", F.explode(pieces).alias("_k"))
+    return names.join(asked.join(known, "_k").drop("_k"), "name", "left")
 
 
 def merged_sensors(df: DataFrame, columns: Sequence[str]) -> list[str]:

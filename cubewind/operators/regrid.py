@@ -27,21 +27,31 @@ def linspace_grid(spark, lon: tuple[float, float], lat: tuple[float, float], nx:
     return lonlat_grid(spark, nx, ny, lon[0], (lon[1] - lon[0]) / (nx - 1), lat[0], (lat[1] - lat[0]) / (ny - 1))
 
 
+def _repeated(points: DataFrame) -> DataFrame:
+    """Distinct points and how often each is there (`_times`): repeated rows are interpolated once and come out as often."""
+    return points.groupBy(*points.columns).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+
+
+def _from_cells(points: DataFrame, raster: DataFrame, value: str, corners: list[tuple[int, int]], weight, complete) -> DataFrame:
+    """Weighted sums of raster cells around points: _x and _y in cells. weight and complete: of a corner, of all corners."""
+    columns = [c for c in points.columns if c not in ("_x", "_y")]
+    offsets = F.array(*[F.struct(F.lit(dj).alias("dj"), F.lit(di).alias("di")) for dj, di in corners])
+    wide = points.withColumn("_c", F.explode(offsets)).withColumn("_rj", F.floor("_y").cast("int") + F.col("_c.dj")).withColumn("_ri", F.floor("_x").cast("int") + F.col("_c.di"))
+    wide = wide.withColumn("_w", weight(F.col("_x") - F.col("_ri")) * weight(F.col("_y") - F.col("_rj"))).select(*columns, "_rj", "_ri", "_w")
+    cells = raster.select(F.col("j").alias("_rj"), F.col("i").alias("_ri"), F.col(value).alias("_v"))
+    both = wide.join(cells, ["_rj", "_ri"], "left").groupBy(*columns)
+    out = both.agg(F.when(complete, F.sum(F.when(F.col("_w") == 0, 0.0).otherwise(F.col("_w") * F.col("_v")))).alias(value))
+    return out.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
+
+
 def bilinear(points: DataFrame, raster: DataFrame, value: str, origin: tuple[float, float], step: tuple[float, float]) -> DataFrame:
     """points (with lon, lat) and the value between the four raster cells (j, i) around each; NULL outside or where one is
-    missing. An equi-join on cell numbers: each point asks for four cells."""
-    x, y = (F.col("lon") - origin[0]) / step[0], (F.col("lat") - origin[1]) / step[1]
-    columns = points.columns
-    at = points.withColumn("_x", x).withColumn("_y", y).withColumn("_i", F.floor("_x").cast("int")).withColumn("_j", F.floor("_y").cast("int"))
-    corner = F.explode(F.array(*[F.struct(F.lit(dj).alias("dj"), F.lit(di).alias("di")) for dj in (0, 1) for di in (0, 1)])).alias("_c")
-    wide = at.select("*", corner)
-    fx, fy = F.col("_x") - F.col("_i"), F.col("_y") - F.col("_j")
-    wide = wide.withColumn("_w", F.when(F.col("_c.di") == 1, fx).otherwise(1 - fx) * F.when(F.col("_c.dj") == 1, fy).otherwise(1 - fy))
-    cells = raster.select(F.col("j").alias("_rj"), F.col("i").alias("_ri"), F.col(value).alias("_v"))
-    both = wide.join(cells, (F.col("_rj") == F.col("_j") + F.col("_c.dj")) & (F.col("_ri") == F.col("_i") + F.col("_c.di")), "left")
+    missing. An equi-join on cell numbers: each distinct point asks for four cells, and repeated points come out repeated."""
+    x, y = pixels(F.col("lon"), F.col("lat"), origin, step)
+    at = _repeated(points).withColumns({"_x": x, "_y": y})
     # a corner of weight 0 may be outside
     some = F.count(F.when(F.col("_v").isNotNull() | (F.col("_w") == 0), 1)) == 4
-    return both.groupBy(*columns).agg(F.when(some, F.sum(F.when(F.col("_w") == 0, 0.0).otherwise(F.col("_w") * F.col("_v")))).alias(value))
+    return _from_cells(at, raster, value, [(dj, di) for dj in (0, 1) for di in (0, 1)], lambda d: 1 - F.abs(d), some)
 
 
 def bilinear_weights(target: DataFrame, origin: tuple[float, float], step: tuple[float, float]) -> DataFrame:
@@ -56,15 +66,73 @@ def bilinear_weights(target: DataFrame, origin: tuple[float, float], step: tuple
     return wide.select(*keys, (F.floor("_y") + F.col("_c.dj")).cast("int").alias("j"), (F.floor("_x") + F.col("_c.di")).cast("int").alias("i"), weight.alias("weight"))
 
 
+#: Points this far outside a quadrilateral, in its own coordinates, still lie in it, as rounding may have moved them
+EDGE = 1e-9
+
+
+def quadrilaterals(grid: DataFrame) -> DataFrame:
+    """_qj, _qi and the corners (x00 ... y11) of the quadrilaterals between neighbouring cells (j, i, lon, lat) of any grid; those
+    with a missing corner aren't there. A cell is a corner of four, which are put together by one shuffle."""
+    corner = F.explode(F.array(*[F.struct(F.lit(dj).alias("dj"), F.lit(di).alias("di")) for dj in (0, 1) for di in (0, 1)])).alias("_c")
+    wide = grid.where("lon IS NOT NULL AND lat IS NOT NULL").select("j", "i", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), corner)
+    of = lambda c, dj, di: F.max(F.when((F.col("_c.dj") == dj) & (F.col("_c.di") == di), F.col(c)))
+    sides = [of(c, dj, di).alias(f"{n}{dj}{di}") for n, c in (("x", "lon"), ("y", "lat")) for dj in (0, 1) for di in (0, 1)]
+    quads = wide.groupBy((F.col("j") - F.col("_c.dj")).alias("_qj"), (F.col("i") - F.col("_c.di")).alias("_qi")).agg(F.count(F.lit(1)).alias("_n"), *sides)
+    return quads.where("_n = 4").drop("_n")
+
+
+def _inverse_bilinear(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, and where (_px, _py) lies between the corners of a quadrilateral: _u and _v, from 0 to 1 along i and j. Pairs where it
+    lies elsewhere are left out. In steps, so that what is used often is computed once."""
+    c = F.col
+    names = ("ex", "ey", "fx", "fy", "gx", "gy", "hx", "hy")
+    sides = (c("x01") - c("x00"), c("y01") - c("y00"), c("x10") - c("x00"), c("y10") - c("y00"), c("x00") - c("x01") - c("x10") + c("x11"), c("y00") - c("y01") - c("y10") + c("y11"), c("_px") - c("x00"), c("_py") - c("y00"))
+    out = pairs.select(*keep, *[x.alias(n) for n, x in zip(names, sides, strict=True)])
+    k2, k1, k0 = c("gx") * c("fy") - c("gy") * c("fx"), c("ex") * c("fy") - c("ey") * c("fx") + c("hx") * c("gy") - c("hy") * c("gx"), c("hx") * c("ey") - c("hy") * c("ex")
+    out = out.withColumns({"k2": k2, "k1": k1, "k0": k0})
+    root = F.sqrt(F.greatest(c("k1") * c("k1") - 4 * c("k0") * c("k2"), F.lit(0.0)))
+    out = out.withColumn("q", -0.5 * (c("k1") + F.when(c("k1") < 0, -1.0).otherwise(1.0) * root))
+    out = out.withColumn("_v", F.explode(F.array(c("k0") / F.nullif(c("q"), F.lit(0.0)), c("q") / F.nullif(c("k2"), F.lit(0.0)))))  # both roots
+    inside = lambda x: x.between(-EDGE, 1 + EDGE)
+    out = out.where(inside(c("_v"))).withColumns({"dx": c("ex") + c("gx") * c("_v"), "dy": c("ey") + c("gy") * c("_v")})
+    flat = F.abs("dx") > F.abs("dy")
+    out = out.withColumn("_u", F.when(flat, c("hx") - c("fx") * c("_v")).otherwise(c("hy") - c("fy") * c("_v")) / F.nullif(F.when(flat, c("dx")).otherwise(c("dy")), F.lit(0.0)))
+    return out.where(inside(c("_u"))).select(*keep, "_u", "_v")
+
+
+def curvilinear_weights(target: DataFrame, grid: DataFrame, cell: float) -> DataFrame:
+    """As bilinear_weights, but from a grid whose cells have any lon and lat: target (keys, lon, lat) with the four source cells
+    (j, i) around each point and their weights, by inverse bilinear mapping. Quadrilaterals and points meet in bins of `cell`
+    degrees (a few steps of the grid), by an equi-join; of those that share a point the least (j, i) takes it. Targets outside
+    come out once, with NULL for j, i and weight, so that they can't get lost."""
+    keys = [c for c in target.columns if c not in ("lon", "lat")]
+    number = lambda c: F.floor(c / cell).cast("long")
+    xs, ys = (F.array(*[F.col(f"{n}{dj}{di}") for dj in (0, 1) for di in (0, 1)]) for n in "xy")
+    quads = quadrilaterals(grid)
+    span = lambda v: F.explode(F.sequence(number(F.array_min(v) - EDGE * cell), number(F.array_max(v) + EDGE * cell)))
+    quads = quads.withColumn("_bx", span(xs)).withColumn("_by", span(ys))
+    places = target.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col("lon").cast("double").alias("_px"), F.col("lat").cast("double").alias("_py")).distinct()
+    met = places.withColumns({"_bx": number(F.col("_px")), "_by": number(F.col("_py"))}).join(quads, ["_bx", "_by"])
+    one = _inverse_bilinear(met, ["_px", "_py", "_qj", "_qi"]).groupBy("_px", "_py").agg(F.min(F.struct("_qj", "_qi", "_u", "_v")).alias("_q"))
+    share = lambda c, d: F.greatest(F.least(F.col(f"_q.{c}") if d else 1 - F.col(f"_q.{c}"), F.lit(1.0)), F.lit(0.0))
+    corners = F.array(*[F.struct((F.col("_q._qj") + dj).cast("int").alias("j"), (F.col("_q._qi") + di).cast("int").alias("i"), (share("_v", dj) * share("_u", di)).alias("weight")) for dj in (0, 1) for di in (0, 1)])
+    found = one.select("_px", "_py", F.inline(corners))
+    both = target.join(found, (target["lon"].cast("double") == found["_px"]) & (target["lat"].cast("double") == found["_py"]), "left")
+    return both.select(*keys, "j", "i", "weight")
+
+
 def remap(cube: DataFrame, weights: DataFrame, variable: str) -> DataFrame:
-    """All files and times of a cube on another grid: keys of the weights' target, the cube's other coordinates and the
-    variable; NULL where one of the cells of weight is missing."""
+    """All files and times of a cube on another grid: keys of the weights' target, the cube's other coordinates and the variable,
+    for every target at every coordinate; NULL where one of the cells of weight is missing or the target lies outside."""
     keys = [c for c in weights.columns if c not in ("j", "i", "weight")]
     others = [c for c in cube.columns if c in ("file", "time", "level")]
-    both = cube.join(weights.where("weight <> 0"), ["j", "i"])
-    need = weights.where("weight <> 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("_need"))
-    out = both.groupBy(*others, *keys).agg(F.sum(F.col("weight") * F.col(variable)).alias(variable), F.count(variable).alias("_n"))
-    return out.join(need, keys).select(*others, *keys, F.when(F.col("_n") == F.col("_need"), F.col(variable)).alias(variable))
+    own = weights.where("weight <> 0")
+    got = cube.join(own, ["j", "i"]).groupBy(*others, *keys).agg(F.sum(F.col("weight") * F.col(variable)).alias(variable), F.count(variable).alias("_n"))
+    need = weights.groupBy(*keys).agg(F.count(F.when(F.col("weight") != 0, 1)).alias("_need"))
+    every = need.crossJoin(cube.select(*others).distinct()) if others else need  # the rows of the result, not of a join's input
+    same = [every[k].eqNullSafe(got[k]) for k in (*others, *keys)]
+    met = every.join(got, same, "left")
+    return met.select(*[every[k] for k in (*others, *keys)], F.when((F.col("_n") == F.col("_need")) & (F.col("_need") > 0), F.col(variable)).alias(variable))
 
 
 def pixels(x: Column, y: Column, origin: tuple[float, float], step: tuple[float, float]) -> tuple[Column, Column]:
@@ -88,14 +156,9 @@ def cubic_weight(d: Column) -> Column:
 
 def bicubic(points: DataFrame, raster: DataFrame, value: str, origin: tuple[float, float], step: tuple[float, float]) -> DataFrame:
     """The same from sixteen cells; NULL unless all are there."""
-    columns = points.columns
-    at = points.withColumn("_x", (F.col("lon") - origin[0]) / step[0]).withColumn("_y", (F.col("lat") - origin[1]) / step[1])
-    offsets = F.array(*[F.struct(F.lit(dj).alias("dj"), F.lit(di).alias("di")) for dj in range(-1, 3) for di in range(-1, 3)])
-    wide = at.select("*", F.explode(offsets).alias("_c")).withColumn("_rj", F.floor("_y").cast("int") + F.col("_c.dj")).withColumn("_ri", F.floor("_x").cast("int") + F.col("_c.di"))
-    wide = wide.withColumn("_w", cubic_weight(F.col("_x") - F.col("_ri")) * cubic_weight(F.col("_y") - F.col("_rj")))
-    cells = raster.select(F.col("j").alias("_rj"), F.col("i").alias("_ri"), F.col(value).alias("_v"))
-    both = wide.join(cells, ["_rj", "_ri"], "left")
-    return both.groupBy(*columns).agg(F.when(F.count("_v") == 16, F.sum(F.col("_w") * F.col("_v"))).alias(value))
+    x, y = pixels(F.col("lon"), F.col("lat"), origin, step)
+    at = _repeated(points).withColumns({"_x": x, "_y": y})
+    return _from_cells(at, raster, value, [(dj, di) for dj in range(-1, 3) for di in range(-1, 3)], cubic_weight, F.count("_v") == 16)
 
 
 def synthetic_elevation(grid: DataFrame, lon: tuple[float, float], lat: tuple[float, float], land: bool = True) -> DataFrame:

@@ -73,6 +73,14 @@ def same_times(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.join(other.select("time").distinct(), "time", "left_semi")
 
 
+def exact_times(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows at the times of another frame; an error if df lacks one of them."""
+    there = df.select("time").distinct().withColumn("_there", F.lit(True))
+    wanted = other.select("time").where("time IS NOT NULL").distinct().join(there, "time", "left")
+    missing = F.raise_error(F.concat(F.lit("no such time: "), F.col("time").cast("string"))).cast("boolean")
+    return df.join(wanted.where(F.coalesce("_there", missing)).select("time"), "time", "left_semi")
+
+
 def marked(df: DataFrame, variable: str) -> DataFrame:
     return df.where(F.col(variable).isNotNull() & (F.col(variable) != 0))
 
