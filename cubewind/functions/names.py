@@ -73,13 +73,13 @@ def grid_distance(first: Column, second: Column, axis: str) -> Column:
     return F.coalesce(first, second, F.raise_error(F.lit(f"no grid distance for {axis}")).cast("double"))
 
 
-def global_attributes(source: dict[str, str], grid: dict[str, float], domain: str, variable: str, created: str, more: dict[str, str] | None = None) -> dict[str, str]:
-    """Global attributes of a file of an experiment, from those of the model's output and the extent of its grid. `more` (title,
-    institution and the like) is taken over and wins."""
+def global_attributes(source: dict[str, str], grid: dict[str, float], domain: str, variable: str, created: str, more: dict[str, str] | None = None, notes: str | None = None) -> dict[str, str]:
+    """Global attributes of a file of an experiment, from those of the model's output and the extent of its grid. `notes` say how
+    its output was made; `more` (title, institution and the like) is taken over and wins."""
     words = source["TITLE"].split()
     # Fixed names and texts of the file format
     out = {
-        "DATA_NOTES": "File generated with the output of successive model runs of 36H (first 12 hours discarded for spin-up)",
+        **({"DATA_NOTES": notes} if notes else {}),
         "WRF_VERSION": " ".join(words[2:4]), "CREATION_DATE": created, "VARNAME": variable, "DOMAIN": domain.removeprefix("d").lstrip("0"), "NESTED": "NO" if domain == "d01" else "YES",
         "TIME_ZONE": "UTC", "PRODUCT_LEVEL": "H", "LEVEL_INFO": "H: original simulation output; D: daily; M: monthly; Y: yearly; S: static",
         "PROJ_NAME": source["MAP_PROJ_CHAR"], "PROJ_CENTRAL_LON": source["STAND_LON"], "PROJ_CENTRAL_LAT": source["MOAD_CEN_LAT"],
@@ -104,6 +104,14 @@ def file_stem(kind: str, variables: list[str], start: str, end: str, levels: lis
     return f"{kind}_{where}_v-{'-'.join(variables)}_y-{start[:4]}-{end[:4]}{'' if mask else '_nomask'}{'_masksea' if mask_sea else ''}"
 
 
+def file_stem_column(kind: Column, variables: Column, start: Column, end: Column, levels: Column | None = None, low: float = 0.1, high: float = 2000, mask: bool = True, mask_sea: bool = False) -> Column:
+    """file_stem() over columns: variables and levels are arrays, start and end dates; NULL or no levels give the height zone."""
+    zone = F.lit(f"hgt-{int(low)}-{int(high)}")
+    where = zone if levels is None else F.when(F.size(levels) > 0, F.concat(F.lit("p-"), F.array_join(levels.cast("array<string>"), "-"))).otherwise(zone)
+    rest = ("" if mask else "_nomask") + ("_masksea" if mask_sea else "")
+    return F.concat(kind, F.lit("_"), where, F.lit("_v-"), F.array_join(variables, "-"), F.lit("_y-"), F.year(start), F.lit("-"), F.year(end), F.lit(rest))
+
+
 def lon_lat_label(metres: Column, axis: str) -> Column:
     """Degrees of a Web Mercator coordinate with the hemisphere."""
     if axis == "lon":

@@ -52,25 +52,34 @@ def _distance(metric: str) -> Column:
     return 2 * F.asin(F.sqrt(F.least(half, F.lit(1.0))))
 
 
-#: Sides of bins, from well under a grid's step to all around: in degrees for the plane, in radii for the sphere
-PLANE_BINS, SPHERE_BINS = [2.0**k for k in range(-9, 11)], [2.0**k for k in range(-14, 3)]
+#: Sides of bins as powers of 2, the first and the last: from well under a grid's step to all around, in degrees for the plane
+#: and in radii for the sphere
+PLANE_BINS, SPHERE_BINS = (-9, 10), (-14, 2)
 
 
-def _places(lat: str, lon: str, metric: str) -> list[Column]:
+def _places(lat: str, lon: str, metric: str) -> list[str]:
     """Coordinates in which bins are cubes: degrees, or the unit sphere's, which know neither poles nor a date line."""
     if metric == "chebyshev":
-        return [F.col(lon), F.col(lat)]
-    a, b = F.radians(lat), F.radians(lon)
-    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+        return [lon, lat]
+    return [f"(cos(radians({lat})) * cos(radians({lon})))", f"(cos(radians({lat})) * sin(radians({lon})))", f"sin(radians({lat}))"]
 
 
-def _bin_tree(df: DataFrame, places: list[Column], sizes: Sequence[float], around: int = 0) -> DataFrame:
-    """df with a row for each level (`_l`) and bin (`_b0`, `_b1` ...) of a place, and those around it."""
-    bins = [F.struct(F.lit(n).alias("_l"), *[F.floor(p / size).cast("long").alias(f"_b{k}") for k, p in enumerate(places)]) for n, size in enumerate(sizes)]
-    out = df.select("*", F.inline(F.array(*bins)))
-    for k in range(len(places) if around else 0):
-        out = out.withColumn("_d", F.explode(F.sequence(F.lit(-around), F.lit(around)))).withColumn(f"_b{k}", F.col(f"_b{k}") + F.col("_d")).drop("_d")
-    return out
+def _bins(places: Sequence[str], level: str) -> list[str]:
+    return [f"cast(floor({p} / pow(2.0D, {level})) as bigint)" for p in places]
+
+
+def _bin_tree(df: DataFrame, places: Sequence[str], levels: tuple[int, int]) -> DataFrame:
+    """df with a row for each level (`_l`) and bin (`_b0`, `_b1` ...) of a place."""
+    bins = ", ".join(f"'_b{k}', {x}" for k, x in enumerate(_bins(places, "l")))
+    return df.selectExpr("*", f"inline(transform(sequence({levels[0]}, {levels[1]}), l -> named_struct('_l', l, {bins})))")
+
+
+def _around(df: DataFrame, dimensions: int) -> DataFrame:
+    """The bins beside each, too."""
+    for k in range(dimensions):
+        rest = [c for c in df.columns if c != f"_b{k}"]
+        df = df.selectExpr(*rest, f"explode(array(_b{k} - 1, _b{k}, _b{k} + 1)) AS _b{k}")
+    return df
 
 
 def nearest_cell(points: DataFrame, grid: DataFrame, metric: str = "chebyshev") -> DataFrame:
@@ -80,23 +89,18 @@ def nearest_cell(points: DataFrame, grid: DataFrame, metric: str = "chebyshev")
     that are wide enough hold it. Joins are equi-joins on bins; only distinct places are looked up.
 
     Each row of points comes out once, whatever names repeat or are NULL; without coordinates or cells j, i and dist are NULL."""
-    sizes, up = (PLANE_BINS, 1) if metric == "chebyshev" else (SPHERE_BINS, 2)
-    fine = lambda *c: F.lit(True) if not c else F.col(c[0]).isNotNull() & ~F.isnan(c[0]) & fine(*c[1:])
-    cells = grid.where(fine("lat", "lon")).select("j", "i", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    own = points.select("station", F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"))
-    asked = own.where(fine("_lat", "_lon")).select("_lat", "_lon").distinct()
-    key = ["_l", *[f"_b{k}" for k in range(len(_places("lat", "lon", metric)))]]
-    tree = _bin_tree(cells, _places("lat", "lon", metric), sizes)
-    there = tree.select(*key).distinct()
-    here = _places("_lat", "_lon", metric)
-    first = _bin_tree(asked, here, sizes, 1).join(there, key, "left_semi").groupBy("_lat", "_lon").agg(F.min("_l").alias("_first"))
+    levels, up = (PLANE_BINS, 1) if metric == "chebyshev" else (SPHERE_BINS, 2)
+    fine = "{0} IS NOT NULL AND NOT isnan({0}) AND {1} IS NOT NULL AND NOT isnan({1})"
+    cells = grid.where(fine.format("lat", "lon")).selectExpr("j", "i", "cast(lat as double) AS lat", "cast(lon as double) AS lon")
+    own = points.selectExpr("station", "cast(lat as double) AS _lat", "cast(lon as double) AS _lon")
+    asked = own.where(fine.format("_lat", "_lon")).select("_lat", "_lon").distinct()
+    here, there = _places("_lat", "_lon", metric), _places("lat", "lon", metric)
+    key = ["_l", *[f"_b{k}" for k in range(len(here))]]
+    tree = _bin_tree(cells, there, levels)
+    first = _around(_bin_tree(asked, here, levels), len(here)).join(tree.select(*key), key, "left_semi").groupBy("_lat", "_lon").agg(F.min("_l").alias("_first"))
     # what the first level has is within two sides of the point in each coordinate, so the nearest cell is within one of `up` levels higher
-    level = F.least(F.col("_first") + up, F.lit(len(sizes) - 1))
-    at = first.select("_lat", "_lon", level.alias("_l"))
-    side = F.element_at(F.array(*[F.lit(x) for x in sizes]), F.col("_l") + 1)
-    wide = at.select("*", *[F.floor(p / side).cast("long").alias(f"_b{k}") for k, p in enumerate(here)])
-    for k in range(len(here)):
-        wide = wide.withColumn("_d", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"_b{k}", F.col(f"_b{k}") + F.col("_d")).drop("_d")
+    at = first.selectExpr("_lat", "_lon", f"least(_first + {up}, {levels[1]}) AS _l")
+    wide = _around(at.selectExpr("*", *[f"{x} AS _b{k}" for k, x in enumerate(_bins(here, "_l"))]), len(here))
     best = wide.join(tree, key).groupBy("_lat", "_lon").agg(F.min(F.struct(_distance(metric).alias("dist"), "j", "i")).alias("_b"))
     return own.join(best, ["_lat", "_lon"], "left").select("station", "_b.j", "_b.i", "_b.dist")
 

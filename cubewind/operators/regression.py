@@ -164,6 +164,8 @@ def prediction_band(df: DataFrame, y: str, x: str, critical: float | None = None
 
 #: Huber's constant, the third quartile of the normal distribution, and steps of reweighting at most
 HUBER, QUARTILE, STEPS = 1.345, 0.6744897501960817, 50
+#: Variances that a line makes negative or nearly 0 count as this share of the largest
+FLOOR = 1e-6
 
 
 def _moments(weight: Column, one: Column, x: Column, y: Column) -> dict[str, Column]:
@@ -178,7 +180,7 @@ def _line(by: Sequence[str], sums: DataFrame) -> DataFrame:
     rank = c("aa") * c("xx") - c("ax") * c("ax")
     slope = (c("aa") * c("xy") - c("ax") * c("ay")) / rank
     start = (c("xx") * c("ay") - c("ax") * c("xy")) / rank
-    rest = F.greatest(c("yy") - start * c("ay") - slope * c("xy"), F.lit(0.0))
+    rest = F.greatest(c("rest") if "rest" in sums.columns else c("yy") - start * c("ay") - slope * c("xy"), F.lit(0.0))
     t = F.when((rest > 1e-12 * c("yy")) & (c("n") > 2), slope * F.sqrt((c("n") - 2) * rank / (c("aa") * rest)))
     fine = (c("n") > 2) & (rank > 0) & ~F.isnan(rank)
     return sums.select(*by, "n", F.when(fine, slope).alias("slope"), F.when(fine, c("_my") + start - slope * c("_mx")).alias("intercept"), F.when(fine, t).alias("t"))
@@ -224,9 +226,15 @@ def gls_hs(df: DataFrame, y: str, x: str, by: Sequence[str] = (), mode: str = "t
     rows = _with_rest(_centred(df, y, x, by), by).withColumn("_e", F.col("_e") * F.col("_e"))
     slope = F.sum(F.col("_x") * F.col("_e")).over(own) / F.nullif(F.sum(F.col("_x") * F.col("_x")).over(own), F.lit(0.0))
     rows = rows.withColumn("_v", F.avg("_e").over(own) + slope * F.col("_x"))
-    rows = rows.withColumn("_v", F.greatest(F.col("_v"), 1e-12 * F.greatest(F.max("_v").over(own), F.lit(1e-300))))
-    sums = _moments(F.col("_v") if mode == "inverted" else 1 / F.col("_v"), F.lit(1.0), F.col("_x"), F.col("_y"))
-    return _line(by, rows.groupBy(*by).agg(*_means(), *[c.alias(k) for k, c in sums.items()]))
+    rows = rows.withColumn("_v", F.greatest(F.col("_v"), FLOOR * F.greatest(F.max("_v").over(own), F.lit(1e-300))))
+    rows = rows.withColumn("_w", F.col("_v") if mode == "inverted" else 1 / F.col("_v"))
+    c, sums = F.col, _moments(F.col("_w"), F.lit(1.0), F.col("_x"), F.col("_y"))
+    rows = rows.withColumns({k: x.over(own) for k, x in sums.items()})
+    rank = F.nullif(c("aa") * c("xx") - c("ax") * c("ax"), F.lit(0.0))
+    rows = rows.withColumns({"_s": (c("aa") * c("xy") - c("ax") * c("ay")) / rank, "_c": (c("xx") * c("ay") - c("ax") * c("xy")) / rank})
+    # what the line leaves is summed up itself: differences of sums lose it where weights differ much
+    rest = F.sum(c("_w") * F.pow(c("_y") - c("_c") - c("_s") * c("_x"), 2))
+    return _line(by, rows.groupBy(*by).agg(*_means(), *[F.first(k).alias(k) for k in sums], rest.alias("rest")))
 
 
 def _series(rows: DataFrame, by: Sequence[str]) -> DataFrame:

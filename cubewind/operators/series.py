@@ -37,3 +37,9 @@ def lag1_autocorrelation(df: DataFrame, value: str, order: str, by: Sequence[str
     mean = df.withColumn("_e", F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
     both = mean.withColumn("_b", F.lag("_e").over(Window.partitionBy(*by).orderBy(order)))
     return both.groupBy(*by).agg((F.sum(F.col("_e") * F.col("_b")) / F.sum(F.col("_e") * F.col("_e"))).alias("acf1"))
+
+
+def calendar_of(df: DataFrame, time: str) -> DataFrame:
+    """All days from the first to the last time of a frame."""
+    ends = df.agg(F.to_date(F.min(time)).alias("_a"), F.to_date(F.max(time)).alias("_z")).where("_a IS NOT NULL")  # one row
+    return ends.select(F.explode(F.sequence("_a", "_z")).alias("day"))

@@ -11,7 +11,7 @@ from cubewind.functions import calendar, names, thermo, units
 from cubewind.operators import domains, enso, joins, masks, reduce, regression, regrid, select, series
 from cubewind.plans import trends
 from cubewind.sources import files
-from cubewind.views import CTE, NI, NJ, cube, grid, index, observations, table
+from cubewind.views import CTE, NI, NJ, cube, field, grid, index, observations, places, sites, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,9 +130,9 @@ def first_day_of_run(spark, d):
     return select.first_steps(cube(spark, d), 24, ["i"]).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("v"))
 
 
-@query("SELECT j, i, hgt FROM grid WHERE landmask IS NOT NULL AND landmask <> 0 AND lon BETWEEN -91.25 AND -90.75 AND lat BETWEEN -1.45 AND -1.15")
+@query("SELECT j, i, hgt FROM field WHERE landmask IS NOT NULL AND landmask <> 0 AND lon BETWEEN -91.25 AND -90.75 AND lat BETWEEN -1.45 AND -1.15")
 def marked_in_box(spark, d):
-    return select.marked(select.box(grid(spark), (-91.2, -90.8), (-1.4, -1.2), 0.05), "landmask").select("j", "i", "hgt")
+    return select.marked(select.box(field(spark, d), (-91.2, -90.8), (-1.4, -1.2), 0.05), "landmask").select("j", "i", "hgt")
 
 
 # masks
@@ -170,9 +170,9 @@ def height_zone_means(spark, d):
     return rounded(rounded(masks.zone_means(cube(spark, d), grid(spark), [0, 100, 900, 2500], ["v", "w"]), 4, "mean_v"), 6, "mean_w")
 
 
-@query("SELECT j, i, CAST(CASE WHEN landmask > 0 THEN CASE WHEN hgt < 100 THEN 1 WHEN hgt < 900 THEN 2 ELSE 3 END END AS INT) AS class FROM grid")
+@query("SELECT j, i, CAST(CASE WHEN landmask > 0 THEN CASE WHEN hgt < 100 THEN 1 WHEN hgt < 900 THEN 2 ELSE 3 END END AS INT) AS class FROM field")
 def height_class(spark, d):
-    return grid(spark).select("j", "i", masks.altitude_class(F.col("hgt"), F.col("landmask")).alias("class"))
+    return field(spark, d).select("j", "i", masks.altitude_class(F.col("hgt"), F.col("landmask")).alias("class"))
 
 
 # reductions
@@ -212,9 +212,9 @@ def season_total(spark, d):
     return rounded(reduce.season_total(reduce.season_year_mean(cube(spark, d), ["v"]), ["v"]), 2, "v")
 
 
-@query("SELECT min(x_m) AS GRID_X00, min(y_m) AS GRID_Y00, min(x_m) AS GRID_X01, max(y_m) AS GRID_Y01, count(DISTINCT x_m) AS GRID_NX, count(DISTINCT y_m) AS GRID_NY FROM grid")
+@query("SELECT min(x_m) AS GRID_X00, min(y_m) AS GRID_Y00, min(x_m) AS GRID_X01, max(y_m) AS GRID_Y01, count(DISTINCT x_m) AS GRID_NX, count(DISTINCT y_m) AS GRID_NY FROM field")
 def grid_metadata(spark, d):
-    return reduce.grid_metadata(grid(spark))
+    return reduce.grid_metadata(field(spark, d))
 
 
 @query("SELECT round(sum(CASE WHEN sensor = 'click' THEN value END), 4) AS click, round(sum(CASE WHEN sensor = 'view' THEN value END), 4) AS view_ FROM obs")
@@ -259,12 +259,13 @@ def composite_difference(spark, d):
     return rounded(enso.composite_difference(year(1997), year(1996), "v"), 3, "v")
 
 
-# joins and unions
-@query("""SELECT coalesce(a."time", b."time") AS "time", a.v, b.w FROM (SELECT "time", round(avg(v), 4) AS v FROM cube WHERE level = 1 GROUP BY 1) a
-FULL OUTER JOIN (SELECT "time", round(avg(w), 6) AS w FROM cube WHERE level = 7 GROUP BY 1) b ON a."time" = b."time\"""")
+@query("""SELECT coalesce(a."time", b."time") AS "time", coalesce(a.level, b.level) AS level, a.v, b.w FROM (SELECT "time", level, round(avg(v), 7) AS v FROM cube GROUP BY 1, 2) a
+FULL OUTER JOIN (SELECT "time", level + 3 AS level, round(avg(w), 6) AS w FROM cube GROUP BY 1, 2) b ON a."time" = b."time" AND a.level = b.level""")
 def merge_variables_outer(spark, d):
-    mean = lambda k, c: reduce.spatial_mean(select.level(cube(spark, d), k).drop("level"), [c])
-    return joins.merge_variables(rounded(mean(1, "v"), 4, "v"), rounded(mean(7, "w"), 6, "w"))
+    """Levels of the second cube are three higher, so that either has coordinates of its own."""
+    mean = lambda df, c: reduce.spatial_mean(df, [c])
+    c = cube(spark, d)
+    return joins.merge_variables(rounded(mean(c.drop("w"), "v"), 7, "v"), rounded(mean(c.drop("v").withColumn("level", F.col("level") + 3), "w"), 6, "w"))
 
 
 @query('SELECT c."time", j, i, level, v, n_orders FROM cube c JOIN (SELECT o_orderdate AS t, count(*) AS n_orders FROM orders GROUP BY 1) o ON c."time" = o.t')
@@ -273,17 +274,17 @@ def attach_second_variable(spark, d):
     return joins.merge_variables(cube(spark, d).drop("w"), per_day, "inner").select("time", "j", "i", "level", "v", "n_orders")
 
 
-@query('SELECT CAST(year("time") AS INT) AS year, count(*) AS n FROM (SELECT * FROM cube WHERE level = 1 UNION ALL SELECT * FROM cube WHERE level = 1 UNION ALL SELECT * FROM cube WHERE level = 2) GROUP BY 1')
+@query('SELECT CAST(year("time") AS INT) AS year, count(*) AS n FROM (SELECT * FROM cube UNION ALL SELECT * FROM cube) GROUP BY 1')
 def concat_time(spark, d):
+    """Repetitions stay."""
     c = cube(spark, d)
-    one = select.level(c, 1)
-    return files.combine([one, one, select.level(c, 2)]).groupBy(F.year("time").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    return files.combine([c, c]).groupBy(F.year("time").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query('SELECT "time", v, w FROM cube WHERE level IN (6, 7)')
+@query('SELECT "time", v, w FROM cube')
 def merge_time_sorted(spark, d):
     c = cube(spark, d)
-    return files.combine([select.level(c, 6), select.level(c, 7)], sort=True).select("time", "v", "w")
+    return files.combine([select.level(c, k) for k in range(1, 8)], sort=True).select("time", "v", "w")
 
 
 @query("""SELECT count(*) AS n, round(sum(v), 2) AS v FROM cube WHERE "time" BETWEEN TIMESTAMP '1997-11-01' AND TIMESTAMP '1998-01-31'""")
@@ -415,9 +416,9 @@ def _yearly(spark, d) -> DataFrame:
     return reduce.yearly_mean(reduce.spatial_mean(cube(spark, d).drop("level"), ["v"]), ["v"])
 
 
-@query(_Y + f"SELECT year, round(v, 3) AS v, round(c + s * year, 3) AS fitted, round(c + s * year - 2.570582 * sqrt((yy - s * xy) / (n - 2)) * sqrt(1.0 / n + (year - m) * (year - m) / xx), 3) AS low, round(c + s * year + 2.570582 * sqrt((yy - s * xy) / (n - 2)) * sqrt(1.0 / n + (year - m) * (year - m) / xx), 3) AS high FROM y, {_ONE}")
+@query(_Y + f"SELECT year, round(v, 3) AS v, round(c + s * year, 3) AS fitted, round(c + s * year - 2.570581836 * sqrt((yy - s * xy) / (n - 2)) * sqrt(1.0 / n + (year - m) * (year - m) / xx), 3) AS low, round(c + s * year + 2.570581836 * sqrt((yy - s * xy) / (n - 2)) * sqrt(1.0 / n + (year - m) * (year - m) / xx), 3) AS high FROM y, {_ONE}")
 def prediction_band(spark, d):
-    return rounded(regression.prediction_band(_yearly(spark, d), "v", "year", 2.570582), 3, "v", "fitted", "low", "high")
+    return rounded(regression.prediction_band(_yearly(spark, d), "v", "year"), 3, "v", "fitted", "low", "high")
 
 
 @query(_Y + f"SELECT CAST(k AS INT) AS k, round(1995 + k * (6.0 / 99), 6) AS x, round(c + s * (1995 + k * (6.0 / 99)), 3) AS y FROM {_ONE}, (SELECT range AS k FROM range(100))")
@@ -437,42 +438,85 @@ def residual_lag1_acf(spark, d):
     return rounded(series.lag1_autocorrelation(e, "residual", "year"), 6, "acf1")
 
 
-def _model(model: str, mode: str = "textbook"):
-    def run(spark, d):
-        fit = regression.fit(_yearly(spark, d), "v", "year", model=model, mode=mode)
-        return fit.select("n", F.round("slope", 5).alias("slope"), F.round("intercept", 1).alias("intercept"), F.round("t", 5).alias("t"))
+def _cell_years(spark, d) -> DataFrame:
+    return reduce.yearly_mean(cube(spark, d), ["v"], ["j", "i"])
+
+
+def _rounded_fit(fit: DataFrame) -> DataFrame:
+    return fit.select("j", "i", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 0).alias("intercept"), F.round("t", 5).alias("t"))
 
-    return run
 
+# a series per cell: years counted from 1998, what a plain line leaves, weights of pairs of years, and the weighted line
+_SERIES = """, y AS (SELECT j, i, CAST(year("time") AS INT) - 1998 AS x, avg(v) AS v FROM cube GROUP BY 1, 2, 3),
+o AS (SELECT j, i, count(*) AS n, regr_slope(v, x) AS s, regr_intercept(v, x) AS c FROM y GROUP BY 1, 2),
+e AS (SELECT j, i, x, v, n, v - c - s * x AS e FROM y JOIN o USING (j, i)),
+"""
+_FACTOR = "rho AS (SELECT j, i, sum(e * b) / sum(e * e) AS r FROM (SELECT j, i, e, lag(e) OVER (PARTITION BY j, i ORDER BY x) AS b FROM e) GROUP BY 1, 2), "
+_ENDS = "f AS (SELECT *, row_number() OVER (PARTITION BY j, i ORDER BY x) AS k FROM e), "
+_BOTH = "w AS (SELECT p.j, p.i, p.n, p.x AS x1, p.v AS v1, q.x AS x2, q.v AS v2, {} AS k FROM f p JOIN f q ON p.j = q.j AND p.i = q.i JOIN rho ON rho.j = p.j AND rho.i = p.i), "
+_LINE = """g AS (SELECT j, i, any_value(n) AS n, sum(k) AS aa, sum(k * x2) AS ax, sum(k * x1 * x2) AS xx, sum(k * v2) AS ay, sum(k * x1 * v2) AS xy FROM w GROUP BY 1, 2),
+b AS (SELECT j, i, n, (aa * xy - ax * ay) / (aa * xx - ax * ax) AS s, (xx * ay - ax * xy) / (aa * xx - ax * ax) AS c, aa / (aa * xx - ax * ax) AS q FROM g),
+z AS (SELECT j, i, sum(k * (v1 - c - s * x1) * (v2 - c - s * x2)) AS rss FROM w JOIN b USING (j, i) GROUP BY 1, 2)
+SELECT j, i, n, round(s, 4) AS slope, round(c - 1998 * s, 0) AS intercept, round(s / sqrt(q * rss / (n - 2)), 5) AS t FROM b JOIN z USING (j, i)"""
+# the inverse of r ** |difference of places|, but for a factor
+_PRECISION = "CASE WHEN p.k = q.k THEN CASE WHEN p.k IN (1, p.n) THEN 1 ELSE 1 + r * r END WHEN abs(p.k - q.k) = 1 THEN -r ELSE 0 END"
+_VARIANCE = """h AS (SELECT j, i, regr_slope(e * e, x) AS s, regr_intercept(e * e, x) AS c FROM e GROUP BY 1, 2),
+u AS (SELECT j, i, n, x, v, h.c + h.s * x AS u, max(h.c + h.s * x) OVER (PARTITION BY j, i) AS m FROM e JOIN h USING (j, i)),
+w AS (SELECT j, i, n, x AS x1, v AS v1, x AS x2, v AS v2, 1 / greatest(u, 1e-6 * m) AS k FROM u), """
+
+
+@query(_SERIES + _FACTOR + _ENDS + _BOTH.format(_PRECISION) + _LINE)
+def fit_gls_ar1(spark, d):
+    return _rounded_fit(regression.fit(_cell_years(spark, d), "v", "year", ["j", "i"], "gls-ar1"))
+
+
+@query(_SERIES + _FACTOR + _ENDS + _BOTH.format("r ** abs(p.k - q.k)") + _LINE)
+def fit_gls_ar1_inverted(spark, d):
+    return _rounded_fit(regression.fit(_cell_years(spark, d), "v", "year", ["j", "i"], "gls-ar1", "inverted"))
+
+
+@query(_SERIES + _VARIANCE + _LINE)
+def fit_gls_hs(spark, d):
+    return _rounded_fit(regression.fit(_cell_years(spark, d), "v", "year", ["j", "i"], "gls-hs"))
+
+
+def _huber(steps: int) -> str:
+    """Steps of reweighting, a table each: weights, and the line under them."""
+    out = "l0 AS (SELECT j, i, s, c FROM o), "
+    for k in range(steps):
+        out += f"""m{k} AS (SELECT j, i, quantile_cont(abs(v - c - s * x), 0.5) / 0.6744897501960817 AS scale FROM y JOIN l{k} USING (j, i) GROUP BY 1, 2),
+w{k} AS (SELECT j, i, n, x AS x1, v AS v1, x AS x2, v AS v2, least(1, 1.345 / greatest(abs(e.v - l.c - l.s * x) / scale, 1e-12)) AS k FROM e JOIN l{k} AS l USING (j, i) JOIN m{k} USING (j, i)),
+l{k + 1} AS (SELECT j, i, (sum(k) * sum(k * x1 * v1) - sum(k * x1) * sum(k * v1)) / (sum(k) * sum(k * x1 * x1) - sum(k * x1) ** 2) AS s, (sum(k * x1 * x1) * sum(k * v1) - sum(k * x1) * sum(k * x1 * v1)) / (sum(k) * sum(k * x1 * x1) - sum(k * x1) ** 2) AS c FROM w{k} GROUP BY 1, 2),
+"""
+    return out + f"w AS (SELECT * FROM w{steps - 1}), "
 
-QUERIES |= {"fit_gls_ar1": _model("gls-ar1"), "fit_gls_hs": _model("gls-hs"), "fit_rls": _model("rls"), "fit_gls_ar1_inverted": _model("gls-ar1", "inverted")}
 
-# residuals of the plain fit, years counted from 1998; weights of pairs of years, and the weighted fit
-_REST = f", e AS (SELECT year - 1998 AS x, v, v - (c + s * year) AS e FROM y, {_ONE}), "
-_RHO = "rho AS (SELECT sum(e * b) / sum(e * e) AS r FROM (SELECT e, lag(e) OVER (ORDER BY x) AS b FROM (SELECT x, e - avg(e) OVER () AS e FROM e)))"
-_WEIGHTED = """, g AS (SELECT sum(k) AS aa, sum(k * x2) AS ax, sum(k * x1 * x2) AS xx, sum(k * v2) AS ay, sum(k * x1 * v2) AS xy FROM w),
-b AS (SELECT (aa * xy - ax * ay) / (aa * xx - ax * ax) AS s, (xx * ay - ax * xy) / (aa * xx - ax * ax) AS c, aa / (aa * xx - ax * ax) AS q FROM g),
-o AS (SELECT sum(k * (v1 - c - s * x1) * (v2 - c - s * x2)) AS rss FROM w, b)
-SELECT (SELECT count(*) FROM e) AS n, round(s, 5) AS slope, round(c - 1998 * s, 1) AS intercept, round(s / sqrt(q * rss / ((SELECT count(*) FROM e) - 2)), 5) AS t FROM b, o"""
-_PAIRS = ", w AS (SELECT p.x AS x1, p.v AS v1, q.x AS x2, q.v AS v2, {} AS k FROM e p, e q, rho)"
-# the inverse of r ** |i - j|, but for a factor
-_PRECISION = "CASE WHEN p.x = q.x THEN CASE WHEN p.x IN ((SELECT min(x) FROM e), (SELECT max(x) FROM e)) THEN 1 ELSE 1 + r * r END WHEN abs(p.x - q.x) = 1 THEN -r ELSE 0 END"
-_VARIANCE = "z AS (SELECT regr_slope(e * e, x) AS s, regr_intercept(e * e, x) AS c FROM e), u AS (SELECT e.x, v, c + s * e.x AS u FROM e, z), w AS (SELECT x AS x1, v AS v1, x AS x2, v AS v2, 1 / greatest(u, 1e-12 * (SELECT max(u) FROM u)) AS k FROM u)"
-ORACLE |= {
-    "fit_gls_ar1": CTE + _Y + _REST + _RHO + _PAIRS.format(_PRECISION) + _WEIGHTED,
-    "fit_gls_ar1_inverted": CTE + _Y + _REST + _RHO + _PAIRS.format("r ** abs(p.x - q.x)") + _WEIGHTED,
-    "fit_gls_hs": CTE + _Y + _REST + _VARIANCE + _WEIGHTED,
-}
+@query(_SERIES + _huber(3) + _LINE)
+def fit_rls(spark, d):
+    """Three steps of reweighting, which SQL can follow; fit(model="rls") goes on until lines stay."""
+    return _rounded_fit(regression.robust(_cell_years(spark, d), "v", "year", ["j", "i"], 3))
+
+
+@query(_SERIES.replace("avg(v) AS v", "ln(avg(v)) AS v") + """t AS (SELECT * FROM (VALUES (1, CAST(12.706204736174694 AS DOUBLE)), (2, CAST(4.302652729749464 AS DOUBLE)), (3, CAST(3.18244630528371 AS DOUBLE)), (4, CAST(2.7764451051977943 AS DOUBLE)), (5, CAST(2.5705818356363146 AS DOUBLE))) AS q(df, t)),
+m AS (SELECT j, i, avg(x) AS mx, sum(e * e) AS rss, regr_sxx(v, x) AS xx FROM e GROUP BY 1, 2)
+SELECT j, i, x + 1998 AS year, round(v - e, 5) AS fitted, round(v - e - t * sqrt(rss / (n - 2)) * sqrt(1.0 / n + (x - mx) ** 2 / xx), 5) AS low, round(v - e + t * sqrt(rss / (n - 2)) * sqrt(1.0 / n + (x - mx) ** 2 / xx), 5) AS high
+FROM e JOIN m USING (j, i) JOIN t ON t.df = n - 2""")
+def prediction_band_map(spark, d):
+    """Bands of the logarithms of every cell, each by the quantile for its own number of years."""
+    years = _cell_years(spark, d).withColumn("v", F.log("v"))
+    band = regression.prediction_band(years, "v", "year", by=["j", "i"]).where("low IS NOT NULL")
+    return rounded(band.select("j", "i", "year", "fitted", "low", "high"), 5, "fitted", "low", "high")
 
 
 # observations
-_DAYS = """, o AS (SELECT * FROM obs WHERE dayofweek(ts) <> 3), b AS (SELECT station, sensor, CAST(ts AS DATE) AS day, sum(value) AS s, avg(value) AS m FROM o GROUP BY 1, 2, 3),
+_DAYS = """, b AS (SELECT user_id AS station, event_type AS sensor, CAST(ts AS DATE) AS day, sum(value) AS s, avg(value) AS m FROM events GROUP BY 1, 2, 3),
 span AS (SELECT station, sensor, CAST(unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM b GROUP BY 1, 2)
 """
 
 
 def _gappy(spark, d) -> DataFrame:
-    return observations(spark, d).where(F.dayofweek("ts") != 4)
+    """A station per user: few have values on all days."""
+    return table(spark, d, "events").select(F.col("user_id").alias("station"), "ts", F.col("event_type").alias("sensor"), "value")
 
 
 @query(_DAYS + "SELECT station, sensor, day, round(coalesce(s, 0), 4) AS value FROM span LEFT JOIN b USING (station, sensor, day)")
@@ -491,9 +535,9 @@ def cumulative_daily(spark, d):
     return c.select("station", "sensor", "day", F.round("cumulative", 3).alias("cumulative"))
 
 
-@query("SELECT CAST(unnest(generate_series(TIMESTAMP '2022-04-01', TIMESTAMP '2022-09-30', INTERVAL 1 DAY)) AS DATE) AS day")
+@query("SELECT CAST(unnest(generate_series(CAST(CAST(min(ts) AS DATE) AS TIMESTAMP), CAST(CAST(max(ts) AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM obs")
 def calendar_days(spark, d):
-    return series.calendar_spine(spark, "2022-04-01", "2022-09-30")
+    return series.calendar_of(observations(spark, d), "ts")
 
 
 _PAIR = """, a AS (SELECT CAST(ts AS DATE) AS day, round(avg(value), 6) AS observed FROM obs GROUP BY 1),
@@ -535,16 +579,17 @@ def local_to_utc(spark, d):
 
 
 # stations and grids
-_POINTS = "(VALUES " + ", ".join(f"('{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for n, a, b in joins.STATIONS) + ") AS st(station, slat, slon)"
+_POINTS = "sites"
+_STATIONS = "(VALUES " + ", ".join(f"('{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for n, a, b in joins.STATIONS) + ") AS st(station, slat, slon)"
 
 
 @query(f"""SELECT station, j, i, round(dist, 9) AS dist FROM (SELECT station, j, i, greatest(abs(lat - slat), abs(lon - slon)) AS dist,
-row_number() OVER (PARTITION BY station ORDER BY greatest(abs(lat - slat), abs(lon - slon)), j, i) AS r FROM grid, {_POINTS}) WHERE r = 1""")
+row_number() OVER (PARTITION BY k ORDER BY greatest(abs(lat - slat), abs(lon - slon)), j, i) AS r FROM field, {_POINTS}) WHERE r = 1""")
 def nearest_gridpoint(spark, d):
-    return rounded(joins.nearest_cell(joins.stations(spark), grid(spark)), 9, "dist")
+    return rounded(joins.nearest_cell(sites(spark, d), field(spark, d)), 9, "dist")
 
 
-@query(f""", n AS (SELECT station, j, i FROM (SELECT station, j, i, row_number() OVER (PARTITION BY station ORDER BY greatest(abs(lat - slat), abs(lon - slon)), j, i) AS r FROM grid, {_POINTS}) WHERE r = 1)
+@query(f""", n AS (SELECT station, j, i FROM (SELECT station, j, i, row_number() OVER (PARTITION BY station ORDER BY greatest(abs(lat - slat), abs(lon - slon)), j, i) AS r FROM grid, {_STATIONS}) WHERE r = 1)
 SELECT station, CAST(year("time") AS INT) AS year, round(avg(v), 4) AS v FROM cube c JOIN n ON c.j = n.j AND c.i = n.i GROUP BY 1, 2""")
 def nearest_gridpoint_series(spark, d):
     s = joins.nearest_series(cube(spark, d), joins.stations(spark), grid(spark), "v")
@@ -553,19 +598,19 @@ def nearest_gridpoint_series(spark, d):
 
 _BILINEAR = """SELECT {keys}, round((1 - fx) * (1 - fy) * a.hgt + fx * (1 - fy) * b.hgt + (1 - fx) * fy * c.hgt + fx * fy * e.hgt, 5) AS hgt FROM (
 SELECT *, x - floor(x) AS fx, y - floor(y) AS fy, CAST(floor(x) AS INT) AS pi, CAST(floor(y) AS INT) AS pj FROM ({points})) p
-LEFT JOIN grid a ON a.j = pj AND a.i = pi LEFT JOIN grid b ON b.j = pj AND b.i = pi + 1 LEFT JOIN grid c ON c.j = pj + 1 AND c.i = pi LEFT JOIN grid e ON e.j = pj + 1 AND e.i = pi + 1"""
+LEFT JOIN field a ON a.j = pj AND a.i = pi LEFT JOIN field b ON b.j = pj AND b.i = pi + 1 LEFT JOIN field c ON c.j = pj + 1 AND c.i = pi LEFT JOIN field e ON e.j = pj + 1 AND e.i = pi + 1"""
 
 
 @query(_BILINEAR.format(keys="station", points=f"SELECT station, (slon + 91.5) / 0.05 AS x, (slat + 1.5) / 0.05 AS y FROM {_POINTS}"))
 def bilinear_to_stations(spark, d):
-    b = regrid.bilinear(joins.stations(spark), grid(spark), "hgt", (-91.5, -1.5), (0.05, 0.05))
+    b = regrid.bilinear(sites(spark, d).select("station", "lon", "lat"), field(spark, d), "hgt", (-91.5, -1.5), (0.05, 0.05))
     return b.select("station", F.round("hgt", 5).alias("hgt"))
 
 
 @query(_BILINEAR.format(keys="tj, ti", points="SELECT tj, ti, (-91.493 + ti * 0.0154 + 91.5) / 0.05 AS x, (-1.487 + tj * 0.0154 + 1.5) / 0.05 AS y FROM (SELECT CAST(range AS INT) AS tj FROM range(25)), (SELECT CAST(range AS INT) AS ti FROM range(60))"))
 def regrid_bilinear(spark, d):
     target = regrid.lonlat_grid(spark, 60, 25, -91.493, 0.0154, -1.487, 0.0154).select(F.col("j").alias("tj"), F.col("i").alias("ti"), "lon", "lat")
-    return regrid.bilinear(target, grid(spark), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", F.round("hgt", 5).alias("hgt"))
+    return regrid.bilinear(target, field(spark, d), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", F.round("hgt", 5).alias("hgt"))
 
 
 _W = "CASE WHEN {0} <= 1 THEN 1.5 * {0} ** 3 - 2.5 * {0} ** 2 + 1 WHEN {0} < 2 THEN -0.5 * {0} ** 3 + 2.5 * {0} ** 2 - 4 * {0} + 2 ELSE 0 END"
@@ -573,10 +618,10 @@ _W = "CASE WHEN {0} <= 1 THEN 1.5 * {0} ** 3 - 2.5 * {0} ** 2 + 1 WHEN {0} < 2 T
 
 @query(f""", p AS (SELECT tj, ti, (-91.493 + ti * 0.0154 + 91.5) / 0.05 AS x, (-1.487 + tj * 0.0154 + 1.5) / 0.05 AS y FROM (SELECT CAST(range AS INT) AS tj FROM range(25)), (SELECT CAST(range AS INT) AS ti FROM range(60))),
 k AS (SELECT tj, ti, x, y, CAST(floor(x) AS INT) + di AS i, CAST(floor(y) AS INT) + dj AS j FROM p, (SELECT unnest([-1, 0, 1, 2]) AS di), (SELECT unnest([-1, 0, 1, 2]) AS dj))
-SELECT tj, ti, round(CASE WHEN count(hgt) = 16 THEN sum(({_W.format('abs(x - k.i)')}) * ({_W.format('abs(y - k.j)')}) * hgt) END, 5) AS hgt FROM k LEFT JOIN grid g ON k.i = g.i AND k.j = g.j GROUP BY 1, 2""")
+SELECT tj, ti, round(CASE WHEN count(hgt) = 16 THEN sum(({_W.format('abs(x - k.i)')}) * ({_W.format('abs(y - k.j)')}) * hgt) END, 5) AS hgt FROM k LEFT JOIN field g ON k.i = g.i AND k.j = g.j GROUP BY 1, 2""")
 def regrid_bicubic(spark, d):
     target = regrid.lonlat_grid(spark, 60, 25, -91.493, 0.0154, -1.487, 0.0154).select(F.col("j").alias("tj"), F.col("i").alias("ti"), "lon", "lat")
-    return regrid.bicubic(target, grid(spark), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", F.round("hgt", 5).alias("hgt"))
+    return regrid.bicubic(target, field(spark, d), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", F.round("hgt", 5).alias("hgt"))
 
 
 _TARGET = "SELECT CAST(range // 30 AS INT) AS tj, CAST(range % 30 AS INT) AS ti, -91.4931 + (range % 30) * 0.0313 AS lon, -1.4873 + (range // 30) * 0.0283 AS lat FROM range(450)"
@@ -588,28 +633,34 @@ def _target(spark) -> DataFrame:
 
 @query(f""", q AS (SELECT *, floor(x) AS fi, floor(y) AS fj FROM (SELECT tj, ti, (lon + 91.5) / 0.05 AS x, (lat + 1.5) / 0.05 AS y FROM ({_TARGET}))),
 k AS (SELECT tj, ti, CAST(fi AS INT) + di AS i, CAST(fj AS INT) + dj AS j, CASE di WHEN 1 THEN x - fi ELSE 1 - x + fi END * CASE dj WHEN 1 THEN y - fj ELSE 1 - y + fj END AS k FROM q, (SELECT unnest([0, 1]) AS di), (SELECT unnest([0, 1]) AS dj)),
-c AS (SELECT j, i, CAST(year("time") AS INT) AS "time", avg(v) AS v FROM cube GROUP BY 1, 2, 3)
-SELECT "time", tj, ti, round(CASE WHEN count(v) = 4 THEN sum(k * v) END, 3) AS v FROM k JOIN c ON k.i = c.i AND k.j = c.j WHERE k <> 0 GROUP BY 1, 2, 3""")
+c AS (SELECT j, i, CAST(year("time") AS INT) AS "time", avg(v) AS v FROM cube GROUP BY 1, 2, 3), moments AS (SELECT DISTINCT "time" FROM c)
+SELECT m."time", tj, ti, round(CASE WHEN count(v) = count(*) THEN sum(k * v) END, 3) AS v FROM k CROSS JOIN moments m LEFT JOIN c ON k.i = c.i AND k.j = c.j AND c."time" = m."time" WHERE k <> 0 GROUP BY 1, 2, 3""")
 def remap_all_times(spark, d):
     yearly = reduce.yearly_mean(cube(spark, d), ["v"], ["j", "i"]).withColumnRenamed("year", "time")
     weights = regrid.bilinear_weights(_target(spark), (-91.5, -1.5), (0.05, 0.05))
     return rounded(regrid.remap(yearly, weights, "v"), 3, "v")
 
 
-@query(f"SELECT tj, ti, hgt FROM ({_TARGET}) t LEFT JOIN grid g ON g.i = floor((t.lon + 91.5) / 0.05 + 0.5) AND g.j = floor((t.lat + 1.5) / 0.05 + 0.5)")
+@query(f"SELECT tj, ti, hgt FROM ({_TARGET}) t LEFT JOIN field g ON g.i = floor((t.lon + 91.5) / 0.05 + 0.5) AND g.j = floor((t.lat + 1.5) / 0.05 + 0.5)")
 def transform_nearest(spark, d):
-    return regrid.transform_nearest(_target(spark), grid(spark).select("j", "i", "hgt"), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", "hgt")
+    return regrid.transform_nearest(_target(spark), field(spark, d).select("j", "i", "hgt"), "hgt", (-91.5, -1.5), (0.05, 0.05)).select("tj", "ti", "hgt")
 
 
 @query(f"SELECT station, round((slon + 91.5) / 0.05, 6) AS x, round((slat + 1.5) / 0.05, 6) AS y FROM {_POINTS}")
 def station_pixels(spark, d):
     x, y = regrid.pixels(F.col("lon"), F.col("lat"), (-91.5, -1.5), (0.05, 0.05))
-    return joins.stations(spark).select("station", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    return sites(spark, d).select("station", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query("SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, round(CAST(-92.5061 AS DOUBLE) + i * CAST(0.0154 AS DOUBLE), 6) AS lon, round(CAST(-2.46528 AS DOUBLE) + j * CAST(0.0154 AS DOUBLE), 6) AS lat FROM (SELECT range AS j FROM range(230)), (SELECT range AS i FROM range(245))")
+@query("""SELECT CAST(g.j AS INT) AS j, CAST(g.i AS INT) AS i, round(CAST(-92.5061 AS DOUBLE) + g.i * CAST(0.0154 AS DOUBLE), 6) AS lon, round(CAST(-2.46528 AS DOUBLE) + g.j * CAST(0.0154 AS DOUBLE), 6) AS lat, coalesce(n, 0) AS n
+FROM (SELECT a.range AS j, b.range AS i FROM range(230) a, range(245) b) g
+LEFT JOIN (SELECT floor((lat + 2.46528) / 0.0154 + 0.5) AS j, floor((lon + 92.5061) / 0.0154 + 0.5) AS i, count(*) AS n FROM places GROUP BY 1, 2) p ON p.j = g.j AND p.i = g.i""")
 def lonlat_grid(spark, d):
-    return rounded(regrid.lonlat_grid(spark, 245, 230, -92.5061, 0.0154, -2.46528, 0.0154), 6, "lon", "lat")
+    """The cells of a grid, and how many places each has."""
+    x, y = regrid.pixels(F.col("lon"), F.col("lat"), (-92.5061, -2.46528), (0.0154, 0.0154))
+    per_cell = places(spark, d).groupBy(F.floor(y + 0.5).cast("int").alias("j"), F.floor(x + 0.5).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    cells = regrid.lonlat_grid(spark, 245, 230, -92.5061, 0.0154, -2.46528, 0.0154).join(per_cell, ["j", "i"], "left")
+    return rounded(cells, 6, "lon", "lat").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 _NAMELIST = """
@@ -627,11 +678,11 @@ _NAMELIST = """
  truelat1 = 0,
  stand_lon = -85,
 """
-_NEST = """WITH RECURSIVE p(k, parent, ratio, i0, j0, we, sn) AS (VALUES (1, 1, 1, 1, 1, 300, 210), (2, 1, 5, 67, 78, 246, 231), (3, 2, 10, 103, 85, 400, 350)),
+_NEST = CTE.replace("WITH", "WITH RECURSIVE", 1) + """, p(k, parent, ratio, i0, j0, we, sn) AS (VALUES (1, 1, 1, 1, 1, 300, 210), (2, 1, 5, 67, 78, 246, 231), (3, 2, 10, 103, 85, 400, 350)),
 d(k, x, y, dx, x1, y1) AS (
   SELECT k, -(we - 1) * CAST(10000 AS DOUBLE) / 2, -(sn - 1) * CAST(10000 AS DOUBLE) / 2, CAST(10000 AS DOUBLE), (we - 1) * CAST(10000 AS DOUBLE) / 2, (sn - 1) * CAST(10000 AS DOUBLE) / 2 FROM p WHERE k = 1
   UNION ALL SELECT p.k, d.x + (i0 - 1) * d.dx, d.y + (j0 - 1) * d.dx, d.dx / ratio, d.x + (i0 - 1) * d.dx + (we - 1) * d.dx / ratio, d.y + (j0 - 1) * d.dx + (sn - 1) * d.dx / ratio FROM p JOIN d ON p.parent = d.k AND p.k > d.k),
-ll AS (SELECT 'd0' || k AS id, dx, x / 6370000 * 180 / pi() - 85 AS lon_min, x1 / 6370000 * 180 / pi() - 85 AS lon_max, (2 * atan(exp(y / 6370000)) - pi() / 2) * 180 / pi() AS lat_min, (2 * atan(exp(y1 / 6370000)) - pi() / 2) * 180 / pi() AS lat_max FROM d)
+ll AS (SELECT 'd0' || d.k AS id, dx, x / 6370000 * 180 / pi() - 85 AS lon_min, x1 / 6370000 * 180 / pi() - 85 AS lon_max, (2 * atan(exp(y / 6370000)) - pi() / 2) * 180 / pi() AS lat_min, (2 * atan(exp(y1 / 6370000)) - pi() / 2) * 180 / pi() AS lat_max FROM d)
 """
 
 
@@ -639,75 +690,83 @@ def _domains(spark) -> DataFrame:
     return domains.domains(spark, domains.parse_namelist(_NAMELIST))
 
 
-@query(_NEST + "SELECT id, dx, round(lon_min, 6) AS lon_min, round(lon_max, 6) AS lon_max, round(lat_min, 6) AS lat_min, round(lat_max, 6) AS lat_max FROM ll")
+@query(_NEST + "SELECT id, dx, round(lon_min, 6) AS lon_min, round(lon_max, 6) AS lon_max, round(lat_min, 6) AS lat_min, round(lat_max, 6) AS lat_max, (SELECT count(*) FROM places p WHERE p.lon BETWEEN lon_min AND lon_max AND p.lat BETWEEN lat_min AND lat_max) AS n FROM ll")
 def domain_corners(spark, d):
-    return rounded(_domains(spark).select("id", "dx", "lon_min", "lon_max", "lat_min", "lat_max"), 6, "lon_min", "lon_max", "lat_min", "lat_max")
+    """Corners of domains, and how many places each has."""
+    boxes = _domains(spark).select("id", "dx", "lon_min", "lon_max", "lat_min", "lat_max")
+    n = joins.features_in_boxes(places(spark, d), boxes).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(boxes.join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))), 6, "lon_min", "lon_max", "lat_min", "lat_max")
 
 
-@query(_NEST + "SELECT round(min(radians(lon_min) * 6378137), 2) AS x_min, round(min(ln(tan(pi() / 4 + radians(lat_min) / 2)) * 6378137), 2) AS y_min, round(max(radians(lon_max) * 6378137), 2) AS x_max, round(max(ln(tan(pi() / 4 + radians(lat_max) / 2)) * 6378137), 2) AS y_max FROM ll")
+@query("SELECT round(min(radians(slon) * 6378137), 2) AS x_min, round(min(ln(tan(pi() / 4 + radians(slat) / 2)) * 6378137), 2) AS y_min, round(max(radians(slon + 0.25) * 6378137), 2) AS x_max, round(max(ln(tan(pi() / 4 + radians(slat + 0.5) / 2)) * 6378137), 2) AS y_max FROM sites")
 def web_mercator_bounds(spark, d):
-    return rounded(domains.total_bounds(_domains(spark)), 2, "x_min", "y_min", "x_max", "y_max")
+    """The extent of boxes at all sites."""
+    boxes = sites(spark, d).select(F.col("lon").alias("lon_min"), (F.col("lon") + 0.25).alias("lon_max"), F.col("lat").alias("lat_min"), (F.col("lat") + 0.5).alias("lat_max"))
+    return rounded(domains.total_bounds(boxes), 2, "x_min", "y_min", "x_max", "y_max")
 
 
-@query(_NEST + f"SELECT station, id FROM ll, {_POINTS} WHERE slon BETWEEN lon_min AND lon_max AND slat BETWEEN lat_min AND lat_max")
+@query(_NEST + "SELECT p.k, id FROM ll, places p WHERE p.lon BETWEEN lon_min AND lon_max AND p.lat BETWEEN lat_min AND lat_max")
 def domain_feature_bbox_join(spark, d):
-    return joins.features_in_boxes(joins.stations(spark), _domains(spark).select("id", "lon_min", "lon_max", "lat_min", "lat_max")).select("station", "id")
+    return joins.features_in_boxes(places(spark, d), _domains(spark).select("id", "lon_min", "lon_max", "lat_min", "lat_max")).select("k", "id")
 
 
-_RINGS = {"a": [(-91.2, -1.0), (-90.2, -1.0), (-90.2, -0.6), (-90.7, -0.8), (-91.2, -0.6)], "b": [(-90.45, -0.7), (-90.25, -0.4), (-89.9, -0.9)]}
+_RINGS = {"a": [(-91.2, -1.4), (-90.7, -1.4), (-90.7, -1.1), (-90.95, -1.25), (-91.2, -1.1)], "b": [(-91.05, -1.2), (-90.85, -1.06), (-90.6, -1.3)]}
 _EDGES = ", edges AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), CAST({b[0]} AS DOUBLE), CAST({b[1]} AS DOUBLE))" for k, r in _RINGS.items() for a, b in zip(r, [*r[1:], r[0]], strict=True)) + ") AS v(id, x1, y1, x2, y2))"
 _INSIDE = "sum(CASE WHEN (y1 > {y}) <> (y2 > {y}) AND {x} < (x2 - x1) * ({y} - y1) / nullif(y2 - y1, 0) + x1 THEN 1 ELSE 0 END) % 2 = 1"
 
 
-@query(_EDGES + f" SELECT station FROM {_POINTS}, edges WHERE id = 'a' GROUP BY station HAVING {_INSIDE.format(x='slon', y='slat')}")
+@query(_EDGES + f" SELECT station FROM {_POINTS}, edges WHERE id = 'a' GROUP BY k, station HAVING {_INSIDE.format(x='any_value(slon)', y='any_value(slat)')}".replace("any_value(slon)", "slon").replace("any_value(slat)", "slat"))
 def points_in_polygon(spark, d):
-    return joins.points_in_polygon(joins.stations(spark), _RINGS["a"]).select("station")
+    return joins.points_in_polygon(sites(spark, d), _RINGS["a"]).select("station")
 
 
 def _rings(spark) -> DataFrame:
     return spark.createDataFrame([(k, r) for k, r in _RINGS.items()], "id string, ring array<struct<x: double, y: double>>")
 
 
-@query(_EDGES + f""", named AS (SELECT station, slon, slat, row_number() OVER (ORDER BY station) AS k FROM {_POINTS}),
-seg AS (SELECT a.k, a.slon AS ax, a.slat AS ay, b.slon AS bx, b.slat AS by_ FROM named a JOIN named b ON b.k = a.k + 1),
+@query(_EDGES + f""", seg AS (SELECT a.k, a.slon AS ax, a.slat AS ay, b.slon AS bx, b.slat AS by_ FROM sites a JOIN sites b ON b.k = a.k + 1),
 hit AS (SELECT k, id FROM seg, edges WHERE least(ax, bx) <= greatest(x1, x2) AND greatest(ax, bx) >= least(x1, x2) AND least(ay, by_) <= greatest(y1, y2) AND greatest(ay, by_) >= least(y1, y2)
   AND sign((bx - ax) * (y1 - ay) - (by_ - ay) * (x1 - ax)) * sign((bx - ax) * (y2 - ay) - (by_ - ay) * (x2 - ax)) <= 0 AND sign((x2 - x1) * (ay - y1) - (y2 - y1) * (ax - x1)) * sign((x2 - x1) * (by_ - y1) - (y2 - y1) * (bx - x1)) <= 0),
-inside AS (SELECT k, id FROM seg, edges GROUP BY k, id HAVING {_INSIDE.format(x='ax', y='ay')})
-SELECT DISTINCT CAST(k AS INT) AS line, id FROM (SELECT * FROM hit UNION ALL SELECT * FROM inside)""")
+inside AS (SELECT k, id FROM seg, edges GROUP BY k, id, ax, ay HAVING {_INSIDE.format(x='ax', y='ay')})
+SELECT DISTINCT k AS line, id FROM (SELECT * FROM hit UNION ALL SELECT * FROM inside)""")
 def lines_in_polygons(spark, d):
-    """Lines between stations that follow one another by name, and the polygons that they meet."""
-    named = sorted(joins.STATIONS)
-    lines = [(k + 1, [(a[2], a[1]), (b[2], b[1])]) for k, (a, b) in enumerate(zip(named, named[1:], strict=False))]
-    table_ = spark.createDataFrame(lines, "line int, points array<struct<x: double, y: double>>")
-    return joins.features_in_polygons(table_, _rings(spark), 0.5).select("line", "id")
+    """Lines between sites that follow one another, and the polygons that they meet."""
+    point = F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))
+    a = sites(spark, d).select("k", point.alias("a"))
+    b = sites(spark, d).select((F.col("k") - 1).alias("k"), point.alias("b"))
+    lines = a.join(b, "k").select(F.col("k").alias("line"), F.array("a", "b").alias("points"))
+    return joins.features_in_polygons(lines, _rings(spark), 0.5).select("line", "id")
 
 
-@query(_NEST + "SELECT id, round((lon_max - lon_min) * (lat_max - lat_min), 6) AS area FROM ll")
+@query("SELECT station, round(0.25 * (0.5 + k % 7), 6) AS area FROM sites")
 def domain_area(spark, d):
-    return _domains(spark).select("id", F.round(domains.area(), 6).alias("area"))
+    """Of a box at each site, the higher the larger its number's remainder."""
+    boxes = sites(spark, d).select("station", F.lit(0.0).alias("lon_min"), F.lit(0.25).alias("lon_max"), F.lit(0.0).alias("lat_min"), (0.5 + F.col("k") % 7).alias("lat_max"))
+    return boxes.select("station", F.round(domains.area(), 6).alias("area"))
 
 
-_DEM = "SELECT CAST(j AS INT) AS j, CAST(i AS INT) AS i, 1200 * sin(lon / 3) * cos(lat / 3) + 600 * sin(lon * 1.5) * cos(lat * 1.5) + 300 * sin(lon * 4) * cos(lat * 4) + 1500 * exp(-sqrt((lon + 90.5) * (lon + 90.5) + (lat + 0.5) * (lat + 0.5)) / 2) AS e FROM (SELECT j, i, -92.0 + i * (3.0 / 199) AS lon, -1.5 + j * (2.0 / 199) AS lat FROM (SELECT range AS j FROM range(200)), (SELECT range AS i FROM range(200)))"
+_DEM = "SELECT k, 1200 * sin(lon / 3) * cos(lat / 3) + 600 * sin(lon * 1.5) * cos(lat * 1.5) + 300 * sin(lon * 4) * cos(lat * 4) + 1500 * exp(-sqrt((lon + 85.0) * (lon + 85.0) + lat * lat) / 2) AS e FROM places"
 
 
-def _dem(spark) -> DataFrame:
-    return regrid.synthetic_elevation(regrid.linspace_grid(spark, (-92.0, -89.0), (-1.5, 0.5), 200, 200), (-92.0, -89.0), (-1.5, 0.5))
+def _dem(spark, d) -> DataFrame:
+    """Synthetic elevation at all places."""
+    return regrid.synthetic_elevation(places(spark, d), (-99.0, -71.0), (-10.0, 10.0))
 
 
-@query(f"SELECT j, i, round(e, 5) AS elevation FROM ({_DEM})")
+@query(f"{CTE} SELECT k, round(e, 5) AS elevation FROM ({_DEM})")
 def synthetic_dem(spark, d):
-    return _dem(spark).select("j", "i", F.round("elevation", 5).alias("elevation"))
+    return _dem(spark, d).select("k", F.round("elevation", 5).alias("elevation"))
 
 
-@query(f"SELECT count(*) AS n, count(CASE WHEN e > 0 THEN e END) AS n_land, round(sum(CASE WHEN e > 0 THEN e END), 2) AS total FROM ({_DEM})")
+@query(f"{CTE} SELECT count(*) AS n, count(CASE WHEN e > 0 THEN e END) AS n_land, round(sum(CASE WHEN e > 0 THEN e END), 2) AS total FROM ({_DEM})")
 def dem_positive_only(spark, d):
     e = masks.positive(F.col("elevation"))
-    return _dem(spark).agg(F.count(F.lit(1)).alias("n"), F.count(e).alias("n_land"), F.round(F.sum(e), 2).alias("total"))
+    return _dem(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count(e).alias("n_land"), F.round(F.sum(e), 2).alias("total"))
 
 
-@query("SELECT j, i, hgt * landmask AS elevation FROM grid")
+@query("SELECT j, i, hgt * landmask AS elevation FROM field")
 def static_dem(spark, d):
-    return regrid.static_elevation(grid(spark).select("j", "i", "hgt"), grid(spark).select("j", "i", "landmask"))
+    return regrid.static_elevation(field(spark, d).select("j", "i", "hgt"), field(spark, d).select("j", "i", "landmask"))
 
 
 @query("SELECT p_partkey, CAST(floor(greatest(least(6 + log2(greatest(360 / greatest(p_size / 10.0, 1e-6), 1)), 14), 1)) AS INT) AS zoom FROM part")
@@ -715,33 +774,136 @@ def tile_zoom(spark, d):
     return table(spark, d, "part").select("p_partkey", regrid.zoom(F.col("p_size") / 10).alias("zoom"))
 
 
+# grids that are not regular in degrees
+_TURNED = """, gr AS (SELECT j, i, CAST(-91.3 AS DOUBLE) + CAST(0.05 AS DOUBLE) * (cos(0.3) * i - sin(0.3) * j) AS lon, CAST(-1.6 AS DOUBLE) + CAST(0.05 AS DOUBLE) * (sin(0.3) * i + cos(0.3) * j) + CAST(0.008 AS DOUBLE) * sin(i / 3.0) AS lat FROM field),
+qd AS (SELECT a.j, a.i, a.lon AS x00, a.lat AS y00, b.lon - a.lon AS ex, b.lat - a.lat AS ey, c.lon - a.lon AS fx, c.lat - a.lat AS fy, a.lon - b.lon - c.lon + e.lon AS gx, a.lat - b.lat - c.lat + e.lat AS gy
+  FROM gr a JOIN gr b ON b.j = a.j AND b.i = a.i + 1 JOIN gr c ON c.j = a.j + 1 AND c.i = a.i JOIN gr e ON e.j = a.j + 1 AND e.i = a.i + 1),
+h AS (SELECT t.k, qd.*, t.lon - x00 AS hx, t.lat - y00 AS hy FROM (SELECT k, CAST(-91.5 AS DOUBLE) + CAST(0.0019 AS DOUBLE) * (k * 61 % 997) * 0.5 AS lon, CAST(-1.5 AS DOUBLE) + CAST(0.0016 AS DOUBLE) * (k * 37 % 499) AS lat FROM places) t, qd
+  WHERE t.lon - x00 BETWEEN -0.2 AND 0.2 AND t.lat - y00 BETWEEN -0.2 AND 0.2),
+r1 AS (SELECT *, gx * fy - gy * fx AS k2, ex * fy - ey * fx + hx * gy - hy * gx AS k1, hx * ey - hy * ex AS k0 FROM h),
+r2 AS (SELECT *, -0.5 * (k1 + CASE WHEN k1 < 0 THEN -1 ELSE 1 END * sqrt(greatest(k1 * k1 - 4 * k0 * k2, 0))) AS q FROM r1),
+r3 AS (SELECT *, unnest([k0 / nullif(q, 0), q / nullif(k2, 0)]) AS v FROM r2),
+r4 AS (SELECT *, CASE WHEN abs(ex + gx * v) > abs(ey + gy * v) THEN (hx - fx * v) / (ex + gx * v) ELSE (hy - fy * v) / (ey + gy * v) END AS u FROM r3 WHERE v BETWEEN -1e-9 AND 1 + 1e-9),
+hit AS (SELECT k, min({'j': j, 'i': i, 'u': u, 'v': v}) AS b FROM r4 WHERE u BETWEEN -1e-9 AND 1 + 1e-9 GROUP BY k),
+cy AS (SELECT j, i, CAST(year("time") AS INT) AS "time", avg(v) AS v FROM cube GROUP BY 1, 2, 3), moments AS (SELECT DISTINCT "time" FROM cy)
+"""
+
+
+@query(_TURNED + """SELECT m."time", p.k, round((1 - b.u) * (1 - b.v) * a.v + b.u * (1 - b.v) * c.v + (1 - b.u) * b.v * e.v + b.u * b.v * f.v, 2) AS v FROM places p CROSS JOIN moments m LEFT JOIN hit ON hit.k = p.k
+LEFT JOIN cy a ON a."time" = m."time" AND a.j = b.j AND a.i = b.i LEFT JOIN cy c ON c."time" = m."time" AND c.j = b.j AND c.i = b.i + 1
+LEFT JOIN cy e ON e."time" = m."time" AND e.j = b.j + 1 AND e.i = b.i LEFT JOIN cy f ON f."time" = m."time" AND f.j = b.j + 1 AND f.i = b.i + 1""")
+def remap_curvilinear(spark, d):
+    """Yearly means on a turned and bent grid, at places in and beside it: NULL beside."""
+    j, i = F.col("j"), F.col("i")
+    lon, lat = -91.3 + 0.05 * (F.cos(F.lit(0.3)) * i - F.sin(F.lit(0.3)) * j), -1.6 + 0.05 * (F.sin(F.lit(0.3)) * i + F.cos(F.lit(0.3)) * j) + 0.008 * F.sin(i / 3.0)
+    turned = field(spark, d).select("j", "i", lon.alias("lon"), lat.alias("lat"))
+    k = F.col("k")
+    target = places(spark, d).select("k", (-91.5 + 0.0019 * (k * 61 % 997) * 0.5).alias("lon"), (-1.5 + 0.0016 * (k * 37 % 499)).alias("lat"))
+    yearly = reduce.yearly_mean(cube(spark, d), ["v"], ["j", "i"]).withColumnRenamed("year", "time")
+    return rounded(regrid.remap(yearly, regrid.curvilinear_weights(target, turned, 0.1), "v"), 2, "v")
+
+
+_LAMBERT = {"map_proj": "LAMBERT", "ref_lat": 0.0, "ref_lon": -85.0, "stand_lon": -85.0, "truelat1": 30.0, "truelat2": 60.0, "parent_id": [1], "parent_grid_ratio": [1], "i_parent_start": [1], "j_parent_start": [1], "e_we": [301], "e_sn": [201], "dx": 30000.0, "dy": 30000.0}
+_CONE = """, n AS (SELECT ln(cos(radians(30)) / cos(radians(60))) / ln(tan(pi() / 4 + radians(60) / 2) / tan(pi() / 4 + radians(30) / 2)) AS n),
+f AS (SELECT n, 6370000 * cos(radians(30)) * tan(pi() / 4 + radians(30) / 2) ** n / n AS f FROM n)
+"""
+
+
+@query(_CONE + """SELECT k, round((f / tan(pi() / 4 + radians(lat) / 2) ** n * sin(n * radians(lon + 85)) + 150 * 30000) / 30000 - 0.5, 6) AS i, round((f - f / tan(pi() / 4 + radians(lat) / 2) ** n * cos(n * radians(lon + 85)) + 100 * 30000) / 30000 - 0.5, 6) AS j FROM places, f""")
+def projected_pixels(spark, d):
+    """Pixels of places on a grid in Lambert's projection."""
+    i, j = domains.model_pixels(F.col("lon"), F.col("lat"), _LAMBERT)
+    return places(spark, d).select("k", F.round(i, 6).alias("i"), F.round(j, 6).alias("j"))
+
+
+@query(_CONE + """, c AS (SELECT l_orderkey, l_linenumber, (l_partkey % 300 + 0.5 - 150) * 30000 AS x, (l_suppkey % 200 + 0.5 - 100) * 30000 AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(degrees(atan2(x, f - y) / n) - 85, 7) AS lon, round(degrees(2 * atan((f / sqrt(x * x + (f - y) * (f - y))) ** (1 / n)) - pi() / 2), 7) AS lat FROM c, f""")
+def projected_lonlat(spark, d):
+    """Longitude and latitude of the pixel that each row of the cube has on a projected grid."""
+    lon, lat = domains.model_lonlat(F.col("l_partkey") % 300, F.col("l_suppkey") % 200, _LAMBERT)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+# what goes with a map of a cube
+_MAPPED = {"prcp": "mm/h", "t2": "K", "psfc": "Pa", "et": "mm/h", "potevap": "mm/h"}
+
+
+@query('SELECT j, i, round(avg(w) * 24, 6) AS prcp, round(avg(w) - 273.15, 6) AS t2, round(avg(w) * 0.01, 6) AS psfc, round(avg(w) * 24, 6) AS et, round(avg(w) * 24, 6) AS potevap FROM cube GROUP BY 1, 2')
+def map_units(spark, d):
+    """A map's mean in the unit that maps of each variable have."""
+    mean = reduce.temporal_mean(cube(spark, d), ["w"])
+    return mean.select("j", "i", *[F.round(units.convert(F.col("w"), u, k), 6).alias(k) for k, u in _MAPPED.items()])
+
+
+@query("""SELECT c."time", c.j, c.i, c.level, round(c.v, 2) AS v, round(u.u10, 4) AS u10, round(u.v10, 4) AS v10 FROM cube c
+JOIN (SELECT "time", j, i, avg(w) AS u10, avg(-w / 2) AS v10 FROM cube GROUP BY 1, 2, 3) u ON c."time" = u."time" AND c.j = u.j AND c.i = u.i""")
+def attach_wind(spark, d):
+    """A field and the wind at all its times and cells, of which none may be missing."""
+    c = cube(spark, d)
+    wind = c.groupBy("time", "j", "i").agg(F.avg("w").alias("u10"), F.avg(-F.col("w") / 2).alias("v10"))
+    return rounded(rounded(joins.attach(c.drop("w"), wind), 2, "v"), 4, "u10", "v10")
+
+
+@query('SELECT c."time", j, i, level, v FROM cube c WHERE CAST(c."time" AS DATE) IN (SELECT CAST(o_orderdate AS DATE) FROM orders) AND c."time" IN (SELECT "time" FROM cube WHERE level = 1)')
+def exact_times(spark, d):
+    """A cube at the times of another, its first level at the days that orders have; an error if one is missing."""
+    c = cube(spark, d)
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("_day")).distinct()
+    other = select.level(c, 1).join(days, F.to_date("time") == F.col("_day"), "left_semi")
+    return select.exact_times(c, other).select("time", "j", "i", "level", "v")
+
+
+@query("SELECT c.j, c.i, count(*) AS n, count(CASE WHEN g.hgt BETWEEN 300 AND 1800 THEN v END) AS n_v FROM cube c JOIN field g ON c.j = g.j AND c.i = g.i GROUP BY 1, 2")
+def altitude_range(spark, d):
+    """Values of cells within heights, both ends included."""
+    zone = masks.where_grid(cube(spark, d), field(spark, d), F.col("hgt").between(300, 1800))
+    return zone.groupBy("j", "i").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_v"))
+
+
+@query("SELECT k, round((200 + k % 7 * 300) / 111000.0 / cos(radians(lat)), 9) AS dlon, round((200 + k % 7 * 300) / 111000.0, 9) AS dlat FROM places")
+def degree_resolution(spark, d):
+    dlon, dlat = regrid.degrees_of(200 + F.col("k") % 7 * 300, F.col("lat"))
+    return places(spark, d).select("k", F.round(dlon, 9).alias("dlon"), F.round(dlat, 9).alias("dlat"))
+
+
+@query('SELECT DISTINCT CAST(year("time") AS INT) AS year FROM cube')
+def distinct_years(spark, d):
+    return reduce.years(cube(spark, d))
+
+
 # names
-@query("""SELECT v.name, CASE lower(v.name) WHEN 'prcp' THEN 'prcp,PCP' WHEN 't2' THEN 't2,T' WHEN 'rh' THEN 'rh,RH' WHEN 'q' THEN 'q2,q' END AS names, CASE v.name WHEN 't2' THEN 'T' WHEN 'prcp' THEN 'PCP_tot_bucket,PCP_diff_radar,PCP_diffmin_radar,PCP_acoustic' END AS sensors
-FROM (VALUES ('prcp'), ('T2'), ('t2'), ('rh'), ('Q'), ('zzz')) AS v(name)""")
+@query("""SELECT v.name, CASE lower(v.name) WHEN 'prcp' THEN 'prcp,PCP' WHEN 't2' THEN 't2,T' WHEN 'rh' THEN 'rh,RH' WHEN 'q' THEN 'q2,q' END AS names, CASE v.name WHEN 't2' THEN 'T' WHEN 'prcp' THEN 'PCP_tot_bucket,PCP_diff_radar,PCP_diffmin_radar,PCP_acoustic' END AS sensors, count(*) AS n
+FROM (SELECT CASE user_id % 6 WHEN 0 THEN 'prcp' WHEN 1 THEN 'T2' WHEN 2 THEN 't2' WHEN 3 THEN 'rh' WHEN 4 THEN 'Q' ELSE event_type END AS name FROM events) v GROUP BY 1, 2, 3""")
 def sensor_alias_map(spark, d):
-    v = spark.createDataFrame([(x,) for x in ("prcp", "T2", "t2", "rh", "Q", "zzz")], "name string")
+    """Names that observations come under, and how many do."""
+    name = F.element_at(F.array(*[F.lit(x) for x in ("prcp", "T2", "t2", "rh", "Q")], F.col("event_type")), (F.col("user_id") % 6 + 1).cast("int"))
+    v = table(spark, d, "events").select(name.alias("name"))
     joined = lambda c: F.when(c.isNotNull(), F.concat_ws(",", c))
-    return v.select("name", joined(units.names_column(F.col("name"))).alias("names"), joined(units.sensors_column(F.col("name"))).alias("sensors"))
+    return v.select("name", joined(units.names_column(F.col("name"))).alias("names"), joined(units.sensors_column(F.col("name"))).alias("sensors")).groupBy("name", "names", "sensors").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT v.name, station FROM (VALUES ('cerro_crocker'), ('01_AWS-P_El_JUNCO_x_y'), ('nowhere')) AS v(name) LEFT JOIN {_POINTS} ON contains(lower(v.name), lower(string_split(station, ' ')[-1]))""")
+@query(f"""SELECT v.name, station FROM (SELECT 'AWS-P_' || CASE c_custkey % 4 WHEN 0 THEN 'El_JUNCO' WHEN 1 THEN 'cerro_crocker' WHEN 2 THEN 'sierranegra' ELSE 'nowhere' END || '_' || c_custkey AS name FROM customer) v
+LEFT JOIN {_STATIONS} ON contains(lower(v.name), lower(string_split(station, ' ')[-1]))""")
 def station_name_match(spark, d):
-    v = spark.createDataFrame([(x,) for x in ("cerro_crocker", "01_AWS-P_El_JUNCO_x_y", "nowhere")], "name string")
+    word = F.element_at(F.array(*[F.lit(x) for x in ("El_JUNCO", "cerro_crocker", "sierranegra", "nowhere")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    v = table(spark, d, "customer").select(F.concat(F.lit("AWS-P_"), word, F.lit("_"), F.col("c_custkey")).alias("name"))
     return joins.match_station(v, joins.stations(spark)).select("name", "station")
 
 
-@query("""SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month, CAST(dayofyear(make_date(y, m, 1)) - 1 AS INT) AS doy FROM (SELECT unnest([2023, 2024]) AS y), (SELECT range AS m FROM range(1, 13))""")
+@query("""SELECT y AS year, m AS month, CAST(dayofyear(make_date(y, m, 1)) - 1 AS INT) AS doy FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m FROM orders)""")
 def first_doy_of_month(spark, d):
-    ym = spark.range(24).select((2023 + F.floor(F.col("id") / 12)).cast("int").alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"))
+    ym = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).distinct()
     return ym.select("year", "month", calendar.first_day_of_month(F.col("year"), F.col("month")).alias("doy"))
 
 
-@query("""SELECT k, unit, CASE WHEN starts_with(unit, 'months') THEN CAST(make_date(2023 + k // 12, k % 12 + 1, 1) - make_date(2023, 1, 1) AS DOUBLE) ELSE CAST(k AS DOUBLE) END AS value,
-CASE WHEN unit[1:5] IN ('month', 'years') THEN 'days since 2023-01-01' ELSE unit END AS new_unit FROM (SELECT CAST(range AS INT) AS k FROM range(14)), (SELECT unnest(['months since 2023-01-01', 'years since 2023-01-01', 'hours since 2023-01-01']) AS unit)""")
+@query("""SELECT p_partkey, k, unit, CASE WHEN starts_with(unit, 'months') THEN CAST(make_date(2023 + k // 12, k % 12 + 1, 1) - make_date(2023, 1, 1) AS DOUBLE) ELSE CAST(k AS DOUBLE) END AS value,
+CASE WHEN unit[1:5] IN ('month', 'years') THEN 'days since 2023-01-01' ELSE unit END AS new_unit
+FROM (SELECT p_partkey, CAST(p_size AS INT) AS k, ['months since 2023-01-01', 'years since 2023-01-01', 'hours since 2023-01-01'][p_partkey % 3 + 1] AS unit FROM part)""")
 def time_axis_correction(spark, d):
-    rows = spark.range(14).select(F.col("id").cast("int").alias("k"), F.explode(F.array(*[F.lit(f"{u} since 2023-01-01") for u in ("months", "years", "hours")])).alias("unit"))
-    value, unit = calendar.corrected_time(F.col("k"), F.col("unit"))
-    return rows.select("k", "unit", value.alias("value"), unit.alias("new_unit"))
+    unit = F.element_at(F.array(*[F.lit(f"{u} since 2023-01-01") for u in ("months", "years", "hours")]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("k"), unit.alias("unit"))
+    value, new = calendar.corrected_time(F.col("k"), F.col("unit"))
+    return rows.select("p_partkey", "k", "unit", value.alias("value"), new.alias("new_unit"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM documents")
@@ -759,29 +921,31 @@ def superscript_exponent(spark, d):
     return table(spark, d, "part").select("p_partkey", names.superscript(-F.col("p_size")).alias("exponent"))
 
 
-@query("SELECT v.a AS attribute, array_to_string(string_split(v.a, CASE WHEN contains(v.a, ',') THEN ',' ELSE ' ' END), '|') AS parts FROM (VALUES ('1,2 3,4'), ('5 6 7'), ('x')) AS v(a)")
+@query("SELECT p_partkey, array_to_string(string_split(a, CASE WHEN contains(a, ',') THEN ',' ELSE ' ' END), '|') AS parts FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type || ',' || p_brand ELSE p_type || ' ' || p_size END AS a FROM part)")
 def split_attribute(spark, d):
-    v = spark.createDataFrame([(x,) for x in ("1,2 3,4", "5 6 7", "x")], "attribute string")
-    return v.select("attribute", F.concat_ws("|", names.split_attribute(F.col("attribute"))).alias("parts"))
+    a = F.when(F.col("p_size") % 2 == 0, F.concat("p_type", F.lit(","), "p_brand")).otherwise(F.concat("p_type", F.lit(" "), F.col("p_size")))
+    return table(spark, d, "part").select("p_partkey", F.concat_ws("|", names.split_attribute(a)).alias("parts"))
 
 
-@query("SELECT '+k_0=1.0 +units=m +lat_0=2.0 +lon_0=-90.3 +x_0=0.0 +y_0=0.0 +ellps=WGS84 +datum=WGS84 +name=WRFMercator +proj=merc +no_defs' AS srs UNION ALL SELECT '+k_0=1.0 +units=m +lat_0=2.0 +lon_0=-90.31006622 +x_0=0.0 +y_0=0.0 +ellps=WGS84 +datum=WGS84 +name=WRFMercator +proj=merc +no_defs'")
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '+k_0=1.0 +units=m +lat_0=2.0 +lon_0=-90.31006622 +x_0=0.0 +y_0=0.0 +ellps=WGS84 +datum=WGS84 +name=WRFMercator +proj=merc +no_defs'
+ELSE '+k_0=1.0 +units=m +lat_0=' || p_size || '.5 +lon_0=-' || p_size || '.25 +x_0=0.0 +y_0=0.0 +ellps=WGS84 +datum=WGS84 +name=WRFMercator +proj=merc +no_defs' END AS srs FROM part""")
 def proj_string(spark, d):
-    v = spark.createDataFrame([("{3, 6370000, 6370000, 2.0, -90.3, 0.0, 0.0, WGS-84, WRF Mercator}",), (None,)], "envi string")
-    return v.select(names.envi_projection(F.col("envi")).alias("srs"))
+    size = F.col("p_size").cast("string")
+    envi = F.when(F.col("p_size") % 5 != 0, F.concat(F.lit("{3, 6370000, 6370000, "), size, F.lit(".5, -"), size, F.lit(".25, 0.0, 0.0, WGS-84, WRF Mercator}")))
+    return table(spark, d, "part").select("p_partkey", envi.alias("envi")).select("p_partkey", names.envi_projection(F.col("envi")).alias("srs"))
 
 
-@query("SELECT 'trend_hgt-0-2000_v-prcp_y-1980-2023' AS stem UNION ALL SELECT 'map_p-500-850_v-t2-rh_y-1980-2023_nomask_masksea'")
+@query("""SELECT o_custkey, 'trend_' || CASE WHEN o_custkey % 2 = 0 THEN 'hgt-0-2000' ELSE 'p-500-850' END || '_v-t2-' || o_orderstatus || '_y-' || year(min(o_orderdate)) || '-' || year(max(o_orderdate)) || '_masksea' AS stem FROM orders GROUP BY o_custkey, o_orderstatus""")
 def file_stem(spark, d):
-    a = names.file_stem("trend", ["prcp"], "1980-01-01", "2023-12-31")
-    b = names.file_stem("map", ["t2", "rh"], "1980-01-01", "2023-12-31", [500, 850], mask=False, mask_sea=True)
-    return spark.createDataFrame([(a,), (b,)], "stem string")
+    ends = table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("z"))
+    levels = F.when(F.col("o_custkey") % 2 == 1, F.array(F.lit(500), F.lit(850)))
+    return ends.select("o_custkey", names.file_stem_column(F.lit("trend"), F.array(F.lit("t2"), F.col("o_orderstatus")), F.col("a"), F.col("z"), levels, mask_sea=True).alias("stem"))
 
 
 @query("SELECT station, printf('%.2f', abs(slon)) || '°' || CASE WHEN slon < 0 THEN 'W' ELSE 'E' END AS lon, printf('%.2f', abs(slat)) || '°' || CASE WHEN slat < 0 THEN 'S' ELSE 'N' END AS lat FROM " + _POINTS)
 def lon_lat_label(spark, d):
     x, y = domains.web_mercator(F.col("lon"), F.col("lat"))
-    return joins.stations(spark).select("station", names.lon_lat_label(x, "lon").alias("lon"), names.lon_lat_label(y, "lat").alias("lat"))
+    return sites(spark, d).select("station", names.lon_lat_label(x, "lon").alias("lon"), names.lon_lat_label(y, "lat").alias("lat"))
 
 
 @query(_Y + f"SELECT printf('ȳ = %.1f mm', a) || ' | ' || printf('β = %.3f mm a⁻¹', s) || ' | ' || printf('R² = %.2f', r) || ' | p > 0.05' AS label FROM (SELECT avg(v) AS a, regr_slope(v, year) AS s, regr_r2(v, year) AS r FROM y)")

@@ -27,7 +27,7 @@ def fit_model(x: np.ndarray, y: np.ndarray, model: str, mode: str = "textbook")
             sigma = ar1_covariance(len(x), float((e[1:] * e[:-1]).sum() / (e * e).sum()))
         else:
             variance = design @ _gls(design, rest**2, np.eye(len(x)))[0]
-            sigma = np.diag(np.maximum(variance, 1e-12 * max(variance.max(), 1e-300)))
+            sigma = np.diag(np.maximum(variance, 1e-6 * max(variance.max(), 1e-300)))
         beta, cov = _gls(design, y, np.linalg.inv(sigma) if mode == "inverted" else sigma)
     elif model == "rls":
         for _ in range(50):
