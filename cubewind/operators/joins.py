@@ -135,10 +135,13 @@ def features_in_boxes(features: DataFrame, boxes: DataFrame, cell: float = 1.0)
     return f.join(b, ["_x", "_y"]).where(inside).drop("_x", "_y")
 
 
-def _inside(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point is in a ring (array of struct x, y), by the parity of crossings."""
-    after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    edges = F.arrays_zip(ring.alias("a"), after.alias("b"))
+def _edges(rings: Column) -> Column:
+    """All edges of some rings (arrays of struct x, y; whether the first point comes again at the end doesn't matter)."""
+    return F.flatten(F.transform(rings, lambda r: F.arrays_zip(r.alias("a"), F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)).alias("b"))))
+
+
+def _inside(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a point is inside, by the parity of crossings with all edges: holes are outside, islands in them inside."""
     crossed = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"])
     return F.size(F.filter(edges, crossed)) % 2 == 1
 
@@ -158,20 +161,40 @@ def _meet(s: Column, e: Column) -> Column:
 
 
 def features_in_polygons(features: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """Lines or points (`points`, array of struct x, y) that meet polygons (id, `ring`, the same without the first again at the
-    end). Both are dealt to coarse cells that their boxes touch, so that it is an equi-join; each pair is tested once."""
+    """Lines or points (`points`, array of struct x, y) that meet polygons: id and `ring`, or `rings` with holes and islands.
+    Both are dealt to coarse cells that their boxes touch, so that it is an equi-join; each pair is tested once."""
+    many = "rings" in polygons.columns
 
-    def dealt(df: DataFrame, points: str, key: str) -> DataFrame:
+    def dealt(df: DataFrame, points: Column, key: str) -> DataFrame:
         low, high = (lambda c, f=f: F.floor(f(F.transform(points, lambda p: p[c])) / cell) for f in (F.array_min, F.array_max))
         span = lambda c: F.explode(F.sequence(low(c), high(c)))
         return df.withColumn(key, F.monotonically_increasing_id()).withColumn("_x", span("x")).withColumn("_y", span("y"))
 
-    pairs = dealt(features, "points", "_f").join(dealt(polygons, "ring", "_p"), ["_x", "_y"]).dropDuplicates(["_f", "_p"])
-    line, ring = F.col("points"), F.col("ring")
-    closed = F.concat(ring, F.slice(ring, 1, 1))
-    inside = F.exists(line, lambda p: _inside(p["x"], p["y"], ring))
-    crossing = F.exists(_segments(line), lambda s: F.exists(_segments(closed), lambda e: _meet(s, e)))
-    return pairs.where(inside | crossing).drop("_f", "_p", "_x", "_y")
+    outline = F.flatten("rings") if many else F.col("ring")
+    pairs = dealt(features, F.col("points"), "_f").join(dealt(polygons, outline, "_p"), ["_x", "_y"]).dropDuplicates(["_f", "_p"])
+    line = F.col("points")
+    pairs = pairs.withColumn("_edges", _edges(F.col("rings") if many else F.array("ring")))
+    inside = F.exists(line, lambda p: _inside(p["x"], p["y"], F.col("_edges")))
+    crossing = F.exists(_segments(line), lambda s: F.exists("_edges", lambda e: _meet(s, e)))
+    return pairs.where(inside | crossing).drop("_f", "_p", "_x", "_y", "_edges")
+
+
+def points_in_areas(points: DataFrame, areas: DataFrame, cell: float = 0.25) -> DataFrame:
+    """Points (lon, lat) with the id of each area (id, `rings`, with holes and islands) that they lie in, by the parity of
+    crossings with the edges to their east. Edges are dealt to slabs of `cell` degrees of latitude, and points meet those of the
+    areas whose box they are in, so a coast of any length is no single row that each point has to walk along. Joins are
+    equi-joins; repeated points come out as often, points in no area don't."""
+    edges = areas.select("id", F.explode(_edges(F.col("rings"))).alias("_e")).select("id", F.col("_e.a.x").alias("_x1"), F.col("_e.a.y").alias("_y1"), F.col("_e.b.x").alias("_x2"), F.col("_e.b.y").alias("_y2"))
+    edges = edges.where("_y1 <> _y2")  # level edges are never crossed
+    slab = lambda c: F.floor(c / cell).cast("long")
+    boxes = edges.groupBy("id").agg(F.min(F.least("_x1", "_x2")).alias("_w"), F.max(F.greatest("_x1", "_x2")).alias("_o"), F.min(F.least("_y1", "_y2")).alias("_s"), F.max(F.greatest("_y1", "_y2")).alias("_n"))
+    wide = boxes.withColumn("_b", F.explode(F.sequence(F.floor("_w"), F.floor("_o")))).withColumn("_c", F.explode(F.sequence(F.floor("_s"), F.floor("_n"))))
+    places = points.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col("lon").cast("double").alias("_lon"), F.col("lat").cast("double").alias("_lat")).distinct()
+    near = places.withColumns({"_b": F.floor("_lon"), "_c": F.floor("_lat")}).join(wide, ["_b", "_c"]).where("_lon >= _w AND _lon <= _o AND _lat >= _s AND _lat <= _n").select("_lon", "_lat", "id", slab(F.col("_lat")).alias("_k"))
+    dealt = edges.withColumn("_k", F.explode(F.sequence(slab(F.least("_y1", "_y2")), slab(F.greatest("_y1", "_y2")))))
+    crossed = "(_y1 > _lat) <> (_y2 > _lat) AND _lon < (_x2 - _x1) * (_lat - _y1) / (_y2 - _y1) + _x1"
+    inside = near.join(dealt, ["id", "_k"]).where(crossed).groupBy("_lon", "_lat", "id").agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1")
+    return points.join(inside.select(F.col("_lon").alias("lon"), F.col("_lat").alias("lat"), "id"), ["lon", "lat"]).select(*points.columns, "id")
 
 
 def points_in_polygon(points: DataFrame, polygon: Sequence[tuple[float, float]]) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from cubewind.functions.names import STATIC
 from cubewind.model import Cube, Experiment
+from cubewind.operators.regrid import nearest_resolution
+from cubewind.operators.select import box
 from cubewind.operators.series import calendar_spine
-from cubewind.sources import netcdf
+from cubewind.sources import geotiff, netcdf, shapefile
 
 
 def path_of(experiment: str, variable: str, year: int | None = None, domain: str = "d02km", dimensions: str = "2d", frequency: str = "d", base: str = "") -> str:
@@ -121,6 +123,23 @@ def raw_days(spark: SparkSession, base: str, start: str, end: str, pattern: str
     return first.mapInArrow(opened, "day date, path string, content binary")
 
 
+def open_elevation(spark: SparkSession, rasters: dict[float, str], wanted: float, lon: tuple[float, float], lat: tuple[float, float], buffer: float = 1.0) -> DataFrame:
+    """lon, lat and elevation around a box from the raster (by resolution in degrees) whose resolution is nearest to the wanted
+    one. Only tiles that meet the box and its buffer are read."""
+    geotiff.register(spark)
+    raster = spark.read.format("geotiff").option("path", nearest_resolution(rasters, wanted)).load()
+    return box(raster, lon, lat, buffer).select("lon", "lat", F.col("value").alias("elevation"))
+
+
+def open_shapes(spark: SparkSession, path: str, lon: tuple[float, float] | None = None, lat: tuple[float, float] | None = None) -> DataFrame:
+    """Shapes of a shapefile as id, rings (or pieces of lines) and properties; of a box, those whose own box meets it."""
+    shapefile.register(spark)
+    df = spark.read.format("shapefile").option("path", path).load()
+    if lon and lat:
+        df = df.where((F.col("x_min") <= lon[1]) & (F.col("x_max") >= lon[0]) & (F.col("y_min") <= lat[1]) & (F.col("y_max") >= lat[0]))
+    return df.select("id", "kind", F.col("parts").alias("rings"), "properties")
+
+
 def combine(frames: Sequence[DataFrame], sort: bool = False) -> DataFrame:
     """One after the other, without removal of repetitions."""
     out = frames[0]

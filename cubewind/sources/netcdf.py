@@ -16,20 +16,19 @@ from __future__ import annotations
 
 import glob
 import json
-import math
 import os
 import struct
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from datetime import UTC, date, datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from cubewind.sources import hdf5
+from cubewind.sources.bounds import BoundedReader
 
 #: Values of a variable that one task reads, in bytes as they are stored, about
 PART_BYTES = 32_000_000
@@ -201,38 +200,14 @@ class ClassicNetCDF(NetCDF):
         return "netcdf-classic"
 
 
-def _plain(x) -> float:
-    """A bound as a number; times in microseconds, as they are without a zone."""
-    if isinstance(x, datetime):
-        x = x.replace(tzinfo=None) if x.tzinfo is None else x.astimezone(UTC).replace(tzinfo=None)
-        return float((np.datetime64(x, "us") - np.datetime64(0, "us")).astype(np.int64))
-    if isinstance(x, date):
-        return _plain(datetime(x.year, x.month, x.day))
-    return float(x)
+class GridReader(BoundedReader):
+    """Reads partitions of cubes."""
 
-
-class GridReader(DataSourceReader):
-    """Reads partitions of cubes; bounds: least and greatest value of columns, from filters."""
+    columns = ("time", "level", "j", "i")
 
     def __init__(self, paths: list[str], variable: str, part_bytes: int | None = None):
-        self.paths, self.variable, self.part_bytes, self.bounds = paths, variable, part_bytes or PART_BYTES, {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, In)) and len(f.attribute) == 1 and f.attribute[0] in ("time", "level", "j", "i"):
-                given = [_plain(x) for x in (f.value if isinstance(f, In) else [f.value]) if x is not None]
-                if given:
-                    low, high = self.bounds.get(f.attribute[0], (-math.inf, math.inf))
-                    low = low if isinstance(f, (LessThan, LessThanOrEqual)) else max(low, min(given))
-                    high = high if isinstance(f, (GreaterThan, GreaterThanOrEqual)) else min(high, max(given))
-                    self.bounds[f.attribute[0]] = low, high
-            yield f
-
-    def _within(self, axis: np.ndarray, column: str) -> tuple[int, int]:
-        """From the first to after the last place of an axis that is inside the bounds."""
-        low, high = self.bounds.get(column, (-math.inf, math.inf))
-        inside = np.flatnonzero((axis >= low) & (axis <= high))
-        return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0)
+        super().__init__()
+        self.paths, self.variable, self.part_bytes = paths, variable, part_bytes or PART_BYTES
 
     def partitions(self) -> list[Records]:
         with ThreadPoolExecutor(OPENERS) as pool:
@@ -243,7 +218,7 @@ class GridReader(DataSourceReader):
         v = file.variables[self.variable]
         if "time" not in v.dims:
             return [] if "time" in self.bounds else [Records(path, 0, 1)]
-        first, last = self._within(times(file).astype(np.int64).astype(float), "time")
+        first, last = self.within(times(file).astype(np.int64).astype(float), "time")
         step = v.chunks[0] if v.chunks else 1
         per = step * max(1, self.part_bytes // max(1, step * int(np.prod(v.shape[1:], dtype=np.int64)) * v.kind.itemsize))
         return [Records(path, max(k, first), min(k + per, last)) for k in range(first // step * step, last, per)]
@@ -261,11 +236,11 @@ class GridReader(DataSourceReader):
         if len(shape) == 3:
             own = v.dims[-3]
             levels = values(file, own).astype(int).tolist() if own in file.variables else list(range(shape[0]))
-            box.append(self._within(np.array(levels, float), "level"))
+            box.append(self.within(np.array(levels, float), "level"))
             levels = levels[slice(*box[-1])]
         elif "level" in self.bounds:
             return
-        (j0, j1), (i0, i1) = (self._within(np.arange(n, dtype=float), c) for n, c in zip(shape[-2:], "ji", strict=True))
+        (j0, j1), (i0, i1) = (self.within(np.arange(n, dtype=float), c) for n, c in zip(shape[-2:], "ji", strict=True))
         box += [(j0, j1), (i0, i1)]
         if any(a >= z for a, z in box):
             return
