@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 EPSILON = 0.622
-_RD, _CP, _LV, _G = 287.04, 1004.0, 2.501e6, 9.81
+_RD, _CP, _G = 287.04, 1004.0, 9.81
 
 
 def specific_humidity(mixing_ratio: Column) -> Column:
@@ -30,72 +29,79 @@ def relative_humidity(pressure_hpa: Column, kelvin: Column, mixing_ratio: Column
     return mixing_ratio / (EPSILON * es / (pressure_hpa - es))
 
 
-def _es(t: np.ndarray) -> np.ndarray:
-    return 6.112 * np.exp(17.67 * (t - 273.15) / (t - 273.15 + 243.5))
-
-
-def parcel_energies(columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]], step: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
-    """CAPE and CIN (J/kg) of columns of air (p in hPa, t in K, q in kg/kg; missing levels are left out): of each the parcel of
-    greatest equivalent potential temperature in the lowest 3 km (here 300 hPa) along a pseudo-adiabat. All columns ascend
-    together; NaN for a column of fewer than three levels."""
-    n = len(columns)
-    above, below = np.full(n, np.nan), np.full(n, np.nan)
-    at, air, moist, parcel, vapour, rows = [], [], [], [], [], []
-    for row, (p, t, q) in enumerate(columns):
-        fine = np.isfinite(p) & np.isfinite(t) & np.isfinite(q)
-        order = np.argsort(-p[fine], kind="stable")
-        p, t, q = p[fine][order], t[fine][order], np.maximum(q[fine][order], 1e-10)
-        if len(p) < 3:
-            continue
-        e = q * p / (EPSILON + q)
-        dew = 243.5 / (17.67 / np.log(e / 6.112) - 1) + 273.15
-        lcl = 1 / (1 / (dew - 56) + np.log(t / dew) / 800) + 56
-        theta_e = t * (1000 / p) ** (0.2854 * (1 - 0.28 * q)) * np.exp(q * (1 + 0.81 * q) * (3376 / lcl - 2.54))
-        k = int(np.argmax(np.where(p >= p[0] - 300, theta_e, -np.inf)))
-        own = np.arange(p[k], p[-1], -step)
-        rows.append(row)
-        at.append(own)
-        air.append(np.interp(own, p[::-1], t[::-1]))
-        moist.append(np.interp(own, p[::-1], q[::-1]))
-        parcel.append(t[k])
-        vapour.append(q[k])
-    if not rows:
-        return above, below
-    most = max(map(len, at))
-    at, air, moist = (np.array([np.pad(x.astype(float), (0, most - len(x)), constant_values=np.nan) for x in v]) for v in (at, air, moist))
-    parcel, vapour = np.array(parcel, float), np.array(vapour, float)
-    up, down = np.zeros(len(rows)), np.zeros(len(rows))
-    for m in range(most - 1):
-        p0, p1 = at[:, m], at[:, m + 1]
-        on = np.isfinite(p1)
-        total = np.where(on, _RD * (parcel * (1 + 0.608 * vapour) - air[:, m] * (1 + 0.608 * moist[:, m])) * np.log(p0 / p1), 0.0)
-        up += np.maximum(total, 0)
-        down += np.where((total <= 0) & (up == 0), total, 0.0)
-        qs = EPSILON * _es(parcel) / (p0 - _es(parcel))
-        dry = vapour < qs
-        slope = (_RD * parcel + _LV * qs) / (_CP + _LV**2 * qs * EPSILON / (_RD * parcel**2)) / p0
-        after = np.where(dry, parcel * (p1 / p0) ** (_RD / _CP), parcel - slope * step)
-        parcel = np.where(on, after, parcel)
-        vapour = np.where(on & ~dry, np.minimum(vapour, EPSILON * _es(parcel) / (p1 - _es(parcel))), vapour)
-    above[rows], below[rows] = up, np.where(up > 0, down, 0.0)
-    return above, below
-
-
-def parcel_energy(p: np.ndarray, t: np.ndarray, q: np.ndarray, step: float = 5.0) -> tuple[float, float]:
-    """CAPE and CIN of one column."""
-    up, down = parcel_energies([(p, t, q)], step)
-    return float(up[0]), float(down[0])
-
-
-def cape(profiles: DataFrame, keys: list[str]) -> DataFrame:
-    """profiles: keys, p (hPa), t (K), q (kg/kg), a row per level. Each column of air is one array, so Spark deals whole
-    columns and Python sees batches of them."""
-    kinds = dict(profiles.dtypes)
-    columns = profiles.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "t", "q"))).alias("levels")).select(*keys, F.col("levels.p").alias("p"), F.col("levels.t").alias("t"), F.col("levels.q").alias("q"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            up, down = parcel_energies([tuple(np.array(x, float) for x in row) for row in zip(b["p"], b["t"], b["q"], strict=True)])
-            yield b[keys].assign(cape=up, cin=down)
-
-    return columns.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", cape double, cin double")
+def equivalent_potential(pressure_hpa: Column, kelvin: Column, mixing_ratio: Column, lcl: Column) -> Column:
+    """Equivalent potential temperature, Bolton (1980), of air that condenses at the temperature lcl."""
+    q = mixing_ratio
+    return kelvin * F.pow(1000 / pressure_hpa, 0.2854 * (1 - 0.28 * q)) * F.exp((3376 / lcl - 2.54) * q * (1 + 0.81 * q))
+
+
+def condensation_temperature(pressure_hpa: Column, kelvin: Column, mixing_ratio: Column) -> Column:
+    """K at which lifted air condenses, Bolton (1980); that of the air itself if it has already."""
+    e = mixing_ratio * pressure_hpa / (EPSILON + mixing_ratio)
+    return F.least(2840 / (3.5 * F.log(kelvin) - F.log(e) - 4.805) + 55, kelvin)
+
+
+#: Newton's steps down a pseudo-adiabat
+NEWTON = 10
+
+
+def pseudo_adiabat(theta_e: Column, pressure_hpa: Column) -> Column:
+    """Temperature of saturated air of an equivalent potential temperature at a pressure. From above, where the dry adiabat is,
+    Newton's steps come down without passing it; an expression that tasks compile, without a table or Python."""
+
+    def saturated(t: Column) -> Column:
+        es = saturation_pressure(t)
+        return F.log(equivalent_potential(pressure_hpa, t, EPSILON * es / (pressure_hpa - es), t))
+
+    def step(t: Column, _: Column) -> Column:
+        return t - (saturated(t) - F.log(theta_e)) * 0.01 / (saturated(t + 0.01) - saturated(t))
+
+    first = F.least(theta_e * F.pow(pressure_hpa / 1000, F.lit(0.2854)), F.lit(320.0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), first, step)
+
+
+def virtual_temperature(kelvin: Column, mixing_ratio: Column) -> Column:
+    return kelvin * (EPSILON + mixing_ratio) / (EPSILON * (1 + mixing_ratio))
+
+
+def cape(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, cape and cin (J/kg) of profiles: keys, p (hPa), t (K), q (kg/kg), a row per level.
+
+    The parcel is the mean of the 500 m around the level of the greatest equivalent potential temperature in the lowest 3 km: it
+    rises along a dry adiabat to where it condenses, then along a pseudo-adiabat. Buoyancy is linear between levels; CAPE is what
+    is positive, CIN what is negative below that, 0 where nothing is positive. Levels with a missing or non-finite value are left
+    out; fewer than three levels give NULL. Windows over each column of air: one shuffle by keys, all in the JVM."""
+    c, own = F.col, Window.partitionBy(*keys)
+    up = own.orderBy(F.desc("p"), "t", "q")
+    fine = lambda x: c(x).isNotNull() & ~F.isnan(x) & (F.abs(c(x)) < float("inf"))
+    rows = profiles.select(*keys, *[c(x).cast("double").alias(x) for x in ("p", "t", "q")])
+    rows = rows.select(*keys, "p", "t", F.greatest("q", F.lit(1e-10)).alias("q"), (fine("p") & fine("t") & fine("q")).alias("_fine"))
+    everything = rows.select(*keys).distinct()
+    rows = rows.where("_fine").drop("_fine").withColumn("tv", virtual_temperature(c("t"), c("q")))
+    rows = rows.withColumn("dz", F.coalesce(_RD / _G * (c("tv") + F.lag("tv").over(up)) / 2 * F.log(F.lag("p").over(up) / c("p")), F.lit(0.0)))
+    rows = rows.withColumn("z", F.sum("dz").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("the", equivalent_potential(c("p"), c("t"), c("q"), condensation_temperature(c("p"), c("t"), c("q"))))
+    source = F.max(F.when(c("z") <= 3000, F.struct(c("the"), (-c("z")).alias("z"), c("p")))).over(own)
+    rows = rows.withColumns({"_s": source, "_n": F.count(F.lit(1)).over(own)})
+    near = (F.abs(c("z") - F.greatest(-c("_s.z"), F.lit(250.0))) <= 250) | (c("z") == -c("_s.z"))
+    theta = c("t") * F.pow(1000 / c("p"), F.lit(_RD / _CP))
+    rows = rows.withColumns({"pk": c("_s.p"), "qk": F.avg(F.when(near, c("q"))).over(own), "_th": F.avg(F.when(near, theta)).over(own)})
+    rows = rows.withColumn("tk", c("_th") * F.pow(c("pk") / 1000, F.lit(_RD / _CP)))
+    rows = rows.withColumn("lcl", condensation_temperature(c("pk"), c("tk"), c("qk")))
+    rows = rows.withColumns({"the": equivalent_potential(c("pk"), c("tk"), c("qk"), c("lcl")), "plcl": c("pk") * F.pow(c("lcl") / c("tk"), F.lit(_CP / _RD))})
+    rows = rows.where("p <= pk").withColumn("tp", F.when(c("p") >= c("plcl"), c("tk") * F.pow(c("p") / c("pk"), F.lit(_RD / _CP))).otherwise(pseudo_adiabat(c("the"), c("p"))))
+    full = EPSILON * saturation_pressure(c("tp")) / (c("p") - saturation_pressure(c("tp")))
+    rows = rows.withColumn("b", _G * (virtual_temperature(c("tp"), F.when(c("p") >= c("plcl"), c("qk")).otherwise(F.least(full, c("qk")))) / c("tv") - 1))
+    rows = rows.withColumn("a", F.lag("b").over(up))
+    high, low = F.greatest("a", "b"), F.least("a", "b")
+    crossed = (c("a") > 0) != (c("b") > 0)
+    plus = F.when(crossed, high * high / (2 * (high - low))).otherwise(F.greatest((c("a") + c("b")) / 2, F.lit(0.0))) * c("dz")
+    minus = F.when(crossed, -low * low / (2 * (high - low))).otherwise(F.least((c("a") + c("b")) / 2, F.lit(0.0))) * c("dz")
+    rows = rows.withColumns({"plus": F.when(c("a").isNotNull(), plus).otherwise(0.0), "minus": F.when(c("a").isNotNull(), minus).otherwise(0.0)})
+    below = F.coalesce(F.sum("plus").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) == 0
+    rows = rows.withColumn("minus", F.when(below & ~(c("a") > 0), c("minus")).otherwise(0.0))
+    sums = rows.groupBy(*keys).agg(F.max("_n").alias("_n"), F.sum("plus").alias("_up"), F.sum("minus").alias("_down"))
+    some = c("_n") >= 3
+    found = sums.select(*[c(k).alias(f"_{n}") for n, k in enumerate(keys)], F.when(some, c("_up")).alias("cape"), F.when(some, F.when(c("_up") > 0, c("_down")).otherwise(0.0)).alias("cin"))
+    same = [everything[k].eqNullSafe(found[f"_{n}"]) for n, k in enumerate(keys)]
+    return everything.join(found, same, "left").select(*keys, "cape", "cin")

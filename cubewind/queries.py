@@ -318,13 +318,40 @@ def relative_humidity(spark, d):
     return t.select("l_orderkey", "l_linenumber", F.round(thermo.relative_humidity(F.col("p"), F.col("t"), F.col("q")), 8).alias("rh"))
 
 
-@query()
+def _ascent() -> str:
+    """The ascent of thermo.cape in steps."""
+    rd, cp, g, eps = 287.04, 1004.0, 9.81, 0.622
+    es = lambda t: f"(6.112 * exp(17.67 * (({t}) - 273.15) / (({t}) - 273.15 + 243.5)))"
+    the = lambda p, t, q, lcl: f"({t}) * power(1000 / {p}, 0.2854 * (1 - 0.28 * ({q}))) * exp((3376 / ({lcl}) - 2.54) * ({q}) * (1 + 0.81 * ({q})))"
+    cold = lambda p, t, q: f"least(2840 / (3.5 * ln({t}) - ln({q} * {p} / ({eps} + {q})) - 4.805) + 55, {t})"
+    tv = lambda t, q: f"(({t}) * ({eps} + ({q})) / ({eps} * (1 + ({q}))))"
+    wet = lambda t: f"ln({the('p', t, f'{eps} * {es(t)} / (p - {es(t)})', t)})"
+    return f"""WITH s AS (SELECT p_partkey, 1000.0 - 50 * k AS p, 300.0 + p_size / 25.0 - 4.2 * k AS t, 0.018 * exp(-0.25 * k) AS q FROM part, (SELECT CAST(range AS DOUBLE) AS k FROM range(16))),
+a AS (SELECT *, {tv('t', 'q')} AS tv, {the('p', 't', 'q', cold('p', 't', 'q'))} AS the FROM s),
+b AS (SELECT *, coalesce({rd} / {g} * (tv + lag(tv) OVER w) / 2 * ln(lag(p) OVER w / p), 0) AS dz FROM a WINDOW w AS (PARTITION BY p_partkey ORDER BY p DESC)),
+c AS (SELECT *, sum(dz) OVER (PARTITION BY p_partkey ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS z FROM b),
+k AS (SELECT p_partkey, max({{'the': the, 'z': -z, 'p': p}}) AS s FROM c WHERE z <= 3000 GROUP BY 1),
+m AS (SELECT p_partkey, any_value(s.p) AS pk, avg(q) AS qk, avg(t * power(1000 / p, {rd / cp!r})) AS th FROM c JOIN k USING (p_partkey) WHERE abs(z - greatest(-s.z, 250)) <= 250 OR z = -s.z GROUP BY 1),
+n AS (SELECT *, th * power(pk / 1000, {rd / cp!r}) AS tk FROM m), o AS (SELECT *, {cold('pk', 'tk', 'qk')} AS lcl FROM n),
+x AS (SELECT *, {the('pk', 'tk', 'qk', 'lcl')} AS th_e, pk * power(lcl / tk, {cp / rd!r}) AS plcl FROM o),
+y AS (SELECT c.p_partkey, p, tv, dz, pk, tk, qk, plcl, ln(th_e) AS goal, least(th_e * power(p / 1000, 0.2854), 320) AS t0 FROM c JOIN x USING (p_partkey) WHERE p <= pk),
+r AS (SELECT *, list_reduce(list_concat([t0], [CAST(1 AS DOUBLE) FOR _ IN range(10)]), lambda t, _k: t - ({wet('t')} - goal) * 0.01 / ({wet('t + 0.01')} - {wet('t')})) AS tw FROM y),
+f AS (SELECT *, CASE WHEN p >= plcl THEN tk * power(p / pk, {rd / cp!r}) ELSE tw END AS tp FROM r),
+h AS (SELECT *, {g} * ({tv('tp', f'CASE WHEN p >= plcl THEN qk ELSE least({eps} * {es("tp")} / (p - {es("tp")}), qk) END')} / tv - 1) AS b FROM f),
+i AS (SELECT *, lag(b) OVER (PARTITION BY p_partkey ORDER BY p DESC) AS a FROM h),
+j AS (SELECT *, CASE WHEN a IS NULL THEN 0 WHEN (a > 0) <> (b > 0) THEN greatest(a, b) ** 2 / (2 * abs(a - b)) ELSE greatest((a + b) / 2, 0) END * dz AS plus,
+  CASE WHEN a IS NULL THEN 0 WHEN (a > 0) <> (b > 0) THEN -(least(a, b) ** 2) / (2 * abs(a - b)) ELSE least((a + b) / 2, 0) END * dz AS minus FROM i),
+l AS (SELECT *, coalesce(sum(plus) OVER (PARTITION BY p_partkey ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM j)
+SELECT p_partkey, round(sum(plus), 4) AS cape, round(CASE WHEN sum(plus) > 0 THEN sum(CASE WHEN before = 0 AND NOT coalesce(a > 0, false) THEN minus ELSE 0 END) ELSE 0 END, 4) AS cin FROM l GROUP BY 1"""
+
+
+@query(_ascent())
 def parcel_cape(spark, d):
     """Profiles over part sizes: temperature and moisture fall with pressure."""
     levels = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k")
     p = table(spark, d, "part").select("p_partkey", "p_size", levels)
     at = p.select("p_partkey", (1000.0 - 50 * F.col("k")).alias("p"), (300.0 + F.col("p_size") / 25.0 - 4.2 * F.col("k")).alias("t"), (0.018 * F.exp(-0.25 * F.col("k"))).alias("q"))
-    return thermo.cape(at, ["p_partkey"])
+    return rounded(thermo.cape(at, ["p_partkey"]), 4, "cape", "cin")
 
 
 # index of warm and cold years
@@ -738,6 +765,17 @@ def lines_in_polygons(spark, d):
     return joins.features_in_polygons(lines, _rings(spark), 0.5).select("line", "id")
 
 
+_PARTS = {1: [[(-98.0, -8.0), (-80.0, -9.0), (-79.0, 8.0), (-97.0, 7.0)], [(-93.0, -5.0), (-92.0, 5.0), (-83.0, 4.0), (-84.0, -4.5)], [(-90.0, -2.0), (-86.0, -2.0), (-88.0, 2.5)]], 2: [[(-78.0, -3.0), (-74.0, -2.0), (-76.0, 6.0)], [(-90.5, -1.5), (-89.0, 0.5), (-91.5, 0.4)]]}
+_SIDES = ", sides AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), CAST({b[0]} AS DOUBLE), CAST({b[1]} AS DOUBLE))" for k, rings in _PARTS.items() for r in rings for a, b in zip(r, [*r[1:], r[0]], strict=True)) + ") AS v(id, x1, y1, x2, y2))"
+
+
+@query(_SIDES + f" SELECT k, id FROM places, sides GROUP BY k, id, lon, lat HAVING {_INSIDE.format(x='lon', y='lat')}")
+def places_in_areas(spark, d):
+    """Areas with holes, islands in them, and several parts."""
+    areas = spark.createDataFrame([(k, [[{"x": x, "y": y} for x, y in r] for r in rings]) for k, rings in _PARTS.items()], "id int, rings array<array<struct<x: double, y: double>>>")
+    return joins.points_in_areas(places(spark, d), areas).select("k", "id")
+
+
 @query("SELECT station, round(0.25 * (0.5 + k % 7), 6) AS area FROM sites")
 def domain_area(spark, d):
     """Of a box at each site, the higher the larger its number's remainder."""

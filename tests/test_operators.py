@@ -177,64 +177,6 @@ def test_names(spark):
     assert names.axis_label("geopotential", "500-850") == "500-850 hPa layer thickness in m"
 
 
-def test_cape_of_stable_and_unstable_air():
-    p = np.arange(1000.0, 100, -50)
-    q = 0.018 * np.exp(-(1000 - p) / 200)
-    warm = thermo.parcel_energy(p, 302 - (1000 - p) * 0.1, q)
-    assert warm[0] > 500 and warm[1] <= 0
-    assert thermo.parcel_energy(p, 290 + (1000 - p) * 0.01, q * 0.1) == (0.0, 0.0)
-    assert math.isnan(thermo.parcel_energy(p[:2], p[:2], q[:2])[0])
-
-
-def plain_parcel(p, t, q, step=5.0):
-    """One column, level by level."""
-    es = lambda k: 6.112 * math.exp(17.67 * (k - 273.15) / (k - 273.15 + 243.5))
-    levels = sorted((x for x in zip(p, t, q, strict=True) if not any(map(math.isnan, x))), reverse=True)
-    q = [max(x[2], 1e-10) for x in levels]
-    best = None
-    for k, (a, b, _) in enumerate(levels):
-        if a >= levels[0][0] - 300:
-            e = q[k] * a / (0.622 + q[k])
-            dew = 243.5 / (17.67 / math.log(e / 6.112) - 1) + 273.15
-            lcl = 1 / (1 / (dew - 56) + math.log(b / dew) / 800) + 56
-            theta = b * (1000 / a) ** (0.2854 * (1 - 0.28 * q[k])) * math.exp(q[k] * (1 + 0.81 * q[k]) * (3376 / lcl - 2.54))
-            if best is None or theta > best[0]:
-                best = (theta, k)
-    k = best[1]
-    between = lambda x, values: float(np.interp(x, [v[0] for v in levels[::-1]], values[::-1]))
-    at = list(np.arange(levels[k][0], levels[-1][0], -step))
-    parcel, vapour, up, down = levels[k][1], q[k], 0.0, 0.0
-    for a, b in zip(at, at[1:], strict=False):
-        total = 287.04 * (parcel * (1 + 0.608 * vapour) - between(a, [v[1] for v in levels]) * (1 + 0.608 * between(a, q))) * math.log(a / b)
-        if total > 0:
-            up += total
-        elif not up:
-            down += total
-        full = 0.622 * es(parcel) / (a - es(parcel))
-        if vapour < full:
-            parcel *= (b / a) ** (287.04 / 1004.0)
-        else:
-            parcel -= step * (287.04 * parcel + 2.501e6 * full) / (1004.0 + 2.501e6**2 * full * 0.622 / (287.04 * parcel**2)) / a
-            vapour = min(vapour, 0.622 * es(parcel) / (b - es(parcel)))
-    return up, down if up else 0.0
-
-
-def test_cape_of_many_columns():
-    rng = np.random.default_rng(6)
-    columns = []
-    for _ in range(60):
-        p = np.sort(rng.uniform(150, 1010, rng.integers(3, 25)))
-        t = 302 - (1000 - p) * rng.uniform(0.06, 0.1)
-        q = 0.02 * np.exp(-(1000 - p) / rng.uniform(150, 400))
-        t[rng.random(len(t)) < 0.1] = np.nan
-        columns.append((p, t, q))
-    up, down = thermo.parcel_energies([*columns, (np.array([1000.0]), np.array([300.0]), np.array([0.01]))])
-    assert np.isnan(up[-1]) and np.isnan(down[-1]) and (up[:-1] > 0).any()
-    for k, c in enumerate(columns):
-        if np.isfinite(c[1]).sum() >= 3:
-            assert (up[k], down[k]) == pytest.approx(plain_parcel(*c), rel=1e-9)
-
-
 def test_adjustment_of_a_map(spark):
     rng = np.random.default_rng(2)
     p = [*np.round(rng.random(300) ** 2, 3).tolist(), 0.0, 1.0, 1.0]
