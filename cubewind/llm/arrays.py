@@ -4,17 +4,43 @@ from __future__ import annotations
 
 import os
 import uuid
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 
 
+_MARK = "_made"
+_SEEN: set[str] = set()
+
+
 class Store:
-    """Arrays under names in one folder. A mounted folder is mapped; one that isn't is read into memory."""
+    """Arrays under names in one folder, which the driver makes. A mounted folder is mapped; one that isn't is read into memory.
+    A process that can't see the folder gets an error, not empty arrays."""
 
     def __init__(self, uri: str):
         self.uri = uri
-        self.mounted = "://" not in uri.replace("file://", "", 1)
-        self.path = uri.removeprefix("file://") if self.mounted else uri
+        parts = urlsplit(uri)
+        self.mounted = parts.scheme in ("", "file")
+        self.path = unquote(parts.path) if parts.scheme == "file" else uri
+
+    def made(self) -> Store:
+        """Called by the driver before tasks put or get anything."""
+        self.put(_MARK, np.zeros(1, np.uint8))
+        return self
+
+    def _visible(self) -> None:
+        if self.uri in _SEEN:
+            return
+        if self.mounted:
+            there = os.path.exists(f"{self.path}/{_MARK}")
+        else:
+            from pyarrow import fs
+
+            files, base = fs.FileSystem.from_uri(self.path)
+            there = files.get_file_info(f"{base}/{_MARK}").type != fs.FileType.NotFound
+        if not there:
+            raise FileNotFoundError(f"{self.uri} can't be seen here; spark.checkpoint.dir must be a folder that all share")
+        _SEEN.add(self.uri)
 
     def put(self, name: str, array: np.ndarray) -> None:
         """A task that runs again writes the same array again; a file is there whole or not at all."""
@@ -34,6 +60,7 @@ class Store:
 
     def get(self, name: str, kind: str) -> np.ndarray:
         """The array; an empty one if nothing was put under the name."""
+        self._visible()
         if self.mounted:
             path = f"{self.path}/{name}"
             return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)

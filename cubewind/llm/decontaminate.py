@@ -232,7 +232,7 @@ class Patterns:
 def patterns(benchmark: DataFrame, width: int = WIDTH, part: int = PART) -> Patterns:
     """Build the tables of a benchmark (item_id, text) in the shared folder."""
     spark = benchmark.sparkSession
-    store = Store(place(spark, "benchmark"))
+    store = Store(place(spark, "benchmark")).made()
     items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     strings = keep(in_batches(items, _strings(width), "n int, suffix long, symbols binary, words binary, item_id string"), "strings")
     total = strings.count()

@@ -37,6 +37,8 @@ PERCENT = 90
 #: The pipeline's stage has no contract of its own: five words and 0.8.
 STAGE_SHINGLE = 5
 STAGE_PERCENT = 80
+#: Bits of a signature that tell its part.
+PART_BITS = 15
 #: Shingles and sets in a block of a cluster.
 BLOCK_SHINGLES = 400_000
 BLOCK_SETS = 1000
@@ -98,7 +100,8 @@ def band_of(size: int, percent: int) -> tuple[np.ndarray, int]:
 
 def signatures(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
     """PartEnum signatures of one set, for pairs whose larger set is in its band and in the next; their last 16 bits are the
-    part and whether the band is odd. Also the parts that must agree, in even and odd bands."""
+    part and whether the band is odd. Also the parts that must agree, in even and odd bands. More parts than 15 bits can tell
+    apart are counted by runs of 2, 4, 8 ... parts: sets that agree in so many parts agree in as many runs as those must fill."""
     tops, band = band_of(len(shingles), percent)
     out, need = [], [1, 1]
     value = mix(shingles)
@@ -107,15 +110,18 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray
         k = int(2 * tops[instance] * (100 - percent) // (100 + percent))
         if not k:  # only equal sets link, and those are one class
             continue
-        n1, n2, k2, need[instance % 2] = partition(k, percent)
+        n1, n2, k2, agree = partition(k, percent)
+        run = max(0, (n1 - 1).bit_length() - PART_BITS)
+        need[instance % 2] = -(-agree >> run)
         part = (mix(shingles + np.uint64(instance + 1)) % np.uint64(n1 * n2)).astype(np.int64)
         sums = [np.bincount(part, x, n1 * n2).reshape(n1, n2) for x in (low, high)]
         which = np.arange(n1, dtype=np.uint64)
+        told = (which >> np.uint64(run)) * np.uint64(2) + np.uint64(instance % 2)
         for number, subset in enumerate(combinations(range(n2), n2 - k2)):
             a, b = (s[:, subset].sum(axis=1).astype(np.uint64) for s in sums)
             tag = which + np.uint64(number << 40) + np.uint64(instance << 48)
             own = mix(mix(a * np.uint64(3) + mix(tag + np.uint64(1))) + mix(b + np.uint64(7)))
-            out.append((own & ~np.uint64(0xFFFF)) | ((which * np.uint64(2) + np.uint64(instance % 2)) & np.uint64(0xFFFF)))
+            out.append((own & ~np.uint64(0xFFFF)) | told)
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need
 
 

@@ -53,6 +53,31 @@ def test_linked_sets_agree_in_enough_parts():
             assert any((tags == k).sum() >= max(need[k], other[k]) > 0 for k in range(2))
 
 
+@pytest.mark.parametrize(("percent", "size"), [(80, 250_000), (80, 700_000), (90, 700_000), (80, 3000)])
+def test_linked_sets_of_any_size_agree_in_enough_parts(percent, size, monkeypatch):
+    if size == 3000:
+        monkeypatch.setattr(jaccard, "PART_BITS", 5)  # the same by runs of many parts
+    rng = np.random.default_rng(size)
+    a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    for share in (0.99, percent / 100 + 0.002):
+        both = int(len(a) * 2 * share / (1 + share))
+        b = np.sort(np.concatenate([a[rng.permutation(len(a))[:both]], rng.integers(0, 2**63, len(a) - both).astype(np.uint64)]))
+        assert 100 * both >= percent * (2 * len(a) - both)
+        (x, need), (y, other) = (jaccard.signatures(s, percent) for s in (a, b))
+        tags = np.unique(np.intersect1d(x, y) & np.uint64(65535)) % np.uint64(2)
+        assert any((tags == k).sum() >= max(need[k], other[k]) > 0 for k in range(2))
+
+
+def test_very_long_near_duplicates(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(700_000)]
+    changed = list(words)
+    for _ in range(700):
+        changed[rng.randrange(len(words))] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:300_000])), (4, "short")]
+    assert sorted(r["doc_id"] for r in jaccard.stage(spark, frame(spark, rows), "").collect()) == [1, 3, 4]
+
+
 def test_near_duplicates_without_and_with_repeated_ids(spark, empty):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(None, text), (None, text + " more"), (7, text + " and"), (7, text + " and"), (7, "something else"), (8, ""), (8, None), (None, "alone here")]
@@ -142,3 +167,16 @@ def test_pipeline_of_odd_rows_and_of_none(spark, tmp_path):
     assert none.count() == 0 and "sequence_id" in none.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), f"{tmp_path}/odd").columns == docs.columns
+
+
+def test_arrays_that_a_worker_cannot_see(tmp_path):
+    from cubewind.llm.arrays import Store
+
+    for uri in (f"{tmp_path}/a", f"file:{tmp_path}/b", f"file://{tmp_path}/c d"):
+        store = Store(uri).made()
+        store.put("x", np.arange(5))
+        again = Store(uri)
+        assert again.mounted and again.get("x", "<i8").tolist() == [0, 1, 2, 3, 4] and len(again.get("y", "<i8")) == 0
+    with pytest.raises(FileNotFoundError, match="can't be seen here"):
+        Store(f"file:{tmp_path}/none").get("x", "<i8")
+    assert not Store("viewfs://store/in").mounted
