@@ -145,6 +145,13 @@ def opened(path: str) -> Header | hdf5.File:
     return hdf5.File(path) if own else Header(path)
 
 
+def first_of(pattern: str) -> str:
+    paths = sorted(glob.glob(pattern))
+    if not paths:
+        raise FileNotFoundError(pattern)
+    return paths[0]
+
+
 def values(file: Header | hdf5.File, name: str, box: hdf5.Box | None = None) -> np.ndarray:
     box = [(0, n) for n in file.variables[name].shape] if box is None else box
     return file.read(name, box) if isinstance(file, hdf5.File) else file.box(name, box) if box else file.read(name)
