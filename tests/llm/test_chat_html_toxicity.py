@@ -99,6 +99,24 @@ def test_main_text(spark):
     assert html.main_texts(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<article><p>x</p><section class='comments'><p>reader and reader</p></section></article>", "x"),
+        ("<article><h1>h</h1><p>x</p><div id='comment-list'><article class='comment'><p>much longer than the text</p></article></div></article>", "h\nx"),
+        ("<article><p>a</p><div class='related-work'><p>Related work is discussed here.</p></div></article>", "a\nRelated work is discussed here."),
+        ("<article><p>a</p><div class='related-posts'><p>Other</p></div><p class='ads2'>buy</p></article>", "a"),
+        ("<article class='post has-sidebar'><p>a</p></article>", "a"),
+        ("<div class='post share'><h1>h</h1><p>a</p></div><div class='share'>b</div>", "h\na"),
+        ("<div class='widget'><p>all there is</p></div>", "all there is"),
+        ("<main><div class='page-header'><h1>h</h1></div><p>a</p></main>", "h\na"),
+    ],
+)
+def test_marked_elements(body, want):
+    own = f"<html><body><nav>n</nav>{body}<footer>f</footer></body></html>"
+    assert html.extract(own, None) == want
+
+
 def test_wrapper_inference():
     pages = [f"<html><ul>{'<li>x%d</li>' * n % tuple(range(n))}</ul><p>t{n}</p>{'<hr>' if n == 3 else ''}<b>fixed</b></html>" for n in (2, 3, 4)]
     wrapper, n = html.infer([html.parse(p) for p in pages])
