@@ -470,7 +470,7 @@ def _cell_years(spark, d) -> DataFrame:
 
 
 def _rounded_fit(fit: DataFrame) -> DataFrame:
-    return fit.select("j", "i", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 0).alias("intercept"), F.round("t", 5).alias("t"))
+    return fit.select("j", "i", "n", F.round("slope", 2).alias("slope"), F.round("intercept", 0).alias("intercept"), F.round("t", 3).alias("t"))
 
 
 # a series per cell: years counted from 1998, what a plain line leaves, weights of pairs of years, and the weighted line
@@ -484,7 +484,7 @@ _BOTH = "w AS (SELECT p.j, p.i, p.n, p.x AS x1, p.v AS v1, q.x AS x2, q.v AS v2,
 _LINE = """g AS (SELECT j, i, any_value(n) AS n, sum(k) AS aa, sum(k * x2) AS ax, sum(k * x1 * x2) AS xx, sum(k * v2) AS ay, sum(k * x1 * v2) AS xy FROM w GROUP BY 1, 2),
 b AS (SELECT j, i, n, (aa * xy - ax * ay) / (aa * xx - ax * ax) AS s, (xx * ay - ax * xy) / (aa * xx - ax * ax) AS c, aa / (aa * xx - ax * ax) AS q FROM g),
 z AS (SELECT j, i, sum(k * (v1 - c - s * x1) * (v2 - c - s * x2)) AS rss FROM w JOIN b USING (j, i) GROUP BY 1, 2)
-SELECT j, i, n, round(s, 4) AS slope, round(c - 1998 * s, 0) AS intercept, round(s / sqrt(q * rss / (n - 2)), 5) AS t FROM b JOIN z USING (j, i)"""
+SELECT j, i, n, round(s, 2) AS slope, round(c - 1998 * s, 0) AS intercept, round(s / sqrt(q * rss / (n - 2)), 3) AS t FROM b JOIN z USING (j, i)"""
 # the inverse of r ** |difference of places|, but for a factor
 _PRECISION = "CASE WHEN p.k = q.k THEN CASE WHEN p.k IN (1, p.n) THEN 1 ELSE 1 + r * r END WHEN abs(p.k - q.k) = 1 THEN -r ELSE 0 END"
 _VARIANCE = """h AS (SELECT j, i, regr_slope(e * e, x) AS s, regr_intercept(e * e, x) AS c FROM e GROUP BY 1, 2),
