@@ -123,12 +123,32 @@ def raw_days(spark: SparkSession, base: str, start: str, end: str, pattern: str
     return first.mapInArrow(opened, "day date, path string, content binary")
 
 
+_AXES = {"lat": ("lat", "latitude", "y"), "lon": ("lon", "longitude", "x")}
+
+
+def open_raster(spark: SparkSession, path: str, lon: tuple[float, float], lat: tuple[float, float]) -> DataFrame:
+    """lon, lat and elevation of a raster inside a box: a GeoTIFF, or a NetCDF file whose variable is elevation, z or the first on
+    two axes, with axes by their usual names, either way up. Only tiles, or rows and columns of chunks, that meet the box are read."""
+    if not path.endswith((".nc", ".nc4")):
+        geotiff.register(spark)
+        return box(spark.read.format("geotiff").option("path", path).load(), lon, lat, 0.0).select("lon", "lat", F.col("value").alias("elevation"))
+    file = netcdf.opened(path)
+    flat = [v.name for v in file.variables.values() if len(v.shape) - ("time" in v.dims) == 2]
+    variable = next((v for v in ("elevation", "z") if v in flat), flat[0])
+    axes = {c: next(netcdf.values(file, n).astype(float) for n in names if n in file.variables and len(file.variables[n].shape) == 1) for c, names in _AXES.items()}  # a number per row or column
+    netcdf.register(spark)
+    df = spark.read.format("netcdf").option("path", path).option("variable", variable).load()
+    for place, (c, (low, high)) in (("j", ("lat", lat)), ("i", ("lon", lon))):
+        inside = [(k, float(x)) for k, x in enumerate(axes[c]) if low <= x <= high]
+        df = df.where(F.col(place).between(inside[0][0], inside[-1][0]) if inside else F.lit(False))
+        df = df.join(F.broadcast(spark.createDataFrame(inside, f"{place} int, {c} double")), place)  # an axis of the box
+    return df.select("lon", "lat", F.col(variable).alias("elevation"))
+
+
 def open_elevation(spark: SparkSession, rasters: dict[float, str], wanted: float, lon: tuple[float, float], lat: tuple[float, float], buffer: float = 1.0) -> DataFrame:
     """lon, lat and elevation around a box from the raster (by resolution in degrees) whose resolution is nearest to the wanted
     one. Only tiles that meet the box and its buffer are read."""
-    geotiff.register(spark)
-    raster = spark.read.format("geotiff").option("path", nearest_resolution(rasters, wanted)).load()
-    return box(raster, lon, lat, buffer).select("lon", "lat", F.col("value").alias("elevation"))
+    return open_raster(spark, nearest_resolution(rasters, wanted), (lon[0] - buffer, lon[1] + buffer), (lat[0] - buffer, lat[1] + buffer))
 
 
 def open_shapes(spark: SparkSession, path: str, lon: tuple[float, float] | None = None, lat: tuple[float, float] | None = None) -> DataFrame:

@@ -137,3 +137,46 @@ def test_p08_k02_attributes_of_a_file(spark, tmp_path):
     sinks.write_netcdf(df, f"{tmp_path}/a.nc", "t2", "K", own)
     head = netcdf.Header(f"{tmp_path}/a.nc")
     assert head.attributes["NESTED"] == "YES" and head.attributes["PYPROJ_SRS"] == "+proj=merc" and head.variables["time"].attributes["calendar"] == "standard"
+
+
+def test_s17_s18_s20_s21_elevation_from_the_first_source(spark, tmp_path):
+    from cubewind.plans.elevation import elevation
+    from tests.test_vectors_rasters import tiff
+
+    lon, lat = model_grid_files(tmp_path)
+    x = np.arange(40 * 50, dtype="f4").reshape(40, 50)
+    tiff(f"{tmp_path}/fine.tif", x, step=0.01, tile=(16, 16))
+    b = Builder(False)
+    b.array("latitude", np.linspace(1, -2, 61))
+    b.array("longitude", np.linspace(-93, -90, 61))
+    b.array("z", np.arange(61 * 61, dtype="<f4").reshape(61, 61), {"DIMENSION_LIST": ["latitude", "longitude"]}, (16, 16))
+    b.write(f"{tmp_path}/coarse.nc")
+    statics = {"d02": (f"{tmp_path}/hgt.nc", f"{tmp_path}/landmask.nc")}
+    rasters = {0.01: f"{tmp_path}/fine.tif", 0.05: f"{tmp_path}/coarse.nc"}
+    box = ((-91.95, -91.6), (0.7, 0.95))
+    source, df = elevation(spark, *box, 2000, 1, statics, rasters)
+    assert source == "static:d02" and df.where("elevation = 0").count() == 54 and df.count() == 108
+    source, df = elevation(spark, *box, 1000, 2, statics, rasters)
+    assert source == "SRTM3" and df.count() == sum(-92.0 <= -92 + 0.01 * (k + 0.5) <= -91.55 for k in range(50)) * sum(0.65 <= 1 - 0.01 * (k + 0.5) <= 1.0 for k in range(40))
+    source, df = elevation(spark, *box, 100_000, 2, statics, rasters)
+    rows = df.collect()
+    assert source == "GMTED2010:0.0625" and rows and all(-92.95 - 1e-9 <= r["lon"] <= -90.6 + 1e-9 and -0.3 - 1e-9 <= r["lat"] <= 1.95 for r in rows)
+    for r in rows:
+        assert r["elevation"] == 61 * round((1 - r["lat"]) / 0.05) + round((r["lon"] + 93) / 0.05)
+    assert len(rows) == sum(box[0][0] - 1.0 <= v <= box[0][1] + 1.0 for v in np.linspace(-93, -90, 61)) * sum(box[1][0] - 1.0 <= v for v in np.linspace(1, -2, 61))
+    source, df = elevation(spark, *box, 1000, 2, statics, {0.05: f"{tmp_path}/none.nc"})
+    assert source == "synthetic" and df.count() == 40000
+    assert elevation(spark, (-100, -80), (-10, 10), 1000, 2, None, rasters)[0] == "GMTED2010:0.0625"  # too large for the fine one
+
+
+def model_grid_files(tmp_path):
+    cells = {(j, i): (x, y) for j, i, x, y in rotated(9, 12)}
+    lon, lat = (np.array([[cells[j, i][c] for i in range(12)] for j in range(9)], "<f8") for c in (0, 1))
+    for name, x in (("hgt", np.full((9, 12), 7.0, "<f4")), ("landmask", (np.arange(108).reshape(9, 12) % 2).astype("<f4"))):
+        b = Builder(True)
+        b.array("south_north", np.arange(9, dtype="<f4"))
+        b.array("west_east", np.arange(12, dtype="<f4"))
+        for n, v in (("lon", lon), ("lat", lat), (name, x)):
+            b.array(n, v, {"DIMENSION_LIST": ["south_north", "west_east"]})
+        b.write(f"{tmp_path}/{name}.nc")
+    return lon, lat
