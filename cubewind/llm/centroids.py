@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubewind.llm.tables import in_batches, keep
+from cubewind.llm.tables import discard, in_batches, keep
 
 CENTROIDS, ROUNDS, SCALE, DIMENSIONS = 16, 3, 64, 64
 SEGMENTS = 8
@@ -112,13 +112,16 @@ def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, scale:
     start = table.where("vec_id IS NOT NULL").orderBy(digest, "q").limit(k).select("q").collect()  # k rows
     centroids = np.array([r["q"] for r in start], np.int64).reshape(-1, dimensions)
     if not len(start):
+        discard(table)
         return spark.createDataFrame([], "vec_id long, cluster int, distance long"), centroids
     for _ in range(rounds):
         parts = in_batches(table.select("q", "norms"), _summed(centroids), "cluster int, n long, sums array<long>")
         total = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[d]) for d in range(dimensions)]).alias("sums"))
         for r in total.collect():  # k rows
             centroids[r["cluster"]] = [s // r["n"] for s in r["sums"]]
-    return keep(in_batches(table, _assigned(centroids), "vec_id long, cluster int, distance long"), "clustered"), centroids
+    found = keep(in_batches(table, _assigned(centroids), "vec_id long, cluster int, distance long"), "clustered")
+    discard(table)
+    return found, centroids
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:

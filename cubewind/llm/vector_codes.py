@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubewind.llm.centroids import LARGEST, integers, matrix, whole
-from cubewind.llm.tables import in_batches, keep, with_groups
+from cubewind.llm.tables import discard, in_batches, keep, with_groups
 
 PARTS, ENTRIES, ROUNDS, SCALE, DIMENSIONS = 16, 64, 2, 256, 64
 Tensors = tuple[np.ndarray, np.ndarray]
@@ -81,6 +81,9 @@ def _coded(books: np.ndarray):
     return run
 
 
+_CODED = "vec_id long, code string, error long, label string, labelled boolean"
+
+
 def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE, dimensions: int = DIMENSIONS) -> tuple[DataFrame, np.ndarray]:
     """vectors: vec_id, embedding, label. Returns a written table of vec_id, code, error, label (a string) and whether there is
     one, and the final codebooks. entries: 256 at most, two hex digits."""
@@ -90,13 +93,16 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     start = table.where("vec_id IS NOT NULL").orderBy("vec_id", "q").limit(entries).select("q").collect()  # `entries` rows
     books = np.array([r["q"] for r in start], np.int64).reshape(-1, parts, dimensions // parts).transpose(1, 0, 2).copy()
     if not len(start):
-        return table.select("vec_id", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"), "label", "labelled").where("false"), books
+        discard(table)
+        return table.sparkSession.createDataFrame([], _CODED), books
     for _ in range(rounds):
         zero = np.zeros(books.shape, np.int64), np.zeros(books.shape[:2], np.int64)
         sums, counts = blocks(table, dimensions).treeAggregate(zero, _add(books), _merge)
         used = counts > 0
         books[used] = sums[used] // counts[used][:, None]
-    return keep(in_batches(table, _coded(books), "vec_id long, code string, error long, label string, labelled boolean"), "codes"), books
+    found = keep(in_batches(table, _coded(books), _CODED), "codes")
+    discard(table)
+    return found, books
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
