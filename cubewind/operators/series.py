@@ -10,12 +10,14 @@ from pyspark.sql.window import Window
 
 
 def daily(df: DataFrame, value: str, by: Sequence[str], how: str = "sum", time: str = "ts") -> DataFrame:
-    """A row per key and day from its first to its last: sums of days without rows are 0, means NULL."""
+    """A row per key and day from its first to its last: sums of days without rows are 0, means NULL. Each day with rows brings
+    the days up to the next one along, so there is no calendar to join, and windows by key that follow don't shuffle again."""
     fn = {"sum": F.sum, "mean": F.avg}[how]
-    bins = df.groupBy(*by, F.to_date(time).alias("day")).agg(fn(value).alias(value))
-    spine = bins.groupBy(*by).agg(F.min("day").alias("_a"), F.max("day").alias("_z")).select(*by, F.explode(F.sequence("_a", "_z", F.expr("INTERVAL 1 DAY"))).alias("day"))
-    out = spine.join(bins, [*by, "day"], "left")
-    return out.withColumn(value, F.coalesce(value, F.lit(0.0))) if how == "sum" else out
+    bins = df.where(F.col(time).isNotNull()).groupBy(*by, F.to_date(time).alias("_day")).agg(fn(value).alias(value))
+    following = F.coalesce(F.date_sub(F.lead("_day").over(Window.partitionBy(*by).orderBy("_day")), 1), F.col("_day"))
+    out = bins.withColumn("_last", following).select(*by, value, "_day", F.explode(F.sequence("_day", "_last", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    own = F.when(F.col("day") == F.col("_day"), F.col(value))
+    return out.select(*by, "day", (F.coalesce(own, F.lit(0.0)) if how == "sum" else own).alias(value))
 
 
 def calendar_spine(spark, start: str, end: str) -> DataFrame:
