@@ -112,14 +112,15 @@ def nearest_series(cube: DataFrame, points: DataFrame, grid: DataFrame, variable
 
 def match_station(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Stations whose last word is in a name, both in lower case. A name asks for its pieces of the lengths that last words have,
-    so that it is an equi-join; every row of names comes out, without a station if there is none."""
+    so that it is an equi-join; every row of names comes out, without a station if there is none. The catalogue is what is
+    broadcast, never pieces or what was found for names."""
     key = F.lower(F.element_at(F.split("station", " "), -1))
     known = catalogue.withColumn("_k", key).where(F.length("_k") > 0)
     lengths = known.agg(F.collect_set(F.length("_k")).alias("_n"))  # one row, a few numbers
     low = F.lower("name")
     pieces = F.array_distinct(F.flatten(F.transform("_n", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda a: F.substring(low, a, n)))))
     asked = names.select("name").where("name IS NOT NULL").distinct().join(F.broadcast(lengths)).select("name", F.explode(pieces).alias("_k"))
-    return names.join(asked.join(known, "_k").drop("_k"), "name", "left")
+    return names.join(asked.join(F.broadcast(known), "_k").drop("_k").hint("merge"), "name", "left")
 
 
 def merged_sensors(df: DataFrame, columns: Sequence[str]) -> list[str]:

@@ -134,6 +134,19 @@ def test_names_with_a_station_in_them(spark):
     assert "CartesianProduct" not in plan
 
 
+def test_pieces_of_names_are_not_broadcast(spark):
+    """However small the table of names looks, its pieces are many; the catalogue, whose size Spark doesn't know, is small."""
+    names = spark.range(20_000).select(F.concat(F.lit("aws_junco_"), F.col("id").cast("string")).alias("name"))
+    got = joins.match_station(names, joins.stations(spark))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "SortMergeJoin" in plan
+    assert got.where("station = 'El Junco'").count() == 20_000 == got.count()
+    final = got._jdf.queryExecution()
+    final.toRdd().count()
+    final = final.executedPlan().toString()
+    assert "isFinalPlan=true" in final and "SortMergeJoin" in final
+
+
 def test_times_of_another_cube(spark):
     a = spark.createDataFrame([(1, 0.0), (2, 1.0), (2, 2.0), (3, 3.0)], "time int, v double")
     other = lambda *t: spark.createDataFrame([(x,) for x in t], "time int")
