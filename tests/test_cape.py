@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cubewind.functions import thermo
 
@@ -105,3 +106,19 @@ def test_many_columns(spark):
             assert got[k] == (pytest.approx(up, rel=1e-5, abs=1e-4), pytest.approx(down, rel=1e-5, abs=1e-4))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_shuffle_and_no_join(spark):
+    """Columns aren't joined with what was found for them: with 120,000 of them that was broadcast."""
+    rows = spark.range(50).selectExpr("id AS k", "explode(sequence(0, 15)) AS n").selectExpr("k", "1000.0D - 50 * n AS p", "300.0D + k / 25 - 4.2 * n AS t", "if(k = 7, NULL, 0.018 * exp(-0.25 * n)) AS q")
+    df = thermo.cape(rows, ["k"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {r["k"]: r["cape"] for r in df.collect()}
+    assert len(got) == 50 and got[7] is None and sum(x is None for x in got.values()) == 1
+
+
+def test_steps_end_on_the_adiabat(spark):
+    pairs = [(goal, p) for goal in (280.0, 310.0, 350.0, 380.0) for p in (150.0, 300.0, 500.0, 700.0, 900.0, 1000.0)]
+    got = spark.createDataFrame(pairs, "e double, p double").select("e", "p", thermo.pseudo_adiabat(F.col("e"), F.col("p")).alias("t")).collect()
+    assert all(r["t"] == pytest.approx(wet(r["e"], r["p"]), abs=1e-8) for r in got)
