@@ -110,7 +110,7 @@ def test_many_columns(spark):
 
 def test_one_shuffle_and_no_join(spark):
     """Columns aren't joined with what was found for them: with 120,000 of them that was broadcast."""
-    rows = spark.range(50).selectExpr("id AS k", "explode(sequence(0, 15)) AS n").selectExpr("k", "1000.0D - 50 * n AS p", "300.0D + k / 25 - 4.2 * n AS t", "if(k = 7, NULL, 0.018 * exp(-0.25 * n)) AS q")
+    rows = spark.range(50).selectExpr("id AS k", "explode(sequence(0, 15)) AS n").selectExpr("k", "1000.0D - 50 * n AS p", "300.0D + k / 25 - 4.2 * n AS t", "if(k = 7, NULL, 0.018 * exp(-0.25 * n)) AS q").repartition(3)
     df = thermo.cape(rows, ["k"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
