@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -398,3 +399,21 @@ def test_empty_tables(spark, empty):
     assert token_counts.token_counts(empty).count() == 0
     assert decontaminate.contamination(empty, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
     assert secrets.find(empty, secrets.train(empty)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_dealt_ngrams_come_back_and_words_of_the_vocabulary_take_less_room(n):
+    rng = np.random.default_rng(n)
+    known = np.sort(rng.integers(0, 2**64, 2000, np.uint64))
+    words = [np.where(rng.random(20_000) < 0.9, rng.choice(known, 20_000), rng.integers(0, 2**64, 20_000, np.uint64)) for _ in range(n)]
+    one = np.ones(20_000, np.int64)
+    words, counts, raw, key = lm.summed(words, one, 300 * one)
+    want = dict(zip(key.tolist(), zip(counts.tolist(), raw.tolist(), strict=True), strict=True))
+    size = []
+    for vocabulary in (None, known, np.concatenate([known, [np.uint64(2**64 - 1)]])):
+        layout = lm.Layout(5, {}, vocabulary)
+        dealt = list(layout.deal(list(words), counts, raw))
+        back, counts_, raw_ = layout.ngrams([blob for _, blob in dealt], n)
+        assert dict(zip(lm.hashed(back).tolist(), zip(counts_.tolist(), raw_.tolist(), strict=True), strict=True)) == want
+        size.append(sum(len(blob) for _, blob in dealt))
+    assert max(size[1:]) < size[0]
