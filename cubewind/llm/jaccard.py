@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubewind.llm.components import components
@@ -279,6 +279,13 @@ def _verify(percent: int):
     return run
 
 
+def _node(even: Column) -> Column:
+    """A hash of half of a set's digest and of whether the band of a pair's larger set is even. The last bit says whether that is
+    the set's own band. Two sets of one node only make a cluster larger."""
+    own = (F.col("band") % 2 == 0) == even
+    return F.xxhash64("s1", even).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(own.cast("long"))
+
+
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (rows that it links with)."""
     at = unused(docs, "_at")
@@ -294,21 +301,21 @@ def _joined(docs: DataFrame, at: str, size: int, percent: int) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first")
     classes = features.where("n_shingles > 0").groupBy(*key).agg(first, F.count(F.lit(1)).alias("weight"), *[F.max(c).alias(c) for c in ("band", "even", "odd")])
     classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    # a node is a hash of half of a set's digest and the band of a pair: two sets of one node only make a cluster larger; one
-    # shuffle serves both uses of the signatures
-    node = F.xxhash64("s1", F.col("signature") % 2 == 0).alias("node")
-    each = signed.where("n_shingles > 0").select("s1", F.explode("signatures").alias("signature")).select(node, "signature").repartition("signature")
-    shared = each.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
+    # one shuffle serves both uses of the signatures; sets that share one have no link by it if none of them is in the larger band
+    node = _node(F.col("signature") % 2 == 0).alias("node")
+    some = F.max(F.col("node").bitwiseAND(1)).alias("own")
+    each = signed.where("n_shingles > 0").select("s1", "band", F.explode("signatures").alias("signature")).select(node, "signature").repartition("signature")
+    shared = each.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most"), some).where("least <> most AND own = 1").drop("most", "own")
     met = keep(each.join(shared, "signature").drop("least"), "met")
     discard(signed)
     # sets that agree with others in too few parts have no link; without them others may have too few as well
     even = F.explode(F.array(F.lit(True), F.lit(False))).alias("even_")
     nodes = classes.select("id", "n_shingles", "weight", "band", F.col("first.at").alias("rep"), "s1", "even", "odd", even)
-    nodes = nodes.select("id", "n_shingles", "weight", "band", "rep", F.xxhash64("s1", "even_").alias("node"), F.when(F.col("even_"), F.col("even")).otherwise(F.col("odd")).alias("need"), (F.col("band") + ((F.col("band") % 2 == 0) != F.col("even_")).cast("int")).alias("larger"))
+    nodes = nodes.select("id", "n_shingles", "weight", "band", "rep", _node(F.col("even_")).alias("node"), F.when(F.col("even_"), F.col("even")).otherwise(F.col("odd")).alias("need"), (F.col("band") + ((F.col("band") % 2 == 0) != F.col("even_")).cast("int")).alias("larger"))
     agreed = met.select("node", F.col("signature").bitwiseAND(65535).alias("part")).distinct().groupBy("node").count()
     able = agreed.join(nodes.select("node", "need"), "node").where("count >= need").select("node")
     left = met.join(able, "node", "left_semi")
-    least = left.groupBy("signature").agg(F.min("node").alias("least"))
+    least = left.groupBy("signature").agg(F.min("node").alias("least"), some).where("own = 1").drop("own")
     near = left.join(least, "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     clusters = components(near)
 

@@ -417,3 +417,14 @@ def test_dealt_ngrams_come_back_and_words_of_the_vocabulary_take_less_room(n):
         assert dict(zip(lm.hashed(back).tolist(), zip(counts_.tolist(), raw_.tolist(), strict=True), strict=True)) == want
         size.append(sum(len(blob) for _, blob in dealt))
     assert max(size[1:]) < size[0]
+
+
+def test_sets_are_compared_for_their_larger_band_only(spark, monkeypatch):
+    """Near copies of one band share signatures for the next band, too, where none of them is in the larger band."""
+    tables, keep = {}, jaccard.keep
+    monkeypatch.setattr(jaccard, "keep", lambda df, name: tables.setdefault(name, keep(df, name)))
+    base = [f"w{k}" for k in range(60)]
+    texts = [(n, " ".join([*base, f"x{n}"])) for n in range(8)]
+    got = jaccard.join(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == 0 and r["n_links"] == 7 for r in got) and len(got) == 8
+    assert tables["clusters"].count() == 8 and tables["clusters"].where("larger <> band").isEmpty()
