@@ -428,3 +428,32 @@ def test_sets_are_compared_for_their_larger_band_only(spark, monkeypatch):
     got = jaccard.join(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert all(r["component_id"] == 0 and r["n_links"] == 7 for r in got) and len(got) == 8
     assert tables["clusters"].count() == 8 and tables["clusters"].where("larger <> band").isEmpty()
+
+
+def test_ngrams_are_counted_in_little_memory(tmp_path):
+    """Bytes that a part of the arrays and a task that counts take at most for each token."""
+    import tracemalloc
+
+    from cubewind.llm.arrays import Store
+
+    rng = np.random.default_rng(1)
+    names = [f"w{k}" for k in range(20_000)]
+    texts = [" ".join(names[k] for k in rng.zipf(1.3, 2_000) % 20_000) for _ in range(300)]
+    batches = [pa.record_batch([pa.array(texts[k : k + 50])], names=["text"]) for k in range(0, 300, 50)]
+    layout = lm.Layout(1, {})
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1] / 600_300
+        finally:
+            tracemalloc.stop()
+
+    dealt, most = peak(lambda: list(lm._count(layout, 3)(iter(batches))))
+    assert most < 105
+    one = [b for x in dealt for b in x.column("blob").to_pylist()]
+    table = lm._rows([(3, 0, blob, None, *[0] * 6) for blob in one * 2])  # as often again
+    out, most = peak(lambda: lm._level(Store(str(tmp_path)), layout, 3, 1)(table))
+    assert most < 75
+    stats = next(r for r in out.to_pylist() if r["kind"] == lm._LEVEL)
+    assert (stats["n1"], stats["total"]) == (0, 2 * 600_300)
