@@ -1,16 +1,19 @@
 """Main text of web pages by wrappers: union-free regular expressions that are inferred per host.
 
-Pages become trees of elements and texts. A few pages of a host are aligned one after the other, from the root down: at each
-element equal children stay, differing texts become slots, runs that follow one another become repeated groups, and what only
+Pages become trees of elements and texts. All pages of a host are aligned, from the root down: at each element equal children stay, differing texts become slots, runs that follow one another become repeated groups, and what only
 one side has becomes optional. The wrapper then says where the article is: the article and main elements, or else the
 narrowest element that holds nearly all text in slots. Each page of the host is aligned with the wrapper in the same way, and
 the text of the elements that meet the wrapper's article is read in blocks, without containers for navigation, footers,
 adverts, notices, forms, comments and the like. A class or id marks such a container only if it holds less than half of the
 text. Where the article isn't marked up, texts that every page has in the same place are the wrapper's and not the article's.
 
-A page that doesn't fit the wrapper of its host, and the page of a host with no other, is its own wrapper. A wrapper has at
-most `SAMPLE` pages, near copies left out, whole; all pages are extracted, whole. Null html is an empty page, a null url is a
-host of its own. Repeated rows are extracted each. An empty table gives no rows. Extra columns are ignored.
+A page that doesn't fit the wrapper of its host, and the page of a host with no other, is its own wrapper. If more than half of
+a host's long texts are on all of its pages, they are near copies and count as one page. Pages of one shape, that is of the same
+elements, are put together where they are read; the wrappers of shapes are merged in rounds, in an order that their hashes give,
+so a wrapper doesn't depend on how pages are dealt and no task gets a host whole. A host's pages with an article or main tag have
+a wrapper, and its others have another. All pages are extracted, whole. Null html is an
+empty page, a null url is a host of its own. Repeated rows are extracted each. An empty table gives no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
+from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +37,15 @@ from pyspark.sql import functions as F
 from cubewind.llm.arrays import Store
 from cubewind.llm.tables import in_batches, keep, place
 
-#: Pages of a host that its wrapper is inferred from.
-SAMPLE = 6
+#: In each round the wrappers of a host's shapes are merged to so many at most; characters of pages of different shapes that a
+#: task holds, and into how many the tasks that have read pages of one shape are dealt first.
+ROUNDS = (4096, 64, 1)
+HELD = 4_000_000
+DEALT = 16
+#: If an element of a wrapper of several shapes has more children, it is described by its kinds of children.
+KINDS = 500
+#: A long text has more characters.
+LONG = 40
 #: Children that a repeated group has at most, levels of elements that a wrapper describes one by one, and how many children
 #: two elements have at most (multiplied) for their common children to be sought anywhere and not at both ends only.
 LONGEST_GROUP = 6
@@ -207,6 +219,8 @@ def fold(kids: list[Node]) -> list[tuple[str, list[Node], bool]]:
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Places of common children, in order."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
     if len(a) * len(b) <= ALIGNED:
         return [(m.a + i, m.b + i) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for i in range(m.size)]
     n = min(len(a), len(b))
@@ -276,23 +290,66 @@ def merge(a: Part, b: Part) -> Part:
     return out
 
 
+def overlaid(a: Part, b: Part) -> Part:
+    """merge() of wrappers of one shape, in the first one; in any order it gives the same."""
+    if a.key != b.key or len(a.kids) != len(b.kids):
+        return merge(a, b)
+    a.text = a.text if a.text == b.text else None
+    a.chars += b.chars
+    a.landmarks += b.landmarks
+    a.kids = [overlaid(x, y) for x, y in zip(a.kids, b.kids, strict=True)]
+    return a
+
+
+def by_kind(part: Part) -> Part:
+    """Elements with more than KINDS children get one optional repeated child for each kind."""
+    if len(part.kids) > KINDS:
+        kinds: dict[str, Part] = {}
+        for k in part.kids:
+            kinds[k.key] = merge(kinds[k.key], k) if k.key in kinds else k
+        part.kids = list(kinds.values())
+        for k in part.kids:
+            k.optional, k.repeated, k.joined = True, True, False
+    part.kids = [by_kind(k) for k in part.kids]
+    return part
+
+
+@dataclass(slots=True)
+class Pages:
+    """The wrapper of some pages of a host, their number, how many long texts they have, the least and greatest of their hashes, and
+    the hashes of the long texts that all of them have."""
+
+    wrapper: Part
+    pages: int
+    long: int
+    least: int
+    most: int
+    shared: list[int]
+
+    def add(self, other: Pages, same: bool) -> Pages:
+        """same: both are of one shape."""
+        wrapper = overlaid(self.wrapper, other.wrapper) if same else by_kind(merge(self.wrapper, other.wrapper))
+        return Pages(wrapper, self.pages + other.pages, self.long + other.long, min(self.least, other.least), max(self.most, other.most), sorted({*self.shared}.intersection(other.shared)))
+
+    def different(self) -> int:
+        """The number of pages; 1 if they are copies or near copies of one."""
+        return 1 if self.least == self.most or 2 * len(self.shared) * self.pages > self.long else self.pages
+
+
+def one_page(page: Node, h: int) -> Pages:
+    todo, long = [page], set()
+    while todo:
+        node = todo.pop()
+        todo += [k for k in node.kids if k.name not in SKIPPED]
+        if not node.name and len(node.text) > LONG:
+            long.add(said(node.text))
+    return Pages(part_of([page]), 1, len(long), h, h, sorted(map(_hash, long)))
+
+
 def infer(pages: list[Node]) -> tuple[Part, int]:
     """The wrapper of the pages of a host and the number of pages that it is of; near copies of a page count as that page."""
-    wrapper, n = None, 0
-    seen: set[str] = set()
-    for page in pages:
-        todo, texts = [page], set()
-        while todo:
-            node = todo.pop()
-            todo += [k for k in node.kids if k.name not in SKIPPED]
-            if not node.name and len(node.text) > 40:
-                texts.add(said(node.text))
-        if wrapper is not None and len(texts & seen) * 2 > len(texts):
-            continue
-        seen |= texts
-        own = part_of([page])
-        wrapper, n = own if wrapper is None else merge(wrapper, own), n + 1
-    return wrapper, n
+    found = reduce(lambda a, b: a.add(b, False), [one_page(page, k) for k, page in enumerate(pages)])
+    return found.wrapper, found.different()
 
 
 def no_article(part: Part | Node, landmarks: int) -> bool:
@@ -434,28 +491,96 @@ def _extract(root: Node, way: dict | None, fixed: frozenset[str]) -> str:
     return "\n".join(b for n in found for b in blocks(n) if b not in fixed)
 
 
+def shape(part: Part) -> str:
+    """A wrapper without texts and numbers."""
+    return f"{part.key}{'?' * part.optional}{'+' * part.repeated}{'&' * part.joined}({','.join(map(shape, part.kids))})"
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _listed(p: Part) -> list:
+    return [p.key, p.text, p.optional + 2 * p.repeated + 4 * p.joined, p.chars, p.landmarks, list(map(_listed, p.kids))]
+
+
+def _part(x: list) -> Part:
+    return Part(x[0], x[1], list(map(_part, x[5])), bool(x[2] & 1), bool(x[2] & 2), bool(x[2] & 4), x[3], x[4])
+
+
+_PAGES = {"host": pa.string(), "shape": pa.int64(), "part": pa.string(), "pages": pa.int64(), "long": pa.int64(), "least": pa.int64(), "most": pa.int64(), "shared": pa.list_(pa.int64())}
+_PAGES_DDL = "host string, shape long, part string, pages long, long long, least long, most long, shared array<long>"
+
+
+def _rows(found: list[tuple[str, int, Pages]]) -> dict[str, pa.Array]:
+    columns = zip(*((host, key, json.dumps(_listed(x.wrapper)), x.pages, x.long, x.least, x.most, x.shared) for host, key, x in found), strict=True)
+    return {name: pa.array(own, kind) for own, (name, kind) in zip(columns, _PAGES.items(), strict=True)}
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages by host and shape."""
+    held: dict[tuple[str, int], Pages] = {}
+    chars = 0
+    for batch in batches:
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            own = one_page(parse(page), _hash(page))
+            key = host, _hash(shape(own.wrapper))
+            if key in held:
+                held[key] = held[key].add(own, True)
+            else:
+                held[key] = own
+                chars += len(page) + 1000
+            if chars > HELD:
+                yield pa.RecordBatch.from_pydict(_rows([(*k, x) for k, x in held.items()]))
+                held, chars = {}, 0
+    if held:
+        yield pa.RecordBatch.from_pydict(_rows([(*k, x) for k, x in held.items()]))
+
+
+def _united(buckets: int | None):
+    """One row for all rows of a host: those of one shape first, then shapes in the order of their hashes or numbers of buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in _PAGES), strict=True), key=lambda r: r[1])
+        out = None
+        for key, same in groupby(rows, key=lambda r: r[1]):
+            own = reduce(lambda a, b: a.add(b, True), (Pages(_part(json.loads(part)), *numbers) for _, _, part, *numbers in same))
+            out = own if out is None else out.add(own, False)
+        return pa.table(_rows([(rows[0][0], key % buckets if buckets else key, out)]))
+
+    return run
+
+
 _FOUND = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64()), ("way", pa.string()), ("fixed", pa.string())])
 
 
-def _infer(table: pa.Table) -> pa.Table:
-    wrapper, n = infer([parse(p) for p in sorted(table.column("html").to_pylist())])
-    fixed = find_article(wrapper, n)
-    return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [expression(wrapper)], "pages": [n], "way": [json.dumps(pruned(wrapper))], "fixed": [json.dumps(fixed)]}, schema=_FOUND)
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for host, _, part, *numbers in zip(*(batch.column(c).to_pylist() for c in _PAGES), strict=True):
+            found = Pages(_part(json.loads(part)), *numbers)
+            fixed = find_article(found.wrapper, found.different())
+            rows.append((host, expression(found.wrapper), found.pages, json.dumps(pruned(found.wrapper)), json.dumps(fixed)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
 
 def with_host(pages: DataFrame) -> DataFrame:
+    """Pages of a host with an article or main tag have a wrapper of their own: "/article" follows their host."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
+    page = F.coalesce("html", F.lit(""))
+    host = F.concat(host, F.when(page.rlike(r"(?i)<(article|main)[\s/>]"), "/article").otherwise(""))
+    return pages.select("page_id", "url", page.alias("html"), host.alias("host"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (regular expression), pages, way (the path to the article), fixed (texts of the wrapper), from SAMPLE pages of
-    each host at most."""
-    hashed = pages.select("host", F.xxhash64("page_id", "url", "html").alias("h"))
-    # the least hash in each of SAMPLE slots is found before the shuffle, so no host is a hot key
-    picked = keep(hashed.groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h"), "sampled-pages")
-    own = pages.withColumn("h", F.xxhash64("page_id", "url", "html")).join(picked, ["host", "h"]).select("host", "h", "html").dropDuplicates(["host", "h"])
-    return own.groupBy("host").applyInArrow(_infer, "host string, wrapper string, pages long, way string, fixed string")
+    """host, wrapper (regular expression), pages, way (the path to the article), fixed (texts of the wrapper), from all pages of each
+    host."""
+    found = in_batches(pages.select("host", "html"), _shapes, _PAGES_DDL).withColumn("dealt", F.pmod(F.spark_partition_id(), F.lit(DEALT)))
+    found = found.groupBy("host", "shape", "dealt").applyInArrow(_united(None), _PAGES_DDL)
+    for buckets in ROUNDS:
+        found = found.withColumn("bucket", F.pmod("shape", F.lit(buckets).cast("long"))).groupBy("host", "bucket").applyInArrow(_united(buckets), _PAGES_DDL)
+    return found.mapInArrow(_finished, "host string, wrapper string, pages long, way string, fixed string")
 
 
 class Wrappers:

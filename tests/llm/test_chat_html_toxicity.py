@@ -181,6 +181,51 @@ def test_hostile_pages_are_read_in_time():
         html.extract(part * (200_000 // len(part)), None)
         assert time.monotonic() - begin < 15
 
+def bare(k: int, line: str) -> str:
+    return f"<html><body><div id=content><h4>{line}</h4><p>Body {k} is told here</p><p>and so is {k * k}</p></div><footer>us</footer></body></html>"
+
+
+def test_wrappers_are_of_all_pages(spark):
+    """A line that all pages but one have, in the same place, is the article's."""
+    rows = [(k, "http://a.example/x", bare(k, "Same line" if k else "Other line")) for k in range(150)]
+    rows += [(200 + k, "http://b.example/x", bare(k, "Same line")) for k in range(20)] + [(250, "http://b.example/y", "<article><p>one</p></article>")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_texts(table).collect()}
+    assert got == {k: f"{'Same' if k else 'Other'} line\nBody {k} is told here\nand so is {k * k}" for k in range(150)} | {200 + k: f"Body {k} is told here\nand so is {k * k}" for k in range(20)} | {250: "one"}
+    assert {r["host"]: r["pages"] for r in html.wrappers(html.with_host(table)).collect()} == {"a.example": 150, "b.example": 20, "b.example/article": 1}
+
+
+def test_wrappers_do_not_depend_on_how_pages_are_dealt(spark, monkeypatch):
+    rng = random.Random(3)
+    names = ["p", "ul", "h2", "pre", "table", "blockquote", "dl"]
+    rows = []
+    for k in range(300):
+        body = "".join(f"<{x}>{rng.randrange(5)} {x} <b>{rng.random()}</b></{x}>" for x in rng.choices(names, k=rng.randrange(1, 9)))
+        rows.append((k, f"http://h{k % 2}.example/", f"<body><div class=top>Always</div><div class=text>{body}</div></body>"))
+    found = []
+    for seed, parts in ((1, 1), (2, 7)):
+        random.Random(seed).shuffle(rows)
+        table = html.with_host(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts))
+        found.append(sorted(map(tuple, html.wrappers(table).collect())))
+        monkeypatch.setattr(html, "HELD", 5_000)  # tasks give what they hold several times
+    assert found[0] == found[1] and [r[2] for r in found[0]] == [150, 150]
+
+
+def test_wrappers_of_many_layouts_stay_small(monkeypatch):
+    monkeypatch.setattr(html, "KINDS", 20)
+    rng = random.Random(4)
+    page = lambda: "".join(f"<div class={rng.choice('abcdefghij')}>{rng.random()}</div>" for _ in range(40))
+    wrapper, n = html.infer([html.parse(f"<body>{page()}</body>") for _ in range(30)])
+    (body,) = wrapper.kids
+    assert n == 30 and sorted(k.key for k in body.kids) == [f"div.{c}" for c in "abcdefghij"] and all(k.optional and k.repeated for k in body.kids)
+
+
+def test_copies_and_near_copies_count_as_one_page():
+    long = [f"{k} is a text of more than forty characters, surely" for k in range(4)]
+    own = lambda *x: html.parse("<body>" + "".join(f"<div>{y}</div>" for y in x) + "</body>")
+    assert html.infer([own(*long), own(*long)])[1] == html.infer([own(*long), own(*long[:3], "another text")])[1] == 1
+    assert html.infer([own(*long), own(*long[:1], *[x.upper() for x in long[1:]])])[1] == 2
+
 
 def toxic_corpus(n: int = 1500):
     rng = random.Random(3)
